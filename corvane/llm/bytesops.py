@@ -75,10 +75,10 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * _power(_UNBASE, len(sums))[start] + (end - start).astype(U) * U(_BASE))
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of bytes other than white space: (starts, ends, first word of each row plus the total)."""
+def words(raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of bytes not ``apart`` (white space): (starts, ends, first word of each row plus the total)."""
     n = len(raw)
-    inside = ~SPACE[raw]
+    inside = ~apart[raw]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.empty(n + 1, bool)

@@ -191,7 +191,8 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
 
     base = per.withColumn("base", F.sum("n").over(W.partitionBy("length").orderBy("bucket")) - F.col("n")).select("length", "bucket", "base")
     rank = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")) - 1
-    ranked = keyed.withColumn("k", rank).join(base, ["length", "bucket"])
+    # merged on the ranking's own partitioning: no further shuffle, nothing broadcast
+    ranked = keyed.withColumn("k", rank).join(base.hint("merge"), ["length", "bucket"])
     starts = {k: [p[0] for p in v] for k, v in where.items()}
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import chunks, decontaminate, langid, neardup, packing, repeats, secrets, urls
 from .common import table
 
 
@@ -21,5 +21,46 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(docs, tokenizer_path()))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_packing": op2_packing}
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.SecretModel(secrets.labelled_samples(docs)))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.labelled_samples(docs)).select("doc_id", "held_out", "lang_pred", "score", "phrase_rate")
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rules = urls.Rules()
+    return urls.judge(pages, rules, urls.UrlModel(urls.labelled_by_rules(pages, rules)))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
+    "op2_packing": op2_packing,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_neardup": op5_neardup,
+    "op6_chunks": op6_chunks,
+    "op7_repeats": op7_repeats,
+    "op8_langid": op8_langid,
+    "op10_urls": op10_urls,
+}
 ORACLES: dict[str, str] = {}
