@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 #: Ids that may be broadcast (8 bytes each on the wire, about 40 MB as a hash table).
 BROADCAST_IDS = 400_000
+#: Settings under which Spark deletes a query's shuffle files at its end.
+CLEANUP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled",)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,10 +32,18 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs only the rereading of files.
+    Shuffle files of the write go once it has ended, as nothing refers to them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvane-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = {k: spark.conf.get(k, None) for k in CLEANUP}
+    try:
+        for k in CLEANUP:
+            spark.conf.set(k, "true")
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.corvane_path = path
     return out

@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
             right = live.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
             pairs = left.join(right, "key").where("ca <> cb and a < b").select("a", "b")
         else:
-            order = F.struct(F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id"), F.col("doc_id"), F.col("component"))
+            order = F.struct((F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id")).alias("o"), F.col("doc_id"), F.col("component"))
             pivots = live.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.doc_id").alias("pivot"), F.col("p.component").alias("of"))
             pairs = live.join(pivots, "key").where("component <> of").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b"))
         pairs = materialise(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")

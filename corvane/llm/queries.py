@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, decontaminate, langid, neardup, packing, repeats, secrets, urls
+from . import ann, chunks, decontaminate, langid, neardup, packing, quality, repeats, secrets, urls
 from .common import table
 
 
@@ -26,6 +26,15 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.SecretModel(secrets.labelled_samples(docs)))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.QualityModel(quality.sample_rows(docs, table(spark, sf_dir, "labels"))))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,11 +65,13 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_packing": op2_packing,
+    "op3_ann": op3_ann,
     "op4_decontaminate": op4_decontaminate,
     "op5_neardup": op5_neardup,
     "op6_chunks": op6_chunks,
     "op7_repeats": op7_repeats,
     "op8_langid": op8_langid,
+    "op9_quality": op9_quality,
     "op10_urls": op10_urls,
 }
 ORACLES: dict[str, str] = {}

@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,16 +58,16 @@ def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[: n - width + 1], left[width - 1 : n])
 
 
-def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of all rows of at least ``length`` bytes.
 
-    (first start of a string that has the anchor, number of such starts, place
-    of the anchor after the first start, its hash)
+    (first start of a string that has the anchor, number of such starts, the
+    anchor's hash)
     """
     width = length - gram + 1
     n = len(raw)
     if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
     start = np.arange(n - gram + 1)
     hashes = span_hash(prefix(raw), start, start + gram)
     # high bits choose, positions break ties towards the first
@@ -80,7 +81,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
     # an anchor's windows are neighbours, as the choice only moves on
     new = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]])[: len(chosen)])
     count = np.diff(np.append(new, len(chosen)))
-    return begin[new], count, chosen[new] - begin[new], hashes[chosen[new]]
+    return begin[new], count, hashes[chosen[new]]
 
 
 def repeated_starts(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
@@ -157,53 +158,43 @@ def _common(data: np.ndarray, body: np.ndarray, a: np.ndarray, b: np.ndarray, ow
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """A row for each document: id, size, digest of the whole, and its anchors."""
+    """A row for each document: its name, id, size, digest of the whole, and its anchors' hashes in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             raw, offsets = text_bytes(batch.column("text"))
-            at, count, _, hashes = anchors(raw, offsets)
+            at, _, hashes = anchors(raw, offsets)
             data = raw.tobytes()
             split = np.searchsorted(at, offsets)
             sha = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            own = np.repeat(offsets[:-1], np.diff(split))
-            offs = pa.array((split - split[0]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("row"),
-                    batch.column("doc_id"),
-                    pa.array(np.diff(offsets)),
-                    pa.array(sha, pa.string()),
-                    pa.ListArray.from_arrays(offs, pa.array((at - own).astype(np.int32))),
-                    pa.ListArray.from_arrays(offs, pa.array(count.astype(np.int32))),
-                    pa.ListArray.from_arrays(offs, pa.array(hashes.view(np.int64))),
-                ],
-                names=["row", "doc_id", "n_bytes", "sha", "at", "count", "anchor"],
-            )
+            own = pa.ListArray.from_arrays(pa.array(split.astype(np.int32)), pa.array(hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("r1", "r2", "doc_id")), pa.array(np.diff(offsets)), pa.array(sha, pa.string()), own], names=["r1", "r2", "doc_id", "n_bytes", "sha", "anchors"])
 
-    return arrow(docs, 1000).mapInArrow(run, "row string, doc_id long, n_bytes long, sha string, at array<int>, count array<int>, anchor array<long>")
+    return arrow(docs, 1000).mapInArrow(run, "r1 long, r2 long, doc_id long, n_bytes long, sha string, anchors array<long>")
 
 
 def _contexts(docs: DataFrame) -> DataFrame:
-    """The bytes around each repeated anchor: row, anchor, start of the context in the text, the bytes."""
+    """The context of each repeated anchor (its place in the text's anchors is in ``hits``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             raw, offsets = text_bytes(batch.column("text"))
             data = raw.tobytes()
-            rows = batch.column("row").to_pylist()
-            cols: list[list] = [[] for _ in range(5)]
-            for i, hits in enumerate(batch.column("hits").to_pylist()):
-                a = int(offsets[i])
-                for h in hits:
-                    own = data[a + h["at"] : a + h["at"] + h["count"] + LENGTH - 1]
-                    digest = hashlib.blake2b(own, digest_size=16).digest()
-                    for c, v in zip(cols, (rows[i], h["anchor"], h["at"], digest, own), strict=True):
-                        c.append(v)
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["row", "anchor", "start", "digest", "own"])
+            at, count, hashes = anchors(raw, offsets)
+            first = np.searchsorted(at, offsets[:-1])
+            hits = [np.array(h, np.int64) + f for h, f in zip(batch.column("hits").to_pylist(), first, strict=True)]
+            row = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
+            pick = np.concatenate([*hits, np.zeros(0, np.int64)])
+            begin, end = at[pick], at[pick] + count[pick] + LENGTH - 1
+            own = [data[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+            digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in own), np.int64).reshape(-1, 2)
+            names = [batch.column(c).take(pa.array(row)) for c in ("r1", "r2")]
+            yield pa.RecordBatch.from_arrays(
+                [*names, pa.array(hashes[pick].view(np.int64)), pa.array((begin - offsets[row]).astype(np.int32)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(own, pa.binary())],
+                names=["r1", "r2", "anchor", "start", "d1", "d2", "own"],
+            )
 
-    return arrow(docs, 500).mapInArrow(run, "row string, anchor long, start int, digest binary, own binary")
+    return arrow(docs, 500).mapInArrow(run, "r1 long, r2 long, anchor long, start int, d1 long, d2 long, own binary")
 
 
 def _runs(flags: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -217,38 +208,35 @@ def _runs(flags: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(begin.tolist(), end.tolist(), strict=True))
 
 
+MARK = "anchor long, d1 long, d2 long, begin int, end int"
+
+
 def _indexed(groups: DataFrame) -> DataFrame:
-    """Marked spans of each distinct context: (anchor, digest, begin, end)."""
+    """Marked spans of each distinct context."""
 
-    def flush(rows: list) -> list[tuple]:
+    def flush(rows: list) -> pa.RecordBatch:
         out = []
-        flags = repeated_starts([own for _, _, own in rows])
-        for (anchor, digest, _), f in zip(rows, flags, strict=True):
-            out += [(anchor, digest, a, b) for a, b in _runs(f, LENGTH)]
-        return out
+        for (anchor, d1, d2, _), f in zip(rows, repeated_starts([r[3] for r in rows]), strict=True):
+            out += [(anchor, d1, d2, a, b) for a, b in _runs(f, LENGTH)]
+        cols = list(zip(*out, strict=True)) or [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["anchor", "d1", "d2", "begin", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list = []
         size, last = 0, None
-
-        def made(found: list) -> Iterator[pa.RecordBatch]:
-            if found:
-                cols = list(zip(*found, strict=True))
-                kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["anchor", "digest", "begin", "end"])
-
         for batch in batches:
-            for anchor, digest, own in zip(*(batch.column(c).to_pylist() for c in ("anchor", "digest", "own")), strict=True):
-                if size >= INDEX_BYTES and anchor != last:
-                    yield from made(flush(rows))
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "d1", "d2", "own")), strict=True):
+                if size >= INDEX_BYTES and row[0] != last:
+                    yield flush(rows)
                     rows, size = [], 0
-                rows.append((anchor, digest, own))
-                size += len(own)
-                last = anchor
+                rows.append(row)
+                size += len(row[3])
+                last = row[0]
         if rows:
-            yield from made(flush(rows))
+            yield flush(rows)
 
-    return arrow(groups, 2000).mapInArrow(run, "anchor long, digest binary, begin int, end int")
+    return arrow(groups, 2000).mapInArrow(run, MARK)
 
 
 def _counted(groups: DataFrame) -> DataFrame:
@@ -256,18 +244,15 @@ def _counted(groups: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, digest, own in zip(*(batch.column(c).to_pylist() for c in ("anchor", "digest", "own")), strict=True):
+            for anchor, d1, d2, own in zip(*(batch.column(c).to_pylist() for c in ("anchor", "d1", "d2", "own")), strict=True):
                 n = len(own) - LENGTH + 1
                 at = np.arange(n)
                 h = span_hash(prefix(np.frombuffer(own, np.uint8)), at, at + LENGTH)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([anchor] * n, pa.int64()), pa.array([digest] * n, pa.binary()), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))],
-                    names=["anchor", "digest", "begin", "h"],
-                )
+                yield pa.RecordBatch.from_arrays([*(pa.array([x] * n, pa.int64()) for x in (anchor, d1, d2)), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], names=["anchor", "d1", "d2", "begin", "h"])
 
-    each = arrow(groups, 2000).mapInArrow(run, "anchor long, digest binary, begin int, h long")
+    each = arrow(groups, 2000).mapInArrow(run, "anchor long, d1 long, d2 long, begin int, h long")
     many = each.groupBy("anchor", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return each.join(many, ["anchor", "h"], "left_semi").select("anchor", "digest", "begin", (F.col("begin") + LENGTH).alias("end"))
+    return each.join(many, ["anchor", "h"], "left_semi").select("anchor", "d1", "d2", "begin", (F.col("begin") + LENGTH).alias("end"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -275,31 +260,34 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     ``removed`` lists the removed runs as start:end in bytes.
     """
-    # Rows get names, since doc_ids may repeat: the digest of the text tells copies under one id apart
-    # no further than needed, as equal rows have equal results.
-    named = docs.select(F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256).alias("row"), "doc_id", "text")
+    # Rows are named by 128 bits of id and text, since ids may repeat; equal rows have equal results.
+    named = docs.select(F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64("text", "doc_id", F.lit(1)).alias("r2"), "doc_id", "text")
+    name, context = ["r1", "r2"], ["anchor", "d1", "d2"]
     scanned = materialise(_anchor_rows(named), "anchors")
-    places = scanned.select("row", F.explode(F.arrays_zip("at", "count", "anchor")).alias("x")).select("row", "x.at", "x.count", "x.anchor")
+    places = scanned.select("r1", "r2", F.posexplode("anchors").alias("i", "anchor"))
     shared = places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    hits = places.distinct().join(shared, "anchor", "left_semi").groupBy("row").agg(F.collect_list(F.struct("at", "count", "anchor")).alias("hits"))
-    copies = scanned.groupBy("row").agg(F.count("*").alias("copies"))
-    contexts = materialise(_contexts(named.select("row", "text").join(hits, "row")), "contexts")
-    # equal contexts are one; rows that are wholly equal count by their copies
-    seen = contexts.join(copies, "row").groupBy("anchor", "digest").agg(F.sum("copies").alias("n"))
-    per = seen.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    seen = materialise(seen.join(per, "anchor"), "context-counts")
-    whole = seen.where("n > 1").select("anchor", "digest")
-    several = seen.where(F.col("kinds").between(2, MOST_CONTEXTS)).select("anchor", "digest")
-    many = seen.where(F.col("kinds") > MOST_CONTEXTS).select("anchor", "digest")
-    one = contexts.groupBy("anchor", "digest").agg(F.first("own").alias("own"))
-    grouped = one.join(several, ["anchor", "digest"]).repartition("anchor").sortWithinPartitions("anchor")
-    marks = _indexed(grouped.select("anchor", "digest", "own")).union(_counted(one.join(many, ["anchor", "digest"]).select("anchor", "digest", "own")))
-    marks = materialise(marks, "marks")
-    where = contexts.select("row", "anchor", "start", "digest", F.octet_length("own").alias("size"))
-    spans = where.join(whole, ["anchor", "digest"], "left_semi").select("row", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
-    spans = spans.union(where.join(marks, ["anchor", "digest"]).select("row", (F.col("start") + F.col("begin")).alias("a"), (F.col("start") + F.col("end")).alias("b")))
-    cut = materialise(spans.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans")), "spans")
-    drop_table(marks)
+    hits = materialise(places.join(shared, "anchor", "left_semi").groupBy(*name).agg(F.collect_set("i").alias("hits")), "hits")
+    held = materialise(named.select("r1", "r2", "text").join(hits, name).dropDuplicates(name), "held")
+    drop_table(hits)
+    contexts = materialise(_contexts(held), "contexts")
+    # equal contexts are one; rows that are equal as a whole count by their copies
+    copies = scanned.groupBy(*name).agg(F.count("*").alias("copies")).where("copies > 1")
+    seen = contexts.select(*name, *context).join(copies, name, "left").groupBy(*context).agg(F.sum(F.coalesce("copies", F.lit(1))).alias("n"))
+    seen = materialise(seen, "context-counts")
+    per = seen.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    kinds = materialise(seen.join(per, "anchor").select(*context, "kinds"), "kinds")
+    one = contexts.select(*context, "own").join(kinds, context).groupBy(*context, "kinds").agg(F.first("own").alias("own"))
+    one = materialise(one, "distinct-contexts")
+    few = one.where(F.col("kinds") <= MOST_CONTEXTS).select(*context, "own")
+    marks = _indexed(few.repartition("anchor").sortWithinPartitions("anchor"))
+    marks = materialise(marks.union(_counted(one.where(F.col("kinds") > MOST_CONTEXTS).select(*context, "own"))), "marks")
+    drop_table(one)
+    where = contexts.select(*name, *context, "start", F.octet_length("own").alias("size"))
+    # a context that occurs again is repeated as a whole
+    spans = where.join(seen.where("n > 1").select(*context), context, "left_semi").select(*name, F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
+    spans = spans.union(where.join(marks, context).select(*name, (F.col("start") + F.col("begin")).alias("a"), (F.col("start") + F.col("end")).alias("b")))
+    cut = materialise(spans.groupBy(*name).agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans")), "spans")
+    drop_table(contexts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,12 +308,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 for c, v in zip(out, (sum(b - a for a, b in runs), len(runs), keep.hexdigest(), ",".join(f"{a}:{b}" for a, b in runs)), strict=True):
                     c.append(v)
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["row", "n_removed", "n_spans", "kept", "removed"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in name), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=[*name, "n_removed", "n_spans", "kept", "removed"])
 
-    one_of = named.join(cut, "row").dropDuplicates(["row"]).select("row", "text", "spans")
-    changed = arrow(one_of, 500).mapInArrow(run, "row string, n_removed long, n_spans long, kept string, removed string")
+    changed = arrow(held.select(*name, "text").join(cut, name), 500).mapInArrow(run, "r1 long, r2 long, n_removed long, n_spans long, kept string, removed string")
     none = F.lit(0).cast("long")
-    return scanned.join(changed, "row", "left").select(
+    return scanned.select(*name, "doc_id", "n_bytes", "sha").join(changed, name, "left").select(
         "doc_id",
         "n_bytes",
         F.coalesce("n_removed", none).alias("n_removed"),
