@@ -42,10 +42,12 @@ from .common import arrow, drop_table, materialise, slices
 LENGTH = 200
 #: Bytes of an anchor.
 GRAM = 32
-#: Distinct contexts of one anchor that are indexed together.
-MOST_CONTEXTS = 2048
+#: Distinct contexts of one anchor that are indexed together: at most 3 MB of text.
+MOST_CONTEXTS = 8192
 #: Bytes of contexts in one index.
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 18
+#: Bytes packed into the first sort key, nine bits each.
+PACKED = 7
 
 
 def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
@@ -97,63 +99,62 @@ def repeated_starts(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray
     body = np.ones(n, bool)
     body[ends] = False
     data[body] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
-    # Suffix order by doubling; each text's end is a sign of its own.
-    owner_end = np.repeat(ends, sizes + 1)
-    room = owner_end - np.arange(n)
-    rank = data + len(texts)
-    rank[ends] = np.arange(len(texts))
-    step = 1
+    room = np.repeat(ends, sizes + 1) - np.arange(n)
+    # Suffix order by doubling, from PACKED bytes on; the ranks of each step are kept.
+    key = np.zeros(n, np.int64)
+    for j in range(PACKED):
+        key <<= 9
+        key[: n - j] |= np.where(room[: n - j] >= j, data[j:], 0)
+    levels = []
+    step, longest = PACKED, int(sizes.max())
     while True:
-        follow = np.zeros(n, np.int64)
-        ok = room >= step
-        follow[ok] = rank[np.flatnonzero(ok) + step] + 1
-        key = rank * (int(rank.max()) + 3) + follow
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         new = np.zeros(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-        rank = new
-        step *= 2
-        if rank[order[-1]] == n - 1:
+        np.cumsum(ordered[1:] != ordered[:-1], out=new[1:])
+        rank = np.empty(n, np.int64)
+        rank[order] = new
+        levels.append((step, rank))
+        if step >= longest or new[-1] == n - 1:
             break
-    transform = np.where(order > 0, data[order - 1], 0)
-    # the byte before a text's first one is an end, different for each text
-    head = order > 0
-    head[head] = body[order[head] - 1]
-    same = (transform[1:] == transform[:-1]) & head[1:] & head[:-1]
-    run_start = np.flatnonzero(np.concatenate([[True], ~same]))
-    statistics = np.zeros(n, np.int64)
+        key = rank * (n + 2)
+        ahead = np.flatnonzero(room >= step)
+        key[ahead] += rank[ahead + step] + 1
+        step *= 2
+    # Burrows-Wheeler transform and its runs; no two texts' beginnings make a run
+    before = np.where(order > 0, data[order - 1], 0)
+    same = (before[1:] == before[:-1]) & (before[1:] > 0)
+    edge = np.flatnonzero(~same)
     # ends of runs: each first row against the row above, each last row against the row below
-    upper, lower = order[run_start[1:] - 1], order[run_start[1:]]
-    common = _common(data, body, upper, lower, owner_end)
-    for rows in (upper, lower):
+    upper, lower = order[edge], order[edge + 1]
+    common = _common(data, levels, room, upper, lower)
+    statistics = np.zeros(n, np.int64)
+    at = np.arange(n)
+    for rows in (upper, lower):  # a position is in either list once at most
         value = np.full(n, -1, np.int64)
-        np.maximum.at(value, rows, common)
-        at = np.arange(n)
-        carried = np.maximum.accumulate(np.where(value >= 0, value + at, -1)) - at
-        np.maximum(statistics, np.minimum(carried, room), out=statistics)
+        value[rows] = common + rows
+        np.maximum(statistics, np.minimum(np.maximum.accumulate(value) - at, room), out=statistics)
     long = statistics >= length
     first = ends - sizes
     return [long[a : a + s] for a, s in zip(first.tolist(), sizes.tolist(), strict=True)]
 
 
-def _common(data: np.ndarray, body: np.ndarray, a: np.ndarray, b: np.ndarray, owner_end: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of the suffixes at a and b, within their texts."""
+def _common(data: np.ndarray, levels: list[tuple[int, np.ndarray]], room: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of the suffixes at a and b.
+
+    Ranks of falling steps tell whether as many further bytes agree; the last
+    few bytes are compared one by one.
+    """
     out = np.zeros(len(a), np.int64)
-    live = np.arange(len(a))
-    most = np.minimum(owner_end[a] - a, owner_end[b] - b)
-    block = 16
-    while len(live):
-        x, y = a[live] + out[live], b[live] + out[live]
-        left = most[live] - out[live]
-        span = np.arange(block)
-        top = len(data) - 1
-        differ = data[np.minimum(x[:, None] + span, top)] != data[np.minimum(y[:, None] + span, top)]
-        differ |= span[None, :] >= left[:, None]
-        stop = np.where(differ.any(axis=1), differ.argmax(axis=1), block)
-        out[live] += stop
-        live = live[stop == block]
-        block = min(block * 2, 64)
+    most = np.minimum(room[a], room[b])
+    top = len(room) - 1
+    for step, rank in reversed(levels):
+        same = rank[np.minimum(a + out, top)] == rank[np.minimum(b + out, top)]
+        out += np.where(same & (out + step <= most), step, 0)
+    same = np.ones(len(a), bool)
+    for _ in range(levels[0][0] - 1):
+        same &= (out < most) & (data[np.minimum(a + out, top)] == data[np.minimum(b + out, top)])
+        out += same
     return out
 
 
