@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -143,7 +143,11 @@ def cycles(edges_: DataFrame, most_edges: int = 100_000) -> list[list[str]]:
 
 def relation_rows(notes: DataFrame) -> DataFrame:
     """src, relation, raw, targets: a row for each value of a typed relation field."""
-    each = F.concat(*(F.transform(meta_values(r), lambda v, r=r: F.struct(F.lit(r).alias("relation"), v.alias("raw"))) for r in C.RELATION_INVERSES))
+
+    def of(r: str) -> Column:
+        return F.transform(meta_values(r), lambda v: F.struct(F.lit(r).alias("relation"), v.alias("raw")))
+
+    each = F.concat(*map(of, C.RELATION_INVERSES))
     return notes.select(F.col("path").alias("src"), F.explode(each).alias("x")).select("src", "x.relation", "x.raw").withColumn("targets", X.links(F.col("raw")))
 
 

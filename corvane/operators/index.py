@@ -19,7 +19,11 @@ def tokenised(texts: DataFrame) -> DataFrame:
 
 def occurrences(tokenised_: DataFrame) -> DataFrame:
     """A row for each word of each field: path, field, term."""
-    each = F.concat(*(F.transform(f"t_{f}", lambda t, f=f: F.struct(F.lit(f).alias("field"), t.alias("term"))) for f in FIELDS))
+
+    def of(f: str) -> Column:
+        return F.transform(f"t_{f}", lambda t: F.struct(F.lit(f).alias("field"), t.alias("term")))
+
+    each = F.concat(*map(of, FIELDS))
     return tokenised_.select("path", F.explode(each).alias("o")).select("path", "o.field", "o.term")
 
 
