@@ -1,13 +1,65 @@
-"""Corpus pipeline: language ID, near-dedup, decontamination, secret scan, packing."""
+"""Corpus pipeline: language ID, near-dedup, decontamination, secret scan, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all documents that the
+stage before kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.llm import decontaminate, langid, neardup, packing, secrets
+from corvane.llm.common import materialise, only, table
+from corvane.llm.queries import tokenizer_path
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents but those with the given ids; rows without an id stay."""
+    gone = materialise(ids.where("doc_id is not null").distinct(), "dropped")
+    return only(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without any language: no text, no letter, or no language fits."""
+    found = langid.identify(docs, langid.labelled_samples(docs))
+    return without(docs, found.where(F.col("lang_pred") == langid.UNKNOWN).select("doc_id"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the least document of each group of near duplicates."""
+    return without(docs, neardup.near_duplicates(docs).where("not kept").select("doc_id"))
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark passage."""
+    return without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets in the texts; all documents stay."""
+    return secrets.redact(docs, secrets.SecretModel(secrets.labelled_samples(docs)))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces placed into sequences."""
+    return packing.pack(packing.token_pieces(docs, tokenizer_path()))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", decontaminate_benchmark),
+    ("secret_scan", mask_secrets),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what each keeps is a written table for the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

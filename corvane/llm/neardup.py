@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import U, constants, mix, shingles, text_bytes
-from .common import arrow, drop_table, materialise, only, slices
+from .common import arrow, materialise, only, slices
 from .components import components
 
 WORDS = 5
@@ -44,7 +44,7 @@ LEAST_ESTIMATE = 0.55
 #: Pairs per bucket row at which pivoting stops and all remaining pairs are made.
 FEW_PAIRS = 3.0
 
-SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, bits binary, bands array<long>"
+SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
 
 
 def _packed(minima: np.ndarray) -> np.ndarray:
@@ -69,8 +69,19 @@ def distinct_sets(raw: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> tu
     return np.concatenate([*own, np.zeros(0, U)]), first
 
 
+def _minima(sets: np.ndarray, first: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash minima of each set, zeros for empty ones, and which sets aren't empty."""
+    full = np.flatnonzero(np.diff(first))
+    minima = np.zeros((len(first) - 1, len(factors)), U)
+    if len(full):
+        starts = first[:-1][full]
+        for j, f in enumerate(factors):
+            minima[full, j] = np.minimum.reduceat(sets * f, starts)
+    return minima, full
+
+
 def signatures(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """Set size, set digest, packed low bits and band keys of each document."""
+    """Set size, set digest and band keys of each document."""
     factors = constants(MINIMA, 5)
     salt = constants(BANDS, 6)
     step = constants(ROWS, 8)
@@ -79,38 +90,34 @@ def signatures(docs: DataFrame, size: int = WORDS) -> DataFrame:
         for batch in slices(batches):
             sets, first = distinct_sets(*text_bytes(batch.column("text")), size)
             count = np.diff(first)
-            full = np.flatnonzero(count)
+            minima, full = _minima(sets, first, factors)
             starts = first[:-1][full]
-            minima = np.zeros((len(count), MINIMA), U)
             d1, d2 = np.zeros(len(count), U), np.zeros(len(count), U)
             if len(full):
-                for j in range(MINIMA):
-                    minima[full, j] = np.minimum.reduceat(sets * factors[j], starts)
                 d1[full] = np.add.reduceat(mix(sets), starts)
                 d2[full] = np.add.reduceat(mix(sets ^ salt[0]), starts)
             keys = mix((minima.reshape(len(count), BANDS, ROWS) * step).sum(axis=2, dtype=U) + salt)
             flat = _signed(keys[count > 0].ravel())
             offs = np.zeros(len(count) + 1, np.int32)
             np.cumsum(np.where(count > 0, BANDS, 0), out=offs[1:])
-            bits = _packed(minima)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(count), _signed(d1), _signed(d2), pa.array([b.tobytes() for b in bits], pa.binary()), pa.ListArray.from_arrays(pa.array(offs), flat)],
-                names=["doc_id", "n_shingles", "d1", "d2", "bits", "bands"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count), _signed(d1), _signed(d2), pa.ListArray.from_arrays(pa.array(offs), flat)], names=["doc_id", "n_shingles", "d1", "d2", "bands"])
 
     return arrow(docs.select("doc_id", "text"), 1000).mapInArrow(run, SIGNATURE)
 
 
-def shingle_sets(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """doc_id and its shingle set as sorted 64-bit hashes."""
+def member_sets(docs: DataFrame, size: int = WORDS) -> DataFrame:
+    """doc_id, its packed low bits, and its shingle set as sorted 64-bit hashes."""
+    factors = constants(MINIMA, 5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets, first = distinct_sets(*text_bytes(batch.column("text")), size)
+            minima, _ = _minima(sets, first, factors)
             own = [sets[first[i] : first[i + 1]].tobytes() for i in range(len(first) - 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own, pa.binary())], names=["doc_id", "items"])
+            bits = [b.tobytes() for b in _packed(minima)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bits, pa.binary()), pa.array(own, pa.binary())], names=["doc_id", "bits", "items"])
 
-    return arrow(docs.select("doc_id", "text"), 1000).mapInArrow(run, "doc_id long, items binary")
+    return arrow(docs.select("doc_id", "text"), 1000).mapInArrow(run, "doc_id long, bits binary, items binary")
 
 
 def estimate(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -157,13 +164,21 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), 256).mapInArrow(run, "a long, b long")
 
 
-def _with_component(members: DataFrame, links: DataFrame) -> DataFrame:
-    return members.join(links.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members with a label that documents known to be linked may share: the least document one or two links away.
+
+    Documents of one label are linked; linked documents may have different
+    labels, which costs comparisons but no links.
+    """
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("doc_id"), F.least("a", "m").alias("near"))
+    far = near.join(near.select(F.col("doc_id").alias("near"), F.col("near").alias("label")), "near", "left")
+    label = far.select("doc_id", F.coalesce("label", "near").alias("label"))
+    return members.join(label, "doc_id", "left").select("doc_id", "key", F.coalesce("label", "doc_id").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each document."""
-    spark = docs.sparkSession
     marks = materialise(signatures(docs, size), "signatures")
     filled = marks.where("n_shingles > 0 and doc_id is not null")
     classes = materialise(filled.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("head")), "classes")
@@ -173,42 +188,40 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     # a document repeated under one id counts once
     members = materialise(keys.join(shared, "key").distinct(), "members")
     ids = materialise(members.select("doc_id").distinct(), "member-ids")
-    sets = materialise(shingle_sets(only(docs.select("doc_id", "text"), ids, "doc_id"), size).dropDuplicates(["doc_id"]), "sets")
-    bits = materialise(only(filled.select("doc_id", "bits"), ids, "doc_id").dropDuplicates(["doc_id"]), "bits")
-    links = spark.createDataFrame([], "a long, b long")
-    tried = spark.createDataFrame([], "a long, b long")
-    grouped = materialise(members.withColumn("component", F.col("doc_id")), "grouped")
+    sets = materialise(member_sets(only(docs.select("doc_id", "text"), ids, "doc_id"), size).dropDuplicates(["doc_id"]), "sets")
+    links = tried = None
+    grouped = members.withColumn("label", F.col("doc_id"))
     turn, before = 0, None
     while True:
-        # pairs left: of members of a bucket in different components
-        per = grouped.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("s"), F.count("*").alias("c"))
-        state = per.where("c > 1").agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("m"), F.lit(0)).alias("rows")).first()
-        if not state["pairs"]:
-            break
-        last = state["pairs"] <= FEW_PAIRS * state["rows"] or (before is not None and state["pairs"] > 0.9 * before)
-        before = state["pairs"]
-        live = grouped.join(per.where("c > 1").select("key"), "key")
+        # pairs left: of members of a bucket with different labels
+        last = False
+        if turn:
+            per = grouped.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("s"), F.count("*").alias("c")).where("c > 1")
+            per = materialise(per, "open-buckets")
+            state = per.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("m"), F.lit(0)).alias("rows")).first()
+            if not state["pairs"]:
+                break
+            last = state["pairs"] <= FEW_PAIRS * state["rows"] or (before is not None and state["pairs"] > 0.9 * before)
+            before = state["pairs"]
+            grouped = grouped.join(per.select("key"), "key", "left_semi")
         if last:
-            left = live.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
-            right = live.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-            pairs = left.join(right, "key").where("ca <> cb and a < b").select("a", "b")
+            left = grouped.select("key", F.col("doc_id").alias("a"), F.col("label").alias("la"))
+            right = grouped.select("key", F.col("doc_id").alias("b"), F.col("label").alias("lb"))
+            pairs = left.join(right, "key").where("la <> lb and a < b").select("a", "b")
         else:
-            order = F.struct((F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id")).alias("o"), F.col("doc_id"), F.col("component"))
-            pivots = live.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.doc_id").alias("pivot"), F.col("p.component").alias("of"))
-            pairs = live.join(pivots, "key").where("component <> of").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b"))
-        pairs = materialise(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        likely = materialise(estimated(pairs, bits), "likely")
-        found = materialise(confirmed(likely, sets, percent), "found")
-        links, tried = links.union(found), tried.union(pairs)
-        drop_table(likely)
+            order = F.struct((F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id")).alias("o"), F.col("doc_id"), F.col("label"))
+            pivots = grouped.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.doc_id").alias("pivot"), F.col("p.label").alias("of"))
+            pairs = grouped.join(pivots, "key").where("label <> of").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b"))
+        pairs = pairs.distinct()
+        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs, "pairs")
+        found = materialise(confirmed(estimated(pairs, sets.select("doc_id", "bits")), sets.select("doc_id", "items"), percent), "found")
+        links = found if links is None else links.union(found)
+        tried = pairs if tried is None else tried.union(pairs)
         if last:
             break
-        new = materialise(_with_component(members, components(links)), "grouped")
-        drop_table(grouped)
-        grouped, turn = new, turn + 1
-    of_head = components(links)
-    per_class = classes.select("d1", "d2", "n_shingles", F.col("head").alias("doc_id"))
-    per_class = _with_component(per_class, of_head).select("d1", "d2", "n_shingles", F.col("component").alias("component_id"))
+        grouped, turn = materialise(_labelled(members, links), "grouped"), turn + 1
+    of_head = components(links).select(F.col("node").alias("head"), "component")
+    per_class = classes.join(of_head, "head", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "head").alias("component_id"))
     out = marks.select("doc_id", "n_shingles", "d1", "d2").join(per_class, ["d1", "d2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
