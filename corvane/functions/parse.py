@@ -237,14 +237,14 @@ def meta_kind(key: str) -> Column:
 def meta_values(key: str) -> Column:
     """A metadata value as a list of non-empty strings."""
     values = F.coalesce(F.try_element_at("metadata", F.lit(key))["values"], F.array().cast("array<string>"))
-    return F.filter(F.transform(values, F.trim), lambda x: x != "")
+    return F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def tags() -> Column:
     """Tags without leading marks; one string is parted at commas and white space."""
     raw = F.try_element_at("metadata", F.lit("tags"))
     some = F.when(raw["kind"] == KIND_LIST, raw["values"]).when(raw["kind"] == KIND_STRING, F.split(F.array_join(raw["values"], " "), r"[,\s]+")).otherwise(F.array().cast("array<string>"))
-    clean = F.filter(F.transform(F.coalesce(some, F.array().cast("array<string>")), F.trim), lambda x: x != "")
+    clean = F.filter(F.transform(F.coalesce(some, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(clean, lambda x: F.regexp_replace(x, "^#+", ""))
 
 

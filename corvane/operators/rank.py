@@ -142,7 +142,7 @@ def rank(queries: DataFrame, documents: DataFrame, options: Options = Options(),
 def excerpts(rows: DataFrame, limit: int = C.EXCERPT_CHARS) -> DataFrame:
     """Add ``excerpt``: of columns query and body, the paragraph with most query words, the first of equals."""
     limit = max(limit, C.LEAST_EXCERPT_CHARS)
-    usable = F.filter(F.transform(X.paragraphs(F.coalesce("body", F.lit(""))), F.trim), lambda p: (p != "") & ~p.startswith("#") & ~p.startswith("<!--") & ~p.startswith("```"))
+    usable = F.filter(F.transform(X.paragraphs(F.coalesce("body", F.lit(""))), lambda p: F.trim(p)), lambda p: (p != "") & ~p.startswith("#") & ~p.startswith("<!--") & ~p.startswith("```"))
     asked = F.array_distinct(X.tokens(F.col("query")))
     counted = F.transform(usable, lambda p, i: F.struct(F.size(F.array_intersect(asked, X.tokens(p))).alias("hits"), (-i).alias("first"), p.alias("p")))
     return rows.withColumn("excerpt", F.coalesce(X.shortened(X.squeeze(F.array_max(counted)["p"]), limit), F.lit("")))

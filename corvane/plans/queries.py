@@ -319,20 +319,16 @@ def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Benchmark passages as cases: the first words are the query, documents that hold the text are expected."""
     d = R.corpus(spark, sf_dir)
     item = R.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("case_id"), F.concat(F.lit("c"), F.col("item_id") % 3).alias("category"), "text")
-    # candidates share a stretch of the item's text as a whole line or sentence start: joined on the first four words
-    first = F.array_join(F.slice(X.tokens(F.col("text")), 1, 4), " ")
-    grams = d.select("path", "body", F.explode(F.array_distinct(_starts(F.col("body")))).alias("start"))
-    hits = grams.join(F.broadcast(item.withColumn("start", first)), "start").where(F.contains("body", "text"))  # items are few, and their number doesn't follow the corpus
+    # a document that holds the text holds its longest word: candidates meet by it
+    by_length = F.array_sort(F.transform(X.tokens(F.col("text")), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    held = index.tokenised(d.select("path", "title", "meta", "body")).select("path", F.explode(F.array_distinct("t_body")).alias("word"))
+    near = held.join(F.broadcast(item.withColumn("word", by_length[0]["w"])), "word")  # items are few, and their number doesn't follow the corpus
+    hits = near.join(d.select("path", "body"), "path").where(F.contains("body", "text"))
     expected = hits.groupBy("case_id", "category").agg(F.collect_set("path").alias("expected"))
     query = item.select("case_id", F.array_join(F.slice(X.tokens(F.col("text")), 1, 5), " ").alias("query"))
     return d, expected.join(query, "case_id")
 
 
-def _starts(c):
-    t = X.tokens(c)
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - 3, F.lit(1))), lambda i: F.array_join(F.slice(t, i, 4), " "))
-
-
 KS = (1, 3, 5)
 
 

@@ -12,7 +12,7 @@ CORPUS = f"""
 b AS (SELECT concat_ws('/', lang, source, doc_id) AS path, text AS body, lang, source AS type, octet_length(encode(text)) AS size,
        strftime(DATE '2024-01-01' + (doc_id % 365)::INTEGER, '%Y-%m-%d') AS updated, {tok("text")} AS tb, {tok("concat_ws(' ', lang, source)")} AS tm FROM documents),
 d AS (SELECT *, tb[1:6] AS tt, len(tb) AS lb, len(tm) AS lm, len(tb[1:6]) AS lt FROM b),
-st AS (SELECT count(*) AS n, greatest(avg(lt), 1) AS at, greatest(avg(lm), 1) AS am, greatest(avg(lb), 1) AS ab FROM d)"""
+st AS (SELECT count(*) AS n, greatest(avg(lt), 1) AS gt, greatest(avg(lm), 1) AS gm, greatest(avg(lb), 1) AS gb FROM d)"""
 
 VOCABULARY = "voc AS (SELECT DISTINCT unnest(tt || tm || tb) AS term FROM d)"
 
@@ -20,7 +20,7 @@ VOCABULARY = "voc AS (SELECT DISTINCT unnest(tt || tm || tb) AS term FROM d)"
 def scores() -> str:
     """From w(query_id, term, weight) to s(query_id, path, score)."""
     tf = lambda f: f"len(list_filter(t{f}, lambda x: x = term))"
-    x = " + ".join(f"{w} * tf{f} / (0.25 + 0.75 * l{f} / a{f})" for f, w in (("t", 8.0), ("m", 3.0), ("b", 1.0)))
+    x = " + ".join(f"{w} * tf{f} / (0.25 + 0.75 * l{f} / g{f})" for f, w in (("t", 8.0), ("m", 3.0), ("b", 1.0)))
     return f"""
 hit AS (SELECT t.term, d.path, d.lt, d.lm, d.lb, {tf("t")} AS tft, {tf("m")} AS tfm, {tf("b")} AS tfb FROM (SELECT DISTINCT term FROM w) t, d WHERE list_contains(tb, term) OR list_contains(tm, term)),
 df AS (SELECT term, count(*) AS df FROM hit GROUP BY 1),
