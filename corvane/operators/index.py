@@ -17,22 +17,22 @@ def tokenised(texts: DataFrame) -> DataFrame:
     return out.withColumns({f"len_{f}": F.size(f"t_{f}") for f in FIELDS})
 
 
-def occurrences(tokenised_: DataFrame) -> DataFrame:
-    """A row for each word of each field: path, field, term."""
+def occurrences(tokenised_: DataFrame, keep: tuple[str, ...] = ("path",)) -> DataFrame:
+    """A row for each word of each field: path (or the columns to keep), field, term."""
 
     def of(f: str) -> Column:
         return F.transform(f"t_{f}", lambda t: F.struct(F.lit(f).alias("field"), t.alias("term")))
 
     each = F.concat(*map(of, FIELDS))
-    return tokenised_.select("path", F.explode(each).alias("o")).select("path", "o.field", "o.term")
+    return tokenised_.select(*keep, F.explode(each).alias("o")).select(*keep, "o.field", "o.term")
 
 
-def postings(tokenised_: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+def postings(tokenised_: DataFrame, terms: DataFrame | None = None, keep: tuple[str, ...] = ("path",)) -> DataFrame:
     """term, path, tf_title, tf_meta, tf_body; only of ``terms`` if given, before anything is shuffled."""
-    rows = occurrences(tokenised_)
+    rows = occurrences(tokenised_, keep)
     if terms is not None:
         rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy("term", "path").agg(*(F.sum((F.col("field") == f).cast("int")).cast("int").alias(f"tf_{f}") for f in FIELDS))
+    return rows.groupBy("term", *keep).agg(*(F.sum((F.col("field") == f).cast("int")).cast("int").alias(f"tf_{f}") for f in FIELDS))
 
 
 def lengths(tokenised_: DataFrame) -> DataFrame:

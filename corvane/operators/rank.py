@@ -95,10 +95,10 @@ def bm25f(weight: Column | None = None) -> Column:
 def scored(queries: DataFrame, tokenised: DataFrame, options: Options) -> DataFrame:
     """query_id, path, score. Statistics are of all documents, excluded ones too."""
     terms = weighted_terms(queries, tokenised, options)
-    hits = I.postings(tokenised, terms)
+    # lengths travel with the postings: two passes over the texts, the second for the statistics
+    hits = I.postings(tokenised, terms, ("path", *(f"len_{f}" for f in FIELDS)))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    lengths = I.lengths(tokenised)
-    joined = hits.join(terms, "term").join(df, "term").join(lengths, "path").join(F.broadcast(I.corpus_stats(lengths)))  # one row
+    joined = hits.join(terms, "term").join(df, "term").join(F.broadcast(I.corpus_stats(tokenised)))  # one row
     return joined.groupBy("query_id", "path").agg(F.round(F.sum(bm25f(F.col("weight"))), 9).alias("score"))
 
 
