@@ -36,8 +36,9 @@ from .common import arrow, slices
 #: Share of an item's words that may be edited.
 EDITS = 0.25
 LEAST_WORDS = 5
-#: Repetitions, and coordinates sampled in each.
-REPEATS, SAMPLED = 64, 4
+#: Repetitions, and coordinates sampled in each: a window at the limit of edits, with half of its
+#: embedding equal, shares a key with probability 0.986.
+REPEATS, SAMPLED = 32, 3
 #: Bytes of items searched at once; more take further passes over the documents.
 ITEM_BYTES = 4 << 20
 
@@ -83,7 +84,7 @@ def walk_keys(sequences: np.ndarray, lengths: np.ndarray, m: int) -> np.ndarray:
     """CGK walks over rows of word hashes; a key of sampled coordinates for each repetition."""
     n = len(sequences)
     rng = np.random.Generator(np.random.PCG64(1000 + m))
-    steps = max(SAMPLED, (3 * m) // 2)
+    steps = max(SAMPLED, m)
     wanted = np.zeros((REPEATS, steps), bool)
     for r in range(REPEATS):
         wanted[r, rng.choice(steps, SAMPLED, replace=False)] = True
@@ -143,14 +144,12 @@ class Items:
                 self.classes[-1].append(m)
             else:
                 self.classes.append([m])
-        self.keys: dict[int, dict[tuple[int, int], list[int]]] = {}
+        #: By size: sorted keys of all repetitions (which never meet, as each is salted) and their items.
+        self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for m, own in self.by_size.items():
-            table: dict = defaultdict(list)
-            keys = walk_keys(np.stack([self.sequences[i] for i in own]), np.full(len(own), m), m)
-            for i, ks in zip(own, keys.tolist(), strict=True):
-                for r, k in enumerate(ks):
-                    table[r, k].append(i)
-            self.keys[m] = table
+            keys = walk_keys(np.stack([self.sequences[i] for i in own]), np.full(len(own), m), m).ravel()
+            order = np.argsort(keys, kind="stable")
+            self.keys[m] = keys[order], np.repeat(own, REPEATS)[order]
 
     def hits(self, pairs: np.ndarray) -> np.ndarray:
         """Which of the hashes are word pairs of an item."""
@@ -196,21 +195,28 @@ class Items:
                 own = self.pairs[m]
                 mine = mix(window[:, :-1] * constants(2, 31)[0] + window[:, 1:] * constants(2, 31)[1])
                 where = np.minimum(np.searchsorted(own, mine), len(own) - 1)
-                ok = (own[where] == mine).sum(axis=1) >= least_pairs(m)
+                known = (own[where] == mine).sum(axis=1)
+                # most pairs first: once an item is found unedited, its row's other windows needn't be compared
+                ok = np.flatnonzero(known >= least_pairs(m))
+                ok = ok[np.argsort(-known[ok], kind="stable")]
                 at, length, window = at[ok], length[ok], window[ok]
                 if not len(at):
                     continue
-                table = self.keys[m]
-                for i, keys in enumerate(walk_keys(window, length, m).tolist()):
+                sorted_keys, owners = self.keys[m]
+                keys = walk_keys(window, length, m).ravel()
+                low, high = np.searchsorted(sorted_keys, keys, "left"), np.searchsorted(sorted_keys, keys, "right")
+                span = high - low
+                met = np.repeat(low - np.cumsum(span) + span, span) + np.arange(span.sum())
+                candidates = np.unique(np.stack([np.repeat(np.arange(len(keys)) // REPEATS, span), owners[met]], axis=1), axis=0)
+                for i, item in candidates.tolist():
                     row, begin = int(row_of[at[i]]), int(at[i])
-                    for item in {x for r, k in enumerate(keys) for x in table.get((r, k), ())}:
-                        have = best.get((row, item))
-                        if have and have[0] == 0:
-                            continue
-                        text = hashes[begin : min(begin + m + allowed(m), int(stop_of[row]))].tolist()
-                        edits, used = edit_distance(self.sequences[item].tolist(), text, allowed(m))
-                        if edits <= allowed(m) and used and (have is None or (edits, begin) < have[:2]):
-                            best[row, item] = (edits, begin, used)
+                    have = best.get((row, item))
+                    if have and have[0] == 0:
+                        continue
+                    text = hashes[begin : min(begin + m + allowed(m), int(stop_of[row]))].tolist()
+                    edits, used = edit_distance(self.sequences[item].tolist(), text, allowed(m))
+                    if edits <= allowed(m) and used and (have is None or (edits, begin) < have[:2]):
+                        best[row, item] = (edits, begin, used)
         return [(row, item, int(starts[b] - offsets[row]), int(ends[b + used - 1] - offsets[row]), edits) for (row, item), (edits, b, used) in sorted(best.items())]
 
 

@@ -50,7 +50,7 @@ MIN_RATIO = 0.35
 class Markov:
     """First-order character chain with additive smoothing."""
 
-    def __init__(self, samples: Iterable[str], smooth: float = 0.2):
+    def __init__(self, samples: Iterable[str], smooth: float = 0.05):
         self.index = {c: i for i, c in enumerate(SYMBOLS)}
         n = len(SYMBOLS)
         counts = np.full((n + 1, n), smooth)  # row n: the first character
