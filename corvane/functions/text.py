@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}]+(?:[-'][\p{L}\p{N}]+)*"
 #: Line breaks: CR LF as one, and each of LF CR VT FF FS GS RS NEL LS PS.
-BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085  ]"
+BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085\u2028\u2029]"
 
 
 def fold(c: Column) -> Column:

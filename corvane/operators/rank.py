@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import constants as C
 from ..functions import text as X
@@ -43,7 +44,7 @@ def prefix_expanded(missing: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return hits.withColumn("sub", rank).where(F.col("sub") <= C.PREFIX_TERMS).select("query_id", "pos", F.col("term").alias("asked"), F.col("found").alias("term"), "sub")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio; few candidates reach it."""
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)

@@ -40,30 +40,33 @@ def asked(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
 TOPICS = [("q1", "the that with from"), ("q2", "und die für straße"), ("q3", "pour les avec une"), ("q4", "para con los src7")]
 PREFIXES = [("p1", "thei and"), ("p2", "ouquei zzzz")]
 PHRASES = [("f1", "of the"), ("f2", "de la")]
-FIGURES = ["query_id", "rank", "path", F.round("score", 6).alias("score")]
+
+
+def figures(ranked: DataFrame) -> DataFrame:
+    return ranked.select("query_id", "rank", "path", F.round("score", 6).alias("score"))
 
 
 # -- retrieval --------------------------------------------------------------
 @query(Q.ranked(TOPICS, limit=10))
 def bm25f_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = rank.Options(limit=10, prefix=False, phrase=False)
-    return rank.rank(asked(spark, TOPICS), R.corpus(spark, sf_dir), options).select(*FIGURES)
+    return figures(rank.rank(asked(spark, TOPICS), R.corpus(spark, sf_dir), options))
 
 
 @query(Q.ranked(TOPICS, limit=8, where="type IN ('src1','src2','src3') AND lang IN ('en','de') AND updated >= '2024-03-01'"))
 def bm25f_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = rank.Options(limit=8, prefix=False, phrase=False, types=("src1", "src2", "src3"), any_tags=("EN", "de"), since="2024-03-01")
-    return rank.rank(asked(spark, TOPICS), R.corpus(spark, sf_dir), options).select(*FIGURES)
+    return figures(rank.rank(asked(spark, TOPICS), R.corpus(spark, sf_dir), options))
 
 
 @query(Q.ranked(PREFIXES, limit=10, prefix=True))
 def bm25f_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.rank(asked(spark, PREFIXES), R.corpus(spark, sf_dir), rank.Options(limit=10, phrase=False)).select(*FIGURES)
+    return figures(rank.rank(asked(spark, PREFIXES), R.corpus(spark, sf_dir), rank.Options(limit=10, phrase=False)))
 
 
 @query(Q.ranked(PHRASES, limit=10, phrase=True))
 def bm25f_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.rank(asked(spark, PHRASES), R.corpus(spark, sf_dir), rank.Options(limit=10, prefix=False)).select(*FIGURES)
+    return figures(rank.rank(asked(spark, PHRASES), R.corpus(spark, sf_dir), rank.Options(limit=10, prefix=False)))
 
 
 @query(Q.EXCERPTS)
@@ -120,7 +123,7 @@ def fuzzy_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bm25f_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = rank.Options(limit=10, phrase=False, prefix=False, fuzzy=True)
-    return rank.rank(asked(spark, [("z1", "thention the")]), R.corpus(spark, sf_dir), options).select(*FIGURES)
+    return figures(rank.rank(asked(spark, [("z1", "thention the")]), R.corpus(spark, sf_dir), options))
 
 
 @query()
