@@ -15,7 +15,6 @@ code points, ends exclusive.
 from __future__ import annotations
 
 import hashlib
-import math
 import random
 import re
 from collections.abc import Iterable, Iterator
@@ -164,7 +163,7 @@ def scan(docs: DataFrame, model: SecretModel) -> DataFrame:
 
 def mask(text: str, spans: list[tuple[str, int, int]], put: str = "[secret]") -> str:
     """The text with each maximal run of spans replaced."""
-    out, at, until = [], 0, -1
+    out, at = [], 0
     for _, a, b in spans:
         if a >= at:
             out += [text[at:a], put]
