@@ -6,10 +6,11 @@ similarity of a candidate pair by counting equal positions and correcting for
 chance; pairs that pass are confirmed on the full shingle sets.
 
 Equal sets are one class and only its least document goes on. Within a bucket
-of a band not all pairs are made: in each round a bucket's members are
-compared with one pivot only, and documents that are linked already need no
-comparison. When few pairs of unlinked members are left, these are all made,
-so no bucket is cut short. Everything but counts stays in Spark.
+of a band not all pairs are made: first its members are compared with one pivot
+only. Documents found linked by then have one label and need no comparison;
+those outside a bucket's largest label are estimated against all others in
+blocks, and only pairs that may reach the threshold are made, so no bucket is
+cut short. Everything stays in Spark.
 
 Nulls and edge cases: a null or wordless text has an empty set and is linked
 with nothing; with fewer words than a shingle takes, the whole sequence is
@@ -36,23 +37,24 @@ WORDS = 5
 BANDS, ROWS = 40, 6
 MINIMA = BANDS * ROWS
 #: Low bits kept of each minimum.
-BITS = 2
+BITS = 4
 #: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Pairs whose estimate is below are not confirmed: six standard errors under the threshold.
-LEAST_ESTIMATE = 0.55
-#: Pairs per bucket row at which pivoting stops and all remaining pairs are made.
-FEW_PAIRS = 3.0
+#: Pairs whose estimate is below are not confirmed: four standard errors (0.029) under the threshold.
+LEAST_ESTIMATE = 0.633
+#: Documents on a side of a block of comparisons.
+BLOCK = 512
 
 SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
 
 
 def _packed(minima: np.ndarray) -> np.ndarray:
-    """BITS low bits of each minimum, four to a byte."""
+    """BITS low bits of each minimum, packed into bytes."""
     low = (minima & U((1 << BITS) - 1)).astype(np.uint8)
-    out = low[:, 0::4].copy()
-    for j in range(1, 4):
-        out |= low[:, j::4] << (BITS * j)
+    each = 8 // BITS
+    out = low[:, 0::each].copy()
+    for j in range(1, each):
+        out |= low[:, j::each] << (BITS * j)
     return out
 
 
@@ -120,48 +122,105 @@ def member_sets(docs: DataFrame, size: int = WORDS) -> DataFrame:
     return arrow(docs.select("doc_id", "text"), 1000).mapInArrow(run, "doc_id long, bits binary, items binary")
 
 
-def estimate(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """Similarity from packed low bits, corrected for chance equality."""
-    width = MINIMA * BITS // 8
-    x = np.frombuffer(b"".join(a.to_pylist()), np.uint8).reshape(-1, width)
-    x = x ^ np.frombuffer(b"".join(b.to_pylist()), np.uint8).reshape(-1, width)
-    same = np.zeros(len(x), np.int64)
+def _bits(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, MINIMA * BITS // 8)
+
+
+def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Similarity from packed low bits (last axis), corrected for chance equality."""
+    x = x ^ y
+    same = np.zeros(x.shape[:-1], np.int64)
     for j in range(8 // BITS):
-        same += (((x >> (BITS * j)) & ((1 << BITS) - 1)) == 0).sum(axis=1)
+        same += (((x >> (BITS * j)) & ((1 << BITS) - 1)) == 0).sum(axis=-1)
     chance = 1.0 / (1 << BITS)
     return (same / MINIMA - chance) / (1 - chance)
 
 
-def estimated(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose estimated similarity may reach the threshold."""
+def estimated(pairs: DataFrame, sets: DataFrame, least: float = LEAST_ESTIMATE) -> DataFrame:
+    """The pairs (a, b) whose estimated similarity is at least ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keep = pa.array(estimate(batch.column("x"), batch.column("y")) >= LEAST_ESTIMATE)
-                yield batch.select(["a", "b"]).filter(keep)
+                keep = estimate(_bits(batch.column("x")), _bits(batch.column("y"))) >= least
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    left = marks.select(F.col("doc_id").alias("a"), F.col("bits").alias("x"))
-    right = marks.select(F.col("doc_id").alias("b"), F.col("bits").alias("y"))
+    left = sets.select(F.col("doc_id").alias("a"), F.col("bits").alias("x"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("bits").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
+def left_over(grouped: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of a bucket with different labels that may reach the threshold.
+
+    In each bucket the documents outside its largest label meet all others, in
+    blocks of BLOCK by BLOCK; a pair is made in the first bucket it shares
+    only. One minus the similarity is a metric: where both documents'
+    similarities to the bucket's pivot are known (``share``), a pair whose
+    distances to it differ by more than the threshold allows can't be linked.
+    Of the others, those stay whose estimate may reach the threshold.
+    """
+    far = 1 - percent / 100 + 1e-9
+    per = grouped.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("m"), F.max("n").alias("top"), F.max_by("label", F.struct("n", "label")).alias("most")).where("m > top")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    per = per.select("key", "most", blocks(F.col("m") - F.col("top")).alias("nf"), blocks(F.col("m")).alias("na"))
+    rows = grouped.join(per, "key")
+    part = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    few = rows.where("label <> most").select("key", part(F.col("nf"), 1).alias("f"), every(F.col("na")).alias("a"), F.lit(0).alias("side"), "doc_id", "label", "share")
+    rest = rows.select("key", every(F.col("nf")).alias("f"), part(F.col("na"), 2).alias("a"), F.lit(1).alias("side"), "doc_id", "label", "share")
+    met = few.union(rest).join(sets.select("doc_id", "bits", "bands"), "doc_id")
+
+    def pairs_of(key: int, group: list) -> Iterator[pa.RecordBatch]:
+        sides = [[r for r in group if r[0] == s] for s in (0, 1)]
+        if not all(sides):
+            return
+        (ids, labels, share, bits, bands), (ids2, labels2, share2, bits2, bands2) = (
+            (np.array([r[1] for r in x]), np.array([r[2] for r in x]), np.array([np.nan if r[3] is None else r[3] for r in x]), np.frombuffer(b"".join(r[4] for r in x), np.uint8).reshape(len(x), -1), np.array([r[5] for r in x])) for x in sides
+        )
+        for i in range(len(ids)):
+            open_ = np.flatnonzero((labels2 != labels[i]) & ~(np.abs(share2 - share[i]) > far))
+            near = open_[estimate(bits[i], bits2[open_]) >= LEAST_ESTIMATE]
+            if len(near):
+                first = (bands2[near] == bands[i]).argmax(axis=1)
+                near = near[bands[i][first] == key]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids2[near])), pa.array(np.maximum(ids[i], ids2[near]))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group = None, []
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("key", "f", "a", "side", "doc_id", "label", "share", "bits", "bands")]
+            for key, f, a, *row in zip(*cols, strict=True):
+                if (key, f, a) != now:
+                    if group:
+                        yield from pairs_of(now[0], group)
+                    now, group = (key, f, a), []
+                group.append(row)
+        if group:
+            yield from pairs_of(now[0], group)
+
+    ordered = met.select("key", "f", "a", "side", "doc_id", "label", "share", "bits", "bands").repartition("key", "f", "a").sortWithinPartitions("key", "f", "a")
+    return arrow(ordered, 1000).mapInArrow(run, "a long, b long").distinct()
+
+
+def compared(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b, similarity on the full sets, and whether it reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            share, linked = [], []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            if keep:
-                yield batch.select(["a", "b"]).filter(pa.array(keep))
+                union = len(x) + len(y) - both
+                share.append(both / union)
+                linked.append(100 * both >= percent * union)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "share", "linked"])
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
-    return arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), 256).mapInArrow(run, "a long, b long")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return arrow(joined, 256).mapInArrow(run, "a long, b long, share double, linked boolean")
 
 
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -174,7 +233,7 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     near = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("doc_id"), F.least("a", "m").alias("near"))
     far = near.join(near.select(F.col("doc_id").alias("near"), F.col("near").alias("label")), "near", "left")
     label = far.select("doc_id", F.coalesce("label", "near").alias("label"))
-    return members.join(label, "doc_id", "left").select("doc_id", "key", F.coalesce("label", "doc_id").alias("label"))
+    return members.join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
 
 
 def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -188,38 +247,20 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     # a document repeated under one id counts once
     members = materialise(keys.join(shared, "key").distinct(), "members")
     ids = materialise(members.select("doc_id").distinct(), "member-ids")
-    sets = materialise(member_sets(only(docs.select("doc_id", "text"), ids, "doc_id"), size).dropDuplicates(["doc_id"]), "sets")
-    links = tried = None
-    grouped = members.withColumn("label", F.col("doc_id"))
-    turn, before = 0, None
-    while True:
-        # pairs left: of members of a bucket with different labels
-        last = False
-        if turn:
-            per = grouped.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("s"), F.count("*").alias("c")).where("c > 1")
-            per = materialise(per, "open-buckets")
-            state = per.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("m"), F.lit(0)).alias("rows")).first()
-            if not state["pairs"]:
-                break
-            last = state["pairs"] <= FEW_PAIRS * state["rows"] or (before is not None and state["pairs"] > 0.9 * before)
-            before = state["pairs"]
-            grouped = grouped.join(per.select("key"), "key", "left_semi")
-        if last:
-            left = grouped.select("key", F.col("doc_id").alias("a"), F.col("label").alias("la"))
-            right = grouped.select("key", F.col("doc_id").alias("b"), F.col("label").alias("lb"))
-            pairs = left.join(right, "key").where("la <> lb and a < b").select("a", "b")
-        else:
-            order = F.struct((F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id")).alias("o"), F.col("doc_id"), F.col("label"))
-            pivots = grouped.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.doc_id").alias("pivot"), F.col("p.label").alias("of"))
-            pairs = grouped.join(pivots, "key").where("label <> of").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b"))
-        pairs = pairs.distinct()
-        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs, "pairs")
-        found = materialise(confirmed(estimated(pairs, sets.select("doc_id", "bits")), sets.select("doc_id", "items"), percent), "found")
-        links = found if links is None else links.union(found)
-        tried = pairs if tried is None else tried.union(pairs)
-        if last:
-            break
-        grouped, turn = materialise(_labelled(members, links), "grouped"), turn + 1
+    sets = member_sets(only(docs.select("doc_id", "text"), ids, "doc_id"), size).dropDuplicates(["doc_id"])
+    bands = only(filled.select("doc_id", "bands"), ids, "doc_id").dropDuplicates(["doc_id"])
+    sets = materialise(sets.join(bands, "doc_id"), "sets")
+    # one pivot for each bucket
+    pivots = members.groupBy("key").agg(F.min("doc_id").alias("pivot"))
+    pairs = members.join(pivots, "key").where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    near = materialise(compared(estimated(pairs, sets), sets, percent), "pivots")
+    links = near.where("linked").select("a", "b")
+    # then what the pivots have left open
+    known = near.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), "share")
+    placed = members.join(pivots, "key").join(known, ["pivot", "doc_id"], "left")
+    placed = placed.select("key", "doc_id", F.when(F.col("doc_id") == F.col("pivot"), 1.0).otherwise(F.col("share")).alias("share"))
+    more = materialise(left_over(_labelled(placed, links), sets, percent), "pairs")
+    links = links.union(materialise(compared(more, sets, percent).where("linked").select("a", "b"), "found"))
     of_head = components(links).select(F.col("node").alias("head"), "component")
     per_class = classes.join(of_head, "head", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "head").alias("component_id"))
     out = marks.select("doc_id", "n_shingles", "d1", "d2").join(per_class, ["d1", "d2", "n_shingles"], "left")

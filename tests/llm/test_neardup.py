@@ -46,9 +46,9 @@ def corpus(seed):
     return docs
 
 
-@pytest.mark.parametrize("few", [neardup.FEW_PAIRS, 0.0])
-def test_equals_brute_force(spark, monkeypatch, few):
-    monkeypatch.setattr(neardup, "FEW_PAIRS", few)  # 0: pivots as long as they help
+@pytest.mark.parametrize("block", [neardup.BLOCK, 3])
+def test_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     docs = corpus(2)
     df = spark.createDataFrame([(d, t, 1, "k") for d, t in docs], "doc_id long, text string, d1 int, key string")
     rows = neardup.near_duplicates(df).collect()
