@@ -1,14 +1,11 @@
-"""Benchmark decontamination by CGK embedding and bit-sampling LSH.
+"""Benchmark decontamination by shared word pairs and exact edit distance.
 
 A benchmark item of m words is sought in windows of m words at every word of
-a document. CGK random walks embed windows and items so that few edits leave
-a small Hamming distance; repeated sampling of a few coordinates of the
-embedding gives keys, and a window that shares a key with an item is a
-candidate, whose edit distance over words is then computed exactly. A match
-has at most ``m * EDITS`` edits.
-
-Windows that share fewer word pairs with the items of their size than so many
-edits must leave intact can't match and aren't embedded; this loses nothing.
+a document. A match has at most ``m * EDITS`` edits; each edit spoils at most
+two of the item's m - 1 word pairs within the window that starts where the
+match does. So a window and an item that share fewer pairs than must be left
+can't match, and the edit distance over words of all others is computed. This
+loses nothing: neither step is random, and no place is left out.
 
 Words are runs of letters, digits and non-ASCII characters in lower case.
 
@@ -36,9 +33,8 @@ from .common import arrow, slices
 #: Share of an item's words that may be edited.
 EDITS = 0.25
 LEAST_WORDS = 5
-#: Repetitions, and coordinates sampled in each: a window at the limit of edits, with half of its
-#: embedding equal, shares a key with probability 0.986.
-REPEATS, SAMPLED = 32, 3
+#: Cells (window, pair, item) counted at once; bounds a worker's memory.
+CELLS = 1 << 22
 #: Bytes of items searched at once; more take further passes over the documents.
 ITEM_BYTES = 4 << 20
 
@@ -80,49 +76,38 @@ def least_pairs(m: int) -> int:
     return max(1, m - 1 - 2 * allowed(m))
 
 
-def walk_keys(sequences: np.ndarray, lengths: np.ndarray, m: int) -> np.ndarray:
-    """CGK walks over rows of word hashes; a key of sampled coordinates for each repetition."""
-    n = len(sequences)
-    rng = np.random.Generator(np.random.PCG64(1000 + m))
-    steps = max(SAMPLED, m)
-    wanted = np.zeros((REPEATS, steps), bool)
-    for r in range(REPEATS):
-        wanted[r, rng.choice(steps, SAMPLED, replace=False)] = True
-    turn = constants(REPEATS, 77)
-    coins = constants(steps, 78)
-    padded = np.concatenate([sequences, np.zeros((n, 1), U)], axis=1)
-    end = padded.shape[1] - 1
-    at = np.zeros((n, REPEATS), np.int64)
-    keys = np.zeros((n, REPEATS), U)
-    rows = np.arange(n)[:, None]
-    stop = lengths[:, None]
-    for j in range(int(np.flatnonzero(wanted.any(axis=0))[-1]) + 1):
-        now = padded[rows, np.where(at < stop, at, end)]
-        keys[:, wanted[:, j]] = mix(keys[:, wanted[:, j]] ^ (now[:, wanted[:, j]] + coins[j]))
-        at += (mix((now ^ turn) + coins[j]) >> U(63)).astype(np.int64)
-    return mix(keys + turn)
-
-
-def edit_distance(item: list[int], text: list[int], most: int) -> tuple[int, int]:
-    """Least edits turning ``item`` into a prefix of ``text``, and that prefix's length; most + 1 if more."""
-    big = most + 1
-    row = [j if j <= most else big for j in range(len(text) + 1)]
-    for i, x in enumerate(item, 1):
-        low, high = max(1, i - most), min(len(text), i + most)
-        new = [big] * (len(text) + 1)
-        if i <= most:
-            new[0] = i
-        for j in range(low, high + 1):
-            new[j] = min(row[j - 1] + (x != text[j - 1]), row[j] + 1, new[j - 1] + 1, big)
-        row = new
-        if min(row) >= big:
-            return big, 0
-    best = min(row)
-    return best, row.index(best)
+def edit_distances(items: np.ndarray, texts: np.ndarray, lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """By row, least edits turning the item into a prefix of its text of a length, and the shortest such prefix's
+    length; most + 1 and 0 if more. The texts have ``most`` words more than the items, as far as they reach."""
+    n, m = items.shape
+    band = np.arange(2 * most + 1)  # at item word i, prefixes of i - most + band words
+    big = 1 << 20
+    edits, used = np.full(n, most + 1), np.zeros(n, np.int64)
+    left = np.arange(n)
+    text = np.concatenate([np.zeros((n, most), U), texts], axis=1)
+    row = np.tile(np.where(band >= most, band - most, big).astype(np.int32), (n, 1))
+    for i in range(1, m + 1):
+        new = row + (text[:, i - 1 : i + 2 * most] != items[:, i - 1 : i])
+        if most:
+            np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
+            new[:, : max(0, most - i + 1)] = big
+            if i <= most:
+                new[:, most - i] = i
+        row = np.minimum.accumulate(new - band, axis=1) + band
+        if i % 8 == 0:
+            on = np.flatnonzero(row.min(axis=1) <= most)
+            if len(on) < len(left):
+                left, text, items, row = left[on], text[on], items[on], row[on]
+    row = np.where(m - most + band <= lengths[left][:, None], row, big)
+    at = row.argmin(axis=1) if len(row) else np.zeros(0, np.int64)
+    least = row[np.arange(len(row)), at]
+    good = least <= most
+    edits[left[good]], used[left[good]] = least[good], m - most + at[good]
+    return edits, used
 
 
 class Items:
-    """Hashed benchmark items with their pairs and keys by size."""
+    """Hashed benchmark items with their pairs by size."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         raw, offsets = text_bytes(pa.array([t for _, t in rows], pa.string()))
@@ -133,8 +118,14 @@ class Items:
         for i, s in enumerate(self.sequences):
             if len(s) >= LEAST_WORDS:
                 self.by_size[len(s)].append(i)
-        self.pairs = {m: np.unique(np.concatenate([pair_hashes(self.sequences[i]) for i in own])) for m, own in self.by_size.items()}
-        self.all_pairs = np.unique(np.concatenate([*self.pairs.values(), np.zeros(0, U)]))
+        #: By size: sorted pairs, each once for every item that has it, and the items' places in by_size.
+        self.pairs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for m, own in self.by_size.items():
+            each = [np.unique(pair_hashes(self.sequences[i])) for i in own]
+            pairs, owners = np.concatenate(each), np.repeat(np.arange(len(own)), [len(x) for x in each])
+            order = np.argsort(pairs, kind="stable")
+            self.pairs[m] = pairs[order], owners[order]
+        self.all_pairs = np.unique(np.concatenate([*(p for p, _ in self.pairs.values()), np.zeros(0, U)]))
         self.quick = np.zeros(1 << 22, bool)
         self.quick[(self.all_pairs & U((1 << 22) - 1)).astype(np.int64)] = True
         #: Size classes: windows of the largest size in one must have the pairs that the smallest needs.
@@ -144,12 +135,25 @@ class Items:
                 self.classes[-1].append(m)
             else:
                 self.classes.append([m])
-        #: By size: sorted keys of all repetitions (which never meet, as each is salted) and their items.
-        self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for m, own in self.by_size.items():
-            keys = walk_keys(np.stack([self.sequences[i] for i in own]), np.full(len(own), m), m).ravel()
-            order = np.argsort(keys, kind="stable")
-            self.keys[m] = keys[order], np.repeat(own, REPEATS)[order]
+
+    def sharing(self, m: int, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of each window whose pairs ``mine`` leave a match possible."""
+        pairs, owners = self.pairs[m]
+        own, need = self.by_size[m], least_pairs(m)
+        low, high = np.searchsorted(pairs, mine, "left"), np.searchsorted(pairs, mine, "right")
+        able = np.flatnonzero((high > low).sum(axis=1) >= need)
+        found = [(np.zeros(0, np.int64),) * 2]
+        step = max(1, CELLS // (m * len(own)))
+        for begin in range(0, len(able), step):
+            some = able[begin : begin + step]
+            start, span = low[some].ravel(), (high - low)[some].ravel()
+            met = np.repeat(start - np.cumsum(span) + span, span) + np.arange(span.sum())
+            window = np.repeat(np.arange(len(some) * (m - 1)) // (m - 1), span)
+            shared = np.bincount(window * len(own) + owners[met], minlength=len(some) * len(own))
+            cells = np.flatnonzero(shared >= need)
+            found.append((some[cells // len(own)], np.array(own)[cells % len(own)]))
+        window, item = (np.concatenate(x) for x in zip(*found, strict=True))
+        return window, item
 
     def hits(self, pairs: np.ndarray) -> np.ndarray:
         """Which of the hashes are word pairs of an item."""
@@ -192,31 +196,20 @@ class Items:
                     continue
                 index = np.minimum(at[:, None] + np.arange(m)[None, :], n - 1)
                 window = np.where(np.arange(m)[None, :] < length[:, None], hashes[index], U(0))
-                own = self.pairs[m]
                 mine = mix(window[:, :-1] * constants(2, 31)[0] + window[:, 1:] * constants(2, 31)[1])
-                where = np.minimum(np.searchsorted(own, mine), len(own) - 1)
-                known = (own[where] == mine).sum(axis=1)
-                # most pairs first: once an item is found unedited, its row's other windows needn't be compared
-                ok = np.flatnonzero(known >= least_pairs(m))
-                ok = ok[np.argsort(-known[ok], kind="stable")]
-                at, length, window = at[ok], length[ok], window[ok]
-                if not len(at):
-                    continue
-                sorted_keys, owners = self.keys[m]
-                keys = walk_keys(window, length, m).ravel()
-                low, high = np.searchsorted(sorted_keys, keys, "left"), np.searchsorted(sorted_keys, keys, "right")
-                span = high - low
-                met = np.repeat(low - np.cumsum(span) + span, span) + np.arange(span.sum())
-                candidates = np.unique(np.stack([np.repeat(np.arange(len(keys)) // REPEATS, span), owners[met]], axis=1), axis=0)
-                for i, item in candidates.tolist():
-                    row, begin = int(row_of[at[i]]), int(at[i])
-                    have = best.get((row, item))
-                    if have and have[0] == 0:
-                        continue
-                    text = hashes[begin : min(begin + m + allowed(m), int(stop_of[row]))].tolist()
-                    edits, used = edit_distance(self.sequences[item].tolist(), text, allowed(m))
-                    if edits <= allowed(m) and used and (have is None or (edits, begin) < have[:2]):
-                        best[row, item] = (edits, begin, used)
+                which, item_of = self.sharing(m, mine)
+                reach = m + allowed(m)
+                for part in range(0, len(which), max(1, CELLS // (8 * reach))):
+                    own = slice(part, part + max(1, CELLS // (8 * reach)))
+                    begins, owners = at[which[own]], item_of[own]
+                    text = hashes[np.minimum(begins[:, None] + np.arange(reach), n - 1)]
+                    wanted = self.by_size[m]
+                    items = np.stack([self.sequences[i] for i in wanted])[np.searchsorted(wanted, owners)]
+                    edits, used = edit_distances(items, text, stop_of[row_of[begins]] - begins, allowed(m))
+                    for i in np.flatnonzero(used).tolist():
+                        key, new = (int(row_of[begins[i]]), int(owners[i])), (int(edits[i]), int(begins[i]), int(used[i]))
+                        if key not in best or new[:2] < best[key][:2]:
+                            best[key] = new
         return [(row, item, int(starts[b] - offsets[row]), int(ends[b + used - 1] - offsets[row]), edits) for (row, item), (edits, b, used) in sorted(best.items())]
 
 

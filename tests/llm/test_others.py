@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corvane.llm import ann, chunks, decontaminate, langid, quality, urls
@@ -39,6 +40,55 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()} == {(i, i) for i in range(30)}
 
 
+def at_the_limit(item, kind, rng, fresh):
+    """The item's words with as many edits as are allowed, clustered or not."""
+    words, m = list(item), len(item)
+    k, half = decontaminate.allowed(m), max(m // 2, decontaminate.allowed(m) + 1)
+    if kind == "substituted":
+        for i in rng.sample(range(half), k):
+            words[i] = fresh()
+    elif kind == "opening":
+        words[:k] = [fresh() for _ in range(k)]
+    else:
+        for i in sorted(rng.sample(range(1, half + 1), k), reverse=True):
+            if kind == "inserted":
+                words.insert(i, fresh())
+            else:
+                del words[i]
+    return words
+
+
+@pytest.mark.parametrize("m", [7, 16, 40, 64])
+@pytest.mark.parametrize("kind", ["substituted", "opening", "inserted", "deleted"])
+def test_items_at_the_limit_of_edits_are_found_wherever_the_edits_are(m, kind):
+    rng = random.Random(m)
+    fresh = lambda: "".join(rng.choices("abcdefghijklmnop", k=9))
+    items = [[fresh() for _ in range(m)] for _ in range(40)]
+    filler = lambda: [fresh() for _ in range(20)]
+    texts = [" ".join(filler() + at_the_limit(x, kind, rng, fresh) + filler()) for x in items]
+    found = decontaminate.Items([(i, " ".join(x)) for i, x in enumerate(items)]).find(*decontaminate.text_bytes(pa.array(texts)))
+    assert {(row, item) for row, item, *_ in found} == {(i, i) for i in range(40)}
+    assert all(edits <= decontaminate.allowed(m) for *_, edits in found)
+
+
+def test_edit_distances_equal_a_full_table():
+    rng = random.Random(9)
+    for _ in range(400):
+        m = rng.randint(5, 20)
+        most = decontaminate.allowed(m)
+        item = [rng.randint(1, 3) for _ in range(m)]
+        text = [x if rng.random() < 0.8 else rng.randint(1, 3) for x in item] + [rng.randint(1, 3) for _ in range(most)]
+        length = rng.randint(m - most, m + most)
+        row = list(range(length + 1))
+        for i, x in enumerate(item, 1):
+            new = [i]
+            for j in range(1, length + 1):
+                new.append(min(row[j - 1] + (x != text[j - 1]), row[j] + 1, new[j - 1] + 1))
+            row = new
+        edits, used = decontaminate.edit_distances(np.array([item], np.uint64), np.array([text], np.uint64), np.array([length]), most)
+        assert (edits[0], used[0]) == ((min(row), row.index(min(row))) if min(row) <= most else (most + 1, 0))
+
+
 # -- chunks -----------------------------------------------------------------
 def test_chunks_rejoin_and_resist_shifts():
     rng = random.Random(2)
