@@ -128,7 +128,7 @@ class Items:
         self.all_pairs = np.unique(np.concatenate([*(p for p, _ in self.pairs.values()), np.zeros(0, U)]))
         self.quick = np.zeros(1 << 22, bool)
         self.quick[(self.all_pairs & U((1 << 22) - 1)).astype(np.int64)] = True
-        #: Size classes: windows of the largest size in one must have the pairs that the smallest needs.
+        #: Size classes: windows of the largest size in one must have the fewest pairs that any of them needs.
         self.classes: list[list[int]] = []
         for m in sorted(self.by_size):
             if self.classes and m <= 1.3 * self.classes[-1][0]:
@@ -181,7 +181,7 @@ class Items:
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for sizes in self.classes:
             high = min(sizes[-1], n)
-            need = least_pairs(sizes[0])
+            need = min(least_pairs(m) for m in sizes)
             near = np.flatnonzero(total[np.minimum(np.arange(n) + high - 1, n)] - total[:n] >= need) if high < n else np.flatnonzero(total[n] - total[:n] >= need)
             if not len(near):
                 continue

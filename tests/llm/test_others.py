@@ -71,6 +71,18 @@ def test_items_at_the_limit_of_edits_are_found_wherever_the_edits_are(m, kind):
     assert all(edits <= decontaminate.allowed(m) for *_, edits in found)
 
 
+@pytest.mark.parametrize("m", [8, 16, 48])
+def test_items_a_word_longer_than_others_are_found_at_the_limit(m):
+    rng = random.Random(m)
+    fresh = lambda: "".join(rng.choices("abcdefghijklmnop", k=9))
+    items = [[fresh() for _ in range(size)] for size in (m - 1, m)]
+    words = [fresh() if i % 2 and i <= m // 2 else x for i, x in enumerate(items[1])]
+    assert sum(a != b for a, b in zip(words, items[1], strict=True)) == decontaminate.allowed(m)
+    text = " ".join([fresh() for _ in range(20)] + words + [fresh() for _ in range(20)])
+    found = decontaminate.Items([(i, " ".join(x)) for i, x in enumerate(items)]).find(*decontaminate.text_bytes(pa.array([text])))
+    assert [(row, item, edits) for row, item, _, _, edits in found] == [(0, 1, m // 4)]
+
+
 def test_edit_distances_equal_a_full_table():
     rng = random.Random(9)
     for _ in range(400):
