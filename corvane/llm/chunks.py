@@ -4,7 +4,8 @@ A gear hash rolls over each text's bytes; where its value meets a mask, a
 chunk ends, so an insertion moves only the cuts near it. Chunks are known by a
 128-bit digest. Of each chunk that occurs more than once the first occurrence
 stays (least doc_id, then offset) and the others can go; runs of neighbouring
-repeated chunks count only from LEAST_RUN bytes on, so that short phrases stay.
+repeated chunks count only from LEAST_RUN bytes on, so that short phrases stay,
+or where they are a whole text, however short.
 
 Nulls and edge cases: a null or empty text has no chunks; rows with a null
 doc_id are left alone; a document repeated under one id counts as two; an
@@ -29,7 +30,7 @@ from .common import arrow, materialise, slices
 MASK = np.uint32(0x1F << 27)
 #: Least and most bytes of a chunk (a text's last one may be shorter).
 LEAST, MOST = 16, 1024
-#: Bytes of neighbouring repeated chunks from which they count.
+#: Bytes of neighbouring repeated chunks within a text from which they count.
 LEAST_RUN = 128
 
 GEAR = (constants(256, 91) >> np.uint64(32)).astype(np.uint32)
@@ -66,7 +67,7 @@ def cuts(raw: np.ndarray) -> list[int]:
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """A row for each chunk: doc_id, copy (rows of equal id), start, size, and the digest's halves."""
+    """A row for each chunk: doc_id, copy (rows of equal id), start, size, whether the text's last, and the digest's halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_intdigest
@@ -74,25 +75,26 @@ def chunk_table(docs: DataFrame) -> DataFrame:
             raw, offsets = text_bytes(batch.column("text"))
             data = raw.tobytes()
             ids, copies = batch.column("doc_id").to_pylist(), batch.column("copy").to_pylist()
-            doc, copy, start, size, high = [], [], [], [], []
+            doc, copy, start, size, ends, high = [], [], [], [], [], []
             for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                 last = 0
                 for end in cuts(raw[a:b]):
                     high.append(digest(data[a + last : a + end]).to_bytes(16, "little"))
                     start.append(last)
                     size.append(end - last)
+                    ends.append(end == b - a)
                     last = end
                 done = len(start) - len(doc)
                 doc += [ids[i]] * done
                 copy += [copies[i]] * done
             halves = np.frombuffer(b"".join(high), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(copy, pa.int64()), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())],
-                names=["doc_id", "copy", "start", "size", "d1", "d2"],
+                [pa.array(doc, pa.int64()), pa.array(copy, pa.int64()), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(ends, pa.bool_()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())],
+                names=["doc_id", "copy", "start", "size", "is_last", "d1", "d2"],
             )
 
     rows = docs.where("doc_id is not null").select("doc_id", F.monotonically_increasing_id().alias("copy"), "text")
-    return arrow(rows, 1000).mapInArrow(run, "doc_id long, copy long, start int, size int, d1 long, d2 long")
+    return arrow(rows, 1000).mapInArrow(run, "doc_id long, copy long, start int, size int, is_last boolean, d1 long, d2 long")
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
@@ -102,7 +104,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct("doc_id", "copy", "start")).alias("first")
     shared = chunks.groupBy("d1", "d2").agg(F.count("*").alias("n"), first).where("n > 1").drop("n")
     at = F.struct("doc_id", "copy", "start")
-    return chunks.join(shared, ["d1", "d2"]).select("doc_id", "copy", "start", "size", (F.col("first") == at).alias("is_first"))
+    return chunks.join(shared, ["d1", "d2"]).select("doc_id", "copy", "start", "size", "is_last", (F.col("first") == at).alias("is_first"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -124,7 +126,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                         runs[-1][2].append(c)
                     else:
                         runs.append([c["start"], c["start"] + c["size"], [c]])
-                runs = [r for r in runs if r[1] - r[0] >= LEAST_RUN]
+                runs = [r for r in runs if r[1] - r[0] >= LEAST_RUN or (r[0] == 0 and r[2][-1]["is_last"])]
                 gone: list[list[int]] = []
                 for _, _, own in runs:
                     for c in own:
@@ -141,7 +143,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 names = ["doc_id", "n_repeated", "bytes_repeated", "bytes_removed", "repeated", "removed"]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])], names=names)
 
-    own = repeated_chunks(docs).groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list(F.struct("start", "size", "is_first"))).alias("chunks"))
+    own = repeated_chunks(docs).groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list(F.struct("start", "size", "is_last", "is_first"))).alias("chunks"))
     return arrow(own, 500).mapInArrow(run, "doc_id long, n_repeated long, bytes_repeated long, bytes_removed long, repeated string, removed string")
 
 

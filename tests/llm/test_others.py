@@ -128,6 +128,22 @@ def test_repeated_passages_are_listed_and_first_stays(spark):
     assert chunks.without_spans("aéb", "0:2") == "éb"
 
 
+def test_short_documents_that_repeat_are_listed_and_short_phrases_are_not(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8)))
+    short, middle = "And therhean is the is esndha.", " ".join(word() for _ in range(18))[:110]
+    # the phrase's chunk ends where the texts do, so it repeats without being a whole text
+    phrase = "z" * chunks.MOST + "and so it ends here"
+    long = [("".join(rng.choices("abcdefgh ", k=40)) + "y" * chunks.MOST)[: chunks.MOST] + phrase[chunks.MOST :] for _ in range(2)]
+    docs = [(1, short), (2, short), (3, middle), (4, middle), (5, middle), (6, "only one of these"), (7, long[0]), (8, long[1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in chunks.repeated_spans(df).collect()}
+    assert {1, 2, 3, 4, 5} <= set(rows) and 6 not in rows
+    assert rows[1]["bytes_repeated"] == len(short) and rows[1]["removed"] == "" and rows[3]["removed"] == ""
+    assert all(chunks.without_spans(dict(docs)[i], rows[i]["removed"]) == "" for i in (2, 4, 5))
+    assert all("ends here" in chunks.without_spans(dict(docs)[i], rows[i]["removed"] if i in rows else "") for i in (7, 8))
+
+
 # -- language ---------------------------------------------------------------
 LANGS = {"aa": "lorem ipsum dolor sit amet consetetur sadipscing elitr", "bb": "wham kro zik vuut plonk grax yiff tweek", "cc": "ñandú öffnen übel größe straße können müssen"}
 
