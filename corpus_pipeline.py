@@ -16,26 +16,46 @@ from corvane.llm.queries import tokenizer_path
 ORACLE_SQL = None
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents but those with the given ids; rows without an id stay."""
-    gone = materialise(ids.where("doc_id is not null").distinct(), "dropped")
-    return only(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+#: A number for each row, by which stages drop: doc_id may be null or repeated.
+ROW = "row_name"
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """The documents with row names, written so that every use sees the same names."""
+    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "named")
+
+
+def by_row(rows: DataFrame) -> DataFrame:
+    """Row names as doc_id, and texts, for operators that answer by doc_id."""
+    return rows.select(F.col(ROW).alias("doc_id"), "text")
+
+
+def chosen(rows: DataFrame, names: DataFrame, how: str, columns: list[str]) -> DataFrame:
+    """The rows with the given names (left_semi), or all but those (left_anti)."""
+    return only(rows, materialise(names.distinct(), "names"), ROW, how).select(*columns)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without any language: no text, no letter, or no language fits."""
-    found = langid.identify(docs, langid.labelled_samples(docs))
-    return without(docs, found.where(F.col("lang_pred") == langid.UNKNOWN).select("doc_id"))
+    rows = named(docs)
+    found = langid.identify(by_row(rows), langid.labelled_samples(docs))
+    return chosen(rows, found.where(F.col("lang_pred") == langid.UNKNOWN).select(F.col("doc_id").alias(ROW)), "left_anti", docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the least document of each group of near duplicates."""
-    return without(docs, neardup.near_duplicates(docs).where("not kept").select("doc_id"))
+    """Keep the least document of each group of near duplicates; those without an id come last."""
+    rows = named(docs)
+    groups = neardup.near_duplicates(by_row(rows)).select(F.col("doc_id").alias(ROW), "component_id")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)
+    least = groups.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(rank).alias("least"))
+    return chosen(rows, least.select(F.col(f"least.{ROW}").alias(ROW)), "left_semi", docs.columns)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark passage."""
-    return without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    rows = named(docs)
+    found = decontaminate.contaminated(by_row(rows), table(spark, sf_dir, "benchmark"))
+    return chosen(rows, found.select(F.col("doc_id").alias(ROW)), "left_anti", docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

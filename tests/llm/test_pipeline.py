@@ -21,3 +21,19 @@ def test_stages_over_small_tables(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in out.collect()} == kept[3]
     assert decontaminate.contaminated(now, spark.read.parquet(f"{tmp_path}/benchmark.parquet")).count() == 0
+
+
+def test_stages_act_on_rows_with_null_and_repeated_ids(spark, tmp_path):
+    passage = "quick brown foxes jump over many lazy dogs while seven wise owls watch them from tall oaks"
+    text = lambda i: " ".join(f"u{i}v{j}" for j in range(60))
+    docs = [(i, text(i), "en", "s0", 9) for i in range(12)]
+    # no id: no language, a passage, a copy of row 3, twice the same; one id: twice the same, and two texts of which one has no language
+    docs += [(None, "12 34", "en", "s0", 5), (None, f"{text(20)} {passage}", "en", "s0", 9), (None, text(3), "en", "s0", 9)]
+    docs += [(None, text(21), "en", "s0", 9)] * 2 + [(30, text(30), "en", "s0", 9)] * 2 + [(31, text(31), "en", "s0", 9), (31, "56 78", "en", "s0", 5)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        now = stage(spark, now, str(tmp_path))
+    got = sorted(((r["doc_id"], r["text"]) for r in now.collect()), key=lambda x: x[1])
+    assert got == sorted([*((i, text(i)) for i in range(12)), (None, text(21)), (30, text(30)), (31, text(31))], key=lambda x: x[1])
