@@ -71,6 +71,17 @@ class Markov:
         return total
 
 
+def apart(begin: int, end: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the spans leave of begin:end."""
+    out = []
+    for a, b in sorted(spans):
+        if begin < b and a < end:
+            if begin < a:
+                out.append((begin, a))
+            begin = max(begin, b)
+    return [*out, (begin, end)] if begin < end else out
+
+
 class SecretModel:
     """Models of random strings by kind against one of ordinary identifiers."""
 
@@ -98,9 +109,9 @@ class SecretModel:
             found += [("hex", *m.span()) for m in HEX.finditer(text)]
             base = [(a, b) for _, a, b in found]
             for m in runs:
-                a, b = m.span()
-                if not any(x < b and a < y for x, y in base) and self.ratio(m[0]) >= self.min_ratio:
-                    found.append(("markov", a, b))
+                for a, b in apart(*m.span(), base):
+                    if RUN.fullmatch(text, a, b) and self.ratio(text[a:b]) >= self.min_ratio:
+                        found.append(("markov", a, b))
         return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
