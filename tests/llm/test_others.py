@@ -49,6 +49,10 @@ def at_the_limit(item, kind, rng, fresh):
             words[i] = fresh()
     elif kind == "opening":
         words[:k] = [fresh() for _ in range(k)]
+    elif kind in ("middle", "end"):
+        first = m // 4 if kind == "middle" else m - half
+        for i in rng.sample(range(first, min(m, first + half)), k):
+            words[i] = fresh()
     else:
         for i in sorted(rng.sample(range(1, half + 1), k), reverse=True):
             if kind == "inserted":
@@ -59,7 +63,7 @@ def at_the_limit(item, kind, rng, fresh):
 
 
 @pytest.mark.parametrize("m", [7, 16, 40, 64])
-@pytest.mark.parametrize("kind", ["substituted", "opening", "inserted", "deleted"])
+@pytest.mark.parametrize("kind", ["substituted", "opening", "middle", "end", "inserted", "deleted"])
 def test_items_at_the_limit_of_edits_are_found_wherever_the_edits_are(m, kind):
     rng = random.Random(m)
     fresh = lambda: "".join(rng.choices("abcdefghijklmnop", k=9))
@@ -83,6 +87,47 @@ def test_items_a_word_longer_than_others_are_found_at_the_limit(m):
     assert [(row, item, edits) for row, item, _, _, edits in found] == [(0, 1, m // 4)]
 
 
+def test_mixed_sizes_equal_a_search_of_every_place():
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(60)]
+    word = lambda: rng.choice(vocabulary) if rng.random() < 0.4 else f"r{rng.randrange(10**6)}"
+    items = [[word() for _ in range(m)] for m in range(5, 61)]
+    texts = []
+    for _ in range(60):
+        words = [word() for _ in range(rng.randint(0, 15))]
+        for x in rng.sample(items, 2):
+            part = list(x)
+            for _ in range(rng.randint(0, len(x) // 3)):
+                i = rng.randrange(len(part))
+                part[i : i + rng.randint(0, 1)] = rng.choice(([], [word()], [word()]))
+            words += part + [word() for _ in range(rng.randint(0, 5))]
+        texts.append(words)
+    truth = set()
+    for row, text in enumerate(texts):
+        for i, x in enumerate(items):
+            column = list(range(len(x) + 1))
+            for t in text:
+                new = [0]
+                for j, w in enumerate(x, 1):
+                    new.append(min(column[j - 1] + (w != t), column[j] + 1, new[j - 1] + 1))
+                column = new
+                if column[-1] <= decontaminate.allowed(len(x)):
+                    truth.add((row, i))
+    found = decontaminate.Items([(i, " ".join(x)) for i, x in enumerate(items)]).find(*decontaminate.text_bytes(pa.array([" ".join(t) for t in texts])))
+    assert {(row, item) for row, item, *_ in found} == truth and len(truth) > 80
+
+
+def test_repeated_rows_long_texts_and_other_columns_of_the_same_names(spark):
+    rng = random.Random(13)
+    item = " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+    long = " ".join(f"x{rng.randrange(10**4)}" for _ in range(300_000)) + " " + item
+    rows = [(1, long, 7, 8), (2, item, 7, 8), (2, item, 7, 8), (None, item, 7, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, item_id long, edits int")
+    bench = spark.createDataFrame([(5, item, 1), (6, item.upper(), 1)], "item_id long, text string, doc_id long")
+    got = sorted((str(r["doc_id"]), r["item_id"], r["edits"]) for r in decontaminate.contaminated(df, bench).collect())
+    assert got == sorted([(d, i, 0) for d in ("1", "2", "2", "None") for i in (5, 6)])
+
+
 def test_edit_distances_equal_a_full_table():
     rng = random.Random(9)
     for _ in range(400):
