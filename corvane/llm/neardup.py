@@ -5,18 +5,20 @@ minima choose candidates; the low bits of all minima, packed, estimate the
 similarity of a candidate pair by counting equal positions and correcting for
 chance; pairs that pass are confirmed on the full shingle sets.
 
-Equal sets are one class and only its least document goes on. Within a bucket
-of a band not all pairs are made: first its members are compared with one pivot
-only. Documents found linked by then have one label and need no comparison;
-those outside a bucket's largest label are estimated against all others in
-blocks, and only pairs that may reach the threshold are made, so no bucket is
-cut short. Everything stays in Spark.
+Equal sets are one node. Within a bucket of a band not all pairs are made.
+First its nodes are compared with one pivot; nodes known to be linked have one
+label and need no comparison. While that helps, those outside a bucket's
+largest label are compared with a few pivots within it, which costs a row for
+each. What is then still apart meets in blocks, where full sets confirm a pair
+at once and labels merge, so a block gives fewer links than it has labels. No
+bucket is cut short, and everything stays in Spark.
 
 Nulls and edge cases: a null or wordless text has an empty set and is linked
 with nothing; with fewer words than a shingle takes, the whole sequence is
-the only shingle; a null doc_id has no component and is kept; rows with equal
-doc_id are each returned; an empty table gives an empty result; other columns
-are ignored.
+the only shingle; a null doc_id has no component and is kept; rows that share
+a doc_id are each returned with their own set's size, but are one document in
+the links: what either text is linked with belongs to one component; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import U, constants, mix, shingles, text_bytes
-from .common import arrow, materialise, only, slices
+from .common import materialise, only, slices
 from .components import components
 
 WORDS = 5
@@ -42,8 +44,12 @@ BITS = 4
 PERCENT = 75
 #: Pairs whose estimate is below are not confirmed: four standard errors (0.029) under the threshold.
 LEAST_ESTIMATE = 0.633
-#: Documents on a side of a block of comparisons.
-BLOCK = 512
+#: Nodes, and bytes of their sets, on a side of a block of comparisons.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
+#: Further pivots of a bucket in a round; another round follows while at most this share of nodes stays apart.
+PIVOTS, WORTH = 8, 0.75
+#: What names a shingle set.
+SET = ["d1", "d2", "n_shingles"]
 
 SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
 
@@ -82,6 +88,15 @@ def _minima(sets: np.ndarray, first: np.ndarray, factors: np.ndarray) -> tuple[n
     return minima, full
 
 
+def _digests(sets: np.ndarray, first: np.ndarray, full: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Both halves of each set's digest, zeros for empty ones."""
+    out = np.zeros((2, len(first) - 1), U)
+    if len(full):
+        for half, salt in zip(out, (U(0), constants(1, 6)[0]), strict=True):
+            half[full] = np.add.reduceat(mix(sets ^ salt), first[:-1][full])
+    return _signed(out[0]), _signed(out[1])
+
+
 def signatures(docs: DataFrame, size: int = WORDS) -> DataFrame:
     """Set size, set digest and band keys of each document."""
     factors = constants(MINIMA, 5)
@@ -93,33 +108,28 @@ def signatures(docs: DataFrame, size: int = WORDS) -> DataFrame:
             sets, first = distinct_sets(*text_bytes(batch.column("text")), size)
             count = np.diff(first)
             minima, full = _minima(sets, first, factors)
-            starts = first[:-1][full]
-            d1, d2 = np.zeros(len(count), U), np.zeros(len(count), U)
-            if len(full):
-                d1[full] = np.add.reduceat(mix(sets), starts)
-                d2[full] = np.add.reduceat(mix(sets ^ salt[0]), starts)
             keys = mix((minima.reshape(len(count), BANDS, ROWS) * step).sum(axis=2, dtype=U) + salt)
             flat = _signed(keys[count > 0].ravel())
             offs = np.zeros(len(count) + 1, np.int32)
             np.cumsum(np.where(count > 0, BANDS, 0), out=offs[1:])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count), _signed(d1), _signed(d2), pa.ListArray.from_arrays(pa.array(offs), flat)], names=["doc_id", "n_shingles", "d1", "d2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count), *_digests(sets, first, full), pa.ListArray.from_arrays(pa.array(offs), flat)], names=["doc_id", "n_shingles", "d1", "d2", "bands"])
 
-    return arrow(docs.select("doc_id", "text"), 1000).mapInArrow(run, SIGNATURE)
+    return docs.select("doc_id", "text").mapInArrow(run, SIGNATURE)
 
 
 def member_sets(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """doc_id, its packed low bits, and its shingle set as sorted 64-bit hashes."""
+    """Set digest and size, packed low bits, and the shingle set as sorted 64-bit hashes."""
     factors = constants(MINIMA, 5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets, first = distinct_sets(*text_bytes(batch.column("text")), size)
-            minima, _ = _minima(sets, first, factors)
+            minima, full = _minima(sets, first, factors)
             own = [sets[first[i] : first[i + 1]].tobytes() for i in range(len(first) - 1)]
             bits = [b.tobytes() for b in _packed(minima)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bits, pa.binary()), pa.array(own, pa.binary())], names=["doc_id", "bits", "items"])
+            yield pa.RecordBatch.from_arrays([*_digests(sets, first, full), pa.array(np.diff(first)), pa.array(bits, pa.binary()), pa.array(own, pa.binary())], names=["d1", "d2", "n_shingles", "bits", "items"])
 
-    return arrow(docs.select("doc_id", "text"), 1000).mapInArrow(run, "doc_id long, bits binary, items binary")
+    return docs.select("text").mapInArrow(run, "d1 long, d2 long, n_shingles long, bits binary, items binary")
 
 
 def _bits(column: pa.Array) -> np.ndarray:
@@ -136,6 +146,12 @@ def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (same / MINIMA - chance) / (1 - chance)
 
 
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def estimated(pairs: DataFrame, sets: DataFrame, least: float = LEAST_ESTIMATE) -> DataFrame:
     """The pairs (a, b) whose estimated similarity is at least ``least``."""
 
@@ -145,124 +161,171 @@ def estimated(pairs: DataFrame, sets: DataFrame, least: float = LEAST_ESTIMATE)
                 keep = estimate(_bits(batch.column("x")), _bits(batch.column("y"))) >= least
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("bits").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("bits").alias("y"))
+    left = sets.select(F.col("node").alias("a"), F.col("bits").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("bits").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def left_over(grouped: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of a bucket with different labels that may reach the threshold.
-
-    In each bucket the documents outside its largest label meet all others, in
-    blocks of BLOCK by BLOCK; a pair is made in the first bucket it shares
-    only. One minus the similarity is a metric: where both documents'
-    similarities to the bucket's pivot are known (``share``), a pair whose
-    distances to it differ by more than the threshold allows can't be linked.
-    Of the others, those stay whose estimate may reach the threshold.
-    """
-    far = 1 - percent / 100 + 1e-9
-    per = grouped.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("m"), F.max("n").alias("top"), F.max_by("label", F.struct("n", "label")).alias("most")).where("m > top")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    per = per.select("key", "most", blocks(F.col("m") - F.col("top")).alias("nf"), blocks(F.col("m")).alias("na"))
-    rows = grouped.join(per, "key")
-    part = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    few = rows.where("label <> most").select("key", part(F.col("nf"), 1).alias("f"), every(F.col("na")).alias("a"), F.lit(0).alias("side"), "doc_id", "label", "share")
-    rest = rows.select("key", every(F.col("nf")).alias("f"), part(F.col("na"), 2).alias("a"), F.lit(1).alias("side"), "doc_id", "label", "share")
-    met = few.union(rest).join(sets.select("doc_id", "bits", "bands"), "doc_id")
-
-    def pairs_of(key: int, group: list) -> Iterator[pa.RecordBatch]:
-        sides = [[r for r in group if r[0] == s] for s in (0, 1)]
-        if not all(sides):
-            return
-        (ids, labels, share, bits, bands), (ids2, labels2, share2, bits2, bands2) = (
-            (np.array([r[1] for r in x]), np.array([r[2] for r in x]), np.array([np.nan if r[3] is None else r[3] for r in x]), np.frombuffer(b"".join(r[4] for r in x), np.uint8).reshape(len(x), -1), np.array([r[5] for r in x])) for x in sides
-        )
-        for i in range(len(ids)):
-            open_ = np.flatnonzero((labels2 != labels[i]) & ~(np.abs(share2 - share[i]) > far))
-            near = open_[estimate(bits[i], bits2[open_]) >= LEAST_ESTIMATE]
-            if len(near):
-                first = (bands2[near] == bands[i]).argmax(axis=1)
-                near = near[bands[i][first] == key]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids2[near])), pa.array(np.maximum(ids[i], ids2[near]))], names=["a", "b"])
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group = None, []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("key", "f", "a", "side", "doc_id", "label", "share", "bits", "bands")]
-            for key, f, a, *row in zip(*cols, strict=True):
-                if (key, f, a) != now:
-                    if group:
-                        yield from pairs_of(now[0], group)
-                    now, group = (key, f, a), []
-                group.append(row)
-        if group:
-            yield from pairs_of(now[0], group)
+            keep = [linked(np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U), percent) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ordered = met.select("key", "f", "a", "side", "doc_id", "label", "share", "bits", "bands").repartition("key", "f", "a").sortWithinPartitions("key", "f", "a")
-    return arrow(ordered, 1000).mapInArrow(run, "a long, b long").distinct()
+    left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def compared(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a, b, similarity on the full sets, and whether it reaches the threshold."""
+def block_links(key: int, sides: list[pa.Table], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links between the labels of two sides of a block: enough to join every label that a pair of the block joins.
+
+    A pair counts only in the first bucket it shares.
+    """
+    if not all(s.num_rows for s in sides):
+        return []
+    (ids, size, bits, bands, items), (ids2, size2, bits2, bands2, items2) = (
+        (s["node"].to_numpy(), s["n_shingles"].to_numpy(), _bits(s["bits"]), np.array(s["bands"].to_pylist()), s["items"]) for s in sides
+    )
+    _, codes = np.unique(np.concatenate([s["label"].to_numpy() for s in sides]), return_inverse=True)
+    mine, theirs = codes[: len(ids)], codes[len(ids) :]
+    out = []
+    for i in range(len(ids)):
+        small, large = np.minimum(size[i], size2), np.maximum(size[i], size2)
+        near = np.flatnonzero((theirs != mine[i]) & (100 * small >= percent * large))
+        share = estimate(bits[i], bits2[near])
+        near, share = near[share >= LEAST_ESTIMATE], share[share >= LEAST_ESTIMATE]
+        if not len(near):
+            continue
+        first = (bands2[near] == bands[i]).argmax(axis=1)
+        ok = bands[i][first] == key
+        x = np.frombuffer(items[i].as_py(), U)
+        for j in near[ok][np.argsort(-share[ok], kind="stable")].tolist():
+            if theirs[j] != mine[i] and linked(x, np.frombuffer(items2[j].as_py(), U), percent):
+                out.append((int(ids[i]), int(ids2[j])))
+                old, new = theirs[j], mine[i]
+                mine[mine == old] = new
+                theirs[theirs == old] = new
+    return out
+
+
+def left_over(grouped: DataFrame, apart: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) that join what is still apart within buckets.
+
+    ``grouped`` is (key, node, label), ``apart`` the buckets with several
+    labels. In each, the nodes outside its largest label meet all others, in
+    blocks of at most about BLOCK by BLOCK nodes and BLOCK_BYTES a side.
+    """
+    sized = grouped.join(apart, "key").join(sets.select("node", F.octet_length("items").alias("w")), "node")
+    sized = materialise(sized, "apart-members")
+    few_ = F.col("label") != F.col("most")
+    blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / BLOCK_BYTES)).cast("int")
+    per = sized.groupBy("key").agg(F.count("*").alias("m"), F.sum("w").alias("w"), F.sum(few_.cast("int")).alias("fm"), F.sum(F.when(few_, F.col("w"))).alias("fw"))
+    per = materialise(per.select("key", blocks(F.col("fm"), F.col("fw")).alias("nf"), blocks(F.col("m"), F.col("w")).alias("na")), "blocks")
+    rows = sized.select("key", "node", "label", "most").join(per, "key")
+    part = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    few = rows.where(few_).select("key", part(F.col("nf"), 1).alias("f"), every(F.col("na")).alias("a"), F.lit(0).alias("side"), "node", "label")
+    rest = rows.select("key", every(F.col("nf")).alias("f"), part(F.col("na"), 2).alias("a"), F.lit(1).alias("side"), "node", "label")
+    met = few.union(rest).join(sets.select("node", "n_shingles", "bits", "bands", "items"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            group = pa.Table.from_batches(held)
+            side = group["side"].to_numpy()
+            found = block_links(now[0], [group.filter(pa.array(side == s)) for s in (0, 1)], percent)
+            if found:
+                a, b = (np.array(x, np.int64) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
         for batch in batches:
-            share, linked = [], []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                union = len(x) + len(y) - both
-                share.append(both / union)
-                linked.append(100 * both >= percent * union)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "share", "linked"])
-
-    left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return arrow(joined, 256).mapInArrow(run, "a long, b long, share double, linked boolean")
-
-
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members with a label that documents known to be linked may share: the least document one or two links away.
-
-    Documents of one label are linked; linked documents may have different
-    labels, which costs comparisons but no links.
-    """
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("doc_id"), F.least("a", "m").alias("near"))
-    far = near.join(near.select(F.col("doc_id").alias("near"), F.col("near").alias("label")), "near", "left")
-    label = far.select("doc_id", F.coalesce("label", "near").alias("label"))
-    return members.join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+            if not batch.num_rows:
+                continue
+            key, f, a = (batch.column(c).to_numpy() for c in ("key", "f", "a"))
+            edge = np.flatnonzero((key[1:] != key[:-1]) | (f[1:] != f[:-1]) | (a[1:] != a[:-1])) + 1
+            for begin, end in zip([0, *edge.tolist()], [*edge.tolist(), batch.num_rows], strict=True):
+                own = (int(key[begin]), int(f[begin]), int(a[begin]))
+                if own != now:
+                    if held:
+                        yield from flush()
+                    now, held = own, []
+                held.append(batch.slice(begin, end - begin))
+        if held:
+            yield from flush()
+
+    ordered = met.select("key", "f", "a", "side", "node", "label", "n_shingles", "bits", "bands", "items").repartition("key", "f", "a").sortWithinPartitions("key", "f", "a")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
+def with_labels(members: DataFrame, stars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, node, label), and the buckets that hold several labels with the most frequent one."""
+    label = stars.select("node", F.col("component").alias("label"))
+    grouped = materialise(members.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "labelled")
+    per = grouped.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key")
+    per = per.agg(F.sum("n").alias("m"), F.max("n").alias("top"), F.max_by("label", "n").alias("most")).where("m > top")
+    return grouped, materialise(per.select("key", "m", "most"), "apart")
+
+
+def pivot_pairs(grouped: DataFrame, apart: DataFrame, turn: int) -> DataFrame:
+    """Each node outside its bucket's largest label with PIVOTS nodes within it, in the largest of its buckets only."""
+    seed = lambda i: F.xxhash64("node", F.lit(turn * PIVOTS + i))
+    rows = grouped.join(apart, "key")
+    chosen = rows.where("label = most").groupBy("key").agg(*(F.min_by("node", seed(i)).alias(f"p{i}") for i in range(PIVOTS)))
+    chosen = materialise(chosen.select("key", F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("pivots")), "chosen")
+    few = rows.where("label <> most").groupBy("node").agg(F.max_by("key", "m").alias("key"))
+    pairs = few.join(chosen, "key").select("node", F.explode("pivots").alias("pivot"))
+    return pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+
+
+def same_ids(filled: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the nodes of rows that share a doc_id."""
+    several = filled.groupBy("doc_id").agg(*(f("d1").alias(f"{n}1") for f, n in ((F.min, "a"), (F.max, "b"))), *(f("d2").alias(f"{n}2") for f, n in ((F.min, "a"), (F.max, "b"))))
+    several = materialise(several.where("a1 <> b1 or a2 <> b2").select("doc_id"), "repeated-ids")
+    held = materialise(only(filled.select("doc_id", *SET), several, "doc_id").distinct().join(classes.select(*SET, "node"), SET).select("doc_id", "node"), "repeated-nodes")
+    least = held.groupBy("doc_id").agg(F.min("node").alias("b"))
+    return held.join(least, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
 
 
 def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each document."""
     marks = materialise(signatures(docs, size), "signatures")
     filled = marks.where("n_shingles > 0 and doc_id is not null")
-    classes = materialise(filled.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("head")), "classes")
-    heads = classes.select(F.col("head").alias("doc_id"))
-    keys = filled.select("doc_id", F.explode("bands").alias("key")).join(heads, "doc_id", "left_semi")
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
-    # a document repeated under one id counts once
-    members = materialise(keys.join(shared, "key").distinct(), "members")
-    ids = materialise(members.select("doc_id").distinct(), "member-ids")
-    sets = member_sets(only(docs.select("doc_id", "text"), ids, "doc_id"), size).dropDuplicates(["doc_id"])
-    bands = only(filled.select("doc_id", "bands"), ids, "doc_id").dropDuplicates(["doc_id"])
-    sets = materialise(sets.join(bands, "doc_id"), "sets")
+    classes = filled.groupBy(*SET).agg(F.min("doc_id").alias("head"), F.first("bands").alias("bands"))
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    keys = classes.select("node", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("high")).where("pivot < high")
+    shared = materialise(shared.select("key", "pivot"), "buckets")
+    members = materialise(keys.join(shared, "key").select("key", "node", "pivot"), "members")
+    wanted = materialise(classes.join(members.select("node").distinct(), "node", "left_semi"), "wanted")
+    ids = materialise(wanted.select(F.col("head").alias("doc_id")).distinct(), "member-ids")
+    sets = member_sets(only(docs.select("doc_id", "text"), ids, "doc_id"), size)
+    sets = materialise(sets.join(wanted.select(*SET, "node", "bands"), SET).dropDuplicates(["node"]), "sets")
     # one pivot for each bucket
-    pivots = members.groupBy("key").agg(F.min("doc_id").alias("pivot"))
-    pairs = members.join(pivots, "key").where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    near = materialise(compared(estimated(pairs, sets), sets, percent), "pivots")
-    links = near.where("linked").select("a", "b")
-    # then what the pivots have left open
-    known = near.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), "share")
-    placed = members.join(pivots, "key").join(known, ["pivot", "doc_id"], "left")
-    placed = placed.select("key", "doc_id", F.when(F.col("doc_id") == F.col("pivot"), 1.0).otherwise(F.col("share")).alias("share"))
-    more = materialise(left_over(_labelled(placed, links), sets, percent), "pairs")
-    links = links.union(materialise(compared(more, sets, percent).where("linked").select("a", "b"), "found"))
-    of_head = components(links).select(F.col("node").alias("head"), "component")
-    per_class = classes.join(of_head, "head", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "head").alias("component_id"))
-    out = marks.select("doc_id", "n_shingles", "d1", "d2").join(per_class, ["d1", "d2", "n_shingles"], "left")
+    pairs = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    links = same_ids(filled, classes).union(confirmed(estimated(pairs, sets), sets, percent))
+    stars = components(links)
+    # then more pivots, as long as they join a good part of what is apart
+    turn, before = 0, None
+    while True:
+        grouped, apart = with_labels(members, stars)
+        few = grouped.join(apart, "key").where("label <> most").agg(F.count_distinct("node")).first()[0]
+        if not few or (before is not None and few > WORTH * before):
+            break
+        turn, before = turn + 1, few
+        found = confirmed(estimated(pivot_pairs(grouped, apart, turn), sets), sets, percent)
+        stars = components(found.union(stars.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    if few:
+        found = left_over(grouped, apart, sets, percent)
+        stars = components(found.union(stars.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    # the least doc_id of each component, for all its classes
+    heads = stars.join(classes.select("node", *SET, "head"), "node")
+    least = heads.groupBy("component").agg(F.min("head").alias("component_id"))
+    placed = materialise(heads.join(least, "component").select(*SET, "component_id"), "placed")
+    per_class = classes.select(*SET, "head").join(placed, SET, "left").select(*SET, F.coalesce("component_id", "head").alias("component_id"))
+    out = marks.select("doc_id", *SET).join(per_class, SET, "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
