@@ -2,15 +2,17 @@
 
 For each language a suffix automaton is built of a bounded sample of labelled
 text. A document is parsed against each automaton into longest matches; the
-language that needs the fewest phrases per byte wins. The parse of many text
-segments runs in step, one vector operation per position.
+language that needs the fewest normalised phrases wins: per byte of the text,
+and times the bits that name a place in the language's sample, as matches grow
+with a sample. The parse of many text segments runs in step, one vector
+operation per position.
 
 Nulls and edge cases: a null text, an empty one, or one without any letter is
 ``und`` with score 0; a null doc_id is kept and is not held out; rows whose
 lang is null are predicted but never learned from; ties go to the language
-that sorts first; repeated rows give repeated results; without any labelled
-text all is ``und``; other columns are ignored. Whole texts are parsed, in
-segments of SEGMENT bytes.
+that sorts first; repeated rows give repeated results, and count once in a
+sample; without any labelled text all is ``und``; other columns are ignored.
+Whole texts are parsed, in segments of SEGMENT bytes, and learned from.
 """
 
 from __future__ import annotations
@@ -24,11 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import text_bytes
-from .common import arrow, slices
+from .common import slices
 
 SEGMENT = 256
-#: Labelled documents per language, bytes taken of each, and bytes per language at most.
-SAMPLE_DOCS, SAMPLE_DOC_BYTES, SAMPLE_BYTES = 64, 1024, 24_000
+#: Labelled documents per language, and bytes of them all, at most; only documents of up to SAMPLE_DOC_BYTES are
+#: learned from, always as a whole, unless a language has none so short: then its shortest one is.
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_DOC_BYTES = 64, 24_000, 4096
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -115,6 +118,8 @@ class LanguageModel:
         classes[seen] = np.arange(2, len(seen) + 2)
         self.classes = classes
         self.automata = [Automaton(s, classes, len(seen) + 2) for s in plain]
+        #: Bits that name a place in each sample.
+        self.bits = np.log2([len(s) + 1.0 for s in plain])
 
     def rates(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases per byte, a row for each text and a column for each language."""
@@ -141,13 +146,14 @@ class LanguageModel:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.inf)
         rates = self.rates(*text_bytes(column))
         letters = np.array([t is not None and bool(LETTER.search(t)) for t in texts], bool)
-        order = np.argsort(rates, axis=1, kind="stable")
+        cost = rates * self.bits
+        order = np.argsort(cost, axis=1, kind="stable")
         rows = np.arange(len(texts))
-        best = rates[rows, order[:, 0]]
-        next_ = rates[rows, order[:, 1]] if len(self.automata) > 1 else np.full(len(texts), np.inf)
+        best = cost[rows, order[:, 0]]
+        next_ = cost[rows, order[:, 1]] if len(self.automata) > 1 else np.full(len(texts), np.inf)
         with np.errstate(invalid="ignore"):
             score = np.where(letters, 1 - best / (best + next_), 0.0) if len(self.automata) > 1 else letters.astype(float)
-        return [self.languages[order[i, 0]] if letters[i] else UNKNOWN for i in range(len(texts))], np.nan_to_num(score), best
+        return [self.languages[order[i, 0]] if letters[i] else UNKNOWN for i in range(len(texts))], np.nan_to_num(score), rates[rows, order[:, 0]]
 
 
 def held_out() -> F.Column:
@@ -158,18 +164,27 @@ def labelled_samples(docs: DataFrame) -> dict[str, bytes]:
     """Bounded labelled text per language from documents that are not held out.
 
     Of each language, the document of least hash in each of SAMPLE_DOCS hash
-    buckets; the bounds are the constants above.
+    buckets, in the order of hashes as far as whole documents fit; the bounds
+    are the constants above.
     """
-    train = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    h = F.xxhash64("doc_id")
-    picks = train.groupBy("lang", F.pmod(h, F.lit(SAMPLE_DOCS)).alias("b")).agg(F.min(F.struct(h.alias("h"), "doc_id")).alias("m"))
-    ids = [r["id"] for r in picks.select(F.col("m.doc_id").alias("id")).collect()]
-    rows = train.where(F.col("doc_id").isin(ids) & F.col("text").isNotNull()).select("lang", h.alias("h"), F.encode(F.substring("text", 1, SAMPLE_DOC_BYTES), "UTF-8").alias("t"))
+    size, h = F.octet_length("text"), F.xxhash64("doc_id", "text")
+    train = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (size > 0))
+    short = F.when(size <= SAMPLE_DOC_BYTES, 0).otherwise(size)
+    bucket = F.when(size <= SAMPLE_DOC_BYTES, F.pmod(h, F.lit(SAMPLE_DOCS))).otherwise(SAMPLE_DOCS)
+    # names first: texts are fetched for the chosen ones only
+    picks = train.groupBy("lang", bucket.alias("b")).agg(F.min(F.struct(short.alias("size"), h.alias("h"))).alias("m"))
+    chosen: dict[str, set[int]] = {}
+    for r in sorted(picks.collect(), key=lambda r: r["b"]):
+        if r["b"] < SAMPLE_DOCS or r["lang"] not in chosen:
+            chosen.setdefault(r["lang"], set()).add(r["m"]["h"])
+    names = {x for own in chosen.values() for x in own}
+    rows = train.where(h.isin(sorted(names))).select("lang", h.alias("h"), F.encode("text", "UTF-8").alias("t")).distinct().collect()
     out: dict[str, bytes] = {}
-    for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["h"], bytes(r["t"]))):
-        have = out.get(r["lang"], b"")
-        if len(have) < SAMPLE_BYTES:
-            out[r["lang"]] = have + bytes(r["t"])[: SAMPLE_BYTES - len(have)] + b" "
+    for r in sorted(rows, key=lambda r: (r["lang"], r["h"], bytes(r["t"]))):
+        if r["h"] in chosen[r["lang"]]:
+            have = out.get(r["lang"], b"")
+            if not have or len(have) + len(r["t"]) < SAMPLE_BYTES:
+                out[r["lang"]] = have + bytes(r["t"]) + b" "
     return out
 
 
@@ -200,4 +215,4 @@ def identify(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
             )
 
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
-    return arrow(rows, 1000).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, phrase_rate double")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, phrase_rate double")
