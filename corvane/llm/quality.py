@@ -30,15 +30,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import U, text_bytes
-from .common import arrow, materialise, only, slices
+from .common import materialise, only, slices
 from .decontaminate import tokens
 
 #: Documents in the samples at most.
 LABELLED, UNLABELLED = 4000, 4000
 #: Words kept as features, and labelled documents that must hold one.
 VOCABULARY, LEAST_DOCS = 1500, 6
-#: Rounds of co-training, pseudo-labels a view gives per round, and how sure it must be.
-ROUNDS, GIVEN, SURE = 4, 300, 0.97
+#: Rounds of co-training, pseudo-labels a view gives per round (by the classes' shares), and how sure it must be:
+#: a view that tells nothing has every document at its class's share, so the odds must also rise by LIFT.
+ROUNDS, GIVEN, SURE, LIFT = 4, 300, 0.8, 3.0
+#: Least chi-square of a word with a label.
+TELLING = 25
 METADATA = 1 << 12
 
 #: Kinds of bytes whose shares are features.
@@ -117,39 +120,57 @@ class View:
         return row, np.concatenate([*own, np.zeros(0, np.int64)]).astype(np.int64), self.dense[index]
 
 
+def _surest(p: np.ndarray, share: float, n: int) -> np.ndarray:
+    """Places of the n greatest probabilities of a class, as far as they are over SURE and odds LIFT times those of its share."""
+    best = np.argsort(-p, kind="stable")[:n]
+    p = p[best]
+    return best[(p >= SURE) & (p * (1 - share) >= LIFT * share * (1 - p))]
+
+
 class CoTrained:
-    """Two views of one label, co-trained, calibrated and combined."""
+    """Two views of one label, co-trained, calibrated and combined.
+
+    Of the labelled documents three fifths train, a fifth calibrates each view,
+    and a fifth weighs the views against each other. ``sizes`` holds the views'
+    numbers of training documents by round.
+    """
 
     def __init__(self, views: list[View], slots: list[int], labels: np.ndarray):
         known = np.flatnonzero(labels >= 0)
         y = labels[known].astype(float)
-        self.models = None
+        self.models, self.sizes = None, []
         self.prior = float(y.mean()) if len(y) else 0.5
         if len(y) < 20 or y.min() == y.max():
             return
-        apart = np.arange(len(known)) % 4 == 3  # for calibration
-        train, check = known[~apart], known[apart]
-        if len(set(labels[train])) < 2 or len(set(labels[check])) < 2:
+        part = np.arange(len(known)) % 5
+        train, check, weigh = known[part < 3], known[part == 3], known[part == 4]
+        if any(len(set(labels[x])) < 2 for x in (train, check, weigh)):
             return
-        pool = np.flatnonzero(labels < 0)
-        guess = [dict(zip(train.tolist(), labels[train].tolist(), strict=True)) for _ in views]
+        # what each view may learn from, and of which documents it has no label yet
+        held = [dict(zip(train.tolist(), labels[train].tolist(), strict=True)) for _ in views]
+        pool = [np.flatnonzero(labels < 0) for _ in views]
+        share = labels[train].mean()
+        quota = [max(1, round(GIVEN * (1 - share))), max(1, round(GIVEN * share))]
         for turn in range(ROUNDS + 1):
             models = []
-            for v, s, g in zip(views, slots, guess, strict=True):
+            for v, s, g in zip(views, slots, held, strict=True):
                 at = np.fromiter(g, np.int64, len(g))
                 models.append(Logistic(s).fit(*v.take(at), np.fromiter(g.values(), float, len(g))))
             scaled = [_stack(m.logit(*v.take(check))[:, None], labels[check].astype(float)) for m, v in zip(models, views, strict=True)]
-            if turn == ROUNDS or not len(pool):
+            self.sizes.append([len(g) for g in held])
+            if turn == ROUNDS:
                 break
+            gifts = []
             for i, (m, v, w) in enumerate(zip(models, views, scaled, strict=True)):
-                p = 1 / (1 + np.exp(-np.clip(m.logit(*v.take(pool)) * w[0] + w[1], -30, 30)))
-                sure = np.argsort(-np.abs(p - 0.5), kind="stable")[:GIVEN]
-                other = guess[1 - i]
-                for j in sure[(p[sure] >= SURE) | (p[sure] <= 1 - SURE)]:
-                    other.setdefault(int(pool[j]), int(p[j] >= 0.5))
+                open_ = pool[1 - i]  # the other view's
+                p = 1 / (1 + np.exp(-np.clip(m.logit(*v.take(open_)) * w[0] + w[1], -30, 30)))
+                gifts.append({int(open_[j]): label for label, n in enumerate(quota) for j in _surest(p if label else 1 - p, share if label else 1 - share, n)})
+            for i, gift in enumerate(gifts):
+                held[1 - i] |= gift
+                pool[1 - i] = pool[1 - i][~np.isin(pool[1 - i], list(gift))]
         self.models = models
-        logits = np.stack([m.logit(*v.take(check)) * w[0] + w[1] for m, v, w in zip(models, views, scaled, strict=True)], axis=1)
-        self.scaled, self.weights = scaled, _stack(logits, labels[check].astype(float))
+        logits = np.stack([m.logit(*v.take(weigh)) * w[0] + w[1] for m, v, w in zip(models, views, scaled, strict=True)], axis=1)
+        self.scaled, self.weights = scaled, _stack(logits, labels[weigh].astype(float))
 
     def p(self, features: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
         if self.models is None:
@@ -173,7 +194,7 @@ class QualityModel:
             targets[label] = y
             # the words whose presence tells most, without the documents kept apart
             known = np.flatnonzero(y >= 0)
-            known = known[np.arange(len(known)) % 4 != 3]
+            known = known[np.arange(len(known)) % 5 < 3]
             if len(known):
                 all_words = np.concatenate([words[i] for i in known])
                 of = np.repeat(y[known], [len(words[i]) for i in known])
@@ -183,7 +204,7 @@ class QualityModel:
                 chi = (ones - n * share) ** 2 / np.maximum(n * share * (1 - share), 1e-9)
                 chi[n < LEAST_DOCS] = -1
                 best = np.argsort(-chi, kind="stable")[:VOCABULARY]
-                chosen.append(unique[best[chi[best] > 6]])
+                chosen.append(unique[best[chi[best] > TELLING]])
         self.vocabulary = np.unique(np.concatenate([*chosen, np.zeros(0, U)]))
         own = [self.slots(w) for w in words]
         views = [View(own, dense), View([np.array(metadata_slots(r["source"], r["lang"], r["n_chars"])) for r in rows], np.zeros((len(rows), 1)))]
@@ -228,7 +249,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame) -> list[dict]:
                 names=["doc_id", "source", "lang", "n_chars", "dense", "words"],
             )
 
-    rows = arrow(chosen, 1000).mapInArrow(run, "doc_id long, source string, lang string, n_chars long, dense array<double>, words binary")
+    rows = chosen.mapInArrow(run, "doc_id long, source string, lang string, n_chars long, dense array<double>, words binary")
     out = [r.asDict() for r in rows.collect()]  # bounded by the sample
     label = {r["doc_id"]: r for r in only(known, few, "doc_id").collect()}
     seen: dict = {}
@@ -251,4 +272,4 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x) for x in (score, good, bad, keep))], names=["doc_id", "score", "p_quality", "p_toxic", "keep"])
 
     rows = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
-    return arrow(rows, 1000).mapInArrow(run, "doc_id long, score double, p_quality double, p_toxic double, keep boolean")
+    return rows.mapInArrow(run, "doc_id long, score double, p_quality double, p_toxic double, keep boolean")
