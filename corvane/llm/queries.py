@@ -57,9 +57,7 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    rules = urls.Rules()
-    return urls.judge(pages, rules, urls.UrlModel(urls.labelled_by_rules(pages, rules)))
+    return urls.judge(table(spark, sf_dir, "pages"), urls.Rules(), urls.UrlModel(urls.labelled_urls()))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -3,7 +3,10 @@
 Rules decide where one fits (its host or a subdomain, the url's path starting
 with the rule's; the longest rule wins). All other urls are judged by a
 logistic regression on hashed character n-grams of host and path, trained
-from a small labelled table of urls.
+from a small labelled table of urls. The table is independent of the rules:
+:func:`labelled_urls` makes it from names of ordinary and of unwanted sites,
+with top-level domains, languages and paths dealt out alike to both, so that
+these tell nothing.
 
 Nulls and edge cases: a null url, or one without ``://``, has an empty host
 and path and no rule, and the model judges the empty strings; a null page_id
@@ -13,6 +16,7 @@ other columns are ignored. Without labelled urls the model allows all.
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -22,12 +26,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Labelled urls used at most.
-SAMPLE_URLS = 2000
+#: Names of the sites in the labelled table, and urls for each.
+ORDINARY = """
+    library museum university college school academy science journal gazette tribune herald chronicle weather
+    garden recipes kitchen bakery travel railway airport harbour theatre orchestra gallery archive history
+    football cycling hiking climbing chess knitting carpentry bicycle hospital clinic pharmacy-council dentist
+    parliament council ministry city-hall police fire-brigade statistics census python-docs linux-wiki compiler
+    database algorithms mathematics physics chemistry biology astronomy geology economics philosophy literature
+    poetry novels dictionary encyclopedia translation grammar radio television podcast newsletter photography
+    painting architecture engineering farming fishing forestry beekeeping wildlife ocean mountain village
+    thornton nations blessing shining station standing
+""".split()
+UNWANTED = """
+    casino online-casino casino-bonus royal-casinos poker poker-room slots free-slots jackpot roulette betting
+    free-bet bets-now sportsbets bookmaker win-big winbig winners-win lottery-win pills cheap-pill diet-pills
+    viagra cialis cheap-meds cheapmeds no-prescription payday-loan fast-loans easy-loan free-money getrich
+    get-rich-quick crypto-doubler porn free-porn xxx xxx-videos sex-cams adult-cams hot-girls escorts nude-pics
+    warez cracks keygen serial-crack torrent-free free-download-crack replica-watches fake-watches cheap-replica
+    click-here popup-ads ads ad-server track-ads adult spam spam-links link-farm malware phishing-login free-iphone free-prize prize-win miracle-cure
+""".split()
+URLS_EACH = 5
 DIMENSIONS = 1 << 14
+#: Share of wanted urls assumed in training.
+PRIOR = 0.6
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPLIT = re.compile(r"([^/?#]*)([^?#]*)", re.DOTALL)
 
@@ -83,7 +106,8 @@ class UrlModel:
         row = np.repeat(np.arange(len(rows)), [len(c) for c in cols])
         col = np.concatenate(cols)
         value = np.repeat([1 / np.sqrt(max(len(c), 1)) for c in cols], [len(c) for c in cols])
-        each = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+        # most urls are wanted: what tells nothing is allowed
+        each = np.where(y == 1, PRIOR / y.sum(), (1 - PRIOR) / (1 - y).sum())
         for _ in range(rounds):
             z = np.bincount(row, self.weights[col] * value, len(rows)) + self.bias
             error = (y - 1 / (1 + np.exp(-z))) * each
@@ -95,14 +119,17 @@ class UrlModel:
         return float(1 / (1 + np.exp(-(self.weights[f].sum() / np.sqrt(max(len(f), 1)) + self.bias))))
 
 
-def labelled_by_rules(pages: DataFrame, rules: Rules, limit: int = SAMPLE_URLS) -> list[tuple[str, str]]:
-    """A small labelled table: urls that rules decide, from at most ``limit`` urls of least hash."""
-    h = F.xxhash64("url")
-    some = pages.where("url is not null").groupBy(F.pmod(h, F.lit(limit)).alias("b")).agg(F.min(F.struct(h.alias("h"), "url")).alias("m"))
+def labelled_urls(seed: int = 17) -> list[tuple[str, str]]:
+    """The small labelled table: (url, allow or block), URLS_EACH for each name."""
+    rng = random.Random(seed)
     out = []
-    for r in some.select("m.url").collect():
-        if got := rules.match(*parts(r["url"])):
-            out.append((r["url"], got[1]))
+    for verdict, names in (("allow", ORDINARY), ("block", UNWANTED)):
+        for name in names:
+            for _ in range(URLS_EACH):
+                host = rng.choice(("", "www.", "m.", "blog.", "news.", "shop.")) + name + rng.choice(("", ".example", "-site", "24")) + rng.choice((".com", ".org", ".net", ".info", ".co.uk"))
+                page = rng.choice(("", "index", "about", "page", "item")) + str(rng.randint(1, 9999))
+                path = rng.choice(("/", "/en/", "/de/", "/fr/", "/es/")) + page + rng.choice(("", "/", ".html"))
+                out.append((f"{rng.choice(('http', 'https'))}://{host}{path}", verdict))
     return out
 
 
@@ -123,4 +150,4 @@ def judge(pages: DataFrame, rules: Rules, model: UrlModel) -> DataFrame:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in cols[:4]), pa.array(cols[4], pa.float64())], names=["page_id", "host", "path", "rule", "verdict", "p_allow"])
 
-    return arrow(pages.select("page_id", "url"), 2000).mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, p_allow double")
+    return pages.select("page_id", "url").mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, p_allow double")

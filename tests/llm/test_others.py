@@ -208,6 +208,32 @@ def test_language_held_out_accuracy_and_edges(spark):
     assert {r["lang_pred"] for r in langid.identify(df, {}).collect()} == {"und"}
 
 
+def test_language_samples_are_whole_documents_within_the_bounds(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 400)
+    monkeypatch.setattr(langid, "SAMPLE_DOC_BYTES", 120)
+    words = lambda k, n: " ".join(f"{k}{j}" for j in range(n))
+    docs = [(i, f"start{i} {words('a', i % 25)} end{i}", "aa") for i in range(60)] + [(i, words("b", 200 + i), "bb") for i in range(100, 106)] + [(i, None, "cc") for i in range(200, 220)]
+    df = spark.createDataFrame(docs * 2, "doc_id long, text string, lang string")
+    got = langid.labelled_samples(df)
+    assert set(got) == {"aa", "bb"} and 200 < len(got["aa"]) <= 401
+    texts = {t for _, t, k in docs if k == "aa" and len(t) <= 120}
+    rest = got["aa"].decode()
+    for t in sorted(texts, key=len, reverse=True):
+        rest = rest.replace(t + " ", "", 1)
+    assert rest == ""
+    # none of bb is short: its shortest that is not held out, as a whole
+    held = {r["doc_id"] for r in df.where(langid.held_out()).collect()}
+    assert got["bb"].decode() == min((t for d, t, k in docs if k == "bb" and d not in held), key=len) + " "
+
+
+def test_language_ties_repeated_rows_and_clashing_columns(spark):
+    same = "one and the same words in both of these"
+    df = spark.createDataFrame([(i, same, "ab"[i % 2], 1.0, "q") for i in range(30)] * 2, "doc_id long, text string, lang string, score double, lang_pred string")
+    rows = langid.identify(df, langid.labelled_samples(df)).collect()
+    assert len(rows) == 60 and len({(r["lang_pred"], r["score"]) for r in rows}) == 1
+    assert {(r["lang_pred"], r["score"]) for r in langid.identify(df, {"b": same.encode(), "a": same.encode()}).collect()} == {("a", 0.5)}
+
+
 def test_phrases_equal_a_greedy_parse():
     rng = random.Random(6)
     for _ in range(20):
@@ -246,15 +272,32 @@ def test_url_parts_and_rules(url, host, path, rule):
     assert (got[0] if got else None) == rule
 
 
-def test_url_model_learns_and_query_handles_nulls(spark):
-    pages = [(i, f"https://s{i}.example.{'org' if i % 2 else 'com'}/{'fr' if i % 2 else 'de'}/{i}") for i in range(80)] + [(None, None), (90, ""), (91, "x")]
-    df = spark.createDataFrame([(*p, "r") for p in pages], "page_id long, url string, rule string")
-    rules = urls.Rules()
-    model = urls.UrlModel(urls.labelled_by_rules(df, rules))
-    assert model.p("zz.example.org", "/fr/1") > 0.5 > model.p("zz.example.com", "/de/1")
-    rows = urls.judge(df, rules, model).collect()
+def test_url_model_judges_urls_that_no_rule_decides(spark):
+    spam, fine = ("mega-casino.example.com", "m.cheap-pills.example.net", "free-bets.example.org"), ("blog.stonehand.example.com", "www.redford.example.net", "m.lighting.example.info")
+    pages = [(i, f"https://{h}/{lang}/{i}.html") for i, (h, lang) in enumerate((h, lang) for h in spam + fine for lang in ("en", "de", "es"))]
+    pages += [(None, None), (None, None), (90, ""), (91, "x"), (92, "http://" + "a" * 100_000), (93, "http://x.casino.example.org/fr/"), (93, "http://x.casino.example.org/fr/")]
+    df = spark.createDataFrame([(*p, "r", "h") for p in pages], "page_id long, url string, rule string, host string")
+    model = urls.UrlModel(urls.labelled_urls())
+    rows = urls.judge(df, urls.Rules([("allow", "x.casino.example.org/fr/")]), model).collect()
     assert len(rows) == len(pages) and all(r["verdict"] in ("allow", "block") for r in rows)
-    assert urls.judge(df.limit(0), rules, urls.UrlModel([])).count() == 0
+    assert all((r["verdict"] == "block") == (r["host"] in spam) for r in rows if r["host"] in spam + fine)
+    assert [(r["rule"], r["verdict"]) for r in rows if r["page_id"] == 93] == [("x.casino.example.org/fr/", "allow")] * 2
+    assert [r["verdict"] for r in rows if not r["host"]] == ["allow"] * 4
+    assert urls.judge(df.limit(0), urls.Rules(), urls.UrlModel([])).count() == 0
+
+
+def test_url_model_on_names_it_has_not_seen():
+    """Held out by name: few ordinary sites are blocked, and more unwanted than ordinary ones."""
+    table = urls.labelled_urls()
+    names = [n for n in urls.ORDINARY + urls.UNWANTED for _ in range(urls.URLS_EACH)]
+    blocked = {"allow": 0, "block": 0}
+    for fold in range(5):
+        out = set([*urls.ORDINARY, *urls.UNWANTED][fold::5])
+        model = urls.UrlModel([row for row, n in zip(table, names, strict=True) if n not in out])
+        for (url, verdict), n in zip(table, names, strict=True):
+            blocked[verdict] += n in out and model.p(*urls.parts(url)) < 0.5
+    shares = {v: blocked[v] / sum(x == v for _, x in table) for v in blocked}
+    assert shares["allow"] < 0.1 and shares["block"] > 2.5 * shares["allow"]
 
 
 # -- vectors ----------------------------------------------------------------
@@ -312,3 +355,47 @@ def test_quality_learns_and_scores_all(spark):
     none = quality.QualityModel(quality.sample_rows(df, lab.limit(0)))
     assert {r["p_quality"] for r in quality.score_quality(df, none).collect()} == {0.5}
     assert quality.score_quality(df.limit(0), none).count() == 0
+
+
+def test_both_views_learn_from_each_other_where_both_tell_something():
+    """Either view has documents of which only it is sure; what it gives leaves the other's pool."""
+    rng = np.random.default_rng(8)
+    n = 3000
+    y = rng.integers(0, 2, n)
+    labels = np.where(np.arange(n) < 200, y, -1)
+    views, truth = [], []
+    for _ in range(2):
+        sure = rng.random(n) < 0.5
+        slot = np.where(sure, 2 * rng.integers(0, 4, n) + y, 8 + rng.integers(0, 8, n))
+        views.append(quality.View([np.array([x]) for x in slot], np.zeros((n, 1))))
+        truth.append(sure)
+    model = quality.CoTrained(views, [16, 16], labels)
+    assert len(model.sizes) == quality.ROUNDS + 1
+    assert all(a[v] < b[v] for a, b in zip(model.sizes[:3], model.sizes[1:3], strict=False) for v in (0, 1))
+    test = np.arange(200, n)
+    p = model.p([v.take(test) for v in views])
+    told = (truth[0] | truth[1])[test]
+    assert ((p >= 0.5) == y[test])[told].mean() > 0.97
+
+
+def test_a_view_that_tells_nothing_gives_nothing():
+    rng = np.random.default_rng(9)
+    n = 2000
+    y = (rng.random(n) < 0.1).astype(int)
+    labels = np.where(np.arange(n) < 600, y, -1)
+    good = quality.View([np.array([x]) for x in y], np.zeros((n, 1)))
+    noise = quality.View([np.array([x]) for x in rng.integers(0, 6, n)], np.zeros((n, 1)))
+    model = quality.CoTrained([good, noise], [2, 6], labels)
+    assert [a for a, _ in model.sizes] == [360] * 5 and model.sizes[-1][1] > 1000
+
+
+def test_quality_of_repeated_rows_long_texts_and_clashing_columns(spark):
+    docs = [(i % 40, ("good words here " if i % 2 else "BAD!! ") * (1 + i % 7), "en", "s", 9) for i in range(80)] + [(77, "good words here " * 200_000, "en", "s", 9)]
+    df = spark.createDataFrame([(*d, 0.5, True) for d in docs], "doc_id long, text string, lang string, source string, n_chars long, score double, keep boolean")
+    lab = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] * 2, "doc_id long, quality int, toxic int")
+    rows = quality.score_quality(df, quality.QualityModel(quality.sample_rows(df, lab))).collect()
+    assert len(rows) == 81 and all(r["score"] is not None and 0 <= r["score"] <= 1 for r in rows)
+    same = {}
+    for r in rows:
+        same.setdefault(r["doc_id"], set()).add(r["p_toxic"])
+    assert all(v == {0.0} for v in same.values())
