@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesops import U, constants, mix
-from .common import arrow, materialise
+from .common import materialise
 
 #: Tables; rows of the sample; share of a query's nearest vectors to be found there.
 TABLES, SAMPLE, TARGET = 3, 8192, 0.96
@@ -132,7 +132,7 @@ def clean(vectors: DataFrame) -> DataFrame:
             v = [(np.array(r, np.float64) + 0.0).tobytes() for r in batch.column("x").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(v, pa.binary())], names=["vec_id", "v"])
 
-    return arrow(one, 2000).mapInArrow(run, "vec_id long, v binary")
+    return one.mapInArrow(run, "vec_id long, v binary")
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
@@ -187,7 +187,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
                 offs = pa.array((np.arange(len(keys) + 1) * keys.shape[1]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column("class"), pa.ListArray.from_arrays(offs, pa.array(keys.ravel().view(np.int64)))], names=["class", "keys"])
 
-    index = arrow(classes.select("class", "v"), 2000).mapInArrow(entries, "class long, v binary, keys array<long>")
+    index = classes.select("class", "v").mapInArrow(entries, "class long, v binary, keys array<long>")
     index = index.select("class", "v", F.explode("keys").alias("key"))
     full = materialise(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "full-buckets")
     asked = classes.where("asked").select("class", "v")
@@ -199,7 +199,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     part = F.pmod(F.xxhash64("key", "block"), F.lit(parts)).cast("int")
     index = index.join(full, "key", "left").withColumn("block", block).withColumn("part", part)
     index = index.select("part", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), "key", "class", "v")
-    wanted = arrow(asked, 500).mapInArrow(probes, "class long, keys array<long>").select("class", F.explode("keys").alias("key"))
+    wanted = asked.mapInArrow(probes, "class long, keys array<long>").select("class", F.explode("keys").alias("key"))
     wanted = wanted.join(full, "key", "left").select("class", "key", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", one) - 1)).alias("block"))
     wanted = wanted.withColumn("part", part).groupBy("part", "class").agg(F.collect_set("key").alias("keys"))
     wanted = wanted.join(asked, "class").withColumn("share", F.pmod(F.xxhash64("class", F.lit(2)), F.lit(shares)).cast("int"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import constants, text_bytes
-from .common import arrow, materialise, slices
+from .common import materialise, slices
 
 #: A cut where these bits of the hash are zero: every 32 bytes on average.
 MASK = np.uint32(0x1F << 27)
@@ -94,7 +94,7 @@ def chunk_table(docs: DataFrame) -> DataFrame:
             )
 
     rows = docs.where("doc_id is not null").select("doc_id", F.monotonically_increasing_id().alias("copy"), "text")
-    return arrow(rows, 1000).mapInArrow(run, "doc_id long, copy long, start int, size int, is_last boolean, d1 long, d2 long")
+    return rows.mapInArrow(run, "doc_id long, copy long, start int, size int, is_last boolean, d1 long, d2 long")
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])], names=names)
 
     own = repeated_chunks(docs).groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list(F.struct("start", "size", "is_last", "is_first"))).alias("chunks"))
-    return arrow(own, 500).mapInArrow(run, "doc_id long, n_repeated long, bytes_repeated long, bytes_removed long, repeated string, removed string")
+    return own.mapInArrow(run, "doc_id long, n_repeated long, bytes_repeated long, bytes_removed long, repeated string, removed string")
 
 
 def without_spans(text: str, removed: str) -> str:

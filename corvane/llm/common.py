@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes handled at once by the vectorised kernels; bounds a worker's memory.
+#: Text bytes handled at once by the vectorised kernels; bounds a worker's memory (Spark bounds Arrow batches by bytes).
 SLICE_BYTES = 1 << 20
 #: Ids that may be broadcast (8 bytes each on the wire, about 40 MB as a hash table).
 BROADCAST_IDS = 400_000
@@ -21,9 +21,11 @@ CLEANUP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled",)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set."""
+    """The cluster's shared checkpoint folder; a temporary one only in local mode where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), f"corvane-{os.getuid()}")
     return base.rstrip("/")
 
@@ -88,9 +90,3 @@ def slices(
             total += size
         yield batch.slice(at, n - at)
 
-
-def arrow(df: DataFrame, rows: int = 2000) -> DataFrame:
-    """Keep Arrow batches small, since texts may be long."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df

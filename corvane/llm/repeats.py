@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import U, mix, prefix, span_hash, text_bytes
-from .common import arrow, drop_table, materialise, slices
+from .common import drop_table, materialise, slices
 
 LENGTH = 200
 #: Bytes of an anchor.
@@ -171,7 +171,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
             own = pa.ListArray.from_arrays(pa.array(split.astype(np.int32)), pa.array(hashes.view(np.int64)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("r1", "r2", "doc_id")), pa.array(np.diff(offsets)), pa.array(sha, pa.string()), own], names=["r1", "r2", "doc_id", "n_bytes", "sha", "anchors"])
 
-    return arrow(docs, 1000).mapInArrow(run, "r1 long, r2 long, doc_id long, n_bytes long, sha string, anchors array<long>")
+    return docs.mapInArrow(run, "r1 long, r2 long, doc_id long, n_bytes long, sha string, anchors array<long>")
 
 
 def _contexts(docs: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def _contexts(docs: DataFrame) -> DataFrame:
                 names=["r1", "r2", "anchor", "start", "d1", "d2", "own"],
             )
 
-    return arrow(docs, 500).mapInArrow(run, "r1 long, r2 long, anchor long, start int, d1 long, d2 long, own binary")
+    return docs.mapInArrow(run, "r1 long, r2 long, anchor long, start int, d1 long, d2 long, own binary")
 
 
 def _runs(flags: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -237,7 +237,7 @@ def _indexed(groups: DataFrame) -> DataFrame:
         if rows:
             yield flush(rows)
 
-    return arrow(groups, 2000).mapInArrow(run, MARK)
+    return groups.mapInArrow(run, MARK)
 
 
 def _counted(groups: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def _counted(groups: DataFrame) -> DataFrame:
                 h = span_hash(prefix(np.frombuffer(own, np.uint8)), at, at + LENGTH)
                 yield pa.RecordBatch.from_arrays([*(pa.array([x] * n, pa.int64()) for x in (anchor, d1, d2)), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], names=["anchor", "d1", "d2", "begin", "h"])
 
-    each = arrow(groups, 2000).mapInArrow(run, "anchor long, d1 long, d2 long, begin int, h long")
+    each = groups.mapInArrow(run, "anchor long, d1 long, d2 long, begin int, h long")
     many = each.groupBy("anchor", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     return each.join(many, ["anchor", "h"], "left_semi").select("anchor", "d1", "d2", "begin", (F.col("begin") + LENGTH).alias("end"))
 
@@ -311,7 +311,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in name), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=[*name, "n_removed", "n_spans", "kept", "removed"])
 
-    changed = arrow(held.select(*name, "text").join(cut, name), 500).mapInArrow(run, "r1 long, r2 long, n_removed long, n_spans long, kept string, removed string")
+    changed = held.select(*name, "text").join(cut, name).mapInArrow(run, "r1 long, r2 long, n_removed long, n_spans long, kept string, removed string")
     none = F.lit(0).cast("long")
     return scanned.select(*name, "doc_id", "n_bytes", "sha").join(changed, name, "left").select(
         "doc_id",

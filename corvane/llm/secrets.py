@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow
+from .common import slices
+
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -153,7 +154,7 @@ def scan(docs: DataFrame, model: SecretModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = shared.value.spans
-        for batch in batches:
+        for batch in slices(batches):
             cols: list[list] = [[] for _ in range(6)]
             for text in batch.column(1):
                 spans = find(text.as_py() or "")
@@ -169,7 +170,7 @@ def scan(docs: DataFrame, model: SecretModel) -> DataFrame:
                 names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov"],
             )
 
-    return arrow(docs.select("doc_id", "text"), 1000).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")
 
 
 def mask(text: str, spans: list[tuple[str, int, int]], put: str = "[secret]") -> str:
@@ -188,7 +189,7 @@ def redact(docs: DataFrame, model: SecretModel, put: str = "[secret]") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = shared.value.spans
-        for batch in batches:
+        for batch in slices(batches):
             names = batch.schema.names
             texts = [None if t is None else mask(t, find(t), put) for t in batch.column("text").to_pylist()]
             out = batch.set_column(names.index("text"), "text", pa.array(texts, pa.string()))
@@ -197,4 +198,4 @@ def redact(docs: DataFrame, model: SecretModel, put: str = "[secret]") -> DataFr
                 out = out.set_column(names.index("n_chars"), "n_chars", sizes)
             yield out
 
-    return arrow(docs, 1000).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
