@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
@@ -43,6 +42,7 @@ ALPHABETS = {
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Documents from which ordinary words are taken, words taken at most, random strings per alphabet.
 SAMPLE_DOCS, SAMPLE_WORDS, SAMPLE_RANDOM = 400, 20_000, 1500
+WORD = r"(?<!\S)[A-Za-z]{2,19}(?=[.,;:!?]?(?!\S))"
 #: Nats per character by which the random model must lead.
 MIN_RATIO = 0.35
 
@@ -72,15 +72,22 @@ class Markov:
         return total
 
 
-def apart(begin: int, end: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """What the spans leave of begin:end."""
-    out = []
-    for a, b in sorted(spans):
-        if begin < b and a < end:
-            if begin < a:
-                out.append((begin, a))
-            begin = max(begin, b)
-    return [*out, (begin, end)] if begin < end else out
+def apart(runs: Iterable[tuple[int, int]], spans: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What the spans leave of the runs; the runs are in order and don't overlap. One pass over either."""
+    left = iter(sorted(spans))
+    span = next(left, None)
+    cover = 0  # end of the spans seen so far
+    for begin, end in runs:
+        while begin < end:
+            begin = max(begin, cover)
+            if span is not None and span[0] <= begin:
+                cover = max(cover, span[1])
+                span = next(left, None)
+                continue
+            stop = end if span is None else min(end, span[0])
+            if begin < stop:
+                yield begin, stop
+            begin = max(begin, stop)
 
 
 class SecretModel:
@@ -108,11 +115,9 @@ class SecretModel:
         if runs:
             found += [("access", *m.span()) for m in ACCESS.finditer(text)]
             found += [("hex", *m.span()) for m in HEX.finditer(text)]
-            base = [(a, b) for _, a, b in found]
-            for m in runs:
-                for a, b in apart(*m.span(), base):
-                    if RUN.fullmatch(text, a, b) and self.ratio(text[a:b]) >= self.min_ratio:
-                        found.append(("markov", a, b))
+            for a, b in apart([m.span() for m in runs], [(a, b) for _, a, b in found]):
+                if RUN.fullmatch(text, a, b) and self.ratio(text[a:b]) >= self.min_ratio:
+                    found.append(("markov", a, b))
         return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
@@ -121,7 +126,8 @@ def labelled_samples(docs: DataFrame, seed: int = 7) -> list[tuple[str, str]]:
 
     Ordinary identifiers are words of at most SAMPLE_DOCS documents (the one
     of least hash in each of as many hash buckets), alone and joined as
-    identifiers are; at most SAMPLE_WORDS words are used.
+    identifiers are; at most SAMPLE_WORDS words are used. Only what stands
+    between blanks and is all letters is a word, so pieces of secrets are none.
     """
     rng = random.Random(seed)
     out = [("".join(rng.choices(letters, k=rng.randint(20, 44))), kind) for kind, letters in ALPHABETS.items() for _ in range(SAMPLE_RANDOM)]
@@ -131,7 +137,7 @@ def labelled_samples(docs: DataFrame, seed: int = 7) -> list[tuple[str, str]]:
     words = [
         r["w"]
         for r in docs.where(F.col("doc_id").isin(ids))
-        .select(F.explode(F.array_distinct(F.expr(r"regexp_extract_all(text, '[A-Za-z][A-Za-z]+', 0)"))).alias("w"))
+        .select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("w"))
         .distinct()
         .orderBy(F.xxhash64("w"), "w")
         .limit(SAMPLE_WORDS)

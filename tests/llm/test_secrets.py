@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from corvane.llm import secrets
 
@@ -64,3 +66,40 @@ def test_what_rules_leave_of_a_run_is_judged():
     assert MODEL.spans(both) == [("markov", 0, 39), ("hex", 39, 63), ("markov", 63, 103)]
     assert secrets.mask(both, MODEL.spans(both)) == "[secret]" * 3
     assert MODEL.spans(access + "/request_handler_count/of/things") == [("access", 0, 20)]
+
+
+def test_parts_of_runs_equal_a_search_by_character():
+    rng = random.Random(4)
+    for _ in range(300):
+        edges = sorted(rng.sample(range(60), 8))
+        runs = list(zip(edges[::2], edges[1::2], strict=True))
+        spans = [(a, a + rng.randint(1, 9)) for a in rng.sample(range(60), rng.randint(0, 8))]
+        free = [any(a <= i < b for a, b in runs) and not any(a <= i < b for a, b in spans) for i in range(70)]
+        want = []
+        for i, f in enumerate(free):
+            if f and i and free[i - 1] and not any(i == a for a, _ in runs):
+                want[-1] = (want[-1][0], i + 1)
+            elif f:
+                want.append((i, i + 1))
+        assert list(secrets.apart(runs, spans)) == want
+
+
+def test_many_spans_take_time_in_proportion():
+    text = " ".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(16_000))
+    began = time.time()
+    assert len(MODEL.spans(text)) == 16_000
+    assert time.time() - began < 2
+
+
+def test_held_out_accuracy_and_no_pieces_of_secrets_among_ordinary_words(spark):
+    rng = random.Random(11)
+    syllables = [a + b for a in "bcdfglmnprst" for b in ("a", "en", "io", "ust", "er")]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 3)))
+    secret = lambda: "".join(rng.choices(secrets.ALPHABETS["base64"], k=30))
+    docs = spark.createDataFrame([(i, f"{' '.join(word() for _ in range(60))}. password={secret()} {secret()} AKIA{'QZXW' * 5}") for i in range(200)], "doc_id long, text string")
+    labelled = secrets.labelled_samples(docs)
+    assert not any(re.search("AKIA|password", x) for x, label in labelled if label == "ordinary")
+    model = secrets.SecretModel(labelled)
+    fresh = [("".join(rng.choices(a, k=rng.randint(20, 44))), True) for a in secrets.ALPHABETS.values() for _ in range(300)]
+    fresh += [("_".join(word() for _ in range(8))[:40].ljust(20, "e"), False) for _ in range(900)]
+    assert sum((model.ratio(x) >= model.min_ratio) == random_ for x, random_ in fresh) >= 0.98 * len(fresh)
