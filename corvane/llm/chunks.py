@@ -102,7 +102,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     # row numbers must not change between the two uses: the chunks are written
     chunks = materialise(chunk_table(docs), "chunks")
     first = F.min(F.struct("doc_id", "copy", "start")).alias("first")
-    shared = chunks.groupBy("d1", "d2").agg(F.count("*").alias("n"), first).where("n > 1").drop("n")
+    # written, so that the join deals both sides anew and a hot digest's rows can be split
+    shared = materialise(chunks.groupBy("d1", "d2").agg(F.count("*").alias("n"), first).where("n > 1").drop("n"), "shared-chunks")
     at = F.struct("doc_id", "copy", "start")
     return chunks.join(shared, ["d1", "d2"]).select("doc_id", "copy", "start", "size", "is_last", (F.col("first") == at).alias("is_first"))
 

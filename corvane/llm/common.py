@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,11 +31,45 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+class Scratch:
+    """The tables written within a ``with scratch()`` block."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+        self.kept: list[DataFrame] = []
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Spare these: what the block returns still reads them."""
+        self.kept += tables
+
+
+_open: list[Scratch] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """Delete the tables written in the block at its end, but those kept, which pass to an enclosing block."""
+    own = Scratch()
+    _open.append(own)
+    try:
+        yield own
+    finally:
+        _open.remove(own)
+        kept = {id(t) for t in own.kept}
+        for t in own.tables:
+            if id(t) not in kept:
+                drop_table(t)
+            elif _open:
+                _open[-1].tables.append(t)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs only the rereading of files.
-    Shuffle files of the write go once it has ended, as nothing refers to them.
+    Shuffle files of the write go once it has ended, as nothing refers to them;
+    the table itself goes with the :func:`scratch` block around, or when the
+    driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvane-{tag}-{uuid.uuid4().hex}"
@@ -48,16 +83,25 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.corvane_path = path
+    files, at = _files(out)
+    files.deleteOnExit(at)
+    if _open:
+        _open[-1].tables.append(out)
     return out
 
 
+def _files(table: DataFrame) -> tuple:
+    """The file system and path of a table made by :func:`materialise`."""
+    spark = table.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(table.corvane_path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table made by :func:`materialise` that nothing reads any more."""
-    path = getattr(df, "corvane_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+    if getattr(df, "corvane_path", None):
+        files, at = _files(df)
+        files.delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import U, constants, mix, shingles, text_bytes
-from .common import materialise, only, slices
+from .common import materialise, only, scratch, slices
 from .components import components
 
 WORDS = 5
@@ -292,6 +292,16 @@ def same_ids(filled: DataFrame, classes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each document."""
+    with scratch() as temporary:
+        marks, placed = _placed(docs, size, percent)
+        temporary.keep(marks, placed)
+    out = marks.select("doc_id", *SET).join(placed, SET, "left")
+    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def _placed(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Tables: the documents' set digests, and the component of each distinct set."""
     marks = materialise(signatures(docs, size), "signatures")
     filled = marks.where("n_shingles > 0 and doc_id is not null")
     classes = filled.groupBy(*SET).agg(F.min("doc_id").alias("head"), F.first("bands").alias("bands"))
@@ -324,8 +334,7 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     # the least doc_id of each component, for all its classes
     heads = stars.join(classes.select("node", *SET, "head"), "node")
     least = heads.groupBy("component").agg(F.min("head").alias("component_id"))
-    placed = materialise(heads.join(least, "component").select(*SET, "component_id"), "placed")
-    per_class = classes.select(*SET, "head").join(placed, SET, "left").select(*SET, F.coalesce("component_id", "head").alias("component_id"))
-    out = marks.select("doc_id", *SET).join(per_class, SET, "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    linked_ = heads.join(least, "component").select(*SET, "component_id")
+    placed = classes.select(*SET, "head").join(linked_, SET, "left").select(*SET, F.coalesce("component_id", "head").alias("component_id"))
+    # written, so that the join with all documents deals both sides anew and a hot set's rows can be split
+    return marks, materialise(placed, "placed")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import U, mix, prefix, span_hash, text_bytes
-from .common import drop_table, materialise, slices
+from .common import drop_table, materialise, scratch, slices
 
 LENGTH = 200
 #: Bytes of an anchor.
@@ -252,21 +252,19 @@ def _counted(groups: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(pa.array([x] * n, pa.int64()) for x in (anchor, d1, d2)), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], names=["anchor", "d1", "d2", "begin", "h"])
 
     each = groups.mapInArrow(run, "anchor long, d1 long, d2 long, begin int, h long")
-    many = each.groupBy("anchor", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    many = materialise(each.groupBy("anchor", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "counted")
     return each.join(many, ["anchor", "h"], "left_semi").select("anchor", "d1", "d2", "begin", (F.col("begin") + LENGTH).alias("end"))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed: one row for each document.
-
-    ``removed`` lists the removed runs as start:end in bytes.
-    """
+def _cut(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables: all documents' sizes and digests, the texts that hold a repeated anchor, and the spans to remove."""
     # Rows are named by 128 bits of id and text, since ids may repeat; equal rows have equal results.
     named = docs.select(F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64("text", "doc_id", F.lit(1)).alias("r2"), "doc_id", "text")
     name, context = ["r1", "r2"], ["anchor", "d1", "d2"]
     scanned = materialise(_anchor_rows(named), "anchors")
     places = scanned.select("r1", "r2", F.posexplode("anchors").alias("i", "anchor"))
-    shared = places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # written, so that the join deals both sides anew and a hot anchor's rows can be split
+    shared = materialise(places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "shared-anchors")
     hits = materialise(places.join(shared, "anchor", "left_semi").groupBy(*name).agg(F.collect_set("i").alias("hits")), "hits")
     held = materialise(named.select("r1", "r2", "text").join(hits, name).dropDuplicates(name), "held")
     drop_table(hits)
@@ -275,7 +273,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     copies = scanned.groupBy(*name).agg(F.count("*").alias("copies")).where("copies > 1")
     seen = contexts.select(*name, *context).join(copies, name, "left").groupBy(*context).agg(F.sum(F.coalesce("copies", F.lit(1))).alias("n"))
     seen = materialise(seen, "context-counts")
-    per = seen.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    per = materialise(seen.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "anchor-kinds")
     kinds = materialise(seen.join(per, "anchor").select(*context, "kinds"), "kinds")
     one = contexts.select(*context, "own").join(kinds, context).groupBy(*context, "kinds").agg(F.first("own").alias("own"))
     one = materialise(one, "distinct-contexts")
@@ -287,8 +285,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # a context that occurs again is repeated as a whole
     spans = where.join(seen.where("n > 1").select(*context), context, "left_semi").select(*name, F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
     spans = spans.union(where.join(marks, context).select(*name, (F.col("start") + F.col("begin")).alias("a"), (F.col("start") + F.col("end")).alias("b")))
-    cut = materialise(spans.groupBy(*name).agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans")), "spans")
-    drop_table(contexts)
+    return scanned, held, materialise(spans.groupBy(*name).agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans")), "spans")
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed: one row for each document.
+
+    ``removed`` lists the removed runs as start:end in bytes.
+    """
+    with scratch() as temporary:
+        scanned, held, cut = _cut(docs)
+        temporary.keep(scanned, held, cut)
+    name = ["r1", "r2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
