@@ -271,11 +271,13 @@ def _cut(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     contexts = materialise(_contexts(held), "contexts")
     # equal contexts are one; rows that are equal as a whole count by their copies
     copies = scanned.groupBy(*name).agg(F.count("*").alias("copies")).where("copies > 1")
-    seen = contexts.select(*name, *context).join(copies, name, "left").groupBy(*context).agg(F.sum(F.coalesce("copies", F.lit(1))).alias("n"))
+    # one place of each context stands for it, so that a hot context's others need not meet
+    pick = F.xxhash64(*name, "start")
+    seen = contexts.select(*name, *context, "start").join(copies, name, "left").groupBy(*context).agg(F.sum(F.coalesce("copies", F.lit(1))).alias("n"), F.min(pick).alias("pick"))
     seen = materialise(seen, "context-counts")
     per = materialise(seen.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "anchor-kinds")
-    kinds = materialise(seen.join(per, "anchor").select(*context, "kinds"), "kinds")
-    one = contexts.select(*context, "own").join(kinds, context).groupBy(*context, "kinds").agg(F.first("own").alias("own"))
+    kinds = materialise(seen.join(per, "anchor").select(*context, "pick", "kinds"), "kinds")
+    one = contexts.select(*context, pick.alias("pick"), "own").join(kinds, [*context, "pick"]).groupBy(*context, "kinds").agg(F.first("own").alias("own"))
     one = materialise(one, "distinct-contexts")
     few = one.where(F.col("kinds") <= MOST_CONTEXTS).select(*context, "own")
     marks = _indexed(few.repartition("anchor").sortWithinPartitions("anchor"))
