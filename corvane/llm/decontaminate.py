@@ -41,10 +41,12 @@ from .common import slices
 #: Share of an item's words that may be edited.
 EDITS = 0.25
 LEAST_WORDS = 5
-#: Walks, and outputs sampled of each; a walk has STEPS steps for each word of the item.
+#: Walks (64 at most, a bit of a hash for each) and outputs sampled of each; a walk has STEPS steps for each word of the item.
 WALKS, PLACES, STEPS = 64, 2, 2
 #: Cells (window, pair, item) counted at once; bounds a worker's memory.
 CELLS = 1 << 22
+#: Bytes of documents searched at once: several slices, as sizes are gone through one by one.
+PIECE_BYTES = 4 << 20
 #: Bytes of items searched at once; more take further passes over the documents.
 ITEM_BYTES = 4 << 20
 
@@ -123,25 +125,38 @@ def walk_keys(x: np.ndarray) -> np.ndarray:
     """
     n, m = x.shape
     steps = STEPS * m
-    bits = constants(WALKS * steps, 61).reshape(steps, WALKS)
     places = np.sort(np.random.Generator(np.random.PCG64(62)).integers(0, steps, (WALKS, PLACES)), axis=1)
     factors = constants(PLACES, 63)
-    x = np.concatenate([x, np.zeros((n, 1), U)], axis=1)
-    at, key, out_of = np.zeros((n, WALKS), np.int64), np.zeros((n, WALKS), U), np.zeros((n, WALKS), bool)
-    for t in range(steps):
-        word = np.take_along_axis(x, at, axis=1)
+    shifts = np.arange(WALKS, dtype=U)
+    words_, which = np.unique(np.concatenate([x, np.zeros((n, 1), U)], axis=1), return_inverse=True)
+    which = which.reshape(n, m + 1)
+    at = np.repeat(np.arange(n)[:, None] * (m + 1), WALKS, axis=1)
+    key, out_of = np.zeros((n, WALKS), U), np.zeros((n, WALKS), bool)
+    for t, seed in enumerate(constants(steps, 61)):
         for j in range(PLACES):
             here = np.flatnonzero(places[:, j] == t)
             if len(here):
-                key[:, here] += word[:, here] * factors[j]
-                out_of[:, here] |= word[:, here] == 0
-        at += (mix(word ^ bits[t]) >> U(63)).astype(np.int64)
-        np.minimum(at, m, out=at)
+                word = words_[which.ravel()[at[:, here]]]
+                key[:, here] += word * factors[j]
+                out_of[:, here] |= word == 0
+        # one hash of a word has a bit for each walk; none moves on from the end
+        bits = mix(words_ ^ seed)[which]
+        bits[:, m] = 0
+        at += (bits.ravel()[at] >> shifts & U(1)).view(np.int64)
     key |= U(1)
     key[out_of] = 0
     return key
 
 
+def _within(code: np.ndarray, found: np.ndarray, reach: int) -> np.ndarray:
+    """Which codes are at most ``reach`` from one found."""
+    if not len(found):
+        return np.zeros(len(code), bool)
+    found = np.sort(found)
+    i = np.searchsorted(found, code)
+    return np.minimum(np.abs(found[np.minimum(i, len(found) - 1)] - code), np.abs(code - found[np.maximum(i - 1, 0)])) <= reach
+
+
 class Items:
     """Hashed benchmark items with their pairs by size."""
 
@@ -200,24 +215,18 @@ class Items:
         """
         mine = np.searchsorted(self.by_size[m], item)
         walked, of = np.unique(which, return_inverse=True)
-        hit = np.zeros(len(which), bool)
+        order = np.argsort(of, kind="stable")
         step = CELLS // (4 * WALKS)
+        hit = np.zeros(len(which), bool)
         for begin in range(0, len(walked), step):
-            own = np.flatnonzero((of >= begin) & (of < begin + step))
             keys = walk_keys(window[walked[begin : begin + step]])
-            for part in range(0, len(own), step):
-                some = own[part : part + step]
+            a, b = np.searchsorted(of[order], [begin, begin + step])
+            for part in range(a, b, step):
+                some = order[part : min(part + step, b)]
                 k = keys[of[some] - begin]
                 hit[some] = ((k == self.keys[m][mine[some]]) & (k != 0)).any(axis=1)
-        # places of one item, apart from those of the next
-        span = int(at.max(initial=0)) + m + 1
-        code = mine * span + at[which]
-        found = np.sort(code[hit])
-        if not len(found):
-            return hit
-        i = np.searchsorted(found, code)
-        away = np.minimum(np.abs(found[np.minimum(i, len(found) - 1)] - code), np.abs(code - found[np.maximum(i - 1, 0)]))
-        return away <= allowed(m)
+        code = mine * (int(at.max(initial=0)) + 2 * m + 1) + at[which]  # places of one item, apart from those of the next
+        return _within(code, code[hit], allowed(m))
 
     def hits(self, pairs: np.ndarray) -> np.ndarray:
         """Which of the hashes are word pairs of an item."""
@@ -228,6 +237,29 @@ class Items:
             out[maybe[self.all_pairs[at] == pairs[maybe]]] = True
         return out
 
+    def found_at(self, m: int, at: np.ndarray, hashes: np.ndarray, row_of: np.ndarray, stop_of: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(row, item, edits, first word, words) of each match of an item of m words that starts at one of the places."""
+        n = len(hashes)
+        length = np.minimum(m, stop_of[row_of[at]] - at)
+        index = np.minimum(at[:, None] + np.arange(m)[None, :], n - 1)
+        window = np.where(np.arange(m)[None, :] < length[:, None], hashes[index], U(0))
+        mine = mix(window[:, :-1] * constants(2, 31)[0] + window[:, 1:] * constants(2, 31)[1])
+        which, item_of = self.sharing(m, mine)
+        if not len(which):
+            return
+        near_key = self.candidates(m, window, at, which, item_of)
+        which, item_of = which[near_key], item_of[near_key]
+        reach = m + allowed(m)
+        wanted = self.by_size[m]
+        sequences = np.stack([self.sequences[i] for i in wanted])
+        step = max(1, CELLS // (8 * reach))
+        for part in range(0, len(which), step):
+            begins, owners = at[which[part : part + step]], item_of[part : part + step]
+            text = hashes[np.minimum(begins[:, None] + np.arange(reach), n - 1)]
+            edits, used = edit_distances(sequences[np.searchsorted(wanted, owners)], text, stop_of[row_of[begins]] - begins, allowed(m))
+            for i in np.flatnonzero(used).tolist():
+                yield int(row_of[begins[i]]), int(owners[i]), int(edits[i]), int(begins[i]), int(used[i])
+
     def find(self, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, first byte, end byte, edits) of each item found in a row."""
         hashes, starts, ends, first = tokens(raw, offsets)
@@ -242,7 +274,7 @@ class Items:
         np.cumsum(hit, out=total[1:n])
         total[n] = total[n - 1]
         row_of = stop_of = None
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        best: dict[tuple[int, int], list[int]] = {}
         for sizes in self.classes:
             high = min(sizes[-1], n)
             need = min(least_pairs(m) for m in sizes)
@@ -254,28 +286,14 @@ class Items:
                 stop_of = first[1:]
             for m in sizes:
                 length = np.minimum(m, stop_of[row_of[near]] - near)
-                ok = length >= m - allowed(m)
-                at, length = near[ok], length[ok]
-                if not len(at):
-                    continue
-                index = np.minimum(at[:, None] + np.arange(m)[None, :], n - 1)
-                window = np.where(np.arange(m)[None, :] < length[:, None], hashes[index], U(0))
-                mine = mix(window[:, :-1] * constants(2, 31)[0] + window[:, 1:] * constants(2, 31)[1])
-                which, item_of = self.sharing(m, mine)
-                near_key = self.candidates(m, window, at, which, item_of)
-                which, item_of = which[near_key], item_of[near_key]
-                reach = m + allowed(m)
-                for part in range(0, len(which), max(1, CELLS // (8 * reach))):
-                    own = slice(part, part + max(1, CELLS // (8 * reach)))
-                    begins, owners = at[which[own]], item_of[own]
-                    text = hashes[np.minimum(begins[:, None] + np.arange(reach), n - 1)]
-                    wanted = self.by_size[m]
-                    items = np.stack([self.sequences[i] for i in wanted])[np.searchsorted(wanted, owners)]
-                    edits, used = edit_distances(items, text, stop_of[row_of[begins]] - begins, allowed(m))
-                    for i in np.flatnonzero(used).tolist():
-                        key, new = (int(row_of[begins[i]]), int(owners[i])), (int(edits[i]), int(begins[i]), int(used[i]))
-                        if key not in best or new[:2] < best[key][:2]:
-                            best[key] = new
+                places = near[length >= m - allowed(m)]
+                # in parts, with the places in reach of each part
+                for begin in range(0, len(places), max(1, CELLS // m)):
+                    core = places[begin : begin + max(1, CELLS // m)]
+                    at = places[np.searchsorted(places, core[0] - allowed(m)) : np.searchsorted(places, core[-1] + allowed(m), "right")]
+                    for row, item, *new in self.found_at(m, at, hashes, row_of, stop_of):
+                        if (row, item) not in best or new[:2] < best[row, item][:2]:
+                            best[row, item] = new
         return [(row, item, int(starts[b] - offsets[row]), int(ends[b + used - 1] - offsets[row]), edits) for (row, item), (edits, b, used) in sorted(best.items())]
 
 
@@ -294,7 +312,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known = None
-            for batch in slices(batches):
+            for batch in slices(batches, limit=PIECE_BYTES):
                 known = known or Items(shared.value)
                 doc = batch.column("doc_id").to_pylist()
                 found = [(doc[row], known.ids[item], a, b, edits) for row, item, a, b, edits in known.find(*text_bytes(batch.column("text")))]
