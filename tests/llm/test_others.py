@@ -325,6 +325,31 @@ def test_nearest_equal_brute_force_on_clusters_and_ties(spark):
     assert [v for _, v, _ in got[100]][:20] == [v for v in range(101, 121)] or abs(got[100][0][2] - float(y[100] @ y[100])) > 1e-9
 
 
+def test_candidates_of_a_query_do_not_grow_with_the_vectors():
+    """Clusters of fifty: with 16 times the vectors a query meets about as many, at the target recall."""
+    lift = lambda y: np.concatenate([y, np.zeros((len(y), 1))], axis=1)
+    met = []
+    for n in (5000, 80_000):
+        rng = np.random.default_rng(5)
+        centres = rng.normal(size=(n // 50, 16))
+        x = centres[rng.integers(0, len(centres), n)] + 0.15 * rng.normal(size=(n, 16))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        near = np.argsort(-(x[:96] @ x.T), axis=1)[:, 1:21]
+        sample = lift(x[rng.choice(n, 1024, replace=False)])
+        h = ann.fitted(sample, lift(x[:96]), lift(x[near.ravel()]).reshape(96, 20, 17), np.ones((96, 20)), n)
+        fresh = np.arange(200, 296)
+        near = np.argsort(-(x[fresh] @ x.T), axis=1)[:, 1:21]
+        assert (h.ranks(lift(x[fresh]), lift(x[near.ravel()]).reshape(96, 20, 17)) < h.probes).mean() >= 0.9
+        met.append(n * (h.ranks(lift(x[:96]), np.broadcast_to(sample, (96, *sample.shape))) < h.probes).mean())
+    assert met[1] < 3 * met[0]
+
+
+def test_many_projections_have_bounded_moves():
+    made = ann.moves(12)
+    assert len(made) == len({tuple(m) for m in made.tolist()}) == 1 + 24 + 264 + 1760
+    assert (np.diff(ann.code(made)) > 0).all() and len(ann.moves(3)) == 27
+
+
 def test_few_vectors_give_all_candidates(spark):
     df = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(6)], "vec_id long, embedding array<float>")
     rows = ann.nearest(df).collect()
