@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from . import index as I
 from .rank import Options, rank
 
 
@@ -13,12 +16,16 @@ def case_results(ranked: DataFrame, cases: DataFrame, sizes: DataFrame, ks: tupl
     """A row per case: recall, first relevant rank, forbidden hits, evidence and bytes at each k.
 
     cases: case_id, category, expected (array of paths), and optionally
-    forbidden (array) and evidence (array of paths that hold the evidence);
-    ranked: query_id (the case), rank, path; sizes: path, size.
+    forbidden (array) and evidence (array of paths, or of structs of path and
+    heading, that hold the evidence: each counts by itself); ranked: query_id
+    (the case), rank, path; sizes: path, size.
     """
     have = set(cases.columns)
+    if dict(cases.dtypes).get("evidence", "").startswith("array<struct"):
+        cases = cases.withColumn("evidence", F.transform("evidence", lambda e: e["path"]))
     nothing = F.array().cast("array<string>")
     cases = cases.withColumns({c: F.coalesce(c, nothing) if c in have else nothing for c in ("forbidden", "evidence")})
+    cases = cases.select("case_id", "category", "expected", "forbidden", "evidence")
     rows = ranked.withColumnRenamed("query_id", "case_id").join(sizes.select("path", "size"), "path")
     running = F.sum("size").over(Window.partitionBy("case_id").orderBy("rank"))
     rows = rows.withColumn("bytes", running).join(cases, "case_id", "right")
@@ -28,8 +35,9 @@ def case_results(ranked: DataFrame, cases: DataFrame, sizes: DataFrame, ks: tupl
     size = lambda c: F.max(F.size(c))
     cols: list[Column] = [first, size("forbidden").alias("n_forbidden"), size("evidence").alias("n_evidence")]
     for k in ks:
-        cols.append((at("expected", k) / size("expected")).alias(f"recall_{k}"))
-        cols.append(F.when(size("evidence") > 0, at("evidence", k) / size("evidence")).alias(f"evidence_{k}"))
+        cols.append(F.round(at("expected", k) / size("expected"), 6).alias(f"recall_{k}"))
+        shown = F.sum(F.when(F.col("rank") <= k, F.size(F.filter("evidence", lambda e: e == F.col("path")))).otherwise(0))
+        cols.append(F.when(size("evidence") > 0, F.round(shown / size("evidence"), 6)).alias(f"evidence_{k}"))
         cols.append(F.when(size("forbidden") > 0, (at("forbidden", k) > 0).cast("double")).alias(f"forbidden_{k}"))
         cols.append(F.coalesce(F.max(F.when(F.col("rank") <= k, F.col("bytes"))), F.lit(0)).alias(f"bytes_{k}"))
     return rows.groupBy("case_id", "category").agg(*cols)
@@ -44,11 +52,19 @@ def metrics(results: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     return results.rollup("category").agg(*cols)
 
 
-def evaluate(cases: DataFrame, documents: DataFrame, ks: tuple[int, ...] = (1, 3, 5), options: Options | None = None, tokenised: DataFrame | None = None) -> DataFrame:
-    """Rank all cases in one plan and give their results; ``documents`` has a size."""
+def evaluate(cases: DataFrame, documents: DataFrame, ks: tuple[int, ...] = (1, 3, 5), options: Options | None = None, index: I.Index | None = None) -> DataFrame:
+    """Rank all cases in one plan, each with its own types and tags if it has them, and give their results; ``documents`` has a size."""
     options = options or Options(limit=max(ks))
-    queries = cases.select(F.col("case_id").alias("query_id"), "query")
-    return case_results(rank(queries, documents, options, tokenised), cases, documents.select("path", "size"), ks)
+    queries = cases.select(F.col("case_id").alias("query_id"), "query", *(c for c in ("types", "tags") if c in cases.columns))
+    return case_results(rank(queries, documents, options, index), cases, documents.select("path", "size"), ks)
+
+
+def threshold(metric_rows: DataFrame, ks: tuple[int, ...], least: float | None) -> DataFrame:
+    """One row: the largest k, the least recall asked for there, the recall, and whether it passes."""
+    k = max(ks)
+    recall = F.coalesce(F.col(f"recall_{k}"), F.lit(0.0))
+    passed = F.lit(True) if least is None else recall >= least
+    return metric_rows.where("category is null").select(F.lit(k).alias("k"), F.lit(least).cast("double").alias("minimum_recall"), recall.alias("recall"), passed.alias("passed"))
 
 
 def trial_gate(metric_rows: DataFrame) -> DataFrame:
@@ -74,8 +90,18 @@ def paired_metrics(observations: DataFrame, by: str | None = None) -> DataFrame:
     return pairs.groupBy(by).agg(*cols) if by else pairs.agg(*cols)
 
 
-def rollout_gate(observations: DataFrame) -> DataFrame:
-    """One row: gains, regressions and whether a rollout is supported."""
+@dataclass(frozen=True)
+class Limits:
+    """What a rollout takes."""
+
+    pairs: int = C.GATE_MIN_PAIRS
+    captures: int = C.GATE_MIN_CAPTURES
+    time_gain: float = C.GATE_TIME_GAIN
+    capture_loss: float = C.GATE_CAPTURE_LOSS
+
+
+def rollout_gate(observations: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """One row: gains, regressions and whether a rollout is supported, with the reasons."""
     pairs = observations.where("candidate is not null").withColumn("capture", F.lower("category") == "capture")
     seconds = lambda stage, only=None: F.round(F.median(F.when(only, F.col(stage)["seconds"]) if only is not None else F.col(stage)["seconds"]), 3)
     rate = lambda stage, f: F.avg(F.col(stage)[f].cast("double"))
@@ -92,14 +118,16 @@ def rollout_gate(observations: DataFrame) -> DataFrame:
     gain = F.when(F.col("b") > 0, F.round((F.col("b") - F.col("c")) / F.col("b"), 6))
     loss = F.when(F.col("cb") > 0, F.round((F.col("cc") - F.col("cb")) / F.col("cb"), 6))
     row = row.withColumns({"time_improvement": gain, "capture_regression": loss})
-    reasons = F.array_compact(
-        F.array(
-            F.when(F.col("pairs") < C.GATE_MIN_PAIRS, "too_few_pairs"),
-            F.when(F.col("captures") < C.GATE_MIN_CAPTURES, "too_few_capture_pairs"),
-            F.when(~F.coalesce("success_kept", F.lit(False)), "success_regressed"),
-            F.when(~F.coalesce("evidence_kept", F.lit(False)), "evidence_regressed"),
-            F.when(~F.coalesce(F.col("time_improvement") >= C.GATE_TIME_GAIN, F.lit(False)), "too_little_time_gained"),
-            F.when(~F.coalesce(F.col("capture_regression") <= C.GATE_CAPTURE_LOSS, F.lit(False)), "captures_slower"),
-        )
+    kept = lambda c: F.coalesce(c, F.lit(False))
+    fails = (
+        F.col("pairs") < limits.pairs,
+        F.col("captures") < limits.captures,
+        ~kept(F.col("success_kept")),
+        ~kept(F.col("evidence_kept")),
+        ~kept(F.col("time_improvement") >= limits.time_gain),
+        ~kept(F.col("capture_regression") <= limits.capture_loss),
     )
-    return row.select("pairs", "captures", "time_improvement", "capture_regression", F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) == 0).alias("supported"))
+    reasons = F.array_compact(F.array(*(F.when(f, r) for f, r in zip(fails, C.GATE_FAILURES, strict=True))))
+    supported = F.size(reasons) == 0
+    row = row.withColumn("supported", supported).withColumn("reasons", F.when(supported, F.array(F.lit(C.GATE_PASSED))).otherwise(reasons))
+    return row.select("pairs", "captures", "time_improvement", "capture_regression", "success_kept", "evidence_kept", F.array_join("reasons", ",").alias("reasons"), "supported")

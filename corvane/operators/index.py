@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.parse import FIELDS
+from . import store
+
+#: What a posting carries of its document.
+LENGTHS = ("path", *(f"len_{f}" for f in FIELDS))
 
 
 def tokenised(texts: DataFrame) -> DataFrame:
@@ -63,19 +69,112 @@ def trigram_index(terms: DataFrame) -> DataFrame:
     return terms.select("term", F.explode(X.trigrams(F.col("term"))).alias("tri")).select("tri", "term")
 
 
-def write_index(tokenised_: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Store postings ranged and sorted by term (row groups prune by it), lengths and trigrams."""
-    rows = postings(tokenised_)
-    ranged = rows.repartitionByRange(partitions, "term", "path") if partitions else rows.repartitionByRange("term", "path")
-    ranged.sortWithinPartitions("term", "path").write.mode("overwrite").parquet(f"{path}/postings")
-    lengths(tokenised_).write.mode("overwrite").parquet(f"{path}/lengths")
-    trigram_index(vocabulary(tokenised_)).repartitionByRange("tri").sortWithinPartitions("tri").write.mode("overwrite").parquet(f"{path}/trigrams")
+# -- the stored index -------------------------------------------------------
+@dataclass(frozen=True)
+class Index:
+    """What ranking reads: postings with field lengths, terms with document frequencies, corpus statistics, trigrams."""
+
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+    trigrams: DataFrame
+    path: str = ""
+
+
+PARTS = ("postings", "lengths", "terms", "stats", "trigrams")
+
+
+def live(tokenised_: DataFrame) -> Index:
+    """An index that nothing stores: each use reads the texts again."""
+    df = document_frequency(tokenised_)
+    return Index(postings(tokenised_, keep=LENGTHS), df, corpus_stats(lengths(tokenised_)), trigram_index(df))
+
+
+def write_index(tokenised_: DataFrame, path: str) -> None:
+    """Store an index in one pass over the texts.
+
+    Postings lie by (term, path), so a term that most documents hold is spread
+    over all files, and are sorted by term, so that pages prune by it.
+    """
+    spark = tokenised_.sparkSession
+    postings(tokenised_, keep=LENGTHS).sortWithinPartitions("term").write.parquet(f"{path}/postings")
+    # a document without any word has no posting
+    lengths(tokenised_.select("path", *(f"len_{f}" for f in FIELDS))).write.parquet(f"{path}/lengths")
+    _derived(spark, path)
+
+
+def _derived(spark: SparkSession, path: str) -> None:
+    """What follows from stored postings and lengths."""
+    spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    corpus_stats(spark.read.parquet(f"{path}/lengths")).write.parquet(f"{path}/stats")
+    trigram_index(spark.read.parquet(f"{path}/terms")).repartition("tri", "term").sortWithinPartitions("tri").write.parquet(f"{path}/trigrams")
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    read = {p: spark.read.parquet(f"{path}/{p}") for p in PARTS}
+    return Index(read["postings"], read["terms"], read["stats"], read["trigrams"], path)
+
+
+def refresh(spark: SparkSession, path: str, changed: DataFrame, removed: DataFrame, to: str) -> Index:
+    """The index at ``path`` with documents replaced (path and the searchable fields) or removed (path), stored at ``to``.
+
+    Only changed texts are tokenised. Trigrams of terms that no document holds
+    any more go, and only new terms are cut into trigrams.
+    """
+    fresh = store.written(tokenised(changed.select("path", *FIELDS)), "changed")
+    old = open_index(spark, path)
+    upserted(old.postings, postings(fresh, keep=LENGTHS), removed, changed).sortWithinPartitions("term").write.parquet(f"{to}/postings")
+    upserted(spark.read.parquet(f"{path}/lengths"), lengths(fresh), removed, changed).write.parquet(f"{to}/lengths")
+    spark.read.parquet(f"{to}/postings").groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(f"{to}/terms")
+    corpus_stats(spark.read.parquet(f"{to}/lengths")).write.parquet(f"{to}/stats")
+    terms = spark.read.parquet(f"{to}/terms").select("term")
+    kept = old.trigrams.join(terms, "term", "left_semi").select("tri", "term")
+    new = trigram_index(terms.join(old.terms, "term", "left_anti"))
+    kept.unionByName(new).repartition("tri", "term").sortWithinPartitions("tri").write.parquet(f"{to}/trigrams")
+    return open_index(spark, to)
+
+
+#: Indexes of this session by what they were made of; the oldest goes when there are more than a few.
+_stored: dict[tuple, Index] = {}
+STORED = 4
+
+
+def stored(documents: DataFrame) -> Index:
+    """The index of a corpus, written at its first use and read from then on while the files it comes from are the same."""
+    spark = documents.sparkSession
+    key = (spark.sparkContext.applicationId, documents.select("path", *FIELDS).semanticHash(), store.file_states(documents))
+    if key not in _stored:
+        for old in list(_stored)[: max(0, len(_stored) - STORED + 1)]:
+            gone = _stored.pop(old)
+            if old[0] == key[0]:
+                store.delete(spark, gone.path)
+        path = store.new_dir(spark, "index")
+        write_index(tokenised(documents.select("path", *FIELDS)), path)
+        _stored[key] = open_index(spark, path)
+    return _stored[key]
+
+
+#: Query terms that are listed in the filter of the postings, so that the scan prunes by them; more are joined.
+LISTED = 1000
+
+
+def of_terms(index: Index, terms: DataFrame) -> DataFrame:
+    """The postings of the given terms."""
+    if not index.path:
+        return index.postings.join(terms.select("term").distinct(), "term", "left_semi")
+    few = [r["term"] for r in terms.select("term").distinct().limit(LISTED + 1).collect()]
+    if len(few) <= LISTED:
+        return index.postings.where(F.col("term").isin(few)) if few else index.postings.limit(0)
+    return index.postings.join(terms.select("term").distinct(), "term", "left_semi")
+
 
+def upserted(stored_: DataFrame, changed: DataFrame, removed: DataFrame, named: DataFrame | None = None, key: str = "path") -> DataFrame:
+    """The stored rows with those of changed keys replaced and those of removed keys gone.
 
-def upserted(stored: DataFrame, changed: DataFrame, removed: DataFrame, key: str = "path") -> DataFrame:
-    """The stored rows with those of changed keys replaced and those of removed keys gone."""
-    gone = changed.select(key).union(removed.select(key)).distinct()
-    return stored.join(gone, key, "left_anti").unionByName(changed)
+    ``named`` holds the changed keys where ``changed`` may have no row for one.
+    """
+    gone = (changed if named is None else named).select(key).union(removed.select(key)).distinct()
+    return stored_.join(gone, key, "left_anti").unionByName(changed)
 
 
 def index_stats(lengths_: DataFrame, postings_: DataFrame, trigrams_: DataFrame) -> DataFrame:

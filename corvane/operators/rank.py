@@ -66,19 +66,19 @@ def fuzzy_expanded(missing: DataFrame, trigrams: DataFrame) -> DataFrame:
     return near.withColumn("sub", rank).where(F.col("sub") <= C.FUZZY_TERMS).select("query_id", "pos", "asked", "term", "sub", "ratio")
 
 
-def weighted_terms(queries: DataFrame, tokenised: DataFrame, options: Options) -> DataFrame:
+def weighted_terms(queries: DataFrame, index: I.Index, options: Options) -> DataFrame:
     """query_id, term, weight; a term is expanded only if it occurs nowhere, the first mention of a term counts."""
     asked = exact_terms(queries)
     exact = asked.select("query_id", "pos", "term", F.lit(0).alias("sub"), F.lit(1.0).alias("weight"))
     if not (options.prefix or options.fuzzy):
         return exact.select("query_id", "term", "weight")
-    vocabulary = I.vocabulary(tokenised)
+    vocabulary = index.terms.select("term")
     missing = asked.join(vocabulary, "term", "left_anti")
     more = exact
     if options.prefix:
         more = more.unionByName(prefix_expanded(missing, vocabulary).select("query_id", "pos", "term", "sub", F.lit(C.PREFIX_WEIGHT).alias("weight")))
     if options.fuzzy:
-        found = fuzzy_expanded(missing, I.trigram_index(vocabulary))
+        found = fuzzy_expanded(missing, index.trigrams)
         more = more.unionByName(found.select("query_id", "pos", "term", (F.col("sub") + 100).alias("sub"), F.lit(C.FUZZY_WEIGHT).alias("weight")))
     return more.groupBy("query_id", "term").agg(F.min_by("weight", F.struct("pos", "sub")).alias("weight"))
 
@@ -93,13 +93,12 @@ def bm25f(weight: Column | None = None) -> Column:
     return score if weight is None else weight * score
 
 
-def scored(queries: DataFrame, tokenised: DataFrame, options: Options) -> DataFrame:
+def scored(queries: DataFrame, index: I.Index, options: Options) -> DataFrame:
     """query_id, path, score. Statistics are of all documents, excluded ones too."""
-    terms = weighted_terms(queries, tokenised, options)
-    # lengths travel with the postings: two passes over the texts, the second for the statistics
-    hits = I.postings(tokenised, terms, ("path", *(f"len_{f}" for f in FIELDS)))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    joined = hits.join(terms, "term").join(df, "term").join(F.broadcast(I.corpus_stats(tokenised)))  # one row
+    terms = weighted_terms(queries, index, options)
+    hits = I.of_terms(index, terms)
+    df = index.terms.join(terms.select("term").distinct(), "term", "left_semi") if index.path else hits.groupBy("term").agg(F.count("*").alias("df"))
+    joined = hits.join(terms, "term").join(df, "term").join(F.broadcast(index.stats))  # one row
     return joined.groupBy("query_id", "path").agg(F.round(F.sum(bm25f(F.col("weight"))), 9).alias("score"))
 
 
@@ -116,16 +115,32 @@ def allowed(documents: DataFrame, options: Options) -> DataFrame:
     return out
 
 
-def rank(queries: DataFrame, documents: DataFrame, options: Options = Options(), tokenised: DataFrame | None = None) -> DataFrame:
+def filtered(hits: DataFrame, queries: DataFrame, documents: DataFrame, options: Options) -> DataFrame:
+    """The hits that the options allow, and each query's own types and tags (arrays) where it has such columns."""
+    own = [c for c in ("types", "tags") if c in queries.columns]
+    if not (own or options.types or options.any_tags or options.since):
+        return hits.where(~X.contains_any_prefix(F.col("path"), options.excluded)) if options.excluded else hits
+    needed = {"types": F.col("type").alias("own_type"), "tags": F.transform("tags", F.lower).alias("own_tags")}
+    out = hits.join(allowed(documents, options).select("path", *(needed[c] for c in own)), "path")
+    if own:
+        asked = {"types": F.col("types").alias("asked_types"), "tags": F.transform("tags", F.lower).alias("asked_tags")}
+        out = out.join(queries.select("query_id", *(asked[c] for c in own)), "query_id")
+        fits = {"types": F.array_contains("asked_types", F.col("own_type")) | (F.size("asked_types") <= 0), "tags": F.arrays_overlap("asked_tags", "own_tags") | (F.size("asked_tags") <= 0)}
+        for c in own:
+            out = out.where(fits[c])
+    return out.select("query_id", "path", "score")
+
+
+def rank(queries: DataFrame, documents: DataFrame, options: Options = Options(), index: I.Index | None = None) -> DataFrame:
     """query_id, rank, path, score of the best documents of each query.
 
-    ``documents`` has path, title, meta, body and what the filters need.
-    Filters follow scoring. Of the PHRASE_CANDIDATES best, those that hold the
+    ``documents`` has path, title, meta, body and what the filters need;
+    ``index`` is theirs, made on the fly if not given. Filters follow scoring. Of the PHRASE_CANDIDATES best, those that hold the
     whole query in the title or else the body get a bonus. Equal scores go by
     folded path.
     """
-    tokenised = I.tokenised(documents.select("path", *FIELDS)) if tokenised is None else tokenised
-    hits = scored(queries, tokenised, options).join(allowed(documents, options).select("path"), "path")
+    index = I.live(I.tokenised(documents.select("path", *FIELDS))) if index is None else index
+    hits = filtered(scored(queries, index, options), queries, documents, options)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), X.fold(F.col("path")), "path")
     keep = max(options.limit, C.PHRASE_CANDIDATES) if options.phrase else options.limit
     short = hits.withColumn("place", F.row_number().over(best)).where(F.col("place") <= keep)

@@ -42,31 +42,34 @@ PREFIXES = [("p1", "thei and"), ("p2", "ouquei zzzz")]
 PHRASES = [("f1", "of the"), ("f2", "de la")]
 
 
-def figures(ranked: DataFrame) -> DataFrame:
-    return ranked.select("query_id", "rank", "path", F.round("score", 6).alias("score"))
+def ranked(spark: SparkSession, sf_dir: str, queries: list[tuple[str, str]], options: rank.Options) -> DataFrame:
+    """Ranked over the stored index of the documents."""
+    documents = R.corpus(spark, sf_dir)
+    rows = rank.rank(asked(spark, queries), documents, options, index.stored(documents))
+    return rows.select("query_id", "rank", "path", F.round("score", 6).alias("score"))
 
 
 # -- retrieval --------------------------------------------------------------
 @query(Q.ranked(TOPICS, limit=10))
 def bm25f_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = rank.Options(limit=10, prefix=False, phrase=False)
-    return figures(rank.rank(asked(spark, TOPICS), R.corpus(spark, sf_dir), options))
+    return ranked(spark, sf_dir, TOPICS, options)
 
 
 @query(Q.ranked(TOPICS, limit=8, where="type IN ('src1','src2','src3') AND lang IN ('en','de') AND updated >= '2024-03-01'"))
 def bm25f_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = rank.Options(limit=8, prefix=False, phrase=False, types=("src1", "src2", "src3"), any_tags=("EN", "de"), since="2024-03-01")
-    return figures(rank.rank(asked(spark, TOPICS), R.corpus(spark, sf_dir), options))
+    return ranked(spark, sf_dir, TOPICS, options)
 
 
 @query(Q.ranked(PREFIXES, limit=10, prefix=True))
 def bm25f_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return figures(rank.rank(asked(spark, PREFIXES), R.corpus(spark, sf_dir), rank.Options(limit=10, phrase=False)))
+    return ranked(spark, sf_dir, PREFIXES, rank.Options(limit=10, phrase=False))
 
 
 @query(Q.ranked(PHRASES, limit=10, phrase=True))
 def bm25f_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return figures(rank.rank(asked(spark, PHRASES), R.corpus(spark, sf_dir), rank.Options(limit=10, prefix=False)))
+    return ranked(spark, sf_dir, PHRASES, rank.Options(limit=10, prefix=False))
 
 
 @query(Q.EXCERPTS)
@@ -94,8 +97,8 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(Q.INDEX_STATS)
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = index.tokenised(R.corpus(spark, sf_dir))
-    return index.index_stats(index.lengths(t), index.postings(t), index.trigram_index(index.vocabulary(t)))
+    own = index.stored(R.corpus(spark, sf_dir))
+    return index.index_stats(spark.read.parquet(f"{own.path}/lengths"), own.postings, own.trigrams)
 
 
 @query("SELECT lang AS type, count(*) AS n FROM documents GROUP BY 1")
@@ -108,29 +111,27 @@ ODD_TERMS = ["thention", "ereauq", "undiee", "xqzw"]
 
 @query(Q.trigram_candidates(ODD_TERMS))
 def trigram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = index.vocabulary(index.tokenised(R.corpus(spark, sf_dir)))
     missing = spark.createDataFrame([("t", i, t) for i, t in enumerate(ODD_TERMS)], "query_id string, pos int, term string")
-    return rank.trigram_candidates(missing, index.trigram_index(vocabulary)).select("asked", "term", "shared", "place")
+    return rank.trigram_candidates(missing, index.stored(R.corpus(spark, sf_dir)).trigrams).select("asked", "term", "shared", "place")
 
 
 @query()
 def fuzzy_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = index.vocabulary(index.tokenised(R.corpus(spark, sf_dir)))
     missing = spark.createDataFrame([("t", i, t) for i, t in enumerate(ODD_TERMS)], "query_id string, pos int, term string")
-    return rank.fuzzy_expanded(missing, index.trigram_index(vocabulary)).select("asked", "term", "sub", F.round("ratio", 6).alias("ratio"))
+    return rank.fuzzy_expanded(missing, index.stored(R.corpus(spark, sf_dir)).trigrams).select("asked", "term", "sub", F.round("ratio", 6).alias("ratio"))
 
 
 @query()
 def bm25f_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = rank.Options(limit=10, phrase=False, prefix=False, fuzzy=True)
-    return figures(rank.rank(asked(spark, [("z1", "thention the")]), R.corpus(spark, sf_dir), options))
+    return ranked(spark, sf_dir, [("z1", "thention the")], options)
 
 
 @query()
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked in Spark; at most a dozen rows are folded on the driver."""
     d, q = R.corpus(spark, sf_dir), TOPICS[0]
-    top = rank.rank(asked(spark, [q]), d, rank.Options(limit=6, prefix=False)).join(d.select("path", "title", "body"), "path").orderBy("rank").collect()
+    top = rank.rank(asked(spark, [q]), d, rank.Options(limit=6, prefix=False), index.stored(d)).join(d.select("path", "title", "body"), "path").orderBy("rank").collect()
     text = pack.pack(q[1], [r.asDict() for r in top], 1000) or ""
     return spark.createDataFrame([(q[0], text, pack.portable_length(text), len(top))], "query_id string, bundle string, chars int, candidates int")
 
@@ -324,8 +325,9 @@ def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     item = R.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("case_id"), F.concat(F.lit("c"), F.col("item_id") % 3).alias("category"), "text")
     # a document that holds the text holds its longest word: candidates meet by it
     by_length = F.array_sort(F.transform(X.tokens(F.col("text")), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-    held = index.tokenised(d.select("path", "title", "meta", "body")).select("path", F.explode(F.array_distinct("t_body")).alias("word"))
-    near = held.join(F.broadcast(item.withColumn("word", by_length[0]["w"])), "word")  # items are few, and their number doesn't follow the corpus
+    asked_for = item.withColumn("term", by_length[0]["w"])
+    held = index.of_terms(index.stored(d), asked_for).where("tf_body > 0").select("term", "path")
+    near = held.join(asked_for, "term")
     hits = near.join(d.select("path", "body"), "path").where(F.contains("body", "text"))
     expected = hits.groupBy("case_id", "category").agg(F.collect_set("path").alias("expected"))
     query = item.select("case_id", F.array_join(F.slice(X.tokens(F.col("text")), 1, 5), " ").alias("query"))
@@ -338,21 +340,21 @@ KS = (1, 3, 5)
 @query(Q.evaluation(by_category=False))
 def eval_recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, cases = _cases(spark, sf_dir)
-    out = evaluate.metrics(evaluate.evaluate(cases, d, KS, rank.Options(limit=5, prefix=False, phrase=False)), KS)
+    out = evaluate.metrics(evaluate.evaluate(cases, d, KS, rank.Options(limit=5, prefix=False, phrase=False), index.stored(d)), KS)
     return out.where("category is null").select("cases", "mrr", "recall_1", "recall_3", "recall_5", "bytes_5")
 
 
 @query(Q.evaluation(by_category=True))
 def eval_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, cases = _cases(spark, sf_dir)
-    out = evaluate.metrics(evaluate.evaluate(cases, d, KS, rank.Options(limit=5, prefix=False, phrase=False)), KS)
+    out = evaluate.metrics(evaluate.evaluate(cases, d, KS, rank.Options(limit=5, prefix=False, phrase=False), index.stored(d)), KS)
     return out.where("category is not null").select("category", "cases", "mrr", "recall_1", "recall_3", "recall_5", "bytes_5")
 
 
 @query(Q.trial_gate())
 def trial_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, cases = _cases(spark, sf_dir)
-    return evaluate.trial_gate(evaluate.metrics(evaluate.evaluate(cases, d, KS, rank.Options(limit=5, prefix=False, phrase=False)), KS))
+    return evaluate.trial_gate(evaluate.metrics(evaluate.evaluate(cases, d, KS, rank.Options(limit=5, prefix=False, phrase=False), index.stored(d)), KS))
 
 
 def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,9 +175,9 @@ o AS (SELECT * FROM p WHERE b IS NOT NULL AND c IS NOT NULL)"""
 AB_GATE = f"""WITH {PAIRS}, m AS (SELECT count(*) AS pairs, count(*) FILTER (category = 'Capture') AS captures, round(median(b), 3) AS b, round(median(c), 3) AS c,
 round(median(b) FILTER (category = 'Capture'), 3) AS cb, round(median(c) FILTER (category = 'Capture'), 3) AS cc, avg(cs::INT) >= avg(bs::INT) AS kept FROM o),
 g AS (SELECT *, round((b - c) / b, 6) AS ti, round((cc - cb) / cb, 6) AS cr FROM m),
-z AS (SELECT *, list_filter([CASE WHEN pairs < 10 THEN 'too_few_pairs' END, CASE WHEN captures < 2 THEN 'too_few_capture_pairs' END, CASE WHEN NOT kept THEN 'success_regressed' END,
- CASE WHEN ti < 0.2 THEN 'too_little_time_gained' END, CASE WHEN cr > 0.1 THEN 'captures_slower' END], lambda x: x IS NOT NULL) AS reasons FROM g)
-SELECT pairs, captures, ti AS time_improvement, cr AS capture_regression, array_to_string(reasons, ',') AS reasons, len(reasons) = 0 AS supported FROM z"""
+z AS (SELECT *, list_filter([CASE WHEN pairs < 10 THEN 'insufficient_paired_cases' END, CASE WHEN captures < 2 THEN 'insufficient_capture_cases' END, CASE WHEN NOT kept THEN 'success_rate_regressed' END,
+ CASE WHEN ti < 0.2 THEN 'time_improvement_target_not_met' END, CASE WHEN cr > 0.1 THEN 'capture_time_limit_not_met' END], lambda x: x IS NOT NULL) AS reasons FROM g)
+SELECT pairs, captures, ti AS time_improvement, cr AS capture_regression, kept AS success_kept, true AS evidence_kept, CASE WHEN len(reasons) = 0 THEN 'measured_usability_gate_passed' ELSE array_to_string(reasons, ',') END AS reasons, len(reasons) = 0 AS supported FROM z"""
 AB_METRICS = f"""WITH {PAIRS} SELECT category, count(*) AS pairs, round(avg(bs::INT), 6) AS baseline_success, 1.0::DOUBLE AS baseline_evidence, round(median(b), 3) AS baseline_seconds, round(median(errors), 3)::DOUBLE AS baseline_files,
 round(avg(cs::INT), 6) AS candidate_success, 1.0::DOUBLE AS candidate_evidence, round(median(c), 3) AS candidate_seconds, round(median(errors), 3)::DOUBLE AS candidate_files FROM o GROUP BY 1"""
 SESSIONS = """SELECT session, count(*) FILTER (inside AND event_type NOT IN ('purchase', 'error', 'signup')) AS turns,

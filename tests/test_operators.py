@@ -156,9 +156,9 @@ def test_evaluation_and_gates(spark):
     stage = "struct<success: boolean, evidence_found: boolean, seconds: double, files_opened: int>"
     pairs = [(str(i), "capture" if i < 2 else "find", (True, True, 100.0, 3), (True, True, 70.0, 2)) for i in range(10)]
     gate = evaluate.rollout_gate(spark.createDataFrame(pairs, f"id string, category string, baseline {stage}, candidate {stage}")).first()
-    assert gate["time_improvement"] == 0.3 and gate["supported"] and gate["reasons"] == ""
+    assert gate["time_improvement"] == 0.3 and gate["supported"] and gate["reasons"] == "measured_usability_gate_passed"
     few = evaluate.rollout_gate(spark.createDataFrame(pairs[:3], f"id string, category string, baseline {stage}, candidate {stage}")).first()
-    assert few["reasons"] == "too_few_pairs" and not few["supported"]
+    assert few["reasons"] == "insufficient_paired_cases" and not few["supported"]
 
 
 def test_index_roundtrip_and_upsert(spark, documents, tmp_path):
