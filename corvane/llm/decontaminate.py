@@ -3,8 +3,8 @@
 A benchmark item of m words is sought in windows of m words at every word of
 a document; a match has at most ``m * EDITS`` edits. Each edit spoils at most
 two of the item's m - 1 word pairs within the window that starts where the
-match does, so windows that share fewer pairs with an item can't start a match
-and need no walk. The others and the items go through WALKS random walks: a
+match does, so windows that share fewer distinct pairs with an item than must
+be left can't start a match and need no walk. The others and the items go through WALKS random walks: a
 walk puts out the word at its place and moves on or not by a random bit of
 that word, so sequences a few edits apart fall into step again and agree in
 most outputs. PLACES sampled outputs of a walk are its key. A window and an
@@ -171,11 +171,14 @@ class Items:
                 self.by_size[len(s)].append(i)
         #: By size: sorted pairs, each once for every item that has it, and the items' places in by_size.
         self.pairs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.need: dict[int, np.ndarray] = {}
         for m, own in self.by_size.items():
             each = [np.unique(pair_hashes(self.sequences[i])) for i in own]
             pairs, owners = np.concatenate(each), np.repeat(np.arange(len(own)), [len(x) for x in each])
             order = np.argsort(pairs, kind="stable")
             self.pairs[m] = pairs[order], owners[order]
+            # distinct pairs that allowed edits leave, by item
+            self.need[m] = np.array([max(1, least_pairs(m) - (m - 1 - len(x))) for x in each])
         self.all_pairs = np.unique(np.concatenate([*(p for p, _ in self.pairs.values()), np.zeros(0, U)]))
         self.quick = np.zeros(1 << 22, bool)
         self.quick[(self.all_pairs & U((1 << 22) - 1)).astype(np.int64)] = True
@@ -189,21 +192,26 @@ class Items:
             else:
                 self.classes.append([m])
 
-    def sharing(self, m: int, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) of each window whose pairs ``mine`` leave a match possible."""
-        pairs, owners = self.pairs[m]
-        own, need = self.by_size[m], least_pairs(m)
-        low, high = np.searchsorted(pairs, mine, "left"), np.searchsorted(pairs, mine, "right")
-        able = np.flatnonzero((high > low).sum(axis=1) >= need)
+    def owners_of(self, m: int, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the owners of each pair begin among those of all pairs of the size, and how many they are."""
+        known, _ = self.pairs[m]
+        low = np.searchsorted(known, pairs, "left")
+        return low, np.searchsorted(known, pairs, "right") - low
+
+    def sharing(self, m: int, low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of each window whose pairs leave a match possible; a window's pairs are a row of :meth:`owners_of`."""
+        _, owners = self.pairs[m]
+        own, need = self.by_size[m], self.need[m]
+        able = np.flatnonzero((count > 0).sum(axis=1) >= need.min())
         found = [(np.zeros(0, np.int64),) * 2]
         step = max(1, CELLS // (m * len(own)))
         for begin in range(0, len(able), step):
             some = able[begin : begin + step]
-            start, span = low[some].ravel(), (high - low)[some].ravel()
+            start, span = low[some].ravel(), count[some].ravel()
             met = np.repeat(start - np.cumsum(span) + span, span) + np.arange(span.sum())
             window = np.repeat(np.arange(len(some) * (m - 1)) // (m - 1), span)
             shared = np.bincount(window * len(own) + owners[met], minlength=len(some) * len(own))
-            cells = np.flatnonzero(shared >= need)
+            cells = np.flatnonzero(shared.reshape(-1, len(own)) >= need)
             found.append((some[cells // len(own)], np.array(own)[cells % len(own)]))
         window, item = (np.concatenate(x) for x in zip(*found, strict=True))
         return window, item
@@ -237,21 +245,33 @@ class Items:
             out[maybe[self.all_pairs[at] == pairs[maybe]]] = True
         return out
 
-    def found_at(self, m: int, at: np.ndarray, hashes: np.ndarray, row_of: np.ndarray, stop_of: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    def found_at(self, m: int, at: np.ndarray, hashes: np.ndarray, owned: tuple[np.ndarray, np.ndarray, np.ndarray], row_of: np.ndarray, stop_of: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(row, item, edits, first word, words) of each match of an item of m words that starts at one of the places."""
         n = len(hashes)
         length = np.minimum(m, stop_of[row_of[at]] - at)
         index = np.minimum(at[:, None] + np.arange(m)[None, :], n - 1)
-        window = np.where(np.arange(m)[None, :] < length[:, None], hashes[index], U(0))
-        mine = mix(window[:, :-1] * constants(2, 31)[0] + window[:, 1:] * constants(2, 31)[1])
-        which, item_of = self.sharing(m, mine)
+        inside = np.arange(m)[None, :] < length[:, None]
+        low, count, before = owned
+        first = index[:, :-1]  # a pair counts once in a window
+        which, item_of = self.sharing(m, low[first], count[first] * (inside[:, 1:] & (before[first] < at[:, None])))
         if not len(which):
             return
-        near_key = self.candidates(m, window, at, which, item_of)
-        which, item_of = which[near_key], item_of[near_key]
-        reach = m + allowed(m)
         wanted = self.by_size[m]
         sequences = np.stack([self.sequences[i] for i in wanted])
+        # a window that equals an item has all keys in common with it, and no place of that item in the row is better
+        pair_of = row_of[at[which]] * len(self.ids) + item_of
+        full = np.flatnonzero((length[which] == m) & (hashes[at[which]] == sequences[np.searchsorted(wanted, item_of), 0]))
+        same = full[(hashes[index[which[full]]] == sequences[np.searchsorted(wanted, item_of[full])]).all(axis=1)]
+        for i in same.tolist():
+            yield int(row_of[at[which[i]]]), int(item_of[i]), 0, int(at[which[i]]), m
+        left = np.flatnonzero(~np.isin(pair_of, pair_of[same]))
+        if not len(left):
+            return
+        walked, which = np.unique(which[left], return_inverse=True)
+        at, item_of = at[walked], item_of[left]
+        near_key = self.candidates(m, np.where(inside[walked], hashes[index[walked]], U(0)), at, which, item_of)
+        which, item_of = which[near_key], item_of[near_key]
+        reach = m + allowed(m)
         step = max(1, CELLS // (8 * reach))
         for part in range(0, len(which), step):
             begins, owners = at[which[part : part + step]], item_of[part : part + step]
@@ -270,6 +290,12 @@ class Items:
         hit = self.hits(pairs)
         inner = first[(first > 0) & (first < n)]
         hit[inner - 1] = False  # pairs across rows
+        held = np.flatnonzero(hit)
+        # the place of the same pair before each
+        before = np.full(n, -1, np.int64)
+        order = held[np.argsort(pairs[held], kind="stable")]
+        again = np.flatnonzero(pairs[order[1:]] == pairs[order[:-1]])
+        before[order[again + 1]] = order[again]
         total = np.zeros(n + 1, np.int32)
         np.cumsum(hit, out=total[1:n])
         total[n] = total[n - 1]
@@ -285,13 +311,15 @@ class Items:
                 row_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 stop_of = first[1:]
             for m in sizes:
+                low, count = np.zeros(n, np.int64), np.zeros(n, np.int32)
+                low[held], count[held] = self.owners_of(m, pairs[held])
                 length = np.minimum(m, stop_of[row_of[near]] - near)
                 places = near[length >= m - allowed(m)]
                 # in parts, with the places in reach of each part
                 for begin in range(0, len(places), max(1, CELLS // m)):
                     core = places[begin : begin + max(1, CELLS // m)]
                     at = places[np.searchsorted(places, core[0] - allowed(m)) : np.searchsorted(places, core[-1] + allowed(m), "right")]
-                    for row, item, *new in self.found_at(m, at, hashes, row_of, stop_of):
+                    for row, item, *new in self.found_at(m, at, hashes, (low, count, before), row_of, stop_of):
                         if (row, item) not in best or new[:2] < best[row, item][:2]:
                             best[row, item] = new
         return [(row, item, int(starts[b] - offsets[row]), int(ends[b + used - 1] - offsets[row]), edits) for (row, item), (edits, b, used) in sorted(best.items())]
