@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -12,6 +12,9 @@ from ..functions import text as X
 from ..functions.parse import KIND_LIST, KIND_STRING, meta, meta_kind
 from . import graph as G
 
+#: Paths that one finding lists.
+LISTED_PATHS = 100
+
 SEVERITY = dict.fromkeys(C.ERROR_FAMILIES, "error") | dict.fromkeys(C.WARNING_FAMILIES, "warning")
 
 
@@ -39,16 +42,41 @@ def when(condition: Column, issue: str, detail: Column | None = None) -> Column:
     return F.when(condition, F.struct(F.lit(issue).alias("issue"), (F.lit("") if detail is None else F.coalesce(detail.cast("string"), F.lit(""))).alias("detail")))
 
 
+def _repeated(rows: DataFrame, name: str) -> DataFrame:
+    """name, n and paths (the LISTED_PATHS least) of values that several notes have; :func:`members` gives all as rows."""
+    first = Window.partitionBy(name).orderBy("path")
+    counts = rows.groupBy(name).agg(F.count("*").alias("n")).where("n > 1")
+    # the least paths: of each of several parts first
+    part = Window.partitionBy(name, F.pmod(F.xxhash64("path"), F.lit(32))).orderBy("path")
+    least = rows.join(counts.select(name), name, "left_semi").withColumn("place", F.row_number().over(part)).where(F.col("place") <= LISTED_PATHS)
+    least = least.withColumn("place", F.row_number().over(first)).where(F.col("place") <= LISTED_PATHS)
+    return counts.join(least.groupBy(name).agg(F.sort_array(F.collect_list("path")).alias("paths")), name).select(name, "n", "paths")
+
+
+def id_rows(notes: DataFrame) -> DataFrame:
+    """id (folded), path."""
+    return notes.select(X.fold(meta("id")).alias("id"), "path").where("id <> ''")
+
+
+def title_rows(notes: DataFrame) -> DataFrame:
+    """title (folded), path; root files, templates and redirects aside."""
+    rows = notes.where(~F.col("path").isin(*C.SCHEMA_EXEMPT_ROOT) & ~F.col("path").startswith("90-system/templates/") & (F.col("type") != "redirect"))
+    return rows.select(X.fold(F.col("title")).alias("title"), "path")
+
+
 def duplicate_ids(notes: DataFrame) -> DataFrame:
-    """id, paths, n of ids (folded) that several notes have."""
-    rows = notes.select(X.fold(meta("id")).alias("id"), "path").where("id <> ''")
-    return rows.groupBy("id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("path")).alias("paths")).where("n > 1")
+    """id, n, paths of ids (folded) that several notes have."""
+    return _repeated(id_rows(notes), "id")
 
 
 def duplicate_titles(notes: DataFrame) -> DataFrame:
-    """title, paths, n of titles (folded) that several notes have; root files, templates and redirects aside."""
-    rows = notes.where(~F.col("path").isin(*C.SCHEMA_EXEMPT_ROOT) & ~F.col("path").startswith("90-system/templates/") & (F.col("type") != "redirect"))
-    return rows.groupBy(X.fold(F.col("title")).alias("title")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("path")).alias("paths")).where("n > 1")
+    """title, n, paths of titles (folded) that several notes have; root files, templates and redirects aside."""
+    return _repeated(title_rows(notes), "title")
+
+
+def members(rows: DataFrame, repeated: DataFrame, name: str) -> DataFrame:
+    """All notes of repeated values as rows (:func:`id_rows` or :func:`title_rows`), however many one has."""
+    return rows.join(repeated.select(name), name, "left_semi")
 
 
 def metadata_issues(notes: DataFrame) -> DataFrame:
@@ -167,30 +195,34 @@ def tag_vocabulary(notes: DataFrame, limit: int = C.MAX_TAGS) -> DataFrame:
     return finding(rows, "tag_vocabulary", F.lit(""), F.col("tag"), F.col("total"))
 
 
-def skill_pointers(stubs: DataFrame, canonical: DataFrame) -> DataFrame:
-    """Adapter stubs against the skills they refer to.
+def skill_pointers(stubs: DataFrame, notes: DataFrame) -> DataFrame:
+    """Adapter stubs against the skill that each must refer to.
 
-    stubs: path, name, description, references (array of paths), directory;
-    canonical: path, name, description.
+    Both are notes (path, body, metadata); a stub names its skill in code marks,
+    by a path relative to its own folder.
     """
-    target = F.col("references")[0]
-    own = canonical.select(F.col("path").alias("ref"), F.col("name").alias("c_name"), F.col("description").alias("c_description"))
-    rows = stubs.withColumn("ref", F.when(F.size("references") == 1, F.replace(target, F.lit("\\"), F.lit("/")))).join(own, "ref", "left")
-    one, there = F.size("references") == 1, F.col("c_name").isNotNull()
-    outside = F.col("ref").startswith("../..") | F.col("ref").startswith("/") | F.col("ref").rlike("^[A-Za-z]:")
+    named = F.regexp_extract_all("body", F.lit(C.SKILL_REFERENCE), F.lit(1))
+    rows = stubs.select("path", meta("name").alias("name"), meta("description").alias("description"), named.alias("named"))
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    rows = rows.withColumn("target", F.when(F.size("named") == 1, F.replace(F.col("named")[0], F.lit("\\"), F.lit("/"))))
+    rows = rows.withColumn("odd", F.col("target").rlike("^(/|[A-Za-z]:)")).withColumn("ref", F.when(~F.col("odd"), X.inside(F.concat(folder, F.lit("/"), "target"))))
+    own = notes.where(F.col("path").startswith(C.SKILLS_FOLDER)).select(F.col("path").alias("ref"), meta("name").alias("c_name"), meta("description").alias("c_description"))
+    rows = rows.join(own, "ref", "left")
+    one, there = F.col("target").isNotNull(), F.col("c_name").isNotNull()
+    usable = one & ~F.col("odd")
     return exploded(
         rows,
         "skill_pointers",
         [
-            when(F.size("references") == 0, "no_reference"),
-            when(F.size("references") > 1, "multiple_references"),
-            when(one & F.contains(target, F.lit("\\")), "nonportable_reference", target),
-            when(one & outside, "reference_outside", target),
-            when(one & ~outside & ~F.col("ref").rlike(r"skills/[^/]+/SKILL\.md$"), "unexpected_reference", target),
-            when(one & ~outside & F.col("ref").rlike(r"skills/[^/]+/SKILL\.md$") & ~there, "missing_reference", target),
-            when(there & (F.col("name") != F.col("c_name")), "name_mismatch", F.col("c_name")),
-            when(there & (F.col("description") != F.col("c_description")), "description_mismatch", F.col("c_description")),
-            when(there & (F.col("directory") != F.col("name")), "directory_mismatch", F.col("directory")),
+            when(F.size("named") == 0, "no_canonical_reference"),
+            when(F.size("named") > 1, "multiple_canonical_references"),
+            when(one & F.col("odd"), "nonportable_reference", F.col("target")),
+            when(usable & F.col("ref").isNull(), "outside_vault", F.col("target")),
+            when(usable & ~F.col("ref").startswith(C.SKILLS_FOLDER), "unexpected_target", F.col("ref")),
+            when(usable & F.col("ref").startswith(C.SKILLS_FOLDER) & ~there, "missing_target", F.col("ref")),
+            when(there & (F.col("name") != F.col("c_name")), "name_mismatch", F.col("ref")),
+            when(there & (F.col("description") != F.col("c_description")), "description_mismatch", F.col("ref")),
+            when(there & (F.regexp_extract("path", "([^/]+)/[^/]*$", 1) != F.col("c_name")), "directory_name_mismatch", F.col("ref")),
         ],
     )
 
@@ -200,22 +232,21 @@ def relation_findings(notes: DataFrame) -> DataFrame:
     rows = finding(errors, "typed_relation_integrity", F.col("src"), F.col("issue"), F.concat_ws(":", "relation", "target"))
     missing = G.missing_inverses(valid)
     rows = rows.unionByName(finding(missing, "typed_relation_inverses", F.col("src"), F.concat_ws(":", "relation", "missing_inverse"), F.col("dst")))
-    return rows.unionByName(_cycle_rows(notes, valid.where("relation = 'supersedes'").select("src", "dst"), "typed_relation_integrity", "supersession_cycle"))
+    return rows.unionByName(_cycle_rows(valid.where("relation = 'supersedes'").select("src", "dst"), "typed_relation_integrity", "supersession_cycle"))
 
 
 def redirect_findings(notes: DataFrame) -> DataFrame:
     edges, found = G.redirects(governed(notes))
     rows = finding(found, "redirect_integrity", F.col("path"), F.col("issue"), F.col("target"))
-    return rows.unionByName(_cycle_rows(notes, edges, "redirect_integrity", "redirect_cycle"))
+    return rows.unionByName(_cycle_rows(edges, "redirect_integrity", "redirect_cycle"))
 
 
-def _cycle_rows(notes: DataFrame, edges: DataFrame, family: str, issue: str) -> DataFrame:
-    found = [(SEVERITY[family], family, ring[0], issue, " -> ".join(ring)) for ring in G.cycles(edges)]
-    return notes.sparkSession.createDataFrame(found, "severity string, family string, path string, issue string, detail string")
+def _cycle_rows(edges: DataFrame, family: str, issue: str) -> DataFrame:
+    return finding(G.rings(edges), family, F.col("ring")[0], F.lit(issue), F.array_join("ring", " -> "))
 
 
-def findings(notes: DataFrame, as_of: datetime.date, assets: DataFrame | None = None, stale_days: int = C.STALE_DAYS, max_tags: int = C.MAX_TAGS) -> DataFrame:
-    """All families over one table of notes, which is worth persisting as each family reads it."""
+def findings(notes: DataFrame, as_of: datetime.date, assets: DataFrame | None = None, stubs: DataFrame | None = None, stale_days: int = C.STALE_DAYS, max_tags: int = C.MAX_TAGS) -> DataFrame:
+    """All families over one table of notes, which is worth writing first as each family reads it; ``stubs`` are adapter notes."""
     targets = G.link_targets(notes, assets)
     edges = G.edges(targets)
     ids, titles = duplicate_ids(notes), duplicate_titles(notes)
@@ -235,6 +266,7 @@ def findings(notes: DataFrame, as_of: datetime.date, assets: DataFrame | None =
         raw_drafts(notes),
         freshness(notes, as_of),
         ai_review(notes),
+        *([] if stubs is None else [skill_pointers(stubs, notes)]),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as X
 from ..functions.parse import meta_values
+from . import store
 
 INVERSES = list(C.RELATION_INVERSES.items())
 
@@ -94,14 +95,11 @@ def on_cycles(edges_: DataFrame, rounds: int = 64) -> DataFrame:
 
     What is left holds all cycles; it is small for graphs that should have none.
     """
-    sc = edges_.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:  # set on a cluster
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "corvane-graph"))
-    now = edges_.where("src <> dst").distinct().checkpoint()
+    now = store.written(edges_.where("src <> dst").select("src", "dst").distinct(), "edges")
     count = now.count()
-    for _ in range(rounds):
+    for _ in range(rounds if count else 0):
         now = now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        now = now.join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst").checkpoint()
+        now = store.written(now.join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "peeled")
         left = now.count()
         if left == count or not left:
             break
@@ -109,21 +107,29 @@ def on_cycles(edges_: DataFrame, rounds: int = 64) -> DataFrame:
     return now
 
 
-def cycles(edges_: DataFrame, most_edges: int = 100_000) -> list[list[str]]:
-    """Directed cycles closed by a back edge, each from its least member; found among what peeling leaves."""
-    rows = on_cycles(edges_).limit(most_edges + 1).collect()
-    if len(rows) > most_edges:
-        raise ValueError(f"more than {most_edges} edges lie on cycles")
-    out: dict[str, list[str]] = {}
-    for r in rows:
-        out.setdefault(r["src"], []).append(r["dst"])
-    for v in out.values():
-        v.sort(key=str.casefold)
+def tangles(edges_: DataFrame) -> DataFrame:
+    """node, tangle: the least node that an undirected path leads to."""
+    both = store.written(undirected(edges_), "undirected")
+    label = store.written(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("tangle")), "labels")
+    while True:
+        near = both.join(label.select(F.col("node").alias("dst"), "tangle"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("tangle").alias("m"))
+        less = label.join(near, "node").select("node", F.col("tangle").alias("old"), F.least("tangle", "m").alias("tangle"))
+        # and the label's own label
+        jump = label.select(F.col("node").alias("tangle"), F.col("tangle").alias("further"))
+        new = store.written(less.join(jump, "tangle", "left").select("node", "old", F.coalesce(F.least("tangle", "further"), "tangle").alias("tangle")), "labels")
+        changed = new.where("old <> tangle").limit(1).count()
+        label = new.select("node", "tangle")
+        if not changed:
+            return label
+
+
+def rings_of(out: dict[str, list[str]]) -> list[tuple[str, ...]]:
+    """Directed cycles closed by a back edge of a depth-first search, each from its least member."""
     found, done = set(), set()
     for root in sorted(out, key=str.casefold):
         if root in done:
             continue
-        path, place, stack = [root], {root: 0}, [iter(out[root])]
+        path, place, stack = [root], {root: 0}, [iter(sorted(out[root], key=str.casefold))]
         while stack:
             nxt = next(stack[-1], None)
             if nxt is None:
@@ -137,8 +143,34 @@ def cycles(edges_: DataFrame, most_edges: int = 100_000) -> list[list[str]]:
             elif nxt not in done:
                 place[nxt] = len(path)
                 path.append(nxt)
-                stack.append(iter(out.get(nxt, ())))
-    return [list(c) for c in sorted(found)]
+                stack.append(iter(sorted(out.get(nxt, ()), key=str.casefold)))
+    return sorted(found)
+
+
+def rings(edges_: DataFrame) -> DataFrame:
+    """ring: the cycles, sought in each tangle by itself; a task holds one tangle at a time."""
+    left = on_cycles(edges_)
+    rows = left.join(tangles(left).select(F.col("node").alias("src"), "tangle"), "src")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flush = lambda out: pa.RecordBatch.from_arrays([pa.array([list(r) for r in rings_of(out)], pa.list_(pa.string()))], names=["ring"])
+        now, out = None, {}
+        for batch in batches:
+            for tangle, src, dst in zip(*(batch.column(c).to_pylist() for c in ("tangle", "src", "dst")), strict=True):
+                if tangle != now:
+                    if out:
+                        yield flush(out)
+                    now, out = tangle, {}
+                out.setdefault(src, []).append(dst)
+        if out:
+            yield flush(out)
+
+    return rows.select("tangle", "src", "dst").repartition("tangle").sortWithinPartitions("tangle").mapInArrow(run, "ring array<string>")
+
+
+def cycles(edges_: DataFrame) -> list[list[str]]:
+    """The rings on the driver, in order."""
+    return sorted(r["ring"] for r in rings(edges_).collect())
 
 
 def relation_rows(notes: DataFrame) -> DataFrame:
@@ -193,6 +225,27 @@ def outbound(targets: DataFrame) -> DataFrame:
     return each.select("path", fold_sorted(F.col("r")).alias("resolved"), fold_sorted(F.col("m")).alias("missing"))
 
 
+def links_at_risk(notes: DataFrame, canonical: str, retired: str, final_links: list[str]) -> DataFrame:
+    """target: links of a note to be retired that the final note would not hold.
+
+    Links are the same if they lead to the same note, or else by their folded
+    text; those to the canonical note itself are safe.
+    """
+    asked = notes.sparkSession.createDataFrame([(x,) for x in final_links], "target string").withColumn("kept", F.lit(True))
+    own = notes.where(F.col("path") == retired).select(F.explode("links").alias("target")).distinct().withColumn("kept", F.lit(False))
+    found = resolved(own.unionByName(asked), notes.select("path"))
+    found = found.withColumn("identity", X.fold(F.coalesce("dst", F.regexp_replace("target", r"\.md$", ""))))
+    safe = found.where("kept").select("identity").distinct()
+    at_risk = found.where(~F.col("kept") & (F.col("identity") != F.lit(canonical.casefold()))).join(safe, "identity", "left_anti")
+    return at_risk.select("target").distinct().orderBy(X.fold(F.col("target")), "target")
+
+
+def merge_context(notes: DataFrame, canonical: str, retired: str, final_links: list[str]) -> dict[str, list[str]]:
+    """What a merge must know of the rest of the corpus; lists of one note's links and of its redirects."""
+    at_risk = [r["target"] for r in links_at_risk(notes, canonical, retired, final_links).collect()]
+    return {"links_at_risk": at_risk, "inbound": sorted((r["path"] for r in inbound_redirects(notes, retired).collect()), key=str.casefold)}
+
+
 def inbound_redirects(notes: DataFrame, path: str) -> DataFrame:
     return redirects(notes)[0].where(F.col("dst") == path).select(F.col("src").alias("path"))
 

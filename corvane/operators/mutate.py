@@ -200,6 +200,8 @@ def apply_merge(canonical: str, retired: str, body: str, plan: str, target: str,
     now = merge_plan(canonical, retired, body, **context)
     if now["plan"] != plan:
         raise ValueError("plan_changed")
+    if now["inbound_redirects"]:
+        raise ValueError("retired_note_has_inbound_redirects")
     if (now["conflicts"] or now["links_at_risk"]) and not accept_warnings:
         raise ValueError("warnings_not_accepted")
     kept = with_frontmatter(canonical, {"aliases": now["aliases"], "tags": now["tags"], "updated": day.isoformat()})
@@ -219,6 +221,11 @@ def feedback_metadata(project: str, scope: str, confidence: str, evidence: Itera
     return {"capture_kind": "feedback", "ai_review": "pending", "project": project, "scope": scope, "confidence": confidence, "evidence": list(evidence)}
 
 
+def stamps_itself(path: str) -> bool:
+    """Whether an edit of this note sets its date: not root files, journals, raw sources, system files and attachments."""
+    return path.endswith(".md") and path not in C.SCHEMA_EXEMPT_ROOT and not path.startswith(C.UNSTAMPED)
+
+
 # -- files ------------------------------------------------------------------
 def inside(root: str, relative: str) -> str:
     """The absolute path, which must lie within the root and not be hidden."""

@@ -17,7 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..functions import text as X
-from ..functions.constants import EXCLUDED_DIRS
+from ..functions.constants import ADAPTER_FOLDERS, EXCLUDED_DIRS
 
 SCHEMA = "path string, content string, mtime timestamp, size bigint"
 
@@ -31,6 +31,16 @@ def walk(root: str) -> list[str]:
     return sorted(out, key=lambda p: (p.casefold(), p))
 
 
+def adapters(root: str) -> list[str]:
+    """Relative paths of the adapter stubs, which lie in hidden folders."""
+    found = []
+    for folder in ADAPTER_FOLDERS:
+        at = os.path.join(root, folder)
+        names = sorted(os.listdir(at)) if os.path.isdir(at) else []
+        found += [f"{folder}/{n}/SKILL.md" for n in names if os.path.isfile(os.path.join(at, n, "SKILL.md"))]
+    return found
+
+
 class FileGroup(InputPartition):
     def __init__(self, paths: list[str]):
         self.paths = paths
@@ -44,7 +54,7 @@ class CorpusReader(DataSourceReader):
 
     def partitions(self) -> list[FileGroup]:
         is_note = lambda p: p.lower().endswith(".md")
-        paths = [p for p in walk(self.root) if self.kind == "all" or is_note(p) == (self.kind == "notes")]
+        paths = adapters(self.root) if self.kind == "adapters" else [p for p in walk(self.root) if self.kind == "all" or is_note(p) == (self.kind == "notes")]
         return [FileGroup(paths[i : i + self.group]) for i in range(0, len(paths), self.group)] or [FileGroup([])]
 
     def read(self, partition: FileGroup) -> Iterator[tuple]:
@@ -53,7 +63,7 @@ class CorpusReader(DataSourceReader):
             try:
                 stat = os.stat(full)
                 content = None
-                if self.kind == "notes":
+                if self.kind in ("notes", "adapters"):
                     with open(full, encoding="utf-8-sig", errors="replace", newline="") as f:
                         content = f.read()
             except FileNotFoundError:  # gone since the listing
@@ -62,7 +72,7 @@ class CorpusReader(DataSourceReader):
 
 
 class CorpusSource(DataSource):
-    """Options: path; kind = notes (default), assets or all; filesPerPartition."""
+    """Options: path; kind = notes (default), assets, all or adapters; filesPerPartition."""
 
     @classmethod
     def name(cls) -> str:

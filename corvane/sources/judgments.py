@@ -60,17 +60,6 @@ def number(v: Column) -> Column:
     return F.when(kind(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(v, "$", "double"))
 
 
-def inside(path: Column) -> Column:
-    """The path relative to the corpus without ``.`` and ``..``; null if it leads outside."""
-
-    def step(done: Column, part: Column) -> Column:
-        up = F.when(F.size(done) > 0, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))  # above the root: null from here on
-        return F.when(part.isin("", "."), done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
-
-    parts = F.split(F.replace(F.trim(path), F.lit("\\"), F.lit("/")), "/")
-    return F.when(~F.startswith(F.trim(path), F.lit("/")), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
-
-
 # -- shared steps -----------------------------------------------------------
 def parsed(lines: DataFrame) -> DataFrame:
     return lines.withColumn("item", F.try_parse_json("raw"))
@@ -173,7 +162,7 @@ def _references(rows: DataFrame) -> DataFrame:
     of = lambda v, m: as_string(F.try_variant_get(v, f"$.{m}", "variant"))
     proof = F.transform("evidence", lambda v, i: F.struct(F.lit("evidence").alias("role"), i.alias("pos"), of(v, "path").alias("value"), of(v, "heading").alias("heading"), F.startswith(kind(v), F.lit("OBJECT")).alias("is_object")))
     each = rows.select(*LINE, F.explode(F.concat(plain("expected"), plain("forbidden"), proof)).alias("r")).select(*LINE, "r.*")
-    return each.withColumn("target", inside(F.col("value")))
+    return each.withColumn("target", X.inside(F.col("value")))
 
 
 # -- observations -----------------------------------------------------------

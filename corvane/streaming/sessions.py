@@ -33,7 +33,7 @@ def nested_maps(node: Any, depth: int = 0) -> Iterator[dict]:
 
 def arguments(node: dict) -> Any:
     """A tool call's arguments, which may be JSON in a string."""
-    raw = node.get("input", node.get("arguments", {}))
+    raw = next((node[k] for k in C.ARGUMENT_KEYS if k in node), {})
     if isinstance(raw, str):
         try:
             return json.loads(raw)
@@ -135,18 +135,33 @@ class Activity:
         return cls(turns, set(paths), pathless, before)
 
 
-def due(turns: int, edits: int, seconds_since_signal: float | None, early: bool = False) -> bool:
+@dataclass(frozen=True)
+class Thresholds:
+    """When enough has happened; the early ones hold before a session's text is compacted."""
+
+    turns: int = C.TURNS_DUE
+    edits: int = C.EDITS_DUE
+    early_turns: int = C.EARLY_TURNS_DUE
+    early_edits: int = C.EARLY_EDITS_DUE
+    cooldown: float = C.COOLDOWN_SECONDS
+
+
+def due(turns: int, edits: int, seconds_since_signal: float | None, early: bool = False, when: Thresholds = Thresholds()) -> bool:
     """Enough happened and the last signal is long enough ago."""
-    enough = (turns >= C.EARLY_TURNS_DUE or edits >= C.EARLY_EDITS_DUE) if early else (turns >= C.TURNS_DUE or edits >= C.EDITS_DUE)
-    return enough and (seconds_since_signal is None or seconds_since_signal >= C.COOLDOWN_SECONDS)
+    least_turns, least_edits = (when.early_turns, when.early_edits) if early else (when.turns, when.edits)
+    rested = seconds_since_signal is None or seconds_since_signal >= when.cooldown
+    return rested and (turns >= least_turns or edits >= least_edits)
 
 
-def decide(state: dict, activity: Activity, now: float, deliverable: bool, early: bool = False) -> bool:
-    """Whether to signal now. What can't be delivered is held and later goes out whatever the counts."""
+def decide(state: dict, activity: Activity, now: float, deliverable: bool, early: bool = False, when: Thresholds = Thresholds(), asks: bool = True) -> bool:
+    """Whether to signal now. What can't be delivered is held and later goes out whatever the counts.
+
+    Without ``asks`` only a held signal can go out.
+    """
     if activity.turns == 0 and activity.edits == 0 and state.get("captured"):
         state["pending"] = False
     since = None if state.get("last_signal") is None else now - state["last_signal"]
-    wanted = bool(state.get("pending")) or due(activity.turns, activity.edits, since, early)
+    wanted = bool(state.get("pending")) or (asks and due(activity.turns, activity.edits, since, early, when))
     if wanted and not deliverable:
         state["pending"] = True
         return False

@@ -111,10 +111,52 @@ def test_evidence_rules(spark):
     assert found == {("b.md"[-4:], "missing", k) for k in ("scope", "confidence", "evidence", "last_verified")} | {("c.md"[-4:], "invalid_confidence", "sure"), ("c.md"[-4:], "invalid_field", "evidence")}
 
 
-def test_skill_pointers(spark):
-    stubs = spark.createDataFrame([("s/a", "a", "d", ["skills/a/SKILL.md"], "a"), ("s/b", "b", "x", ["skills/b/SKILL.md"], "c"), ("s/c", "c", "d", [], "c"), ("s/d", "d", "d", ["../../../x"], "d")], "path string, name string, description string, references array<string>, directory string")
-    canonical = spark.createDataFrame([("skills/a/SKILL.md", "a", "d"), ("skills/b/SKILL.md", "bb", "d")], "path string, name string, description string")
-    assert {(r["path"], r["issue"]) for r in checks.skill_pointers(stubs, canonical).collect()} == {("s/b", "name_mismatch"), ("s/b", "description_mismatch"), ("s/b", "directory_mismatch"), ("s/c", "no_reference"), ("s/d", "reference_outside")}
+def stub(name, body, description="d"):
+    return f"---\nname: {name}\ndescription: {description}\n---\n{body}\n"
+
+
+def test_skill_pointers_from_files(spark, tmp_path):
+    put = lambda at, text: ((tmp_path / at).parent.mkdir(parents=True, exist_ok=True), (tmp_path / at).write_text(text))
+    for name in ("a", "b", "e"):
+        put(f"90-system/skills/{name}/SKILL.md", stub("bb" if name == "b" else name, "x"))
+    up = "../../../90-system/skills"
+    put(".claude/skills/a/SKILL.md", stub("a", f"See `{up}/a/SKILL.md`."))
+    put(".claude/skills/b/SKILL.md", stub("b", f"See `{up}/b/SKILL.md`.", "other"))
+    put(".claude/skills/c/SKILL.md", stub("c", "nothing"))
+    put(".agents/skills/d/SKILL.md", stub("d", f"`{up}/a/SKILL.md` and `{up}/b/SKILL.md`"))
+    put(".agents/skills/f/SKILL.md", stub("f", "`C:/90-system/skills/a/SKILL.md`"))
+    put(".agents/skills/g/SKILL.md", stub("g", "`../../../../90-system/skills/a/SKILL.md`"))
+    put(".agents/skills/h/SKILL.md", stub("h", f"`{up}/none/SKILL.md`"))
+    put(".agents/skills/i/SKILL.md", stub("i", "`../../../x/90-system/skills/a/SKILL.md`"))
+    stubs, table = notes(corpus.scan(spark, str(tmp_path), "adapters")), notes(corpus.scan(spark, str(tmp_path)))
+    assert {(r["path"].split("/")[2], r["issue"]) for r in checks.skill_pointers(stubs, table).collect()} == {
+        ("b", "name_mismatch"), ("b", "description_mismatch"), ("b", "directory_name_mismatch"), ("c", "no_canonical_reference"), ("d", "multiple_canonical_references"),
+        ("f", "nonportable_reference"), ("g", "outside_vault"), ("h", "missing_target"), ("i", "unexpected_target"),
+    }
+    assert checks.findings(table, DAY, stubs=stubs).where("family = 'skill_pointers'").count() == 9
+
+
+def test_rings_of_many_tangles(spark):
+    edges = [(f"t{t}n{i}", f"t{t}n{(i + 1) % (t + 2)}") for t in range(12) for i in range(t + 2)] + [("x", "t0n0"), ("t1n0", "y"), ("t3n0", "t3n2"), ("z", "z")]
+    got = graph.cycles(spark.createDataFrame(edges, "src string, dst string"))
+    names = lambda t: [f"t{t}n{i}" for i in range(t + 2)]
+    turned = lambda ring: min(ring[i:] + ring[:i] for i in range(len(ring)))
+    assert {tuple(r) for r in got} >= {tuple(turned(names(t))) for t in range(12)} and len(got) == 12  # the chord closes no further one
+    assert graph.cycles(spark.createDataFrame([("a", "b")], "src string, dst string")) == []
+
+
+def test_merge_context(spark):
+    rows = [("a.md", ["b", "Other", "c"]), ("b.md", []), ("c.md", []), ("r.md", [])]
+    table = spark.createDataFrame(rows, "path string, links array<string>")
+    found = graph.links_at_risk(table, "b.md", "a.md", ["C.md", "x"])
+    assert [r["target"] for r in found.collect()] == ["Other"]
+
+
+def test_many_notes_of_one_title_are_counted_and_listed_as_rows(spark):
+    table = notes(spark.createDataFrame([(f"10-projects/n{i:03}.md", "---\nid: same\n---\n# Same\n") for i in range(250)] + [("10-projects/x.md", "# Other\n")], "path string, content string"))
+    row = checks.duplicate_titles(table).collect()
+    assert [(r["title"], r["n"], len(r["paths"]), r["paths"][0]) for r in row] == [("same", 250, checks.LISTED_PATHS, "10-projects/n000.md")]
+    assert checks.members(checks.id_rows(table), checks.duplicate_ids(table), "id").count() == 250
 
 
 def test_readability(spark):
