@@ -468,3 +468,6 @@ def metadata_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.concat(F.lit("---\nflag: true\ntags:\n- "), F.col("c_mktsegment"), F.lit('\n- "a, b"\nnest:\n  year: 1843\nlong: |\n  one\n  two\n---\nx\n'))
     n = notes(R.table(spark, sf_dir, "customer").select(F.concat(F.lit("a/customer-"), k, F.lit(".md")).alias("path"), content.alias("content")))
     return n.where((meta("long") == "one two") & (meta("nest") == "year 1843") & (F.col("tags")[1] == "a, b")).select("stem", F.col("tags")[0].alias("first_tag"), F.col("metadata")["flag"]["kind"].alias("kind"))
+
+
+from . import more  # noqa: E402, F401  registers further queries
