@@ -1,8 +1,10 @@
 """Notes from files: loose metadata, structure, and derived columns.
 
 Metadata and everything that needs a scan with state (frontmatter, fences,
-headings outside code, prose paragraphs) is parsed once per text in an
-Arrow-batched function; links, titles, tags and terms are column expressions.
+headings outside code, prose paragraphs) is parsed in Arrow-batched functions,
+one for the metadata, one for the body and one for its structure, so that what
+a query doesn't use isn't computed; links, titles, tags and terms are column
+expressions.
 """
 
 from __future__ import annotations
@@ -10,13 +12,14 @@ from __future__ import annotations
 import json
 import operator
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 from itertools import accumulate
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from . import text as X
 from .constants import FIELD_WEIGHTS, PAYLOAD_BEGIN, PAYLOAD_END
@@ -73,6 +76,19 @@ def scalar(raw: str) -> Any:
     return s
 
 
+def first_lines(text: str) -> list[str]:
+    """The lines up to the end of the frontmatter, if there is one."""
+    opening = text[:200].splitlines()[:1]
+    if not opening or opening[0].strip() != "---":
+        return opening
+    size = 2048
+    while True:
+        lines = text[:size].splitlines()
+        if size >= len(text) or header_end(lines[:-1]):
+            return lines
+        size *= 4
+
+
 def header_end(lines: list[str]) -> int:
     """Number of lines of the frontmatter, 0 without one."""
     if lines and lines[0].strip() == "---":
@@ -86,12 +102,21 @@ def frontmatter(text: str) -> tuple[dict[str, Any], str, int]:
     """(metadata, body, lines before the body)."""
     lines = text.splitlines()
     end = header_end(lines)
-    if not end:
-        return {}, text, 0
+    return (header(lines[1 : end - 1]), "\n".join(lines[end:]), end) if end else ({}, text, 0)
+
+
+def metadata_of(text: str) -> dict[str, Any]:
+    lines = first_lines(text)
+    end = header_end(lines)
+    return header(lines[1 : end - 1]) if end else {}
+
+
+def header(lines: list[str]) -> dict[str, Any]:
+    """Keys and values of the lines within a frontmatter."""
     out: dict[str, Any] = {}
     entry: list | None = None  # [key, indicator, children]
     entries = []
-    for line in lines[1 : end - 1]:
+    for line in lines:
         bare = line.strip()
         child = not bare or line[0] == " " or line.startswith("- ")
         if entry is not None and child:
@@ -118,7 +143,7 @@ def frontmatter(text: str) -> tuple[dict[str, Any], str, int]:
             items = [scalar(c[2:]) for c in rest if c.startswith("- ")]
             pairs = {k.strip(): scalar(v) for k, _, v in (c.partition(":") for c in rest if not c.startswith("- ") and ":" in c)}
             out[key] = items or pairs or ""
-    return out, "\n".join(lines[end:]), end
+    return out
 
 
 def tagged(value: Any) -> dict[str, Any]:
@@ -191,14 +216,6 @@ def prose_counts(body: str) -> list[int]:
     return out
 
 
-STRUCTURE = """
-    metadata map<string, struct<kind: string, `values`: array<string>>>, meta_text string, body string,
-    structural_body string, link_text string, body_line_offset int, headings array<string>,
-    heading_rows array<struct<level: int, name: string, line: int, start: int>>,
-    tasks array<struct<line: int, done: boolean, text: string>>, prose array<int>
-"""
-
-
 def _struct(**fields: pa.DataType) -> pa.StructType:
     return pa.struct(list(fields.items()))
 
@@ -208,46 +225,49 @@ HEADINGS = pa.list_(_struct(level=pa.int32(), name=pa.string(), line=pa.int32(),
 TASKS = pa.list_(_struct(line=pa.int32(), done=pa.bool_(), text=pa.string()))
 
 
-def structure(raw: str) -> dict[str, Any]:
-    """All parsed columns of one file's text."""
+def head_part(raw: str) -> dict[str, Any]:
+    """The metadata, of the first lines only."""
+    tags = {k: tagged(v) for k, v in metadata_of(raw).items()}
+    return {"metadata": list(tags.items()), "meta_text": " ".join(v for t in tags.values() for v in t["values"])}
+
+
+def body_part(raw: str) -> dict[str, Any]:
+    """The body, what of it counts as the note's own, and the text that may hold links."""
     metadata, body, offset = frontmatter(raw)
     own = structural(body, metadata)
-    tags = {k: tagged(v) for k, v in metadata.items()}
-    meta_text = " ".join(v for t in tags.values() for v in t["values"])
-    return {
-        "metadata": list(tags.items()),
-        "meta_text": meta_text,
-        "body": body,
-        "structural_body": own,
-        "link_text": raw if own is body else meta_text + "\n" + own,
-        "body_line_offset": offset,
-        "headings": [m[2].strip() for m in HEADING.finditer(own)],
-        "heading_rows": heading_rows(body, offset),
-        "tasks": task_rows(own),
-        "prose": prose_counts(body),
-    }
-
-
-KINDS = {
-    "metadata": META, "meta_text": pa.string(), "body": pa.string(), "structural_body": pa.string(), "link_text": pa.string(),
-    "body_line_offset": pa.int32(), "headings": pa.list_(pa.string()), "heading_rows": HEADINGS, "tasks": TASKS, "prose": pa.list_(pa.int32()),
-}
-
-
-def parsed(files: DataFrame, content: str = "content", batch_rows: int = 1000) -> DataFrame:
-    """``files`` with the parsed columns in place of the content; null content is empty."""
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
-    keep = [c for c in files.columns if c != content]
+    link_text = raw if own is body else head_part(raw)["meta_text"] + "\n" + own
+    return {"body": body, "structural_body": own, "link_text": link_text, "body_line_offset": offset}
+
+
+def structure_part(raw: str) -> dict[str, Any]:
+    """Headings, tasks and paragraphs."""
+    metadata, body, offset = frontmatter(raw)
+    own = structural(body, metadata)
+    return {"headings": [m[2].strip() for m in HEADING.finditer(own)], "heading_rows": heading_rows(body, offset), "tasks": task_rows(own), "prose": prose_counts(body)}
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [structure((x or "").removeprefix("﻿")) for x in batch.column(content).to_pylist()]
-            own = [pa.array([r[k] for r in rows], t) for k, t in KINDS.items()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *own], names=[*keep, *KINDS])
+#: The parts by the columns they give: a query runs only the functions whose columns it uses.
+PARTS = {
+    head_part: _struct(metadata=META, meta_text=pa.string()),
+    body_part: _struct(body=pa.string(), structural_body=pa.string(), link_text=pa.string(), body_line_offset=pa.int32()),
+    structure_part: _struct(headings=pa.list_(pa.string()), heading_rows=HEADINGS, tasks=TASKS, prose=pa.list_(pa.int32())),
+}
 
-    kept = files.select(*keep).schema.simpleString().removeprefix("struct<").removesuffix(">")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*keep).schema), STRUCTURE]) if kept else STRUCTURE
-    return files.select(*keep, content).mapInArrow(run, schema)
+
+def _column(part: Callable[[str], dict], kind: pa.StructType, content: Column) -> Column:
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([part((x or "").removeprefix("﻿")) for x in texts.to_pylist()], kind)
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, from_arrow_type(kind))(content)
+
+
+def parsed(files: DataFrame, content: str = "content") -> DataFrame:
+    """``files`` with the parsed columns in place of the content; null content is empty."""
+    keep = [c for c in files.columns if c != content]
+    names = [f"_{part.__name__}" for part in PARTS]
+    out = files.select(*keep, *(_column(part, kind, F.col(content)).alias(n) for n, (part, kind) in zip(names, PARTS.items(), strict=True)))
+    return out.select(*keep, *(F.col(n)[f.name].alias(f.name) for n, kind in zip(names, PARTS.values(), strict=True) for f in kind))
 
 
 # -- notes ------------------------------------------------------------------

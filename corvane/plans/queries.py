@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.parse import meta, notes
-from ..operators import checks, evaluate, graph, index, pack, rank, readability, reports, views
+from ..operators import checks, evaluate, graph, index, pack, rank, readability, reports, store, views
 from ..sources.corpus import manifest_diff
 from ..streaming import sessions
 from . import render as R
@@ -255,7 +255,7 @@ def freshness_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(Q.CHECK_TOTALS)
 def check_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All families over the linked notes."""
-    return checks.totals(checks.findings(R.linked(spark, sf_dir).persist(), datetime.date(2020, 3, 1)))
+    return checks.totals(checks.findings(store.written(R.linked(spark, sf_dir), "notes"), datetime.date(2020, 3, 1)))
 
 
 # -- reports ----------------------------------------------------------------

@@ -82,7 +82,7 @@ def test_service(spark, tmp_path):
     assert not call("capture_note", title="New Thing", body="text", hub="40-knowledge/Hub")["isError"]
     assert "[[00-inbox/new-thing]]" in (tmp_path / "40-knowledge/Hub.md").read_text()
     assert call("capture_note", title="New Thing", body="text")["isError"]
-    assert call("read_note", path="../x")["isError"] and len(service.handle({"id": 2, "method": "tools/list"})["result"]["tools"]) == 7
+    assert call("read_note", path="../x")["isError"] and len(service.handle({"jsonrpc": "2.0", "id": 2, "method": "tools/list"})["result"]["tools"]) == 7
     answers: list[bytes] = []
-    tools.serve(service, iter([b'{"id": 3, "method": "ping"}', b"{broken", b'{"id": 4, "method": "zzz"}', b'{"method": "note"}']), answers.append)
+    tools.serve(service, iter([b'{"jsonrpc": "2.0", "id": 3, "method": "ping"}', b"{broken", b'{"jsonrpc": "2.0", "id": 4, "method": "zzz"}', b'{"jsonrpc": "2.0", "method": "note"}']), answers.append)
     assert [json.loads(a).get("id") for a in answers] == [3, None, 4]
