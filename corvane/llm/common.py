@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 #: Ids that may be broadcast (8 bytes each on the wire, about 40 MB as a hash table).
 BROADCAST_IDS = 400_000
-#: Settings under which Spark deletes a query's shuffle files at its end.
-CLEANUP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled",)
+#: Settings while a table is written: shuffle files go at the query's end.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Bytes of an Arrow batch, of which a task holds several copies in the JVM and the worker.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, the same for all operators, unless it has a bound of its own.
+
+    The setting is read when a query runs, which may be long after an operator
+    returned it, so it can't be put back.
+    """
+    key, size = BATCH_BYTES
+    if spark.conf.get(key).removesuffix("b") == str(64 << 20):  # as Spark sets it
+        spark.conf.set(key, str(size))
+
+
 class Scratch:
     """The tables written within a ``with scratch()`` block."""
 
@@ -72,11 +85,12 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     driver ends.
     """
     spark = df.sparkSession
+    bounded(spark)
     path = f"{shared_dir(spark)}/corvane-{tag}-{uuid.uuid4().hex}"
-    before = {k: spark.conf.get(k, None) for k in CLEANUP}
+    before = {k: spark.conf.get(k, None) for k in WRITING}
     try:
-        for k in CLEANUP:
-            spark.conf.set(k, "true")
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:
         for k, v in before.items():
@@ -105,6 +119,7 @@ def drop_table(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

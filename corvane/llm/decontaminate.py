@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import U, VALUES, constants, mix, prefix, span_hash, text_bytes, words
-from .common import slices
+from .common import bounded, slices
 
 #: Share of an item's words that may be edited.
 EDITS = 0.25
@@ -44,9 +44,9 @@ LEAST_WORDS = 5
 #: Walks (64 at most, a bit of a hash for each) and outputs sampled of each; a walk has STEPS steps for each word of the item.
 WALKS, PLACES, STEPS = 64, 2, 2
 #: Cells (window, pair, item) counted at once; bounds a worker's memory.
-CELLS = 1 << 22
+CELLS = 1 << 20
 #: Bytes of documents searched at once: several slices, as sizes are gone through one by one.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 #: Bytes of items searched at once; more take further passes over the documents.
 ITEM_BYTES = 4 << 20
 
@@ -224,7 +224,7 @@ class Items:
         mine = np.searchsorted(self.by_size[m], item)
         walked, of = np.unique(which, return_inverse=True)
         order = np.argsort(of, kind="stable")
-        step = CELLS // (4 * WALKS)
+        step = CELLS // WALKS
         hit = np.zeros(len(which), bool)
         for begin in range(0, len(walked), step):
             keys = walk_keys(window[walked[begin : begin + step]])
@@ -327,6 +327,7 @@ class Items:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, first_byte, end_byte, edits: the best place of each item in each document."""
+    bounded(docs.sparkSession)
     spark = docs.sparkSession
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import text_bytes
-from .common import slices
+from .common import bounded, slices
 
 SEGMENT = 256
 #: Labelled documents per language, and bytes of them all, at most; only documents of up to SAMPLE_DOC_BYTES are
@@ -202,6 +202,7 @@ def model_of(samples: dict[str, bytes]) -> LanguageModel:
 
 def identify(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
     """doc_id, held_out, lang_pred, score, phrase_rate."""
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(samples)  # of a bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

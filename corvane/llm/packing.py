@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, slices
+from .common import bounded, materialise, slices
 
 WINDOW = 2048
 END_ID = 1
@@ -103,6 +103,7 @@ def tokenizer(path: str) -> WordTokenizer:
 
 def token_pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     """Pieces of each document: at most ``window`` ids each, all but the last full."""
+    bounded(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import U, text_bytes
-from .common import materialise, only, slices
+from .common import bounded, materialise, only, slices
 from .decontaminate import tokens
 
 #: Documents in the samples at most.
@@ -262,6 +262,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame) -> list[dict]:
 
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     """doc_id, score, p_quality, p_toxic, keep."""
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

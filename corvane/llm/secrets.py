@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bounded, slices
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -156,6 +156,7 @@ def labelled_samples(docs: DataFrame, seed: int = 7) -> list[tuple[str, str]]:
 
 def scan(docs: DataFrame, model: SecretModel) -> DataFrame:
     """doc_id, counts by kind, digest of the rules' spans, all spans."""
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +192,7 @@ def mask(text: str, spans: list[tuple[str, int, int]], put: str = "[secret]") ->
 
 def redact(docs: DataFrame, model: SecretModel, put: str = "[secret]") -> DataFrame:
     """The documents with secrets replaced, n_chars following; all rows and columns stay."""
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

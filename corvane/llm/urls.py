@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Names of the sites in the labelled table, and urls for each.
@@ -135,6 +136,7 @@ def labelled_urls(seed: int = 17) -> list[tuple[str, str]]:
 
 def judge(pages: DataFrame, rules: Rules, model: UrlModel) -> DataFrame:
     """page_id, host, path, rule, verdict, p_allow."""
+    bounded(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast((rules, model))  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
