@@ -36,6 +36,10 @@ class Refused(Exception):
     """A request that is wrong in form: (code, message)."""
 
 
+class ReadTimeoutError(TimeoutError):
+    """A reading call that its deadline ended."""
+
+
 # -- frames -----------------------------------------------------------------
 def depth(node: Any) -> int:
     children = node.values() if isinstance(node, dict) else node if isinstance(node, list) else None
@@ -84,9 +88,9 @@ def tool_result(call: Callable[[], dict]) -> dict:
     """What a tool gives, or why it failed and whether trying again may help."""
     try:
         return text_result(call())
-    except TimeoutError:
+    except ReadTimeoutError:
         return text_result({"error": "read_timeout", "message": "The call took too long.", "retryable": True}, True)
-    except (BlockingIOError, FileExistsError):  # another writer holds the lock
+    except (TimeoutError, BlockingIOError, FileExistsError):  # another writer holds the lock
         return text_result({"error": "cache_busy", "message": "Another writer is at work; try again shortly.", "retryable": True}, True)
     except (PySparkException, Py4JError):
         return text_result({"error": "cache_unavailable", "message": "The notes or their index can't be read.", "retryable": False}, True)
@@ -240,7 +244,7 @@ class Desk:
 
         def call(name: str, arguments: Any) -> dict:
             if job.reading and left <= 0:
-                raise TimeoutError("read_timeout")
+                raise ReadTimeoutError
             return self.service.call(name, arguments, left, job.group)
 
         answer = None if job.cancelled else answered(job.message, call)

@@ -7,6 +7,7 @@ at once. The protocol around them is in :mod:`corvane.service.protocol`.
 from __future__ import annotations
 
 import datetime
+import re
 import threading
 from collections.abc import Callable
 from typing import Any
@@ -39,74 +40,151 @@ def number(low: int, high: int, default: int) -> dict:
     return {"kind": "integer", "low": low, "high": high, "default": default}
 
 
-def strings(high: int) -> dict:
-    return {"kind": "strings", "high": high}
+def strings(high: int, chars: int, low: int = 0) -> dict:
+    return {"kind": "strings", "high": high, "chars": chars, "low": low}
 
 
+def flag(default: bool = False) -> dict:
+    return {"kind": "boolean", "default": default}
+
+
+def choice(*values: str) -> dict:
+    return {"kind": "choice", "values": values}
+
+
+def record(**arguments: dict) -> dict:
+    return {"kind": "record", "arguments": arguments}
+
+
+QUERY = {"query": text(1, 500), "limit": number(1, 20, 8), "types": strings(12, 40), "tags": strings(12, 64), "fuzzy": flag()}
+TITLE, CONTENT, TAGS = text(1, 180), text(1, 50_000), strings(12, 64)
 #: name: (arguments, read only)
 TOOLS: dict[str, tuple[dict[str, dict], bool]] = {
-    "search": ({"query": text(1, 500), "limit": number(1, 20, 8), "types": strings(20), "tags": strings(20), "since": text(10, 10, False)}, True),
-    "context_pack": ({"query": text(1, 500), "limit": number(1, 12, 8), "budget_tokens": number(256, 12_000, 4000)}, True),
-    "related": ({"path": text(1, 500), "depth": number(1, 3, 1)}, True),
-    "read_note": ({"path": text(1, 500), "max_chars": number(1, 100_000, 20_000)}, True),
-    "status": ({}, True),
-    "capture_note": ({"title": text(1, 120), "body": text(1, 100_000), "tags": strings(20), "hub": text(1, 500, False)}, False),
-    "capture_source": ({"title": text(1, 120), "url": text(8, 2000), "payload": text(1, 500_000)}, False),
+    "search_vault": (QUERY | {"since": text(10, 10, False), "excerpt_chars": number(80, 1000, C.EXCERPT_CHARS)}, True),
+    "build_context_pack": (QUERY | {"limit": number(1, 12, 8), "budget_tokens": number(256, 12_000, 4000)}, True),
+    "related_notes": ({"path": text(1, 500), "depth": number(1, 3, 1)}, True),
+    "read_note": ({"path": text(1, 500), "max_chars": number(1000, 50_000, 12_000)}, True),
+    "vault_status": ({}, True),
+    "capture_note": ({"title": TITLE, "content": CONTENT, "tags": TAGS, "feedback": record(scope=text(1, 300), evidence=strings(8, 1000, 1), project=text(1, 500, False)), "hub": text(1, 500, False)}, False),
+    "capture_raw_source": ({"title": TITLE, "content": CONTENT, "source_url": text(0, 1000, False), "author": text(0, 300, False), "published": text(0, 100, False), "capture_scope": choice("full", "excerpt"), "tags": TAGS, "hub": text(1, 500, False)}, False),
 }
+#: File names that some systems keep to themselves.
+RESERVED = {"con", "prn", "aux", "nul", *(f"{device}{n}" for device in ("com", "lpt") for n in range(1, 10))}
+TAG = re.compile(r"[\w-][\w/-]*")
+NOTE_BYTES = 2_000_000
 
 
 def validated(tool: str, arguments: Any) -> dict:
     """Arguments with defaults; unknown names, wrong kinds, sizes and control characters are refused."""
     if tool not in TOOLS:
         raise InputError(f"unknown tool: {tool}")
-    if not isinstance(arguments, dict):
-        raise InputError("arguments must be an object")
-    wanted = TOOLS[tool][0]
-    if extra := sorted(set(arguments) - set(wanted)):
-        raise InputError(f"unknown arguments: {', '.join(extra)}")
-    out = {}
-    for name, rule in wanted.items():
-        value = arguments.get(name)
-        if rule["kind"] == "integer":
-            value = rule["default"] if value is None else value
-            if isinstance(value, bool) or not isinstance(value, int) or not rule["low"] <= value <= rule["high"]:
-                raise InputError(f"{name} must be an integer from {rule['low']} to {rule['high']}")
-        elif rule["kind"] == "strings":
-            value = [] if value is None else value
-            if not isinstance(value, list) or len(value) > rule["high"] or not all(isinstance(v, str) and v.strip() for v in value):
-                raise InputError(f"{name} must be a list of at most {rule['high']} texts")
-            if len({v.casefold() for v in value}) < len(value):
-                raise InputError(f"{name} has repeated entries")
-        elif value is None:
-            if rule["required"]:
-                raise InputError(f"{name} is missing")
-        elif not isinstance(value, str) or not rule["low"] <= len(value.strip()) or len(value) > rule["high"]:
-            raise InputError(f"{name} must be a text of {rule['low']} to {rule['high']} characters")
-        elif name not in ("body", "payload") and any(ord(c) < 32 for c in value):
-            raise InputError(f"{name} has control characters")
-        out[name] = value
+    out = checked_record("arguments", TOOLS[tool][0], arguments)
     if out.get("since"):
         try:
             datetime.date.fromisoformat(out["since"])
         except ValueError:
             raise InputError("since must be a date") from None
+    if tool.startswith("capture"):
+        out["title"] = proper_title(out["title"])
+        if odd := [t for t in out["tags"] if not TAG.fullmatch(t)]:
+            raise InputError(f"tags hold letters, digits, underscore, hyphen and slash only: {odd[0]}")
+    if odd := sorted(set(out.get("types", ())) - set(C.KNOWN_TYPES)):
+        raise InputError(f"unknown note type: {odd[0]}")
     return out
 
 
+def proper_title(title: str) -> str:
+    """A title that can be a file's name and a link's target."""
+    title = title.strip()
+    if title in ("", ".", "..") or any(c in "[]|#" for c in title) or title.endswith("."):
+        raise InputError("title is blank, ends in a dot or holds a character that links use")
+    if title.rsplit(".", 1)[0].casefold() in RESERVED:
+        raise InputError("title is a reserved file name")
+    return title
+
+
+def checked_record(name: str, wanted: dict[str, dict], value: Any) -> dict:
+    if not isinstance(value, dict):
+        raise InputError(f"{name} must be an object")
+    if extra := sorted(set(value) - set(wanted)):
+        raise InputError(f"unknown arguments: {', '.join(extra)}")
+    return {k: CHECKS[rule["kind"]](k, rule, value.get(k)) for k, rule in wanted.items()}
+
+
+def checked_integer(name: str, rule: dict, value: Any) -> int:
+    value = rule["default"] if value is None else value
+    if isinstance(value, bool) or not isinstance(value, int) or not rule["low"] <= value <= rule["high"]:
+        raise InputError(f"{name} must be an integer from {rule['low']} to {rule['high']}")
+    return value
+
+
+def checked_flag(name: str, rule: dict, value: Any) -> bool:
+    if value is not None and not isinstance(value, bool):
+        raise InputError(f"{name} must be true or false")
+    return rule["default"] if value is None else value
+
+
+def checked_strings(name: str, rule: dict, value: Any) -> list[str]:
+    value = [] if value is None else value
+    if not isinstance(value, list) or not rule["low"] <= len(value) <= rule["high"] or not all(isinstance(v, str) and v.strip() and len(v) <= rule["chars"] for v in value):
+        raise InputError(f"{name} must be a list of {rule['low']} to {rule['high']} texts of at most {rule['chars']} characters")
+    value = [v.strip() for v in value]
+    if any(ord(c) < 32 for v in value for c in v):
+        raise InputError(f"{name} has control characters")
+    if len({v.casefold() for v in value}) < len(value):
+        raise InputError(f"{name} has repeated entries")
+    return value
+
+
+def checked_text(name: str, rule: dict, value: Any) -> str | None:
+    if value is None:
+        if rule["required"]:
+            raise InputError(f"{name} is missing")
+        return None
+    if not isinstance(value, str) or len(value.strip()) < rule["low"] or len(value) > rule["high"]:
+        raise InputError(f"{name} must be a text of {rule['low']} to {rule['high']} characters")
+    if name != "content" and any(ord(c) < 32 for c in value):
+        raise InputError(f"{name} has control characters")
+    return value
+
+
+def checked_choice(name: str, rule: dict, value: Any) -> str:
+    if value is not None and value not in rule["values"]:
+        raise InputError(f"{name} must be one of {', '.join(rule['values'])}")
+    return value or rule["values"][0]
+
+
+CHECKS: dict[str, Callable[[str, dict, Any], Any]] = {
+    "integer": checked_integer, "boolean": checked_flag, "strings": checked_strings, "string": checked_text, "choice": checked_choice,
+    "record": lambda name, rule, value: None if value is None else checked_record(name, rule["arguments"], value),
+}
+
+
+def schema(rule: dict) -> dict:
+    """JSON schema of one argument."""
+    match rule["kind"]:
+        case "string":
+            return {"type": "string", "minLength": rule["low"], "maxLength": rule["high"]}
+        case "integer":
+            return {"type": "integer", "minimum": rule["low"], "maximum": rule["high"], "default": rule["default"]}
+        case "boolean":
+            return {"type": "boolean", "default": rule["default"]}
+        case "choice":
+            return {"type": "string", "enum": list(rule["values"]), "default": rule["values"][0]}
+        case "strings":
+            return {"type": "array", "items": {"type": "string", "minLength": 1, "maxLength": rule["chars"]}, "minItems": rule["low"], "maxItems": rule["high"], "uniqueItems": True}
+    return object_schema(rule["arguments"])
+
+
+def object_schema(arguments: dict[str, dict]) -> dict:
+    required = [k for k, r in arguments.items() if r.get("required") or r.get("low") and r["kind"] == "strings"]
+    return {"type": "object", "properties": {k: schema(r) for k, r in arguments.items()}, "required": required, "additionalProperties": False}
+
+
 def schemas() -> list[dict]:
-    """JSON schemas of the tools with their annotations."""
-    kinds = {
-        "string": lambda r: {"type": "string", "minLength": r["low"], "maxLength": r["high"]},
-        "integer": lambda r: {"type": "integer", "minimum": r["low"], "maximum": r["high"], "default": r["default"]},
-        "strings": lambda r: {"type": "array", "items": {"type": "string"}, "maxItems": r["high"], "uniqueItems": True},
-    }
-    out = []
-    for name, (arguments, read_only) in TOOLS.items():
-        properties = {k: kinds[r["kind"]](r) for k, r in arguments.items()}
-        required = [k for k, r in arguments.items() if r.get("required")]
-        schema = {"type": "object", "properties": properties, "required": required, "additionalProperties": False}
-        out.append({"name": name, "inputSchema": schema, "annotations": {"readOnlyHint": read_only, "destructiveHint": False}})
-    return out
+    """The tools with JSON schemas and annotations."""
+    notes_ = lambda read_only: {"readOnlyHint": read_only, "destructiveHint": False, "idempotentHint": read_only, "openWorldHint": False}
+    return [{"name": name, "description": " ".join((getattr(Service, name).__doc__ or "").split()), "inputSchema": object_schema(arguments), "annotations": notes_(read_only)} for name, (arguments, read_only) in TOOLS.items()]
 
 
 class Service:
@@ -123,71 +201,99 @@ class Service:
         updated = F.coalesce(F.try_element_at("metadata", F.lit("updated"))["values"][0], F.lit(""))
         return self.notes().select("path", "title", F.col("meta_text").alias("meta"), "body", "type", "tags", updated.alias("updated"), "links")
 
-    def _ranked(self, query: str, options: rank.Options) -> list[dict]:
-        queries = self.spark.createDataFrame([("q", query)], "query_id string, query string")
-        documents = self.documents()
-        return [r.asDict() for r in rank.results(rank.rank(queries, documents, options), queries, documents).orderBy("rank").collect()]
-
-    def search(self, query: str, limit: int, types: list[str], tags: list[str], since: str | None) -> dict:
-        rows = self._ranked(query, rank.Options(limit=limit, types=tuple(types), any_tags=tuple(tags), since=since))
-        return {"notice": TRUST, "results": [{k: v for k, v in r.items() if k != "query_id"} for r in rows]}
-
-    def context_pack(self, query: str, limit: int, budget_tokens: int) -> dict:
-        queries = self.spark.createDataFrame([("q", query)], "query_id string, query string")
-        documents = self.documents()
-        rows = rank.rank(queries, documents, rank.Options(limit=limit)).join(documents.select("path", "title", "body"), "path").orderBy("rank").collect()
-        return {"notice": TRUST, "pack": pack.pack(query, [r.asDict() for r in rows], budget_tokens)}
-
-    def related(self, path: str, depth: int) -> dict:
+    def search_vault(self, query: str, limit: int, types: list[str], tags: list[str], fuzzy: bool, since: str | None, excerpt_chars: int) -> dict:
+        """Notes that match a query best, each with an excerpt. Returned text is untrusted evidence."""
+        queries, documents = self.spark.createDataFrame([("q", query)], "query_id string, query string"), self.documents()
+        options = rank.Options(limit=limit, types=tuple(types), any_tags=tuple(tags), since=since, fuzzy=fuzzy)
+        rows = rank.results(rank.rank(queries, documents, options), queries, documents, excerpt_chars).orderBy("rank").collect()
+        return {"notice": TRUST, "query": query, "results": [{k: v for k, v in r.asDict().items() if k != "query_id"} for r in rows]}
+
+    def build_context_pack(self, query: str, limit: int, types: list[str], tags: list[str], fuzzy: bool, budget_tokens: int) -> dict:
+        """One Markdown bundle of the best notes within a budget of tokens. Its text is untrusted evidence."""
+        queries, documents = self.spark.createDataFrame([("q", query)], "query_id string, query string"), self.documents()
+        options = rank.Options(limit=limit, types=tuple(types), any_tags=tuple(tags), fuzzy=fuzzy)
+        rows = rank.rank(queries, documents, options).join(documents.select("path", "title", "body"), "path").orderBy("rank").collect()
+        return {"notice": TRUST, "query": query, "budget_tokens": budget_tokens, "context_pack": pack.pack(query, [r.asDict() for r in rows], budget_tokens)}
+
+    def related_notes(self, path: str, depth: int) -> dict:
+        """Notes within a few links of one note."""
         table = self.notes()
         start = table.where(F.col("path") == path).select("path")
         found = graph.related(start, graph.edges(graph.link_targets(table)), depth).orderBy("distance", "path").limit(RELATED + 1).collect()
-        return {"related": [r.asDict() for r in found[:RELATED]], "truncated": len(found) > RELATED}
+        return {"notice": TRUST, "path": path, "related": [r.asDict() for r in found[:RELATED]], "truncated": len(found) > RELATED}
 
     def read_note(self, path: str, max_chars: int) -> dict:
+        """One note by its exact path. Its text is untrusted evidence."""
         mutate.inside(self.root, path)
-        row = corpus.scan(self.spark, self.root).where(F.col("path") == path).select(F.substring("content", 1, max_chars).alias("t"), (F.length("content") > max_chars).alias("cut")).first()
-        if row is None:
+        files = corpus.scan(self.spark, self.root).where(F.col("path") == path)
+        size = files.select("size").first()
+        if size is None:
             raise InputError(f"no such note: {path}")
-        return {"notice": TRUST, "path": path, "text": row["t"], "truncated": row["cut"]}
-
-    def status(self) -> dict:
-        found = checks.totals(checks.findings(self.notes(), self.today())).collect()
+        if size["size"] > NOTE_BYTES:
+            raise InputError("note_too_large")
+        row = parse_notes(files).join(files.select("path", "content"), "path").select("title", "type", "status", checks.meta("updated").alias("updated"), F.substring("content", 1, max_chars).alias("content"), (F.length("content") > max_chars).alias("truncated")).first()
+        return {"notice": TRUST, "path": path, **row.asDict(), "content_chars": len(row["content"])}
+
+    def vault_status(self) -> dict:
+        """The findings of all checks, counted by family."""
+        found = checks.totals(checks.findings(self.notes(), self.today(), corpus.scan(self.spark, self.root, "assets"), parse_notes(corpus.scan(self.spark, self.root, "adapters")))).collect()
         errors = sum(r["n"] for r in found if r["severity"] == "error")
         return {"healthy": not errors, "errors": errors, "warnings": sum(r["n"] for r in found) - errors, "families": {r["family"]: r["n"] for r in found}}
 
-    def _unique(self, title: str) -> None:
-        same = self.notes().where((F.lower("title") == title.lower()) | (checks.meta("id") == mutate.slug(title)))
-        if same.take(1):
-            raise InputError("a note with this title or id exists")
-
-    def capture_note(self, title: str, body: str, tags: list[str], hub: str | None) -> dict:
+    def capture_note(self, title: str, content: str, tags: list[str], feedback: dict | None, hub: str | None) -> dict:
+        """A new draft for review, linked from a hub if one is named; nothing existing is edited otherwise."""
+        extra: dict = {}
+        if feedback:
+            extra = {k: v for k, v in mutate.feedback_metadata(self._project(feedback["project"]), feedback["scope"], "observed", feedback["evidence"]).items() if v}
+        head = {"type": "note", "status": "draft", "ai_review": "pending", "tags": tags} | extra
+        return self._captured("00-inbox", title, head, f"> {C.DRAFT_CALLOUT}\n\n{content}\n", hub)
+
+    def capture_raw_source(self, title: str, content: str, source_url: str | None, author: str | None, published: str | None, capture_scope: str, tags: list[str], hub: str | None) -> dict:
+        """An external text, kept verbatim within the boundary of untrusted payloads and sealed at once."""
+        if source_url and not source_url.startswith(("http://", "https://")):
+            raise InputError("source_url must be http or https")
+        if C.PAYLOAD_BEGIN in content or C.PAYLOAD_END in content:
+            raise InputError("content holds a payload mark")
+        head = {"type": "raw-source", "status": "draft", "source_url": source_url, "author": author, "published": published, "capture_scope": capture_scope, "tags": tags}
+        body = f"{C.PAYLOAD_BEGIN}\n{content}\n{C.PAYLOAD_END}\n"
+        return self._captured("30-resources/sources/raw", title, {k: v for k, v in head.items() if v}, body, hub, lambda t: mutate.sealed(t, self.today()))
+
+    def _project(self, path: str | None) -> str:
+        """A project's link for feedback; the note must exist and be a project or repository."""
+        if not path:
+            return ""
+        found = self.notes().where((F.col("path") == path) & F.col("type").isin("project", "repository")).take(1)
+        if not found:
+            raise InputError(f"no such project: {path}")
+        return f"[[{path.removesuffix('.md')}]]"
+
+    def _captured(self, folder: str, title: str, head: dict, body: str, hub: str | None, finish: Callable[[str], str] = lambda t: t) -> dict:
+        """Write a new note and its hub's link together; its name and id must be new and its links lead somewhere."""
+        name, day = mutate.slug(title), self.today().isoformat()
+        path = f"{folder}/{name}.md"
         with mutate.write_lock(self.root):
-            self._unique(title)
-            day = self.today().isoformat()
-            head = {"id": mutate.slug(title), "type": "note", "status": "draft", "created": day, "updated": day, "ai_review": "pending", "tags": tags}
-            content = mutate.with_frontmatter("", head) + f"\n# {title}\n\n> {C.DRAFT_CALLOUT}\n\n{body}\n"
-            path = f"00-inbox/{mutate.slug(title)}.md"
+            table = self.notes()
+            if table.where((F.lower("title") == title.lower()) | (checks.meta("id") == name)).take(1):
+                raise InputError("a note with this title or id exists")
+            text_ = mutate.with_frontmatter("", {"id": name, "created": day, "updated": day} | head) + f"\n# {title}\n\n{body}"
             changes = {}
             if hub:
-                content = mutate.with_parent(content, hub.removesuffix(".md"))
+                text_ = mutate.with_parent(text_, hub.removesuffix(".md"))
                 full = mutate.inside(self.root, hub if hub.endswith(".md") else hub + ".md")
                 with open(full, encoding="utf-8", newline="") as f:
                     changes[full] = mutate.with_link(f.read(), path.removesuffix(".md"))
-            self._install({mutate.inside(self.root, path): content, **changes})
+            text_ = finish(text_)
+            if missing := self._unresolved(table, path, text_):
+                raise InputError(f"unresolved_capture_links: {', '.join(missing)}")
+            self._install({mutate.inside(self.root, path): text_, **changes})
         return {"path": path}
 
-    def capture_source(self, title: str, url: str, payload: str) -> dict:
-        if not url.startswith(("http://", "https://")):
-            raise InputError("url must be http or https")
-        with mutate.write_lock(self.root):
-            self._unique(title)
-            day = self.today()
-            head = {"id": mutate.slug(title), "type": "raw-source", "status": "draft", "created": day.isoformat(), "updated": day.isoformat(), "source_url": url}
-            content = mutate.with_frontmatter("", head) + f"\n# {title}\n\n{C.PAYLOAD_BEGIN}\n{payload}\n{C.PAYLOAD_END}\n"
-            path = f"30-resources/sources/raw/{mutate.slug(title)}.md"
-            self._install({mutate.inside(self.root, path): mutate.sealed(content, day)})
-        return {"path": path}
+    def _unresolved(self, table: DataFrame, path: str, text_: str) -> list[str]:
+        """Links of a note to be that lead nowhere, twenty at most."""
+        own = parse_notes(self.spark.createDataFrame([(path, text_)], "path string, content string"))
+        known = table.select("path").union(own.select("path"))
+        targets = graph.resolved(graph.link_rows(own).distinct(), known, corpus.scan(self.spark, self.root, "assets"))
+        return [r["target"] for r in graph.unresolved(targets).orderBy("target").limit(20).collect()]
 
     @staticmethod
     def _install(changes: dict[str, str]) -> None:
@@ -217,7 +323,7 @@ class Service:
             return getattr(self, tool)(**own)
         except Exception as e:
             if late.is_set():
-                raise TimeoutError("read_timeout") from e
+                raise protocol.ReadTimeoutError from e
             raise
         finally:
             if timer:

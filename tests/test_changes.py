@@ -63,7 +63,7 @@ def test_files(tmp_path):
 
 @pytest.mark.parametrize(
     ("tool", "arguments"),
-    [("nope", {}), ("search", {}), ("search", {"query": "x", "limit": 21}), ("search", {"query": "x", "limit": True}), ("search", {"query": "a\x00"}), ("search", {"query": "x", "more": 1}), ("search", {"query": "x", "tags": ["a", "A"]}), ("search", {"query": "x", "since": "2024-13-01"}), ("status", [])],
+    [("nope", {}), ("search_vault", {}), ("search_vault", {"query": "x", "limit": 21}), ("search_vault", {"query": "x", "limit": True}), ("search_vault", {"query": "a\x00"}), ("search_vault", {"query": "x", "more": 1}), ("search_vault", {"query": "x", "tags": ["a", "A"]}), ("search_vault", {"query": "x", "since": "2024-13-01"}), ("vault_status", []), ("search_vault", {"query": "x", "types": ["nope"]}), ("search_vault", {"query": "x", "fuzzy": 1}), ("capture_note", {"title": "con", "content": "x"}), ("capture_note", {"title": "a[b", "content": "x"}), ("capture_note", {"title": "a", "content": "x", "tags": ["#t"]}), ("capture_note", {"title": "a", "content": "x", "feedback": {"scope": "s"}}), ("capture_raw_source", {"title": "a", "content": "x", "capture_scope": "some"})],
 )
 def test_arguments_refused(tool, arguments):
     with pytest.raises(tools.InputError):
@@ -76,13 +76,21 @@ def test_service(spark, tmp_path):
     (tmp_path / "40-knowledge/Alpha.md").write_text("---\nid: alpha\ntype: concept\n---\n# Alpha\n\nSemantic widgets. [[Hub]]\n")
     service = tools.Service(spark, str(tmp_path), lambda: DAY)
     call = lambda name, **kw: service.handle({"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": name, "arguments": kw}})["result"]
-    found = json.loads(call("search", query="widgets")["content"][0]["text"])
+    found = json.loads(call("search_vault", query="widgets")["content"][0]["text"])
     assert found["results"][0]["path"] == "40-knowledge/Alpha.md" and "untrusted" in found["notice"]
-    assert json.loads(call("related", path="40-knowledge/Hub.md")["content"][0]["text"])["related"] == [{"path": "40-knowledge/Alpha.md", "distance": 1}]
-    assert not call("capture_note", title="New Thing", body="text", hub="40-knowledge/Hub")["isError"]
+    assert json.loads(call("related_notes", path="40-knowledge/Hub.md")["content"][0]["text"])["related"] == [{"path": "40-knowledge/Alpha.md", "distance": 1}]
+    assert not call("capture_note", title="New Thing", content="text", hub="40-knowledge/Hub")["isError"]
     assert "[[00-inbox/new-thing]]" in (tmp_path / "40-knowledge/Hub.md").read_text()
-    assert call("capture_note", title="New Thing", body="text")["isError"]
+    assert call("capture_note", title="New Thing", content="text")["isError"]
     assert call("read_note", path="../x")["isError"] and len(service.handle({"jsonrpc": "2.0", "id": 2, "method": "tools/list"})["result"]["tools"]) == 7
+    assert "unresolved_capture_links" in call("capture_note", title="Other", content="see [[Nowhere]]")["content"][0]["text"]
+    assert not call("capture_note", title="Lesson", content="see [[Alpha]]", feedback={"scope": "all", "evidence": ["a log"]})["isError"]
+    assert "capture_kind: feedback" in (tmp_path / "00-inbox/lesson.md").read_text()
+    assert not call("capture_raw_source", title="Source", content="[[untrusted]] text", source_url="https://x.example", tags=["web/page"])["isError"]
+    read = json.loads(call("read_note", path="30-resources/sources/raw/source.md")["content"][0]["text"])
+    assert read["type"] == "raw-source" and read["status"] == "immutable" and not read["truncated"] and read["content_chars"] == len(read["content"])
+    assert call("capture_raw_source", title="Source 2", content="x", source_url="ftp://x")["isError"]
+    assert json.loads(call("vault_status")["content"][0]["text"])["families"].get("raw_source_integrity") is None
     answers: list[bytes] = []
     tools.serve(service, iter([b'{"jsonrpc": "2.0", "id": 3, "method": "ping"}', b"{broken", b'{"jsonrpc": "2.0", "id": 4, "method": "zzz"}', b'{"jsonrpc": "2.0", "method": "note"}']), answers.append)
     assert [json.loads(a).get("id") for a in answers] == [3, None, 4]

@@ -77,23 +77,23 @@ def test_notifications_have_no_answer():
 
 
 def test_admission_duplicates_and_failures():
-    messages = [call(0, "read_note", path="a"), call(0, "status"), request("p"), *(call(i, "status") for i in range(1, 12)), call(20, "related", path="busy")]
+    messages = [call(0, "read_note", path="a"), call(0, "vault_status"), request("p"), *(call(i, "vault_status") for i in range(1, 12)), call(20, "related_notes", path="busy")]
     fake, out = run(messages)
     kinds = {(m["id"], "error" in m): m for m in out}
     assert kinds[0, True]["error"]["code"] == -32600 and out.index(kinds["p", False]) < out.index(kinds[0, False])
     busy = [m for m in out if m.get("result", {}).get("isError")]
     assert [json.loads(m["result"]["content"][0]["text"])["error"] for m in busy] == ["server_busy"] * (len(busy))
-    assert len(busy) == 5 and fake.ran.count("status") == P.PENDING - 1
-    _, out = run([call(1, "related", path="busy"), call(2, "related", path="bad")])
+    assert len(busy) == 5 and fake.ran.count("vault_status") == P.PENDING - 1
+    _, out = run([call(1, "related_notes", path="busy"), call(2, "related_notes", path="bad")])
     assert [json.loads(m["result"]["content"][0]["text"]) for m in out] == [{"error": "cache_busy", "message": "Another writer is at work; try again shortly.", "retryable": True}, {"error": "invalid_arguments", "message": "no"}]
 
 
 def test_cancelling():
     cancel = lambda i: {"jsonrpc": "2.0", "method": "notifications/cancelled", "params": {"requestId": i}}
     wait = lambda fake, desk: time.sleep(0.05)
-    fake, out = run([call(1, "read_note", path="a"), call(2, "status"), cancel(2), cancel(99), cancel(1), request(3)], between=wait)
+    fake, out = run([call(1, "read_note", path="a"), call(2, "vault_status"), cancel(2), cancel(99), cancel(1), request(3)], between=wait)
     assert [m["id"] for m in out] == [3] and fake.ran == ["read_note"] and len(fake.stopped) == 1
-    fake, out = run([call(1, "capture_note", title="t", body="b"), cancel(1)], between=wait)
+    fake, out = run([call(1, "capture_note", title="t", content="b"), cancel(1)], between=wait)
     assert fake.ran == ["capture_note"] and fake.stopped == []
 
 
@@ -101,8 +101,8 @@ def test_deadline_counts_from_the_receipt():
     fake, out = Fake(), []
     desk = P.Desk(fake, lambda b: out.append(json.loads(b)), deadline=0.05)
     desk.take(json.dumps(call(1, "read_note", path="a")).encode())
-    desk.take(json.dumps(call(2, "status")).encode())
-    desk.take(json.dumps(call(3, "capture_note", title="t", body="b")).encode())
+    desk.take(json.dumps(call(2, "vault_status")).encode())
+    desk.take(json.dumps(call(3, "capture_note", title="t", content="b")).encode())
     time.sleep(0.1)
     fake.go.set()
     desk.close()
