@@ -173,6 +173,58 @@ def test_repeated_passages_are_listed_and_first_stays(spark):
     assert chunks.without_spans("aéb", "0:2") == "éb"
 
 
+def plain_chunks(data):
+    """Chunks of one text by a byte-at-a-time gear hash."""
+    out, last, h = [], 0, 0
+    for i, b in enumerate(data):
+        h = ((h << 1) + int(chunks.GEAR[b])) & 0xFFFFFFFF
+        size = i + 1 - last
+        if size == chunks.MOST + 1:  # the piece before this byte is full
+            out.append((last, last + chunks.MOST))
+            last, size = last + chunks.MOST, 1
+        if size >= chunks.LEAST and h & int(chunks.MASK) == 0:
+            out.append((last, i + 1))
+            last = i + 1
+    return out + ([(last, len(data))] if last < len(data) else [])
+
+
+def plain_spans(docs):
+    """What :func:`chunks.repeated_spans` should give, by dictionaries."""
+    rows = [(d, i, (t or "").encode()) for i, (d, t) in enumerate(docs) if d is not None]
+    cut = {i: plain_chunks(b) for _, i, b in rows}
+    seen: dict = {}
+    for d, i, b in sorted(rows):
+        for a, e in cut[i]:
+            seen.setdefault(b[a:e], []).append((d, i, a))
+    out = []
+    for d, i, b in rows:
+        runs = []
+        for a, e in cut[i]:
+            if len(seen[b[a:e]]) > 1:
+                if runs and runs[-1][-1][1] == a:
+                    runs[-1].append((a, e))
+                else:
+                    runs.append([(a, e)])
+        runs = [r for r in runs if r[-1][1] - r[0][0] >= chunks.LEAST_RUN or (r[0][0], r[-1][1]) == (0, len(b))]
+        away = sum(e - a for r in runs for a, e in r if min(seen[b[a:e]]) != (d, i, a))
+        if runs:
+            out.append((d, sum(map(len, runs)), sum(r[-1][1] - r[0][0] for r in runs), away, ",".join(f"{r[0][0]}:{r[-1][1]}" for r in runs)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_repeated_spans_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefgé", k=rng.randint(1, 7)))
+    passages = [" ".join(word() for _ in range(rng.randint(5, 90))) for _ in range(5)]
+    docs = [(i, " ".join(rng.choice(passages) if rng.random() < 0.3 else word() for _ in range(rng.randint(1, 30)))) for i in range(50)]
+    docs += [(60, None), (61, ""), (None, docs[3][1]), (62, docs[4][1]), (63, "a" * 5000), (64, "a" * 5000), (65, "short"), (66, "short"), (67, " ".join(word() for _ in range(200_000)) + passages[0])]
+    # rows in one partition keep their order, by which equal ids are told apart
+    df = spark.createDataFrame([(d, t, 9) for d, t in docs], "doc_id long, text string, start int").coalesce(1)
+    got = sorted((r["doc_id"], r["n_repeated"], r["bytes_repeated"], r["bytes_removed"], r["repeated"]) for r in chunks.repeated_spans(df).collect())
+    assert got == plain_spans(docs)
+
+
 def test_short_documents_that_repeat_are_listed_and_short_phrases_are_not(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8)))

@@ -61,3 +61,12 @@ def test_pieces_round_trip(spark):
         g = g.sort_values("offset")
         assert g.length.sum() <= 2048 and (g.offset == g.length.cumsum() - g.length).all()
     assert packing.pack(packing.token_pieces(docs.limit(0), PATH)).count() == 0
+
+
+def test_null_ids_and_equal_rows_are_packed_each_by_itself(spark):
+    long = " ".join(f"word{i}" for i in range(3000))
+    docs = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (7, "a b c"), (7, "a b c"), (7, long), (None, None)], "doc_id long, text string")
+    rows = packing.pack(packing.token_pieces(docs, PATH)).collect()
+    ids = lambda t: len(packing.tokenizer(PATH)(t)) // 4 + 1
+    assert sum(r["length"] for r in rows) == 4 * ids("a b c") + ids(long) + 1
+    assert sum(r["doc_id"] is None for r in rows) == 3 and len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)

@@ -37,3 +37,18 @@ def test_stages_act_on_rows_with_null_and_repeated_ids(spark, tmp_path):
         now = stage(spark, now, str(tmp_path))
     got = sorted(((r["doc_id"], r["text"]) for r in now.collect()), key=lambda x: x[1])
     assert got == sorted([*((i, text(i)) for i in range(12)), (None, text(21)), (30, text(30)), (31, text(31))], key=lambda x: x[1])
+
+
+def test_an_empty_table_and_further_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row_name string, start int"
+    text = lambda i: " ".join(f"u{i}v{j}" for j in range(60))
+    spark.createDataFrame([(1, "some words of a benchmark item here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for rows in ([], [(i, text(i), "en", "s0", 9, "own", i) for i in range(6)]):
+        df = spark.createDataFrame(rows, schema)
+        df.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, str(tmp_path))
+            assert now.dtypes == df.dtypes and now.count() == len(rows)
+        assert {r["row_name"] for r in now.collect()} <= {"own"}
+        assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {r[0] for r in rows}

@@ -63,3 +63,12 @@ def test_query_equals_brute_force(spark, monkeypatch, most):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert repeats.remove_repeats(df).count() == 0
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(3)
+    long = "".join(rng.choices("abcdefgh ", k=1_500_000))
+    part = long[700_000:700_260]
+    df = spark.createDataFrame([(1, long), (2, "x" + part + "y"), (3, "z" * 150)], "doc_id long, text string")
+    rows = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in repeats.remove_repeats(df).collect()}
+    assert rows == {1: (1_500_000, 260, 1), 2: (262, 260, 1), 3: (150, 0, 0)}
