@@ -91,10 +91,12 @@ def live(tokenised_: DataFrame) -> Index:
 
 
 def write_index(tokenised_: DataFrame, path: str) -> None:
-    """Store an index in one pass over the texts.
+    """Store an index; postings and lengths take a pass over the texts each.
 
-    Postings lie by (term, path), so a term that most documents hold is spread
-    over all files, and are sorted by term, so that pages prune by it.
+    Where the texts are dealt by path (:func:`stored` does), counting words
+    moves nothing further. Files hold some documents' postings each, so a term
+    that most documents hold is spread over all; they are sorted by term, so
+    that pages prune by it.
     """
     spark = tokenised_.sparkSession
     postings(tokenised_, keep=LENGTHS).sortWithinPartitions("term").write.parquet(f"{path}/postings")
@@ -149,7 +151,7 @@ def stored(documents: DataFrame) -> Index:
             if old[0] == key[0]:
                 store.delete(spark, gone.path)
         path = store.new_dir(spark, "index")
-        write_index(tokenised(documents.select("path", *FIELDS)), path)
+        write_index(tokenised(documents.select("path", *FIELDS).repartition("path")), path)
         _stored[key] = open_index(spark, path)
     return _stored[key]
 
