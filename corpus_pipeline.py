@@ -56,8 +56,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = Rows(docs)
     groups = neardup.near_duplicates(rows.by_row()).select(F.col("doc_id").alias(rows.name), "component_id")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", rows.name)
-    least = groups.join(rows.table.select(rows.name, "doc_id"), rows.name).groupBy("component_id").agg(F.min(rank).alias("least"))
-    return rows.chosen(least.select(f"least.{rows.name}"), "left_semi")
+    ranked = groups.join(rows.table.select(rows.name, "doc_id"), rows.name).select("component_id", rank.alias("rank"))
+    shared = ranked.groupBy("component_id").agg(F.min("rank").alias("least"), F.count("*").alias("n")).where("n > 1")
+    # those that go are fewer than those that stay
+    gone = ranked.join(materialise(shared.select("component_id", "least"), "groups"), "component_id").where("rank <> least")
+    return rows.chosen(gone.select(f"rank.{rows.name}"), "left_anti")
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
