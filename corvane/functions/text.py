@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,14 +12,29 @@ WORD = r"[\p{L}\p{N}]+(?:[-'][\p{L}\p{N}]+)*"
 BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085\u2028\u2029]"
 
 
-def fold(c: Column) -> Column:
-    """Case folding of Latin text: lower case, with sharp s as ss."""
+#: Characters that lower case leaves and full case folding changes, by rule.
+FOLDED = {c: c.casefold() for c in map(chr, range(0x80, 0x20000)) if c == c.lower() and c != c.casefold()}
+#: Outside these ranges folding may be more than lower case and ss for sharp s, or may part or join words.
+PLAIN = "\u0000-\u00b4\u00b6-\u012f\u0131-\u0148\u014a-\u017e\u0180-\u01ef\u01f1-\u0344\u0400-\u0586\u0588-\u139f\u2000-\uab6f\uabc0-\ufaff"
+ODD = f"[^{PLAIN}]"
+
+
+def simply_folded(c: Column) -> Column:
     return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
 
 
+def fold(c: Column) -> Column:
+    """Full case folding; texts of plain characters take the short way."""
+    to = F.from_json(F.lit(json.dumps(FOLDED)), "map<string, string>")
+    spelled = lambda x: F.array_join(F.transform(F.split(F.lower(x), ""), lambda y: F.coalesce(F.try_element_at(to, y), y)), "")
+    return F.when(c.rlike(ODD), spelled(c)).otherwise(simply_folded(c))
+
+
 def tokens(c: Column) -> Column:
     """Folded words in order; words may hold inner hyphens and apostrophes."""
-    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(WORD), F.lit(0)), fold)
+    words = lambda x: F.regexp_extract_all(x, F.lit(WORD), F.lit(0))
+    text = F.coalesce(c, F.lit(""))
+    return F.when(text.rlike(ODD), F.transform(words(text), fold)).otherwise(words(simply_folded(text)))
 
 
 def lines(c: Column) -> Column:

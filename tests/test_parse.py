@@ -1,4 +1,5 @@
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,3 +58,13 @@ def test_column_functions(spark):
     assert r[0]["l"] == ["a", "b", "c", "c"] and r[1]["l"] == []
     u = spark.range(1).select(X.percent_encoded(F.lit("a b/c#d~*")).alias("u"), X.trigrams(F.lit("ab")).alias("g")).first()
     assert u["u"] == "a%20b%2Fc%23d~%2A" and u["g"] == ["  a", " ab", "ab "]
+
+
+def test_folding_and_words_equal_full_case_folding(spark):
+    chars = [chr(i) for i in range(1, 0x20000) if not 0xD800 <= i <= 0xDFFF and chr(i).isalnum()]
+    texts = ["", "ΟΔΟΣ ὈΔΥΣΣΕΎΣ straße STRASSE", "İstanbul'da ﬁne-tuned", "ŉ ǰx ΐa Ꭰꭰ", "naïve Σ'ς it's a_b x--y", "Привет МИР 日本 語"]
+    rows = spark.createDataFrame([(c,) for c in chars + texts], "c string").select("c", X.fold(F.col("c")).alias("f"), X.tokens(F.col("c")).alias("t")).collect()
+    assert all(r["f"] == r["c"].casefold() for r in rows)
+    words = re.compile(r"[^\W_]+(?:[-'][^\W_]+)*")
+    known = re.compile(r"[0-9A-Za-zÀ-ɏͰ-ӿᎠ-᏿Ḁ-῿一-鿌ꭰ-ꮿﬀ-ﬗ]+")
+    assert all(r["t"] == [w.casefold() for w in words.findall(r["c"])] for r in rows if len(r["c"]) > 1 or known.fullmatch(r["c"]))
