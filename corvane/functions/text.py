@@ -30,6 +30,11 @@ def fold(c: Column) -> Column:
     return F.when(c.rlike(ODD), spelled(c)).otherwise(simply_folded(c))
 
 
+def ascii_fold(c: Column) -> Column:
+    """Lower case of A-Z only, by which stored documents are ordered."""
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def tokens(c: Column) -> Column:
     """Folded words in order; words may hold inner hyphens and apostrophes."""
     words = lambda x: F.regexp_extract_all(x, F.lit(WORD), F.lit(0))

@@ -70,18 +70,28 @@ def undirected(edges_: DataFrame) -> DataFrame:
     return edges_.union(edges_.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def related(start: DataFrame, edges_: DataFrame, depth: int) -> DataFrame:
-    """path, distance: notes within ``depth`` hops of the start notes (a column path), not these."""
+def related_in_order(start: DataFrame, edges_: DataFrame, depth: int) -> DataFrame:
+    """path, distance, trail: notes within ``depth`` hops of the start notes (a column path), not these.
+
+    Sorted by (distance, trail) they come as a breadth-first search finds them:
+    the trail holds the folded names on the first way to a note.
+    """
     if not 1 <= depth <= 3:
         raise ValueError("depth must be 1 to 3")
     both = undirected(edges_)
-    seen = start.select("path", F.lit(0).alias("distance")).distinct()
+    own = lambda c: F.array(F.struct(X.fold(F.col(c)).alias("k"), F.col(c).alias("p")))
+    seen = start.distinct().select("path", F.lit(0).alias("distance"), own("path").alias("trail"))
     front = seen
     for hop in range(1, depth + 1):
-        step = both.join(front.select(F.col("path").alias("src")), "src").select(F.col("dst").alias("path")).distinct()
-        front = step.join(seen, "path", "left_anti").withColumn("distance", F.lit(hop))
+        step = both.join(front.select(F.col("path").alias("src"), "trail"), "src").select(F.col("dst").alias("path"), F.concat("trail", own("dst")).alias("trail"))
+        front = step.join(seen.select("path"), "path", "left_anti").groupBy("path").agg(F.min("trail").alias("trail")).select("path", F.lit(hop).alias("distance"), "trail")
         seen = seen.unionByName(front)
-    return seen.where("distance > 0")
+    return seen.where("distance > 0").select("path", "distance", F.transform("trail", lambda x: x["k"]).alias("trail"))
+
+
+def related(start: DataFrame, edges_: DataFrame, depth: int) -> DataFrame:
+    """path, distance: notes within ``depth`` hops of the start notes (a column path), not these."""
+    return related_in_order(start, edges_, depth).select("path", "distance")
 
 
 def orphans(notes: DataFrame, edges_: DataFrame) -> DataFrame:

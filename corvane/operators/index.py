@@ -136,6 +136,64 @@ def refresh(spark: SparkSession, path: str, changed: DataFrame, removed: DataFra
     return open_index(spark, to)
 
 
+class Versions:
+    """Versions of one index in a folder, each complete before it counts; a reader takes the newest.
+
+    ``follow`` keeps it up to date from a stream of changes: path, removed
+    (boolean) and the searchable fields, where the last row of a path holds.
+    """
+
+    def __init__(self, spark: SparkSession, base: str):
+        self.spark, self.base = spark, base.rstrip("/")
+
+    def newest(self) -> int | None:
+        files, at = store._at(self.spark, self.base)
+        if not files.exists(at):
+            return None
+        names = [s.getPath().getName() for s in files.listStatus(at)]
+        return max((int(n.removeprefix("done-")) for n in names if n.startswith("done-")), default=None)
+
+    def path(self, version: int) -> str:
+        return f"{self.base}/v{version}"
+
+    def done(self, version: int) -> Index:
+        files, mark = store._at(self.spark, f"{self.base}/done-{version}")
+        files.create(mark, True).close()
+        return open_index(self.spark, self.path(version))
+
+    def current(self) -> Index | None:
+        at = self.newest()
+        return None if at is None else open_index(self.spark, self.path(at))
+
+    def build(self, documents: DataFrame) -> Index:
+        version = (self.newest() or 0) + 1
+        store.delete(self.spark, self.path(version))
+        write_index(tokenised(documents.select("path", *FIELDS).repartition("path")), self.path(version))
+        return self.done(version)
+
+    def apply(self, changes: DataFrame, number: int | None = None) -> Index:
+        """The next version; ``number`` makes a repeated batch of a stream count once."""
+        at = self.newest()
+        if at is None:
+            raise ValueError("build an index first")
+        if number is not None and number <= at:
+            return open_index(self.spark, self.path(at))
+        version = at + 1 if number is None else number
+        store.delete(self.spark, self.path(version))  # what a failed attempt left
+        refresh(self.spark, self.path(at), changes.where("not removed"), changes.where("removed").select("path"), self.path(version))
+        return self.done(version)
+
+    def follow(self, stream: DataFrame, checkpoint: str):
+        """The streaming query that applies each batch; a path's changes within a batch count by ``seq``."""
+        first = self.newest() or 0
+
+        def apply(batch: DataFrame, number: int) -> None:
+            last = batch.groupBy("path").agg(F.max_by(F.struct(*batch.columns), "seq").alias("r")).select("r.*")
+            self.apply(last, first + number + 1)
+
+        return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 #: Indexes of this session by what they were made of; the oldest goes when there are more than a few.
 _stored: dict[tuple, Index] = {}
 STORED = 4

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.parse import notes
 from ..operators import checks, evaluate, graph, index, rank, readability, reports, views
-from ..sources import judgments
+from ..sources import clips, judgments
 from ..streaming import dispatch
 from . import render as R
 from . import sql as Q
@@ -329,3 +329,43 @@ def confined_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     raw = F.when(k % 4 == 0, F.concat(S("./a/x/../"), k)).when(k % 4 == 1, F.concat(S("x\\..\\b\\"), k)).when(k % 4 == 2, F.concat(S("x/../../"), k)).otherwise(F.concat(S("c//d/./"), k))
     return R.table(spark, sf_dir, "supplier").select("s_suppkey", X.inside(raw).alias("path"))
+
+
+# -- orders and clips -------------------------------------------------------
+def _trails(depth: int) -> str:
+    fold = lambda x: f"replace(lower({x}), 'ß', 'ss')"
+    start = "40-knowledge/people/customer-1.md"
+    hops = [f"e AS ({Q.LINKS_RESOLVED}), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), s0 AS (SELECT '{start}' AS path, 0 AS distance, ['{start}'] AS trail)"]
+    for i in range(1, depth + 1):
+        hops.append(f"s{i} AS (SELECT * FROM s{i - 1} UNION ALL SELECT u.dst, {i}, min(list_append(s.trail, {fold('u.dst')})) FROM u JOIN s{i - 1} s ON u.src = s.path AND s.distance = {i - 1} WHERE u.dst NOT IN (SELECT path FROM s{i - 1}) GROUP BY u.dst)")
+    return f"WITH {', '.join(hops)} SELECT path, row_number() OVER (ORDER BY distance, trail, path)::INTEGER AS place FROM s{depth} WHERE distance > 0"
+
+
+@query(_trails(2))
+def related_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbourhood in the order of a breadth-first search; it is numbered, as it is small."""
+    table = R.linked(spark, sf_dir)
+    found = graph.related_in_order(table.where("path = '40-knowledge/people/customer-1.md'").select("path"), graph.edges(graph.link_targets(table)), 2)
+    return found.select("path", F.row_number().over(Window.orderBy("distance", "trail", "path")).alias("place"))
+
+
+@query("SELECT n_name, row_number() OVER (ORDER BY k, n_name)::INTEGER AS place FROM (SELECT n_name, translate(concat(CASE WHEN n_nationkey % 2 = 0 THEN 'É' ELSE 'e' END, n_name), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM nation)")
+def stored_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored documents are ordered by ASCII letters without regard to case, all others as they are."""
+    key = X.ascii_fold(F.concat(F.when(F.col("n_nationkey") % 2 == 0, "É").otherwise("e"), "n_name"))
+    return R.table(spark, sf_dir, "nation").select("n_name", F.row_number().over(Window.orderBy(key, "n_name")).alias("place"))
+
+
+@query(
+    """SELECT concat('30-resources/sources/raw/2024-05-06 070809 - Page ', page_id, ' a b.md') AS path, concat('raw-web-20240506-070809-page-', page_id, '-a-b') AS id, coalesce(url, '') AS source_url, coalesce(html, '') AS payload, 'draft' AS status
+FROM (SELECT page_id, url, 'text of ' || page_id AS html FROM pages)"""
+)
+def clipped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as clips, read back from their notes."""
+    k = F.col("page_id")
+    clip = R.table(spark, sf_dir, "pages").select(
+        F.concat(S("Page "), k, S(": a/b")).alias("title"), "url", S("site").alias("site"), S(None).cast("string").alias("author"), S("2024-05-01").alias("published"),
+        F.concat(S("text of "), k).alias("content"), F.to_timestamp(S("2024-05-06 07:08:09")).alias("clipped_at"),
+    )
+    table = notes(clips.clipped(clip))
+    return table.select("path", checks.meta("id").alias("id"), checks.meta("source_url").alias("source_url"), F.trim(F.replace(checks.payload(F.col("body")), S("\n"), S(" "))).alias("payload"), "status")

@@ -219,7 +219,7 @@ class Service:
         """Notes within a few links of one note."""
         table = self.notes()
         start = table.where(F.col("path") == path).select("path")
-        found = graph.related(start, graph.edges(graph.link_targets(table)), depth).orderBy("distance", "path").limit(RELATED + 1).collect()
+        found = graph.related_in_order(start, graph.edges(graph.link_targets(table)), depth).orderBy("distance", "trail", "path").select("path", "distance").limit(RELATED + 1).collect()
         return {"notice": TRUST, "path": path, "related": [r.asDict() for r in found[:RELATED]], "truncated": len(found) > RELATED}
 
     def read_note(self, path: str, max_chars: int) -> dict:

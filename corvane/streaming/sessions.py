@@ -229,6 +229,13 @@ def audit(events: DataFrame, tool_prefix: str, names: tuple[str, ...] = AUDITED_
     return rows.select(F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"), "event", "tool")
 
 
+def write_audit(rows: DataFrame, path: str, checkpoint: str | None = None):
+    """Append audit rows (at, event, tool) as JSON lines; for a stream, the query that does so for each of its batches."""
+    if not rows.isStreaming:
+        return rows.write.mode("append").json(path)
+    return rows.writeStream.foreachBatch(lambda batch, _: batch.write.mode("append").json(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def worth_recalling(prompt: F.Column) -> F.Column:
     """Prompts long enough, not commands, not mere acknowledgements."""
     bare = F.trim(prompt)

@@ -101,3 +101,33 @@ def test_stored_index_is_made_once_and_again_when_files_change(spark, documents,
     assert index.stored(spark.read.parquet(at)) is one
     documents.limit(1).write.mode("append").parquet(at)
     assert index.stored(spark.read.parquet(at)).path != one.path
+
+
+def test_versions_follow_a_stream_of_changes(spark, documents, tmp_path):
+    own = index.Versions(spark, f"{tmp_path}/index")
+    fields = ["path", "title", "meta", "body"]
+    assert own.current() is None
+    own.build(documents.select(*fields))
+    schema = "path string, title string, meta string, body string, removed boolean, seq long"
+    rows = [("a/beta.md", "Beta", "note", "first", False, 1), ("a/beta.md", "Beta", "note", "zeppelins", False, 2), ("a/gamma.md", None, None, None, True, 3)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/changes/1")
+    spark.createDataFrame([("a/delta.md", "Delta", "note", "retrieval", False, 4)], schema).write.parquet(f"{tmp_path}/changes/2")
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/changes/*")
+    own.follow(stream(), f"{tmp_path}/ck").awaitTermination(120)
+    terms = {r["term"]: r["df"] for r in own.current().terms.collect()}
+    assert terms["zeppelins"] == 1 and terms["retrieval"] == 2 and "gamma" not in terms and "first" not in terms
+    before = own.newest()
+    own.apply(spark.createDataFrame(rows, schema), before)  # a batch that comes again
+    assert own.newest() == before and {p["path"] for p in own.current().postings.select("path").distinct().collect()} == {"a/alpha.md", "a/beta.md", "a/delta.md"}
+
+
+def test_audit_rows_are_appended(spark, tmp_path):
+    from corvane.streaming import sessions
+
+    rows = spark.createDataFrame([("2024-01-01T00:00:00Z", "PreToolUse", "t")], "at string, event string, tool string")
+    for _ in range(2):
+        sessions.write_audit(rows, f"{tmp_path}/audit")
+    assert spark.read.json(f"{tmp_path}/audit").count() == 2
+    rows.write.parquet(f"{tmp_path}/in")
+    sessions.write_audit(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/audit", f"{tmp_path}/ck").awaitTermination(60)
+    assert spark.read.json(f"{tmp_path}/audit").count() == 3
