@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -13,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import store
+
 #: Text bytes handled at once by the vectorised kernels; bounds a worker's memory (Spark bounds Arrow batches by bytes).
 SLICE_BYTES = 1 << 20
 #: Ids that may be broadcast (8 bytes each on the wire, about 40 MB as a hash table).
@@ -23,16 +22,6 @@ WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only in local mode where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = os.path.join(tempfile.gettempdir(), f"corvane-{os.getuid()}")
-    return base.rstrip("/")
-
-
 def bounded(spark: SparkSession) -> None:
     """Bound the session's Arrow batches, the same for all operators, unless it has a bound of its own.
 
@@ -86,7 +75,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     bounded(spark)
-    path = f"{shared_dir(spark)}/corvane-{tag}-{uuid.uuid4().hex}"
+    path = store.new_dir(spark, tag)
     before = {k: spark.conf.get(k, None) for k in WRITING}
     try:
         for k, v in WRITING.items():
@@ -97,25 +86,15 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.corvane_path = path
-    files, at = _files(out)
-    files.deleteOnExit(at)
     if _open:
         _open[-1].tables.append(out)
     return out
 
 
-def _files(table: DataFrame) -> tuple:
-    """The file system and path of a table made by :func:`materialise`."""
-    spark = table.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(table.corvane_path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
 def drop_table(df: DataFrame) -> None:
     """Delete a table made by :func:`materialise` that nothing reads any more."""
     if getattr(df, "corvane_path", None):
-        files, at = _files(df)
-        files.delete(at, True)
+        store.delete(df.sparkSession, df.corvane_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -36,10 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import U, mix, prefix, span_hash, text_bytes
+from .bytesops import U, VALUES, constants, mix, prefix, span_hash, text_bytes
 from .common import drop_table, materialise, scratch, slices
 
 LENGTH = 200
+#: Byte values of a second hash.
+SECOND = constants(256, 77)
 #: Bytes of an anchor.
 GRAM = 32
 #: Distinct contexts of one anchor that are indexed together: at most 3 MB of text.
@@ -248,12 +250,13 @@ def _counted(groups: DataFrame) -> DataFrame:
             for anchor, d1, d2, own in zip(*(batch.column(c).to_pylist() for c in ("anchor", "d1", "d2", "own")), strict=True):
                 n = len(own) - LENGTH + 1
                 at = np.arange(n)
-                h = span_hash(prefix(np.frombuffer(own, np.uint8)), at, at + LENGTH)
-                yield pa.RecordBatch.from_arrays([*(pa.array([x] * n, pa.int64()) for x in (anchor, d1, d2)), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], names=["anchor", "d1", "d2", "begin", "h"])
+                raw = np.frombuffer(own, np.uint8)
+                h, h2 = (span_hash(prefix(raw, v), at, at + LENGTH).view(np.int64) for v in (VALUES, SECOND))  # 128 bits name a string
+                yield pa.RecordBatch.from_arrays([*(pa.array([x] * n, pa.int64()) for x in (anchor, d1, d2)), pa.array(at.astype(np.int32)), pa.array(h), pa.array(h2)], names=["anchor", "d1", "d2", "begin", "h", "h2"])
 
-    each = groups.mapInArrow(run, "anchor long, d1 long, d2 long, begin int, h long")
-    many = materialise(each.groupBy("anchor", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "counted")
-    return each.join(many, ["anchor", "h"], "left_semi").select("anchor", "d1", "d2", "begin", (F.col("begin") + LENGTH).alias("end"))
+    each = groups.mapInArrow(run, "anchor long, d1 long, d2 long, begin int, h long, h2 long")
+    many = materialise(each.groupBy("anchor", "h", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "counted")
+    return each.join(many, ["anchor", "h", "h2"], "left_semi").select("anchor", "d1", "d2", "begin", (F.col("begin") + LENGTH).alias("end"))
 
 
 def _cut(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
