@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chunks, decontaminate, langid, neardup, packing, quality, repeats, secrets, urls
+from . import ann, chunks, decontaminate, langid, licenses, neardup, packing, quality, repeats, secrets, urls
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.Rules(), urls.UrlModel(urls.labelled_urls()))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_packing": op2_packing,
@@ -71,5 +75,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_quality": op9_quality,
     "op10_urls": op10_urls,
+    "op11_licenses": op11_licenses,
 }
 ORACLES: dict[str, str] = {}
