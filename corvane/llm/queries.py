@@ -91,10 +91,10 @@ ORACLES: dict[str, str] = {
     "op13_negatives": """
         WITH rows AS (
             SELECT row_number() OVER () AS n, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-                   list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
             FROM embeddings
             WHERE label IS NOT NULL AND embedding IS NOT NULL
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         scores AS (
             SELECT a.n AS anchor, a.vec_id AS anchor_id, b.n, b.vec_id, b.label = a.label AS same,
                    CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
