@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -79,9 +80,8 @@ class Index:
     stats: DataFrame
     trigrams: DataFrame
     path: str = ""
-
-
-PARTS = ("postings", "lengths", "terms", "stats", "trigrams")
+    #: The postings of listed terms with their hashes, if the store has a shorter way to them.
+    find: Callable[[list[tuple[str, int]]], DataFrame] | None = None
 
 
 def live(tokenised_: DataFrame) -> Index:
@@ -90,110 +90,6 @@ def live(tokenised_: DataFrame) -> Index:
     return Index(postings(tokenised_, keep=LENGTHS), df, corpus_stats(lengths(tokenised_)), trigram_index(df))
 
 
-def write_index(tokenised_: DataFrame, path: str) -> None:
-    """Store an index; postings and lengths take a pass over the texts each.
-
-    Where the texts are dealt by path (:func:`stored` does), counting words
-    moves nothing further. Files hold some documents' postings each, so a term
-    that most documents hold is spread over all; they are sorted by term, so
-    that pages prune by it.
-    """
-    spark = tokenised_.sparkSession
-    postings(tokenised_, keep=LENGTHS).sortWithinPartitions("term").write.parquet(f"{path}/postings")
-    # a document without any word has no posting
-    lengths(tokenised_.select("path", *(f"len_{f}" for f in FIELDS))).write.parquet(f"{path}/lengths")
-    _derived(spark, path)
-
-
-def _derived(spark: SparkSession, path: str) -> None:
-    """What follows from stored postings and lengths."""
-    spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(f"{path}/terms")
-    corpus_stats(spark.read.parquet(f"{path}/lengths")).write.parquet(f"{path}/stats")
-    trigram_index(spark.read.parquet(f"{path}/terms")).repartition("tri", "term").sortWithinPartitions("tri").write.parquet(f"{path}/trigrams")
-
-
-def open_index(spark: SparkSession, path: str) -> Index:
-    read = {p: spark.read.parquet(f"{path}/{p}") for p in PARTS}
-    return Index(read["postings"], read["terms"], read["stats"], read["trigrams"], path)
-
-
-def refresh(spark: SparkSession, path: str, changed: DataFrame, removed: DataFrame, to: str) -> Index:
-    """The index at ``path`` with documents replaced (path and the searchable fields) or removed (path), stored at ``to``.
-
-    Only changed texts are tokenised. Trigrams of terms that no document holds
-    any more go, and only new terms are cut into trigrams.
-    """
-    fresh = store.written(tokenised(changed.select("path", *FIELDS)), "changed")
-    old = open_index(spark, path)
-    upserted(old.postings, postings(fresh, keep=LENGTHS), removed, changed).sortWithinPartitions("term").write.parquet(f"{to}/postings")
-    upserted(spark.read.parquet(f"{path}/lengths"), lengths(fresh), removed, changed).write.parquet(f"{to}/lengths")
-    spark.read.parquet(f"{to}/postings").groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(f"{to}/terms")
-    corpus_stats(spark.read.parquet(f"{to}/lengths")).write.parquet(f"{to}/stats")
-    terms = spark.read.parquet(f"{to}/terms").select("term")
-    kept = old.trigrams.join(terms, "term", "left_semi").select("tri", "term")
-    new = trigram_index(terms.join(old.terms, "term", "left_anti"))
-    kept.unionByName(new).repartition("tri", "term").sortWithinPartitions("tri").write.parquet(f"{to}/trigrams")
-    return open_index(spark, to)
-
-
-class Versions:
-    """Versions of one index in a folder, each complete before it counts; a reader takes the newest.
-
-    ``follow`` keeps it up to date from a stream of changes: path, removed
-    (boolean) and the searchable fields, where the last row of a path holds.
-    """
-
-    def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.base = spark, base.rstrip("/")
-
-    def newest(self) -> int | None:
-        files, at = store._at(self.spark, self.base)
-        if not files.exists(at):
-            return None
-        names = [s.getPath().getName() for s in files.listStatus(at)]
-        return max((int(n.removeprefix("done-")) for n in names if n.startswith("done-")), default=None)
-
-    def path(self, version: int) -> str:
-        return f"{self.base}/v{version}"
-
-    def done(self, version: int) -> Index:
-        files, mark = store._at(self.spark, f"{self.base}/done-{version}")
-        files.create(mark, True).close()
-        return open_index(self.spark, self.path(version))
-
-    def current(self) -> Index | None:
-        at = self.newest()
-        return None if at is None else open_index(self.spark, self.path(at))
-
-    def build(self, documents: DataFrame) -> Index:
-        version = (self.newest() or 0) + 1
-        store.delete(self.spark, self.path(version))
-        write_index(tokenised(documents.select("path", *FIELDS).repartition("path")), self.path(version))
-        return self.done(version)
-
-    def apply(self, changes: DataFrame, number: int | None = None) -> Index:
-        """The next version; ``number`` makes a repeated batch of a stream count once."""
-        at = self.newest()
-        if at is None:
-            raise ValueError("build an index first")
-        if number is not None and number <= at:
-            return open_index(self.spark, self.path(at))
-        version = at + 1 if number is None else number
-        store.delete(self.spark, self.path(version))  # what a failed attempt left
-        refresh(self.spark, self.path(at), changes.where("not removed"), changes.where("removed").select("path"), self.path(version))
-        return self.done(version)
-
-    def follow(self, stream: DataFrame, checkpoint: str):
-        """The streaming query that applies each batch; a path's changes within a batch count by ``seq``."""
-        first = self.newest() or 0
-
-        def apply(batch: DataFrame, number: int) -> None:
-            last = batch.groupBy("path").agg(F.max_by(F.struct(*batch.columns), "seq").alias("r")).select("r.*")
-            self.apply(last, first + number + 1)
-
-        return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 #: Indexes of this session by what they were made of; the oldest goes when there are more than a few.
 _stored: dict[tuple, Index] = {}
 STORED = 4
@@ -208,9 +104,10 @@ def stored(documents: DataFrame) -> Index:
             gone = _stored.pop(old)
             if old[0] == key[0]:
                 store.delete(spark, gone.path)
-        path = store.new_dir(spark, "index")
-        write_index(tokenised(documents.select("path", *FIELDS).repartition("path")), path)
-        _stored[key] = open_index(spark, path)
+        from .segments import Segments  # which stores what this module defines
+
+        own = Segments(spark, store.new_dir(spark, "index"))
+        _stored[key] = own.open(own.build(documents))
     return _stored[key]
 
 
@@ -220,11 +117,11 @@ LISTED = 1000
 
 def of_terms(index: Index, terms: DataFrame) -> DataFrame:
     """The postings of the given terms."""
-    if not index.path:
+    if index.find is None:
         return index.postings.join(terms.select("term").distinct(), "term", "left_semi")
-    few = [r["term"] for r in terms.select("term").distinct().limit(LISTED + 1).collect()]
+    few = [(r["term"], r["h"]) for r in terms.select("term", F.xxhash64("term").alias("h")).distinct().limit(LISTED + 1).collect()]
     if len(few) <= LISTED:
-        return index.postings.where(F.col("term").isin(few)) if few else index.postings.limit(0)
+        return index.find(few)
     return index.postings.join(terms.select("term").distinct(), "term", "left_semi")
 
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,15 +44,52 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_dir(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.corvane_path = path
+    return out
 
 
-def file_states(df: DataFrame) -> tuple[tuple[str, int, int], ...]:
-    """Name, time of change and size of each file that ``df`` reads."""
-    spark = df.sparkSession
-    out = []
-    for name in df.inputFiles():
-        files, at = _at(spark, name)
-        state = files.getFileStatus(at)
-        out.append((name, state.getModificationTime(), state.getLen()))
-    return tuple(sorted(out))
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none where there is no folder."""
+    files, at = _at(spark, folder)
+    return [s.getPath().getName() for s in files.listStatus(at)] if files.exists(at) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file."""
+    files, at = _at(spark, path)
+    stream = files.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def publish(spark: SparkSession, path: str, text: str) -> bool:
+    """A small file that appears at once with all its text, unless there is one already."""
+    folder, name = path.rsplit("/", 1)
+    files, draft = _at(spark, f"{folder}/.{name}-{uuid.uuid4().hex}")
+    stream = files.create(draft, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    fs = spark._jvm.org.apache.hadoop.fs
+    context = fs.FileContext.getFileContext(draft.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark._sc._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(files.makeQualified(draft), files.makeQualified(fs.Path(path)), options)
+    except Exception as refused:  # Java's FileAlreadyExistsException
+        files.delete(draft, False)
+        if "FileAlreadyExistsException" in str(refused):
+            return False
+        raise
+    return True
+
+
+def file_states(df: DataFrame) -> tuple[int, int, int]:
+    """Files that ``df`` reads, their bytes, and a digest of their names, times of change and sizes."""
+    names = df.inputFiles()
+    if not names:
+        return 0, 0, 0
+    listed = df.sparkSession.read.format("binaryFile").load(names)  # contents stay unread
+    each = F.xxhash64("path", "modificationTime", "length")
+    return tuple(listed.agg(F.count("*"), F.sum("length"), F.bit_xor(each)).first())

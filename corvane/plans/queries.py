@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.parse import meta, notes
-from ..operators import checks, evaluate, graph, index, pack, rank, readability, reports, store, views
+from ..operators import checks, evaluate, graph, index, pack, rank, readability, reports, segments, store, views
 from ..sources.corpus import manifest_diff
 from ..streaming import sessions
 from . import render as R
@@ -98,7 +98,46 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(Q.INDEX_STATS)
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = index.stored(R.corpus(spark, sf_dir))
-    return index.index_stats(spark.read.parquet(f"{own.path}/lengths"), own.postings, own.trigrams)
+    return index.index_stats(segments.Segments(spark, own.path).documents(), own.postings, own.trigrams)
+
+
+#: Documents that the changes of :func:`changed_index` leave, and their texts.
+GONE = "doc_id % 7 = 2 AND doc_id % 3 = 0 OR doc_id % 10 = 3 AND doc_id % 20 <> 3 AND doc_id % 7 <> 2"
+TEXT = "CASE WHEN doc_id % 20 = 3 THEN concat('Zeppelin returns. ', text) WHEN doc_id % 7 = 2 THEN concat('zeppelin ', source, ' ', lang, ' the and') ELSE text END"
+CHANGED = f"(SELECT doc_id, lang, source, {TEXT} AS text FROM documents WHERE NOT ({GONE})) changed"
+
+
+def changed_index(spark: SparkSession, sf_dir: str) -> segments.Segments:
+    """The documents' index after three batches of removals and replacements, and a merge of these."""
+    d = R.table(spark, sf_dir, "documents")
+    notes_ = lambda rows: R.as_notes(rows).select("path", F.lit(False).alias("removed"), "title", "meta", "body")
+    gone = lambda where: notes_(d.where(where)).withColumn("removed", F.lit(True))
+    text = lambda sql, where: notes_(d.where(where).withColumn("text", F.expr(sql)))
+    own = segments.Segments(spark, store.new_dir(spark, "changed"))
+    own.build(R.as_notes(d))
+    own.apply(gone("doc_id % 10 = 3"))
+    own.apply(text("concat('zeppelin ', source, ' ', lang, ' the and')", "doc_id % 7 = 2"))
+    last = "doc_id % 7 = 2 and doc_id % 3 = 0"
+    own.apply(text("concat('Zeppelin returns. ', text)", f"doc_id % 20 = 3 and not ({last})").unionByName(gone(last)))
+    own.compact(3)
+    return own
+
+
+ZEPPELINS = [("z1", "zeppelin returns"), ("z2", "the and zeppelin"), ("z3", "und die")]
+
+
+@query(Q.ranked(ZEPPELINS, limit=10).replace("FROM documents", f"FROM {CHANGED}"))
+def ranked_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = changed_index(spark, sf_dir).open()
+    rows = rank.rank(asked(spark, ZEPPELINS), R.corpus(spark, sf_dir), rank.Options(limit=10, prefix=False, phrase=False), own)
+    return rows.select("query_id", "rank", "path", F.round("score", 6).alias("score"))
+
+
+@query(Q.INDEX_STATS.replace("FROM documents", f"FROM {CHANGED}"))
+def index_stats_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = changed_index(spark, sf_dir)
+    read = own.open()
+    return index.index_stats(own.documents(), read.postings, read.trigrams)
 
 
 @query("SELECT lang AS type, count(*) AS n FROM documents GROUP BY 1")

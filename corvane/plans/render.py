@@ -23,10 +23,20 @@ def day(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd")
 
 
+def first_words(c: Column, n: int) -> Column:
+    """The first words of a text; only its beginning is read where that has more than them."""
+    near = X.tokens(F.substring(c, 1, 32 * n))
+    return F.array_join(F.slice(F.when(F.size(near) > n, near).otherwise(X.tokens(c)), 1, n), " ")
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as searchable notes: the path from language, source and id, the title from the first words."""
-    d = table(spark, sf_dir, "documents")
-    title = F.array_join(F.slice(X.tokens(F.col("text")), 1, 6), " ")
+    """Documents as searchable notes."""
+    return as_notes(table(spark, sf_dir, "documents"))
+
+
+def as_notes(d: DataFrame) -> DataFrame:
+    """The path from language, source and id, the title from the first words."""
+    title = first_words(F.col("text"), 6)
     updated = F.date_format(F.date_add(F.to_date(S("2024-01-01")), F.pmod("doc_id", S(365)).cast("int")), "yyyy-MM-dd")
     return d.select(
         F.concat_ws("/", "lang", "source", "doc_id").alias("path"),

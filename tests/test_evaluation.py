@@ -77,23 +77,6 @@ def test_emitted_layouts():
     assert E.emitted({"a": "é"}, compact=True) == '{"a":"é"}' and E.emitted({"a": 1}) == '{\n  "a": 1\n}'
 
 
-def test_stored_index_ranks_alike_and_follows_changes(spark, documents, tmp_path):
-    ask = spark.createDataFrame([("q", "retrieval"), ("p", "retrie beta")], "query_id string, query string")
-    rows = lambda d, i=None: [tuple(r) for r in rank.rank(ask, d, rank.Options(fuzzy=True), i).orderBy("query_id", "rank").collect()]
-    first = f"{tmp_path}/one"
-    index.write_index(index.tokenised(documents.select("path", "title", "meta", "body")), first)
-    assert rows(documents, index.open_index(spark, first)) == rows(documents)
-    changed = spark.createDataFrame([("a/beta.md", "Beta", "note", "something else about zeppelins"), ("a/delta.md", "Delta", "note", "retrieval again")], "path string, title string, meta string, body string")
-    removed = spark.createDataFrame([("a/gamma.md",)], "path string")
-    new = index.refresh(spark, first, changed, removed, f"{tmp_path}/two")
-    kept = documents.where("path = 'a/alpha.md'").select("path", "title", "meta", "body")
-    whole = kept.unionByName(changed)
-    assert rows(whole, new) == rows(whole)
-    live = index.live(index.tokenised(whole))
-    assert sorted(map(tuple, new.trigrams.collect())) == sorted(map(tuple, live.trigrams.collect()))
-    assert sorted(map(tuple, new.terms.collect())) == sorted(map(tuple, live.terms.collect()))
-
-
 def test_stored_index_is_made_once_and_again_when_files_change(spark, documents, tmp_path):
     at = f"{tmp_path}/docs"
     documents.write.parquet(at)
@@ -103,24 +86,6 @@ def test_stored_index_is_made_once_and_again_when_files_change(spark, documents,
     assert index.stored(spark.read.parquet(at)).path != one.path
 
 
-def test_versions_follow_a_stream_of_changes(spark, documents, tmp_path):
-    own = index.Versions(spark, f"{tmp_path}/index")
-    fields = ["path", "title", "meta", "body"]
-    assert own.current() is None
-    own.build(documents.select(*fields))
-    schema = "path string, title string, meta string, body string, removed boolean, seq long"
-    rows = [("a/beta.md", "Beta", "note", "first", False, 1), ("a/beta.md", "Beta", "note", "zeppelins", False, 2), ("a/gamma.md", None, None, None, True, 3)]
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/changes/1")
-    spark.createDataFrame([("a/delta.md", "Delta", "note", "retrieval", False, 4)], schema).write.parquet(f"{tmp_path}/changes/2")
-    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/changes/*")
-    own.follow(stream(), f"{tmp_path}/ck").awaitTermination(120)
-    terms = {r["term"]: r["df"] for r in own.current().terms.collect()}
-    assert terms["zeppelins"] == 1 and terms["retrieval"] == 2 and "gamma" not in terms and "first" not in terms
-    before = own.newest()
-    own.apply(spark.createDataFrame(rows, schema), before)  # a batch that comes again
-    assert own.newest() == before and {p["path"] for p in own.current().postings.select("path").distinct().collect()} == {"a/alpha.md", "a/beta.md", "a/delta.md"}
-
-
 def test_audit_rows_are_appended(spark, tmp_path):
     from corvane.streaming import sessions
 
