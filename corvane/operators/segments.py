@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.parse import FIELDS
+from ..functions.parse import FIELDS, fields, notes
 from . import index as I
 from . import store
 
@@ -166,9 +166,10 @@ class Segments:
         return I.Index(self.postings(version), self.terms(version), self.stats(version), self.trigrams(version), self.base, lambda terms: self.postings(version, terms))
 
     # -- writing -----------------------------------------------------------
-    def _write_docs(self, rows: DataFrame, seq: int) -> Segment:
+    def _write_docs(self, rows: DataFrame, seq: int, whole: bool = False) -> Segment:
+        """The documents of a segment; a ``whole`` corpus gets filters by which a lookup skips files."""
         name = f"s{seq:09d}-{uuid.uuid4().hex}"
-        rows.write.options(**{"parquet.bloom.filter.enabled#path": "true", "parquet.bloom.filter.adaptive.enabled": "true"}).parquet(f"{self.base}/segments/{name}/docs")
+        rows.write.options(**{"parquet.bloom.filter.enabled#path": str(whole).lower(), "parquet.bloom.filter.adaptive.enabled": "true"}).parquet(f"{self.base}/segments/{name}/docs")
         docs = self.spark.read.parquet(f"{self.base}/segments/{name}/docs").count()  # from the files' footers
         return Segment(name, seq, docs, max(1, min(MOST_BUCKETS, docs // DOCS_A_BUCKET)))
 
@@ -208,7 +209,7 @@ class Segments:
         changes = documents.select("path", F.lit(False).alias("removed"), *FIELDS)
         if store.file_states(documents)[1] < SPREAD:
             changes = changes.repartition(self.spark.sparkContext.defaultParallelism)
-        segment = self._write_docs(rows_of(changes), seq)
+        segment = self._write_docs(rows_of(changes), seq, whole=True)
         self._count_words(segment, changes)
         self._write_terms(segment, self.read(segment, "postings", POSTINGS).groupBy("term").agg(F.count("*").alias("df")), None)
         self._sums(self.read(segment, "docs", DOCS)).write.parquet(self.at(segment, "stats"))
@@ -264,7 +265,7 @@ class Segments:
             return now
         part = replace(now, segments=merged)
         rows = self._live(self._each(merged, "docs", DOCS), merged).drop("seq")
-        segment = self._write_docs(rows if old else rows.where("not removed"), merged[-1].seq)
+        segment = self._write_docs(rows if old else rows.where("not removed"), merged[-1].seq, whole=not old)
         self._write_postings(segment, self._dealt(self.postings(part), segment))
         summed = self._each(merged, "terms", TERMS).groupBy("term").agg(F.sum("df").alias("df"))
         summed.where("df <> 0").sortWithinPartitions("term").write.parquet(self.at(segment, "terms"))
@@ -296,3 +297,13 @@ class Segments:
 
         return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
+    def follow_files(self, stream: DataFrame, checkpoint: str, **trigger):
+        """:meth:`follow` of files as they are (path, removed, content, seq), which each batch parses."""
+
+        def apply(batch: DataFrame, number: int) -> None:
+            last = batch.groupBy("path").agg(F.max_by(F.struct("removed", "content"), "seq").alias("r")).select("path", "r.*")
+            fresh = fields(notes(last.where("not removed").select("path", "content"))).withColumn("removed", F.lit(False))
+            gone = last.where("removed").select("path", *(F.lit(None).cast("string").alias(f) for f in FIELDS), "removed")
+            self.apply(fresh.unionByName(gone), checkpoint, number)
+
+        return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

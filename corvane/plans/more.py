@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..functions.parse import notes
 from ..operators import checks, evaluate, graph, index, rank, readability, reports, views
 from ..sources import clips, judgments
-from ..streaming import dispatch
+from ..streaming import dispatch, sessions, transcripts
 from . import render as R
 from . import sql as Q
 from .queries import KS, ORACLES, QUERIES, TOPICS, _cases, asked, query
@@ -369,3 +369,60 @@ def clipped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     table = notes(clips.clipped(clip))
     return table.select("path", checks.meta("id").alias("id"), checks.meta("source_url").alias("source_url"), F.trim(F.replace(checks.payload(F.col("body")), S("\n"), S(" "))).alias("payload"), "status")
+
+
+# -- transcripts ------------------------------------------------------------
+def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines of session transcripts: even users' in one shape, odd users' in the other, a fifth in no known one.
+
+    Views are assistant turns, sign-ups edits, purchases captures, of which every fourth fails in a line of its own.
+    """
+    e = R.table(spark, sf_dir, "events").select(F.col("user_id").alias("u"), F.col("event_id").alias("id"), F.col("event_type").alias("t"))
+    call = F.concat(S("c"), "id")
+    path = F.when(F.col("id") % 3 != 0, F.concat(S("p"), F.col("id") % 7))
+    own = lambda *content: F.to_json(F.struct(S("assistant").alias("type"), F.struct(S("assistant").alias("role"), F.array(*map(F.to_variant_object, content)).alias("content")).alias("message")))
+    said = F.struct(S("text").alias("type"), F.concat(S("event "), "id").alias("text"))
+    use = lambda name, given: F.struct(S("tool_use").alias("type"), call.alias("id"), S(name).alias("name"), given.alias("input"))
+    first = F.when(F.col("t") == "view", own(said)).when(F.col("t") == "signup", own(said, use("Edit", F.struct(path.alias("file_path"))))).when(F.col("t") == "purchase", own(use("mcp__brain__capture_note", F.struct(S("x").alias("title")))))
+    item = lambda payload: F.to_json(F.struct(S("response_item").alias("type"), payload.alias("payload")))
+    function = lambda name, given: item(F.struct(S("function_call").alias("type"), S(name).alias("name"), call.alias("call_id"), F.to_json(given).alias("arguments")))
+    patch = F.struct(F.array(S("apply_patch"), S("*** Begin Patch")).alias("command"), path.alias("path"))
+    second = F.when(F.col("t") == "view", item(F.struct(S("message").alias("type"), S("assistant").alias("role")))).when(F.col("t") == "signup", function("shell", patch)).when(F.col("t") == "purchase", function("capture_note", F.struct(S("x").alias("title"))))
+    other = F.to_json(F.struct(S("user").alias("type"), F.struct(S("user").alias("role"), F.col("t").alias("content")).alias("message")))
+    unknown = F.to_json(F.struct(F.col("t").alias("event"), F.array("id").alias("ids")))
+    line = F.when(F.col("u") % 5 == 4, unknown).when(F.col("u") % 2 == 0, first).otherwise(second)
+    result = F.struct(S("tool_result").alias("type"), call.alias("tool_use_id"), S(True).alias("is_error"))
+    failed = F.to_json(F.struct(S("user").alias("type"), F.struct(F.array(result).alias("content")).alias("message")))
+    fails = F.array(F.struct((F.col("id") * 2 + 1).alias("seq"), failed.alias("line")))
+    each = F.array(F.struct((F.col("id") * 2).alias("seq"), F.coalesce(line, other).alias("line")))
+    each = F.when((F.col("t") == "purchase") & (F.col("id") % 4 == 0) & (F.col("u") % 5 != 4), F.concat(each, fails)).otherwise(each)
+    return e.select(F.col("u").cast("string").alias("session"), F.inline(each))
+
+
+TRANSCRIPTS = """WITH e AS (SELECT user_id AS u, event_id AS id, event_type AS t, user_id % 5 <> 4 AS known FROM events),
+l AS (SELECT u, max(id * 2) AS last_capture FROM e WHERE known AND t = 'purchase' AND id % 4 <> 0 GROUP BY 1),
+r AS (SELECT e.*, last_capture, last_capture IS NULL OR id * 2 > last_capture AS inside FROM e LEFT JOIN l USING (u))
+SELECT u::VARCHAR AS session,
+       CASE WHEN u % 5 = 4 THEN count(*) // 4 ELSE count(*) FILTER (inside AND (t = 'view' OR u % 2 = 0 AND t IN ('signup', 'purchase'))) END::BIGINT AS turns,
+       (count(DISTINCT id % 7) FILTER (known AND inside AND t = 'signup' AND id % 3 <> 0) + count(*) FILTER (known AND inside AND t = 'signup' AND id % 3 = 0))::BIGINT AS edits,
+       count(*) FILTER (known AND t = 'purchase') AS captures, any_value(last_capture) AS last_capture
+FROM r GROUP BY u"""
+
+
+@query(TRANSCRIPTS)
+def transcript_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts.activity(transcripts.events(transcript_lines(spark, sf_dir)))
+
+
+@query(f"SELECT session, turns, edits FROM ({TRANSCRIPTS}) WHERE turns >= 12 OR edits >= 5")
+def transcripts_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.sessions_due(transcripts.activity(transcripts.events(transcript_lines(spark, sf_dir)))).select("session", "turns", "edits")
+
+
+#: Lines as a table of kinds, to see what the walk finds in each.
+@query("""SELECT sum((known AND (t = 'view' OR u % 2 = 0 AND t IN ('signup', 'purchase')))::INT)::BIGINT AS turns, sum((known AND t = 'signup')::INT)::BIGINT AS edits,
+sum((known AND t = 'purchase')::INT)::BIGINT AS captures, sum((known AND t = 'purchase' AND id % 4 = 0)::INT)::BIGINT AS failed
+FROM (SELECT user_id AS u, event_id AS id, event_type AS t, user_id % 5 <> 4 AS known FROM events)""")
+def transcript_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = transcripts.events(transcript_lines(spark, sf_dir))
+    return found.agg(F.sum(F.col("turn").cast("int")).alias("turns"), *(F.sum(F.size(c)).alias(c) for c in ("edits", "captures", "failed")))
