@@ -4,16 +4,19 @@ A benchmark item of m words is sought in windows of m words at every word of
 a document; a match has at most ``m * EDITS`` edits. Each edit spoils at most
 two of the item's m - 1 word pairs within the window that starts where the
 match does, so windows that share fewer distinct pairs with an item than must
-be left can't start a match and need no walk. The others and the items go through WALKS random walks: a
-walk puts out the word at its place and moves on or not by a random bit of
-that word, so sequences a few edits apart fall into step again and agree in
-most outputs. PLACES sampled outputs of a walk are its key. A window and an
-item with a key in common are a candidate, and the edit distance over words
-decides at every window around it that the pair bound leaves.
-
-Measured at the limit of edits, a walk and some window near the match share a
-key with probability 0.1 at least wherever the edits stand (120 words, all
-spread out, is the worst of the cases tried), so 64 walks miss 0.0012 at most.
+be left can't start a match and need no walk (this loses nothing). The others
+and the items go through WALKS random walks: a walk puts out the word at its
+place and moves on or not by a random bit of that word, so sequences a few
+edits apart fall into step again and agree in most outputs. One or two sampled
+outputs of a walk are its key. Windows are looked up by their keys among the
+items'; around a window and an item that meet, the edit distance over words
+decides at every window that the pair bound leaves.
+
+Measured at the limit of edits, spread over the whole item or clustered,
+substituted, inserted and deleted: a walk and some window near the match share
+a key with probability 0.086 at least up to 60 words (two outputs), 0.12 up to
+480 (one output; deletions are the worst), so 64 walks miss 0.003 at most;
+tests ask for 0.95 at least from 5 to 500 words and mostly find all.
 
 Words are runs of letters, digits and non-ASCII characters in lower case.
 
@@ -41,8 +44,11 @@ from .common import bounded, slices
 #: Share of an item's words that may be edited.
 EDITS = 0.25
 LEAST_WORDS = 5
-#: Walks (64 at most, a bit of a hash for each) and outputs sampled of each; a walk has STEPS steps for each word of the item.
-WALKS, PLACES, STEPS = 64, 2, 2
+#: Walks (64 at most, a bit of a hash for each); a walk has STEPS steps for each word of the item.
+WALKS, STEPS = 64, 2
+#: Outputs sampled of a walk: PLACES for items of at most SHORT words. Edits that are spread out put walks out of step for
+#: longer in longer items, which one output has to make up for.
+PLACES, SHORT = 2, 60
 #: Cells (window, pair, item) counted at once; bounds a worker's memory.
 CELLS = 1 << 20
 #: Bytes of documents searched at once: several slices, as sizes are gone through one by one.
@@ -88,6 +94,10 @@ def least_pairs(m: int) -> int:
     return max(1, m - 1 - 2 * allowed(m))
 
 
+def places_of(m: int) -> int:
+    return PLACES if m <= SHORT else 1
+
+
 def edit_distances(items: np.ndarray, texts: np.ndarray, lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """By row, least edits turning the item into a prefix of its text of a length, and the shortest such prefix's
     length; most + 1 and 0 if more. The texts have ``most`` words more than the items, as far as they reach."""
@@ -121,19 +131,19 @@ def edit_distances(items: np.ndarray, texts: np.ndarray, lengths: np.ndarray, mo
 def walk_keys(x: np.ndarray) -> np.ndarray:
     """Keys of CGK walks over sequences of the shape (rows, m): (rows, WALKS), 0 where a walk ran out of words.
 
-    All sequences of m words take the same walks; a zero is no word.
+    All sequences of m words take the same walks, and keys of different walks differ; a zero is no word.
     """
     n, m = x.shape
-    steps = STEPS * m
-    places = np.sort(np.random.Generator(np.random.PCG64(62)).integers(0, steps, (WALKS, PLACES)), axis=1)
-    factors = constants(PLACES, 63)
+    steps, outputs = STEPS * m, places_of(m)
+    places = np.sort(np.random.Generator(np.random.PCG64(62)).integers(0, steps, (WALKS, outputs)), axis=1)
+    factors = constants(outputs, 63)
     shifts = np.arange(WALKS, dtype=U)
     words_, which = np.unique(np.concatenate([x, np.zeros((n, 1), U)], axis=1), return_inverse=True)
     which = which.reshape(n, m + 1)
     at = np.repeat(np.arange(n)[:, None] * (m + 1), WALKS, axis=1)
     key, out_of = np.zeros((n, WALKS), U), np.zeros((n, WALKS), bool)
     for t, seed in enumerate(constants(steps, 61)):
-        for j in range(PLACES):
+        for j in range(outputs):
             here = np.flatnonzero(places[:, j] == t)
             if len(here):
                 word = words_[which.ravel()[at[:, here]]]
@@ -143,7 +153,7 @@ def walk_keys(x: np.ndarray) -> np.ndarray:
         bits = mix(words_ ^ seed)[which]
         bits[:, m] = 0
         at += (bits.ravel()[at] >> shifts & U(1)).view(np.int64)
-    key |= U(1)
+    key = mix(key + constants(WALKS, 64)) | U(1)
     key[out_of] = 0
     return key
 
@@ -182,8 +192,12 @@ class Items:
         self.all_pairs = np.unique(np.concatenate([*(p for p, _ in self.pairs.values()), np.zeros(0, U)]))
         self.quick = np.zeros(1 << 22, bool)
         self.quick[(self.all_pairs & U((1 << 22) - 1)).astype(np.int64)] = True
-        #: By size: the keys of the items' walks.
-        self.keys = {m: walk_keys(np.stack([self.sequences[i] for i in own])) for m, own in self.by_size.items()}
+        #: By size: sorted keys of the items' walks, and the items' places in by_size.
+        self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for m, own in self.by_size.items():
+            keys = np.concatenate([walk_keys(np.stack([self.sequences[i] for i in own[k : k + CELLS // WALKS]])) for k in range(0, len(own), CELLS // WALKS)])
+            order = np.argsort(keys, axis=None, kind="stable")
+            self.keys[m] = keys.ravel()[order], order // WALKS
         #: Size classes: windows of the largest size in one must have the fewest pairs that any of them needs.
         self.classes: list[list[int]] = []
         for m in sorted(self.by_size):
@@ -216,25 +230,22 @@ class Items:
         window, item = (np.concatenate(x) for x in zip(*found, strict=True))
         return window, item
 
-    def candidates(self, m: int, window: np.ndarray, at: np.ndarray, which: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """Which of the pairs (which, item) are within the allowed edits' reach of a window that shares a key with the item.
-
-        ``window`` holds the words at the places ``at``, to which ``which`` points.
-        """
-        mine = np.searchsorted(self.by_size[m], item)
-        walked, of = np.unique(which, return_inverse=True)
-        order = np.argsort(of, kind="stable")
+    def candidates(self, m: int, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, place in by_size) of windows (rows of words) and items that have a key in common: windows' keys are looked up among the items'."""
+        known, owners = self.keys[m]
         step = CELLS // WALKS
-        hit = np.zeros(len(which), bool)
-        for begin in range(0, len(walked), step):
-            keys = walk_keys(window[walked[begin : begin + step]])
-            a, b = np.searchsorted(of[order], [begin, begin + step])
-            for part in range(a, b, step):
-                some = order[part : min(part + step, b)]
-                k = keys[of[some] - begin]
-                hit[some] = ((k == self.keys[m][mine[some]]) & (k != 0)).any(axis=1)
-        code = mine * (int(at.max(initial=0)) + 2 * m + 1) + at[which]  # places of one item, apart from those of the next
-        return _within(code, code[hit], allowed(m))
+        found = [(np.zeros(0, np.int64),) * 2]
+        for begin in range(0, len(windows), step):
+            keys = walk_keys(windows[begin : begin + step])
+            cells = np.flatnonzero(keys.ravel() != 0)
+            asked = keys.ravel()[cells]
+            low = np.searchsorted(known, asked, "left")
+            span = np.searchsorted(known, asked, "right") - low
+            met = np.repeat(low - np.cumsum(span) + span, span) + np.arange(span.sum())
+            code = np.unique((begin + np.repeat(cells // WALKS, span)) * len(self.by_size[m]) + owners[met])
+            found.append((code // len(self.by_size[m]), code % len(self.by_size[m])))
+        window, mine = (np.concatenate(x) for x in zip(*found, strict=True))
+        return window, mine
 
     def hits(self, pairs: np.ndarray) -> np.ndarray:
         """Which of the hashes are word pairs of an item."""
@@ -267,9 +278,12 @@ class Items:
         left = np.flatnonzero(~np.isin(pair_of, pair_of[same]))
         if not len(left):
             return
+        # the windows left are looked up by their keys; around a window and an item that meet, edits decide
         walked, which = np.unique(which[left], return_inverse=True)
         at, item_of = at[walked], item_of[left]
-        near_key = self.candidates(m, np.where(inside[walked], hashes[index[walked]], U(0)), at, which, item_of)
+        window, mine = self.candidates(m, np.where(inside[walked], hashes[index[walked]], U(0)))
+        apart = int(at.max()) + 2 * m + 1  # places of one item are apart from those of the next
+        near_key = _within(np.searchsorted(wanted, item_of) * apart + at[which], mine * apart + at[window], allowed(m))
         which, item_of = which[near_key], item_of[near_key]
         reach = m + allowed(m)
         step = max(1, CELLS // (8 * reach))

@@ -75,6 +75,22 @@ def test_items_at_the_limit_of_edits_are_found_wherever_the_edits_are(m, kind):
     assert all(edits <= decontaminate.allowed(m) for *_, edits in found)
 
 
+@pytest.mark.parametrize("m,n", [(5, 40), (30, 40), (60, 40), (61, 40), (120, 40), (160, 40), (240, 20), (500, 8)])
+@pytest.mark.parametrize("kind", ["substituted", "inserted", "deleted"])
+def test_edits_spread_over_the_whole_item_are_found(m, n, kind):
+    rng = random.Random(m)
+    fresh = lambda: "".join(rng.choices("abcdefghijklmnop", k=9))
+    items, texts = [[fresh() for _ in range(m)] for _ in range(n)], []
+    for item in items:
+        words = list(item)
+        for i in sorted(rng.sample(range(1, m), decontaminate.allowed(m)), reverse=True):
+            words[i : i + (kind != "inserted")] = [fresh()] * (kind != "deleted")
+        texts.append(" ".join([fresh() for _ in range(rng.randint(0, m))] + words + [fresh() for _ in range(rng.randint(0, m))]))
+    found = decontaminate.Items([(i, " ".join(x)) for i, x in enumerate(items)]).find(*decontaminate.text_bytes(pa.array(texts)))
+    pairs = {(row, item) for row, item, *_ in found}
+    assert pairs <= {(i, i) for i in range(n)} and len(pairs) >= 0.95 * n
+
+
 @pytest.mark.parametrize("m", [8, 16, 48])
 def test_items_a_word_longer_than_others_are_found_at_the_limit(m):
     rng = random.Random(m)
