@@ -4,36 +4,38 @@ For each language a suffix automaton is built of a bounded sample of labelled
 text. A document is parsed against each automaton into longest matches; the
 language that needs the fewest normalised phrases wins: per byte of the text,
 and times the bits that name a place in the language's sample, as matches grow
-with a sample. The parse of many text segments runs in step, one vector
-operation per position.
+with a sample. Segments of many texts run in step, one vector operation per
+position, and then again from the state that the segment before leaves, until
+they meet the first run: the phrases are those of one parse of the whole text.
 
 Nulls and edge cases: a null text, an empty one, or one without any letter is
 ``und`` with score 0; a null doc_id is kept and is not held out; rows whose
 lang is null are predicted but never learned from; ties go to the language
 that sorts first; repeated rows give repeated results, and count once in a
 sample; without any labelled text all is ``und``; other columns are ignored.
-Whole texts are parsed, in segments of SEGMENT bytes, and learned from.
+Whole texts are parsed, PIECE bytes at once, and learned from.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import text_bytes
 from .common import bounded, slices
 
-SEGMENT = 256
+#: Bytes of a segment, of which many run in step, and of texts that are handled at once.
+SEGMENT, PIECE = 256, 1 << 20
 #: Labelled documents per language, and bytes of them all, at most; only documents of up to SAMPLE_DOC_BYTES are
 #: learned from, always as a whole, unless a language has none so short: then its shortest one is.
 SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_DOC_BYTES = 64, 24_000, 4096
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = r"\p{L}"
 
 
 def normal(raw: np.ndarray) -> np.ndarray:
@@ -92,19 +94,50 @@ class Automaton:
         table[n, :] = n
         self.table = (table * width).ravel()
 
-    def phrases(self, steps: np.ndarray) -> np.ndarray:
-        """Phrases of each segment; steps has a row for each position."""
-        table = self.table
-        state = np.zeros(steps.shape[1], np.int32)
-        count = np.ones(steps.shape[1], np.int32)
-        for c in steps:
-            new = table[state + c]
+    def phrases(self, steps: np.ndarray, joined: np.ndarray, state: int, last: int) -> tuple[np.ndarray, int]:
+        """How often a phrase ends in each segment of a parse that runs on from one to the next, and the last state.
+
+        ``steps`` has a row for each position and a column for each segment;
+        ``joined`` tells which segments go on where the one before ends, and
+        ``state`` is where the first one begins; the last has ``last``
+        positions, of which the others are padding. All segments run from the
+        root at once; those that go on are then run from the state they
+        inherit until they meet the run before, which takes a phrase or so.
+        """
+        table, n = self.table, steps.shape[1]
+        begin = np.zeros(n, np.int32)
+        begin[0] = state
+        path = np.empty(steps.shape, np.int32)
+        count = np.zeros(n, np.int32)
+        at = begin
+        for t, c in enumerate(steps):
+            new = table[at + c]
             ended = np.flatnonzero(new == 0)
             if len(ended):
                 count[ended] += 1
                 new[ended] = table[c[ended]]
-            state = new
-        return count
+            path[t] = at = new
+        todo = np.flatnonzero(joined)
+        while len(todo):
+            inherits = path[-1, todo - 1]
+            todo, inherits = todo[inherits != begin[todo]], inherits[inherits != begin[todo]]
+            run, at, before = todo, inherits, begin[todo]
+            begin[todo] = inherits
+            for t in range(len(steps)):
+                if not len(run):
+                    break
+                c, old = steps[t, run], path[t, run]
+                new = table[at + c]
+                ended = new == 0
+                new[ended] = table[c[ended]]
+                count[run] += ended.astype(np.int32) - (table[before + c] == 0)
+                path[t, run] = new
+                on = new != old
+                run, at, before = run[on], new[on], old[on]
+            # of what ran to its end, the segment after inherits another state
+            todo = run[run + 1 < n] + 1
+            todo = todo[joined[todo]]
+        return count, int(path[last - 1, -1])
 
 
 class LanguageModel:
@@ -122,38 +155,46 @@ class LanguageModel:
         self.bits = np.log2([len(s) + 1.0 for s in plain])
 
     def rates(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Phrases per byte, a row for each text and a column for each language."""
+        """Phrases per byte, a row for each text and a column for each language; PIECE bytes at once."""
         sizes = np.diff(offsets)
-        pieces = -(-sizes // SEGMENT)
-        owner = np.repeat(np.arange(len(sizes)), pieces)
-        first = np.cumsum(pieces) - pieces
-        begin = offsets[:-1][owner] + (np.arange(len(owner)) - first[owner]) * SEGMENT
-        stop = np.minimum(begin + SEGMENT, offsets[1:][owner])
-        out = np.full((len(sizes), len(self.automata)), np.inf)
-        if len(owner):
-            coded = np.append(self.classes[normal(raw)], 0)
+        total = np.zeros((len(sizes), len(self.automata)))
+        state = [0] * len(self.automata)
+        for low in range(0, len(raw), PIECE):
+            high = min(low + PIECE, len(raw))
+            # a letter of two bytes may begin before the piece
+            coded = np.append(self.classes[normal(raw[max(low - 1, 0) : high])[low > 0 :]], 0)
+            rows = np.arange(np.searchsorted(offsets, low, "right") - 1, np.searchsorted(offsets, high, "left"))
+            rows = rows[sizes[rows] > 0]
+            starts, stops = np.maximum(offsets[:-1][rows], low) - low, np.minimum(offsets[1:][rows], high) - low
+            pieces = -(-(stops - starts) // SEGMENT)
+            owner = np.repeat(np.arange(len(rows)), pieces)
+            nth = np.arange(len(owner)) - (np.cumsum(pieces) - pieces)[owner]
+            begin = starts[owner] + nth * SEGMENT
             at = begin[None, :] + np.arange(SEGMENT)[:, None]
-            at[at >= stop[None, :]] = len(raw)
+            at[at >= np.minimum(begin + SEGMENT, stops[owner])[None, :]] = high - low
             steps = coded[at]
+            goes_on = offsets[:-1][rows[0]] < low
             for i, a in enumerate(self.automata):
-                out[:, i] = np.bincount(owner, a.phrases(steps), len(sizes)) / np.maximum(sizes, 1)
-        return out
+                count, state[i] = a.phrases(steps, nth > 0, state[i] if goes_on else 0, int(stops[-1] - begin[-1]))
+                total[:, i] += np.bincount(rows[owner], count, len(sizes))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(sizes[:, None] > 0, (total + 1) / sizes[:, None], np.inf)
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, scores, and phrases per byte of the language predicted."""
-        texts = column.to_pylist()
+        n = len(column)
         if not self.automata:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.inf)
+            return [UNKNOWN] * n, np.zeros(n), np.full(n, np.inf)
         rates = self.rates(*text_bytes(column))
-        letters = np.array([t is not None and bool(LETTER.search(t)) for t in texts], bool)
+        letters = pc.fill_null(pc.match_substring_regex(column, LETTER), False).to_numpy(zero_copy_only=False)
         cost = rates * self.bits
         order = np.argsort(cost, axis=1, kind="stable")
-        rows = np.arange(len(texts))
+        rows = np.arange(n)
         best = cost[rows, order[:, 0]]
-        next_ = cost[rows, order[:, 1]] if len(self.automata) > 1 else np.full(len(texts), np.inf)
+        next_ = cost[rows, order[:, 1]] if len(self.automata) > 1 else np.full(n, np.inf)
         with np.errstate(invalid="ignore"):
             score = np.where(letters, 1 - best / (best + next_), 0.0) if len(self.automata) > 1 else letters.astype(float)
-        return [self.languages[order[i, 0]] if letters[i] else UNKNOWN for i in range(len(texts))], np.nan_to_num(score), rates[rows, order[:, 0]]
+        return [self.languages[order[i, 0]] if letters[i] else UNKNOWN for i in range(n)], np.nan_to_num(score), rates[rows, order[:, 0]]
 
 
 def held_out() -> F.Column:

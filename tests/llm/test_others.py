@@ -302,20 +302,51 @@ def test_language_ties_repeated_rows_and_clashing_columns(spark):
     assert {(r["lang_pred"], r["score"]) for r in langid.identify(df, {"b": same.encode(), "a": same.encode()}).collect()} == {("a", 0.5)}
 
 
-def test_phrases_equal_a_greedy_parse():
+def greedy(text, sample):
+    n, at = 1, ""
+    for c in text:
+        if at + c in sample:
+            at += c
+        else:
+            n, at = n + 1, c if c in sample else ""
+    return n
+
+
+@pytest.mark.parametrize(("segment", "piece"), [(256, 1 << 20), (4, 1 << 20), (4, 13), (1, 7), (256, 100)])
+def test_phrases_equal_a_greedy_parse_of_whole_texts(monkeypatch, segment, piece):
+    monkeypatch.setattr(langid, "SEGMENT", segment)
+    monkeypatch.setattr(langid, "PIECE", piece)
     rng = random.Random(6)
     for _ in range(20):
-        sample = "".join(rng.choices("abc", k=60)).encode()
-        text = "".join(rng.choices("abcd", k=rng.randint(1, 80))).encode()
-        model = langid.LanguageModel({"x": sample})
-        got = model.rates(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0, 0] * len(text)
-        n, at = 1, ""
-        for c in text.decode():
-            if at + c in sample.decode():
-                at += c
-            else:
-                n, at = n + 1, c if c in sample.decode() else ""
-        assert round(got) == n
+        samples = {k: "".join(rng.choices("abc", k=60)) + "abab" * 9 for k in "xy"}
+        texts = ["".join(rng.choices("abcd", k=rng.randint(0, 80))) for _ in range(4)] + [samples["x"][3:], "a" * 50, "ab" * 40, "", samples["x"] * 3]
+        rng.shuffle(texts)
+        model = langid.LanguageModel({k: v.encode() for k, v in samples.items()})
+        offsets = np.cumsum([0, *map(len, texts)])
+        got = model.rates(np.frombuffer("".join(texts).encode(), np.uint8), offsets)
+        for row, text in enumerate(texts):
+            if text:
+                assert [round(r * len(text)) for r in got[row]] == [greedy(text, samples[k]) for k in "xy"]
+
+
+def test_letters_of_two_bytes_across_pieces(monkeypatch):
+    model = langid.LanguageModel({"x": "éàé üñ".encode()})
+    raw = np.frombuffer(("ÉÀé ÜÑ" * 20).encode(), np.uint8)
+    whole = model.rates(raw, np.array([0, len(raw)]))
+    for piece in (1, 2, 3, 10):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        assert (model.rates(raw, np.array([0, len(raw)])) == whole).all()
+
+
+def test_a_long_text_takes_little_more_than_itself():
+    import tracemalloc
+
+    model = langid.LanguageModel({"x": b"the one and the other " * 20, "y": b"und der andere ist auch da " * 20})
+    text = pa.array(["the other one was in the house " * 300_000])
+    tracemalloc.start()
+    assert model.predict(text)[0] == ["x"]
+    assert tracemalloc.get_traced_memory()[1] < 80 << 20  # a piece takes some 40 bytes for each of its own
+    tracemalloc.stop()
 
 
 # -- urls -------------------------------------------------------------------
