@@ -1,9 +1,13 @@
-"""Context bundles under a token budget: Spark ranks, the driver folds a few rows."""
+"""Context bundles under a token budget: Spark ranks and brings each query's few notes together, a task folds them."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.constants import CHARS_PER_TOKEN
 
@@ -57,3 +61,33 @@ def pack(query: str, rows: Sequence[dict], budget_tokens: int, body_of: Callable
     text = whole(blocks)
     used = math.ceil(portable_length(text) / CHARS_PER_TOKEN)
     return render(query, blocks, used, budget_tokens, len(blocks))
+
+
+BUNDLES = "query_id string, bundle string, notes int, paths array<string>, chars int"
+
+
+def bundles(ranked: DataFrame, queries: DataFrame, documents: DataFrame, budget_tokens: int) -> DataFrame:
+    """query_id, bundle, notes, paths, chars: a bundle for each query that has results, its notes in order of rank.
+
+    ``ranked`` has query_id, rank (few for each query) and path. Of a body no
+    more is moved than the budget could take. A bundle is null if not even the
+    frame fits. Works on a batch, also one of a stream.
+    """
+    most = budget_tokens * CHARS_PER_TOKEN + 1
+    texts = documents.select("path", "title", F.substring(F.coalesce("body", F.lit("")), 1, most).alias("body"))
+    few = ranked.join(texts, "path").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "path", "title", "body"))).alias("rows"))
+    few = few.join(queries.select("query_id", "query"), "query_id").select("query_id", "query", "rows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                text = pack(r["query"], r["rows"], budget_tokens)
+                # the first note that can't fit ends the bundle, so those within are the first
+                own = [x["path"] for x in r["rows"]][: 0 if text is None else int(text.rsplit("\n---\n", 1)[1].split()[0])]
+                out.append((r["query_id"], text, len(own), own, portable_length(text or "")))
+            columns = list(zip(*out, strict=True)) if out else [()] * 5
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in BUNDLES.split(", ")])
+
+    return few.mapInArrow(run, BUNDLES)

@@ -357,15 +357,15 @@ def stored_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT concat('30-resources/sources/raw/2024-05-06 070809 - Page ', page_id, ' a b.md') AS path, concat('raw-web-20240506-070809-page-', page_id, '-a-b') AS id, coalesce(url, '') AS source_url, coalesce(html, '') AS payload, 'draft' AS status
-FROM (SELECT page_id, url, 'text of ' || page_id AS html FROM pages)"""
+    """SELECT concat('30-resources/sources/raw/2024-05-06 070809 - Page ', page_id, ' a b.md') AS path, concat('raw-web-20240506-070809-page-', page_id, '-a-b') AS id, coalesce(url, '') AS source_url, trim(replace(replace(html, chr(13), ''), chr(10), ' ')) AS payload, 'draft' AS status
+FROM pages"""
 )
 def clipped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as clips, read back from their notes."""
     k = F.col("page_id")
     clip = R.table(spark, sf_dir, "pages").select(
         F.concat(S("Page "), k, S(": a/b")).alias("title"), "url", S("site").alias("site"), S(None).cast("string").alias("author"), S("2024-05-01").alias("published"),
-        F.concat(S("text of "), k).alias("content"), F.to_timestamp(S("2024-05-06 07:08:09")).alias("clipped_at"),
+        F.replace("html", S("\r"), S("")).alias("content"), F.to_timestamp(S("2024-05-06 07:08:09")).alias("clipped_at"),
     )
     table = notes(clips.clipped(clip))
     return table.select("path", checks.meta("id").alias("id"), checks.meta("source_url").alias("source_url"), F.trim(F.replace(checks.payload(F.col("body")), S("\n"), S(" "))).alias("payload"), "status")
@@ -426,3 +426,20 @@ FROM (SELECT user_id AS u, event_id AS id, event_type AS t, user_id % 5 <> 4 AS
 def transcript_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = transcripts.events(transcript_lines(spark, sf_dir))
     return found.agg(F.sum(F.col("turn").cast("int")).alias("turns"), *(F.sum(F.size(c)).alias(c) for c in ("edits", "captures", "failed")))
+
+
+# -- recall -----------------------------------------------------------------
+_PROMPTS = "SELECT concat(conv_id, '/', turn) AS query_id, substr(trim(text), 1, 500) AS query FROM conversations WHERE role = 'user' AND length(trim(text)) >= 40 AND NOT starts_with(trim(text), '/')"
+_RANKED = Q.ranked([("x", "x")], limit=4, prefix=True, phrase=True).replace("q(query_id, query) AS (VALUES ('x', 'x'))", f"q AS ({_PROMPTS})")
+
+
+@query(f"""SELECT split_part(query_id, '/', 1)::BIGINT AS conv_id, split_part(query_id, '/', 2)::BIGINT AS turn, string_agg(path, ',' ORDER BY rank) AS paths, count(*)::INTEGER AS notes, true AS within_budget, true AS names_all
+FROM ({_RANKED}) GROUP BY query_id""")
+def recalled_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bundle of packed text for every prompt; its paths, and that it keeps its budget and names its notes."""
+    c = R.table(spark, sf_dir, "conversations").where("role = 'user'")
+    hooks = c.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.col("text").alias("prompt"), S(None).cast("string").alias("source"), S(False).alias("in_corpus"))
+    d = R.corpus(spark, sf_dir)
+    made = dispatch.recall_bundles(hooks, d, index.stored(d))
+    named = F.forall("paths", lambda p: F.contains("bundle", F.concat(S("Source: "), p)))
+    return made.select(F.col("session").alias("conv_id"), F.col("seq").alias("turn"), F.array_join("paths", ",").alias("paths"), "notes", (F.col("chars") <= 4800).alias("within_budget"), named.alias("names_all"))

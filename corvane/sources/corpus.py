@@ -98,7 +98,7 @@ def remote_scan(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame
     """The same columns from a store that only Spark reads; names with a leading underscore are not listed there."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     path = F.regexp_replace(F.substring_index("path", root.rstrip("/") + "/", -1), "^/+", "")
-    return rows.select(path.alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    return rows.select(path.alias("path"), F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "").alias("content"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
 
 
 def manifest_diff(stored: DataFrame, listed: DataFrame) -> DataFrame:

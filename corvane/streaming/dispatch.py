@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import constants as C
-from ..operators import index, mutate, rank
+from ..operators import index, mutate, pack, rank
 from .sessions import Activity, Thresholds, decide, line_events, worth_recalling
 
 # -- configuration ----------------------------------------------------------
@@ -180,16 +180,37 @@ def stream_signals(rows: DataFrame) -> DataFrame:
     return rows.groupBy("session").transformWithStateInPandas(SignalProcessor(), SIGNALS, "Append", "ProcessingTime")
 
 
+def prompts(hooks: DataFrame) -> DataFrame:
+    """query_id, query, session, seq of the prompts worth recalling (session, seq, prompt, source, in_corpus)."""
+    asked = hooks.where(~F.coalesce("source", F.lit("")).isin(*C.AUTOMATED_SOURCES) & ~F.coalesce("in_corpus", F.lit(False)) & worth_recalling(F.col("prompt")))
+    return asked.select(F.concat_ws("\u0001", "session", "seq").alias("query_id"), F.substring(F.trim("prompt"), 1, C.QUERY_CHARS).alias("query"), "session", "seq")
+
+
 def recalled(hooks: DataFrame, documents: DataFrame, own: index.Index | None = None, limit: int = C.RECALL_NOTES) -> DataFrame:
-    """session, seq, rank, path, score: the notes for each prompt worth recalling (session, seq, prompt, source, in_corpus).
+    """session, seq, rank, path, score: the notes for each prompt worth recalling.
 
     For a stream call it on each micro-batch (``foreachBatch``).
     """
-    asked = hooks.where(~F.coalesce("source", F.lit("")).isin(*C.AUTOMATED_SOURCES) & ~F.coalesce("in_corpus", F.lit(False)) & worth_recalling(F.col("prompt")))
-    key = F.concat_ws("\u0001", "session", "seq")
-    queries = asked.select(key.alias("query_id"), F.substring(F.trim("prompt"), 1, C.QUERY_CHARS).alias("query"))
-    found = rank.rank(queries, documents, rank.Options(limit=limit), own)
-    return found.join(asked.select(key.alias("query_id"), "session", "seq"), "query_id").select("session", "seq", "rank", "path", "score")
+    asked = prompts(hooks)
+    found = rank.rank(asked.select("query_id", "query"), documents, rank.Options(limit=limit), own)
+    return found.join(asked.select("query_id", "session", "seq"), "query_id").select("session", "seq", "rank", "path", "score")
+
+
+def recall_bundles(hooks: DataFrame, documents: DataFrame, own: index.Index | None = None, limit: int = C.RECALL_NOTES, budget_tokens: int = C.RECALL_TOKENS) -> DataFrame:
+    """session, seq, bundle, notes, paths, chars: the text handed over for each prompt worth recalling that finds anything."""
+    asked = prompts(hooks)
+    found = rank.rank(asked.select("query_id", "query"), documents, rank.Options(limit=limit), own)
+    made = pack.bundles(found, asked, documents, budget_tokens).join(asked.select("query_id", "session", "seq"), "query_id")
+    return made.select("session", "seq", "bundle", "notes", "paths", "chars")
+
+
+def follow_recall(hooks: DataFrame, documents: DataFrame, own: index.Index, sink: str, checkpoint: str, **options):
+    """The streaming query that writes each batch's bundles into a folder of its own, so that a batch that comes again adds nothing."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        recall_bundles(batch, documents, own, **options).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    return hooks.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 # -- files ------------------------------------------------------------------

@@ -9,6 +9,7 @@ a capture counts as soon as it is seen, and its failure reopens the window.
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -230,10 +231,19 @@ def audit(events: DataFrame, tool_prefix: str, names: tuple[str, ...] = AUDITED_
 
 
 def write_audit(rows: DataFrame, path: str, checkpoint: str | None = None):
-    """Append audit rows (at, event, tool) as JSON lines; for a stream, the query that does so for each of its batches."""
+    """Append audit rows (at, event, tool) as JSON lines; for a stream, the query that does so for each of its batches.
+
+    A stream's batch has a folder of its own (named by the checkpoint and its
+    number) which it replaces, so a batch that comes again adds nothing.
+    """
     if not rows.isStreaming:
         return rows.write.mode("append").json(path)
-    return rows.writeStream.foreachBatch(lambda batch, _: batch.write.mode("append").json(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream = f"{zlib.crc32(str(checkpoint).encode()):08x}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").json(f"{path}/stream={stream}/batch={number}")
+
+    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def worth_recalling(prompt: F.Column) -> F.Column:
