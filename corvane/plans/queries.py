@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import constants as C
 from ..functions import text as X
 from ..functions.parse import meta, notes
 from ..operators import checks, evaluate, graph, index, pack, rank, readability, reports, segments, store, views
@@ -154,16 +155,22 @@ def trigram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.trigram_candidates(missing, index.stored(R.corpus(spark, sf_dir)).trigrams).select("asked", "term", "shared", "place")
 
 
-@query()
+FUZZY = {"length": C.FUZZY_LENGTH, "ratio": C.FUZZY_RATIO, "most": C.FUZZY_TERMS}
+
+
+@query(Q.fuzzy_terms(ODD_TERMS, **FUZZY))
 def fuzzy_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     missing = spark.createDataFrame([("t", i, t) for i, t in enumerate(ODD_TERMS)], "query_id string, pos int, term string")
     return rank.fuzzy_expanded(missing, index.stored(R.corpus(spark, sf_dir)).trigrams).select("asked", "term", "sub", F.round("ratio", 6).alias("ratio"))
 
 
-@query()
+MISSPELT = [("z1", "thention the"), ("z2", "ereauq und undiee")]
+
+
+@query(Q.ranked_fuzzy(MISSPELT, 10, C.FUZZY_WEIGHT, **FUZZY))
 def bm25f_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = rank.Options(limit=10, phrase=False, prefix=False, fuzzy=True)
-    return ranked(spark, sf_dir, [("z1", "thention the")], options)
+    return ranked(spark, sf_dir, MISSPELT, options)
 
 
 @query()

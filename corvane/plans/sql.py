@@ -83,6 +83,41 @@ m AS (SELECT term AS asked, unnest({TRIGRAMS}) AS tri FROM a), c AS (SELECT aske
 r AS (SELECT *, (row_number() OVER (PARTITION BY asked ORDER BY shared DESC, term))::INTEGER AS place FROM c) SELECT asked, term, shared, place FROM r WHERE place <= 200"""
 
 
+def _longest(a: str, b: str) -> str:
+    """{k, ni, nj}: length and negated places of the longest block that two strings share, the first in a and then in b."""
+    block = f"{{'k': k, 'ni': -i, 'nj': -instr({b}, substr({a}, i, k))}}"
+    own = f"list_filter(list_transform(range(1, length({a}) - i + 2), lambda k: {block}), lambda x: x.nj < 0)"
+    return f"list_max(flatten(list_transform(range(1, length({a}) + 1), lambda i: {own})))"
+
+
+def similar_terms(terms: str, length: int, ratio: float, most: int) -> str:
+    """From a(term) to fz(asked, term, sub, ratio): similar terms by the blocks that recursive halving finds."""
+    near = f"""t AS (SELECT term, unnest({TRIGRAMS}) AS tri FROM voc),
+m AS (SELECT term AS asked, unnest({TRIGRAMS}) AS tri FROM a), c AS (SELECT asked, term, count(*) AS shared FROM m JOIN t USING (tri) GROUP BY 1, 2),
+n AS (SELECT asked, term FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY shared DESC, term) AS place FROM c) WHERE place <= 200 AND abs(length(asked) - length(term)) <= {length})"""
+    sides = "[{'a': substr(a, 1, -m.ni - 1), 'b': substr(b, 1, -m.nj - 1)}, {'a': substr(a, -m.ni + m.k), 'b': substr(b, -m.nj + m.k)}]"
+    return f"""a(term) AS ({terms}), {near},
+rec AS (SELECT asked, term, asked AS a, term AS b, {_longest("asked", "term")} AS m FROM n
+        UNION ALL SELECT asked, term, p.a, p.b, {_longest("p.a", "p.b")} FROM (SELECT asked, term, unnest({sides}) AS p FROM rec WHERE m IS NOT NULL) WHERE length(p.a) > 0 AND length(p.b) > 0),
+ra AS (SELECT asked, term, 2.0::DOUBLE * sum(coalesce(m.k, 0)) / (length(asked) + length(term)) AS ratio FROM rec GROUP BY asked, term),
+fz AS (SELECT asked, term, ratio, (row_number() OVER (PARTITION BY asked ORDER BY ratio DESC, term))::INTEGER AS sub FROM ra WHERE ratio >= {ratio} QUALIFY sub <= {most})"""
+
+
+def fuzzy_terms(terms: list[str], **bounds) -> str:
+    values = " UNION ALL ".join(f"SELECT '{t}'" for t in terms)
+    return f"WITH RECURSIVE {CORPUS}, {VOCABULARY}, {similar_terms(values, **bounds)} SELECT asked, term, sub, round(ratio, 6) AS ratio FROM fz"
+
+
+def ranked_fuzzy(queries: list[tuple[str, str]], limit: int, weight: float, **bounds) -> str:
+    """:func:`ranked` where terms found nowhere also count by similar ones."""
+    plain = "w AS (SELECT query_id, term, 1.0::DOUBLE AS weight FROM e)"
+    missing = "SELECT DISTINCT term FROM e WHERE term NOT IN (SELECT term FROM voc)"
+    fuzzy = f"""{VOCABULARY}, {similar_terms(missing, **bounds)},
+al AS (SELECT query_id, term, pos, 0 AS sub, 1.0::DOUBLE AS weight FROM e UNION ALL SELECT e.query_id, fz.term, e.pos, fz.sub + 100, {weight}::DOUBLE FROM fz JOIN e ON e.term = fz.asked),
+w AS (SELECT query_id, term, weight FROM al QUALIFY row_number() OVER (PARTITION BY query_id, term ORDER BY pos, sub) = 1)"""
+    return ranked(queries, limit).replace(plain, fuzzy).replace("WITH q(", "WITH RECURSIVE q(", 1)
+
+
 # -- rendered notes ---------------------------------------------------------
 CUSTOMER = "concat(CASE WHEN c_custkey % 5 = 0 THEN '00-inbox' ELSE '40-knowledge/people' END, '/customer-', c_custkey, '.md')"
 SUPPLIER = "concat('40-knowledge/organizations/supplier-', s_suppkey, '.md')"
