@@ -9,6 +9,7 @@ a capture counts as soon as it is seen, and its failure reopens the window.
 from __future__ import annotations
 
 import json
+import time
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -233,11 +234,12 @@ def audit(events: DataFrame, tool_prefix: str, names: tuple[str, ...] = AUDITED_
 def write_audit(rows: DataFrame, path: str, checkpoint: str | None = None):
     """Append audit rows (at, event, tool) as JSON lines; for a stream, the query that does so for each of its batches.
 
-    A stream's batch has a folder of its own (named by the checkpoint and its
-    number) which it replaces, so a batch that comes again adds nothing.
+    Each batch has a folder of its own. A stream's is named by the checkpoint
+    and its number and replaced by a batch that comes again, which so adds
+    nothing; others are named by the time.
     """
     if not rows.isStreaming:
-        return rows.write.mode("append").json(path)
+        return rows.write.mode("append").json(f"{path}/stream=none/batch={time.time_ns()}")
     stream = f"{zlib.crc32(str(checkpoint).encode()):08x}"
 
     def put(batch: DataFrame, number: int) -> None:

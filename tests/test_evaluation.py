@@ -1,5 +1,6 @@
 import datetime
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,3 +97,8 @@ def test_audit_rows_are_appended(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/in")
     sessions.write_audit(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/audit", f"{tmp_path}/ck").awaitTermination(60)
     assert spark.read.json(f"{tmp_path}/audit").count() == 3
+    # the batch comes again when its commit was lost
+    for name in ("0", ".0.crc"):
+        os.remove(f"{tmp_path}/ck/commits/{name}")
+    sessions.write_audit(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/audit", f"{tmp_path}/ck").awaitTermination(60)
+    assert spark.read.json(f"{tmp_path}/audit").count() == 3
