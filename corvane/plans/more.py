@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import formats
 from ..functions import text as X
 from ..functions.parse import notes
 from ..operators import checks, evaluate, graph, index, rank, readability, reports, views
@@ -443,3 +444,28 @@ def recalled_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = dispatch.recall_bundles(hooks, d, index.stored(d))
     named = F.forall("paths", lambda p: F.contains("bundle", F.concat(S("Source: "), p)))
     return made.select(F.col("session").alias("conv_id"), F.col("seq").alias("turn"), F.array_join("paths", ",").alias("paths"), "notes", (F.col("chars") <= 4800).alias("within_budget"), named.alias("names_all"))
+
+
+# -- formats ----------------------------------------------------------------
+@query("SELECT o_orderkey, strftime(o_orderdate, '%G-W%V') AS week, strftime(o_orderdate, '%A, %-d %B %Y at %H:%M') AS spelled, strftime(o_orderdate, '%a %-d.%-m.%y') AS short FROM orders")
+def order_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day of every order in three formats of note templates."""
+    of = lambda pattern: formats.moment(F.col("o_orderdate"), pattern)
+    return R.table(spark, sf_dir, "orders").select("o_orderkey", of("GGGG-[W]WW").alias("week"), of("dddd, D MMMM YYYY [at] HH:mm").alias("spelled"), of("ddd D.M.YY").alias("short"))
+
+
+_SPELLED = "replace(replace(replace(replace(replace(replace(replace({}, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), 'Ä', 'Ae'), 'Ö', 'Oe'), 'Ü', 'Ue')"
+_SLUG = f"coalesce(nullif(lower(trim(regexp_replace(strip_accents({_SPELLED}), '[^a-zA-Z0-9]+', '-', 'g'), '-')), ''), 'note')"
+
+
+@query(f"SELECT p_partkey, {_SLUG.format('''p_name || ' – Größe ' || p_size || ' / ' || p_brand || ' à la Ñandú' ''')} AS slug FROM part")
+def part_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The id of a note on each part, from a title with accents and marks."""
+    title = F.concat("p_name", S(" – Größe "), F.col("p_size").cast("string"), S(" / "), "p_brand", S(" à la Ñandú"))
+    return R.table(spark, sf_dir, "part").select("p_partkey", formats.slug(title).alias("slug"))
+
+
+@query(f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN {_SLUG.format('text')} END AS slug FROM documents")
+def document_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of every whole text, in all its languages."""
+    return R.table(spark, sf_dir, "documents").select("doc_id", formats.slug(F.col("text")).alias("slug"))
