@@ -3,12 +3,23 @@
 ``spark.read.format("corpus").load(folder)`` lists a folder as the built-in
 text sources can't: names that begin with an underscore are read, those that
 begin with a dot and the excluded folders are not.
+
+The options ``prefixes`` and ``only`` (JSON lists of prefixes and of paths) leave paths out before
+anything is read: only folders that can hold wanted paths are entered, only
+wanted files opened. They are options and no pushed conditions, as Spark keeps
+pushed conditions of a Python source with the loaded table: two branches of a
+plan that use it under different conditions would both get the later ones.
+
+The driver lists a bounded number of folders; the rest are listed by the tasks
+that read them.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,9 +52,53 @@ def adapters(root: str) -> list[str]:
     return found
 
 
+def entries(root: str, folder: str) -> tuple[list[str], list[str]]:
+    """Relative paths of the files and of the folders in one folder, without hidden and excluded ones."""
+    files, folders = [], []
+    try:
+        with os.scandir(os.path.join(root, folder)) as found:
+            for e in found:
+                own = f"{folder}/{e.name}" if folder else e.name
+                if e.name.startswith("."):
+                    continue
+                if e.is_dir():
+                    if e.name not in EXCLUDED_DIRS and not e.is_symlink():
+                        folders.append(own)
+                else:
+                    files.append(own)
+    except FileNotFoundError:  # gone since its parent was listed
+        pass
+    return files, folders
+
+
+class Wanted:
+    """Paths that have one of the prefixes and are one of the paths; no list leaves all."""
+
+    def __init__(self, prefixes: list[str] | None, paths: list[str] | None):
+        self.prefixes = None if prefixes is None else tuple(prefixes)
+        self.paths = None if paths is None else frozenset(paths)
+        self.above = None if paths is None else {p[: i + 1] for p in paths for i, c in enumerate(p) if c == "/"}
+
+    def file(self, path: str) -> bool:
+        return (self.prefixes is None or path.startswith(self.prefixes)) and (self.paths is None or path in self.paths)
+
+    def folder(self, path: str) -> bool:
+        """Whether a wanted path can lie below the folder."""
+        below = path + "/"
+        under = self.prefixes is None or below.startswith(self.prefixes) or any(p.startswith(below) for p in self.prefixes)
+        return under and (self.above is None or below in self.above)
+
+
+def listed(value: str | None) -> list[str] | None:
+    return None if value is None else json.loads(value)
+
+
 class FileGroup(InputPartition):
-    def __init__(self, paths: list[str]):
+    """Files to read, and folders to list and read with all below them."""
+
+    def __init__(self, paths: list[str], folders: list[str] = ()):
         self.paths = paths
+        self.folders = list(folders)
 
 
 class CorpusReader(DataSourceReader):
@@ -51,14 +106,42 @@ class CorpusReader(DataSourceReader):
         self.root = options["path"]
         self.kind = options.get("kind", "notes")
         self.group = int(options.get("filesPerPartition", "256"))
+        self.on_driver = int(options.get("foldersOnDriver", "4096"))
+        self.wanted = Wanted(listed(options.get("prefixes")), listed(options.get("only")))
+
+    def takes(self, path: str) -> bool:
+        of_kind = self.kind in ("all", "adapters") or path.lower().endswith(".md") == (self.kind == "notes")
+        return of_kind and self.wanted.file(path)
 
     def partitions(self) -> list[FileGroup]:
-        is_note = lambda p: p.lower().endswith(".md")
-        paths = adapters(self.root) if self.kind == "adapters" else [p for p in walk(self.root) if self.kind == "all" or is_note(p) == (self.kind == "notes")]
-        return [FileGroup(paths[i : i + self.group]) for i in range(0, len(paths), self.group)] or [FileGroup([])]
+        if self.kind == "adapters":
+            paths, left = adapters(self.root), []
+        else:
+            paths, left, seen = [], [""], 0
+            while left and seen < self.on_driver:  # breadth first, so that what is left are folders of like depth
+                nxt = []
+                for i, folder in enumerate(left):
+                    if seen == self.on_driver:
+                        nxt += left[i:]
+                        break
+                    files, folders = entries(self.root, folder)
+                    paths += files
+                    nxt += [f for f in folders if self.wanted.folder(f)]
+                    seen += 1
+                left = nxt
+        paths = sorted((p for p in paths if self.takes(p)), key=lambda p: (p.casefold(), p))
+        groups = [FileGroup(paths[i : i + self.group]) for i in range(0, len(paths), self.group)]
+        return groups + [FileGroup([], [f]) for f in sorted(left)] or [FileGroup([])]
+
+    def below(self, folders: list[str]) -> Iterator[str]:
+        left = list(folders)
+        while left:
+            files, inner = entries(self.root, left.pop())
+            yield from (p for p in sorted(files, key=lambda p: (p.casefold(), p)) if self.takes(p))
+            left += [f for f in sorted(inner, reverse=True) if self.wanted.folder(f)]
 
     def read(self, partition: FileGroup) -> Iterator[tuple]:
-        for p in partition.paths:
+        for p in itertools.chain(partition.paths, self.below(partition.folders)):
             full = os.path.join(self.root, p)
             try:
                 stat = os.stat(full)
@@ -72,7 +155,7 @@ class CorpusReader(DataSourceReader):
 
 
 class CorpusSource(DataSource):
-    """Options: path; kind = notes (default), assets, all or adapters; filesPerPartition."""
+    """Options: path; kind = notes (default), assets, all or adapters; filesPerPartition; prefixes, only; foldersOnDriver."""
 
     @classmethod
     def name(cls) -> str:
@@ -89,9 +172,14 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(CorpusSource)
 
 
-def scan(spark: SparkSession, root: str, kind: str = "notes") -> DataFrame:
+def scan(spark: SparkSession, root: str, kind: str = "notes", prefixes: Iterable[str] | None = None, paths: Iterable[str] | None = None) -> DataFrame:
+    """The files of a folder; with ``prefixes`` or ``paths``, those whose path has one of them or is one of them."""
     register(spark)
-    return spark.read.format("corpus").option("kind", kind).load(root)
+    reader = spark.read.format("corpus").option("kind", kind)
+    for name, some in (("prefixes", prefixes), ("only", paths)):
+        if some is not None:
+            reader = reader.option(name, json.dumps(list(some)))
+    return reader.load(root)
 
 
 def remote_scan(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
