@@ -11,7 +11,7 @@ from ..functions import formats
 from ..functions import text as X
 from ..functions.parse import notes
 from ..operators import checks, evaluate, graph, index, rank, readability, reports, views
-from ..sources import clips, judgments
+from ..sources import clips, judgments, viewfiles
 from ..streaming import dispatch, sessions, transcripts
 from . import render as R
 from . import sql as Q
@@ -446,6 +446,32 @@ def recalled_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("session").alias("conv_id"), F.col("seq").alias("turn"), F.array_join("paths", ",").alias("paths"), "notes", (F.col("chars") <= 4800).alias("within_budget"), named.alias("names_all"))
 
 
+# -- view files -------------------------------------------------------------
+_ODD_VIEW = """
+filters: file.inFolder("10-projects") && !(status == "active")
+views:
+  - name: Old snapshots
+    filters:
+      or:
+        - freshness == "snapshot" && updated < today() - "2 years" + "1 week"
+        - not:
+            - freshness != null
+            - updated >= date("1993-01-01")
+        - freshness_window_days >= 480 || file.name.startsWith("order-77")
+    groupBy: updated
+    order: [freshness, updated]
+"""
+
+
+@query("""SELECT freshness, count(*) AS notes, min(updated) AS first FROM (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'pointer' WHEN 1 THEN 'snapshot' ELSE '' END AS freshness, strftime(o_orderdate, '%Y-%m-%d') AS updated, o_orderkey AS k FROM orders WHERE o_orderstatus <> 'O')
+WHERE freshness = 'snapshot' AND updated < '1996-06-08' OR freshness = '' AND updated < '1993-01-01' OR k % 50 >= 48 OR starts_with(k::VARCHAR, '77') GROUP BY freshness""")
+def view_of_a_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view with nested conditions, read from a file's text, registered, and counted in SQL."""
+    (own,) = viewfiles.views_in(_ODD_VIEW)
+    (name,) = views.register(notes(R.orders(spark, sf_dir)), [own], views.Context(datetime.date(1998, 6, 1)), prefix="file_")
+    return spark.sql(f"SELECT freshness, count(*) AS notes, min(updated) AS first FROM {name} GROUP BY freshness")
+
+
 # -- formats ----------------------------------------------------------------
 @query("SELECT o_orderkey, strftime(o_orderdate, '%G-W%V') AS week, strftime(o_orderdate, '%A, %-d %B %Y at %H:%M') AS spelled, strftime(o_orderdate, '%a %-d.%-m.%y') AS short FROM orders")
 def order_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,11 +61,14 @@ def entries(root: str, folder: str) -> tuple[list[str], list[str]]:
                 own = f"{folder}/{e.name}" if folder else e.name
                 if e.name.startswith("."):
                     continue
-                if e.is_dir():
-                    if e.name not in EXCLUDED_DIRS and not e.is_symlink():
-                        folders.append(own)
-                else:
+                try:
+                    is_folder = e.is_dir()
+                except OSError:  # a link that leads nowhere: reading it will say so
+                    is_folder = False
+                if not is_folder:
                     files.append(own)
+                elif e.name not in EXCLUDED_DIRS and not e.is_symlink():
+                    folders.append(own)
     except FileNotFoundError:  # gone since its parent was listed
         pass
     return files, folders
