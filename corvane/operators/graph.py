@@ -100,82 +100,244 @@ def orphans(notes: DataFrame, edges_: DataFrame) -> DataFrame:
     return notes.select("path").where((F.col("path") != "Home.md") & ~F.contains(F.col("path"), F.lit("/_template/"))).join(linked, "path", "left_anti")
 
 
-def on_cycles(edges_: DataFrame, rounds: int = 64) -> DataFrame:
-    """Edges that may lie on a cycle: nodes without a way in or out are peeled off, in Spark.
+def _joined(edges_: DataFrame, own: DataFrame, column: str) -> DataFrame:
+    """Edges whose ``column`` is one of ``own`` (a column node)."""
+    return edges_.join(own.select(F.col("node").alias(column)), column, "left_semi").select("src", "dst")
 
-    What is left holds all cycles; it is small for graphs that should have none.
+
+def _degrees(now: DataFrame) -> DataFrame:
+    """node, ins, outs, and the only node before and after where there is but one."""
+    ends = now.select(F.col("src").alias("node"), F.lit(None).cast("string").alias("p"), F.col("dst").alias("s"))
+    ends = ends.union(now.select(F.col("dst").alias("node"), F.col("src").alias("p"), F.lit(None).cast("string").alias("s")))
+    return ends.groupBy("node").agg(F.count("p").alias("ins"), F.count("s").alias("outs"), F.max("p").alias("p"), F.max("s").alias("s"))
+
+
+def _shortened(now: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Edges without nodes that lie on no cycle's way or only hand one edge on, and node, p, s of the latter.
+
+    Of nodes with one edge in and one out, those go whose hash of this turn is
+    less than that of such nodes beside them, so no two neighbours go at once;
+    the edge from the one before to the one after takes their place. On a long
+    chain a third of the nodes goes in each turn.
     """
-    now = store.written(edges_.where("src <> dst").select("src", "dst").distinct(), "edges")
-    count = now.count()
-    for _ in range(rounds if count else 0):
-        now = now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        now = store.written(now.join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "peeled")
-        left = now.count()
-        if left == count or not left:
-            break
-        count = left
-    return now
-
-
-def tangles(edges_: DataFrame) -> DataFrame:
-    """node, tangle: the least node that an undirected path leads to."""
-    both = store.written(undirected(edges_), "undirected")
-    label = store.written(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("tangle")), "labels")
+    degrees = store.written(_degrees(now).where("ins > 0 and outs > 0"), "degrees")
+    rank = lambda c: F.struct(F.xxhash64(F.lit(turn), c), F.col(c))
+    single = degrees.where("ins = 1 and outs = 1").select("node", "p", "s")
+    beside = single.select(F.col("node").alias("beside"))
+    low = single
+    for c in ("p", "s"):
+        low = low.join(beside, low[c] == beside["beside"], "left").where(F.col("beside").isNull() | (rank("node") < rank(c))).drop("beside")
+    gone = store.written(low, "gone")
+    kept = degrees.select("node").join(gone.select("node"), "node", "left_anti")
+    inner = _joined(_joined(now, kept, "src"), kept, "dst")
+    bridges = gone.select(F.col("p").alias("src"), F.col("s").alias("dst")).where("src <> dst")
+    bridges = _joined(_joined(bridges, kept, "src"), kept, "dst")
+    out = store.written(inner.union(bridges).distinct(), "shortened")
+    store.delete(now.sparkSession, degrees.corvane_path)
+    return out, gone
+
+
+def _spread(now: DataFrame, label: DataFrame, jump: bool) -> DataFrame:
+    """Labels (node, label) carried along the edges, the greatest of each node, until nothing changes."""
+    spark = now.sparkSession
     while True:
-        near = both.join(label.select(F.col("node").alias("dst"), "tangle"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("tangle").alias("m"))
-        less = label.join(near, "node").select("node", F.col("tangle").alias("old"), F.least("tangle", "m").alias("tangle"))
-        # and the label's own label
-        jump = label.select(F.col("node").alias("tangle"), F.col("tangle").alias("further"))
-        new = store.written(less.join(jump, "tangle", "left").select("node", "old", F.coalesce(F.least("tangle", "further"), "tangle").alias("tangle")), "labels")
-        changed = new.where("old <> tangle").limit(1).count()
-        label = new.select("node", "tangle")
-        if not changed:
+        come = now.join(label.select(F.col("node").alias("src"), "label"), "src").select(F.col("dst").alias("node"), "label")
+        new = label.unionByName(come).groupBy("node").agg(F.max("label").alias("label"))
+        if jump:  # a label is a node from which a way leads here, and so is that node's own label
+            above = label.select(F.col("node").alias("label"), F.col("label").alias("further"))
+            new = new.join(above, "label", "left").select("node", F.greatest("label", "further").alias("label"))
+        new = store.written(new, "labels")
+        same = new.count() == label.count() and new.join(label, ["node", "label"], "left_anti").isEmpty()
+        store.delete(spark, label.corvane_path)
+        label = new
+        if same:
             return label
 
 
-def rings_of(out: dict[str, list[str]]) -> list[tuple[str, ...]]:
-    """Directed cycles closed by a back edge of a depth-first search, each from its least member."""
-    found, done = set(), set()
-    for root in sorted(out, key=str.casefold):
-        if root in done:
-            continue
-        path, place, stack = [root], {root: 0}, [iter(sorted(out[root], key=str.casefold))]
-        while stack:
-            nxt = next(stack[-1], None)
-            if nxt is None:
-                stack.pop()
-                node = path.pop()
-                del place[node]
-                done.add(node)
-            elif nxt in place:
-                ring = path[place[nxt] :]
-                found.add(min(tuple(ring[i:] + ring[:i]) for i in range(len(ring))))
-            elif nxt not in done:
-                place[nxt] = len(path)
-                path.append(nxt)
-                stack.append(iter(sorted(out.get(nxt, ()), key=str.casefold)))
-    return sorted(found)
+def _coloured(now: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """node, label of some strongly connected components, and the edges that others may lie on.
+
+    Forward, each node takes the greatest node that leads to it as its colour;
+    backward, what leads to that node within its colour is its component. Each
+    colour gives one, and no component crosses colours.
+    """
+    spark = now.sparkSession
+    nodes = now.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    colour = _spread(now, store.written(nodes.select("node", F.col("node").alias("label")), "labels"), jump=True)
+    of = lambda c, name: colour.select(F.col("node").alias(c), F.col("label").alias(name))
+    within = store.written(now.join(of("src", "a"), "src").join(of("dst", "b"), "dst").where("a = b").select("src", "dst"), "within")
+    back = within.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    own = _spread(back, store.written(colour.where("node = label"), "labels"), jump=False)
+    rest = within.join(own.select(F.col("node").alias("src")), "src", "left_anti").join(own.select(F.col("node").alias("dst")), "dst", "left_anti")
+    rest = store.written(rest.select("src", "dst"), "left")
+    for done in (colour, within):
+        store.delete(spark, done.corvane_path)
+    return own, rest
+
+
+def _followed(gone: DataFrame, label: DataFrame) -> DataFrame:
+    """Labels of shortened nodes: that of the nodes before and after, if it is one; a lone node that they circle is its own."""
+    of = lambda c, name: label.select(F.col("node").alias(c), F.col("label").alias(name))
+    rows = gone.join(of("p", "a"), "p", "left").join(of("s", "b"), "s", "left").where("p = s or a = b")
+    own = F.coalesce("a", "p")
+    pair = lambda c: F.struct(F.col(c).alias("node"), own.alias("label"))
+    both = F.when(F.col("a").isNull(), F.array(pair("node"), pair("p"))).otherwise(F.array(pair("node")))
+    return rows.select(F.inline(both)).distinct()
+
+
+def parts_of(edges_: list[tuple[str, str]]) -> dict[str, str]:
+    """The strongly connected component of every node, by one of its nodes: one search, two stacks."""
+    ahead: dict[str, list[str]] = {}
+    for src, dst in edges_:
+        ahead.setdefault(src, []).append(dst)
+        ahead.setdefault(dst, [])
+    order: dict[str, int] = {}
+    label: dict[str, str] = {}
+    undecided, borders = [], []
+    for start in ahead:
+        way = [] if start in order else [start]
+        while way:
+            node = way[-1]
+            if node not in order:
+                order[node] = len(order)
+                undecided.append(node)
+                borders.append(node)
+            if ahead[node]:
+                nxt = ahead[node].pop()
+                if nxt not in order:
+                    way.append(nxt)
+                elif nxt not in label:
+                    while order[borders[-1]] > order[nxt]:
+                        borders.pop()
+                continue
+            way.pop()
+            if borders[-1] == node:
+                borders.pop()
+                while node not in label:
+                    label[undecided.pop()] = node
+    return label
+
+
+def _in_one_task(now: DataFrame) -> DataFrame:
+    """node, label of all components; for edges of a checked number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [e for b in batches for e in zip(b.column("src").to_pylist(), b.column("dst").to_pylist(), strict=True)]
+        label = parts_of(own)
+        yield pa.RecordBatch.from_arrays([pa.array(list(label), pa.string()), pa.array(list(label.values()), pa.string())], names=["node", "label"])
+
+    return store.written(now.select("src", "dst").coalesce(1).mapInArrow(run, "node string, label string"), "labels")
+
+
+def components(edges_: DataFrame, one_task: int = 100_000) -> DataFrame:
+    """node, component: nodes of strongly connected components of two nodes or more, by their least node.
+
+    Chains are shortened and what lies on no cycle is left off until neither
+    is possible; what remains is coloured, and both begin anew with what that
+    leaves. As soon as ``one_task`` edges at most are left, a task searches
+    them at once. Then the shortened nodes follow, the last ones first. Turns:
+    logarithmic in the length of chains, but as many as the layers of a graph
+    without cycles and chains, and as the longest of the shortest ways within
+    a component.
+    """
+    spark = edges_.sparkSession
+    now = store.written(edges_.where("src <> dst").select("src", "dst").distinct(), "edges")
+    label = store.written(spark.createDataFrame([], "node string, label string"), "found")
+    count, turns = now.count(), []
+
+    def more(rows: DataFrame) -> DataFrame:
+        new = store.written(label.unionByName(rows), "found")
+        for done in (label, rows):
+            store.delete(spark, done.corvane_path)
+        return new
+
+    while count > one_task:
+        before, former = count, now
+        now, gone = _shortened(former, len(turns))
+        turns.append(gone)
+        count = now.count()
+        store.delete(spark, former.corvane_path)
+        if count == before:
+            found, rest = _coloured(now)
+            label = more(found)
+            store.delete(spark, now.corvane_path)
+            now, count = rest, rest.count()
+    if count:
+        label = more(_in_one_task(now))
+    store.delete(spark, now.corvane_path)
+    for gone in reversed(turns):
+        rows = store.written(_followed(gone, label), "followed")
+        if rows.isEmpty():
+            store.delete(spark, rows.corvane_path)
+        else:
+            label = more(rows)
+        store.delete(spark, gone.corvane_path)
+    least = label.groupBy("label").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1")
+    out = store.written(label.join(least, "label").select("node", "component"), "components")
+    store.delete(spark, label.corvane_path)
+    return out
+
+
+def on_cycles(edges_: DataFrame) -> DataFrame:
+    """src, dst, component: the edges that lie on a cycle of two nodes or more."""
+    own = components(edges_)
+    of = lambda c, name: own.select(F.col("node").alias(c), F.col("component").alias(name))
+    return edges_.select("src", "dst").distinct().where("src <> dst").join(of("src", "component"), "src").join(of("dst", "b"), "dst").where("component = b").select("src", "dst", "component")
+
+
+def closed_ways(edges_: list[tuple[str, str]]) -> list[list[str]]:
+    """Cycles of one component: for every edge that leads back to a node on the way a search is on, that way.
+
+    The search goes from the first name in folded order and takes names in that
+    order; a cycle begins with its least name, and each comes once.
+    """
+    names = sorted({n for e in edges_ for n in e}, key=lambda n: (n.casefold(), n))
+    number = {n: i for i, n in enumerate(names)}
+    ahead: list[list[int]] = [[] for _ in names]
+    for src, dst in edges_:
+        ahead[number[src]].append(number[dst])
+    waiting = [sorted(a, reverse=True) for a in ahead]
+    came_from: list[int | None] = [None] * len(names)
+    open_, seen, out = [False] * len(names), [False] * len(names), set()
+    for start in range(len(names)):
+        here: int | None = None if seen[start] else start
+        while here is not None:
+            seen[here] = open_[here] = True
+            if not waiting[here]:
+                open_[here] = False
+                here = came_from[here]
+                continue
+            there = waiting[here].pop()
+            if open_[there]:
+                way, at = [], here
+                while at != there:
+                    way.append(names[at])
+                    at = came_from[at]
+                way = [names[there], *reversed(way)]
+                first = way.index(min(way))
+                out.add((*way[first:], *way[:first]))
+            elif not seen[there]:
+                came_from[there], here = here, there
+    return [list(r) for r in sorted(out)]
 
 
 def rings(edges_: DataFrame) -> DataFrame:
-    """ring: the cycles, sought in each tangle by itself; a task holds one tangle at a time."""
-    left = on_cycles(edges_)
-    rows = left.join(tangles(left).select(F.col("node").alias("src"), "tangle"), "src")
+    """ring: the cycles, sought in each strongly connected component by itself; a task holds one component at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flush = lambda out: pa.RecordBatch.from_arrays([pa.array([list(r) for r in rings_of(out)], pa.list_(pa.string()))], names=["ring"])
-        now, out = None, {}
+        flush = lambda own: pa.RecordBatch.from_arrays([pa.array(closed_ways(own), pa.list_(pa.string()))], names=["ring"])
+        now, own = None, []
         for batch in batches:
-            for tangle, src, dst in zip(*(batch.column(c).to_pylist() for c in ("tangle", "src", "dst")), strict=True):
-                if tangle != now:
-                    if out:
-                        yield flush(out)
-                    now, out = tangle, {}
-                out.setdefault(src, []).append(dst)
-        if out:
-            yield flush(out)
-
-    return rows.select("tangle", "src", "dst").repartition("tangle").sortWithinPartitions("tangle").mapInArrow(run, "ring array<string>")
+            for component, *edge in zip(*(batch.column(c).to_pylist() for c in ("component", "src", "dst")), strict=True):
+                if component != now:
+                    if own:
+                        yield flush(own)
+                    now, own = component, []
+                own.append(tuple(edge))
+        if own:
+            yield flush(own)
+
+    return on_cycles(edges_).select("component", "src", "dst").repartition("component").sortWithinPartitions("component").mapInArrow(run, "ring array<string>")
 
 
 def cycles(edges_: DataFrame) -> list[list[str]]:
