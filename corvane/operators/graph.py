@@ -29,22 +29,27 @@ def stem_keys(notes: DataFrame) -> DataFrame:
 def resolved(targets: DataFrame, notes: DataFrame, assets: DataFrame | None = None, column: str = "target") -> DataFrame:
     """Add ``dst`` (a note) and ``asset``: by path first, then by a name that is unique.
 
-    Targets are reduced to distinct keys first, so the lookups shuffle keys, not links.
+    Targets are reduced to distinct ones, which are looked up and written; the
+    rows then meet that table, so that a target of very many links is no hot
+    key of the lookups, and its rows can be split in the last join.
     """
-    key, base = X.link_key(F.col(column)), X.link_key(X.basename(F.regexp_replace(F.col(column), "/+$", "")))
-    rows = targets.withColumns({"_key": key, "_base": base})
-    rows = rows.join(note_keys(notes).select(F.col("key").alias("_key"), F.col("hit").alias("_by_path")), "_key", "left")
-    rows = rows.join(stem_keys(notes).select(F.col("key").alias("_base"), F.col("hit").alias("_by_stem")), "_base", "left")
-    rows = rows.withColumn("dst", F.coalesce("_by_path", "_by_stem"))
+    rows = store.written(targets, "targets")
+    each = rows.select(F.col(column).alias("_target")).distinct()
+    own = F.col("_target")
+    each = each.withColumns({"_key": X.link_key(own), "_base": X.link_key(X.basename(F.regexp_replace(own, "/+$", "")))})
+    each = each.join(note_keys(notes).select(F.col("key").alias("_key"), F.col("hit").alias("_by_path")), "_key", "left")
+    each = each.join(stem_keys(notes).select(F.col("key").alias("_base"), F.col("hit").alias("_by_stem")), "_base", "left")
+    each = each.withColumn("dst", F.coalesce("_by_path", "_by_stem"))
     if assets is None:
-        rows = rows.withColumn("asset", F.lit(None).cast("string"))
+        each = each.withColumn("asset", F.lit(None).cast("string"))
     else:
-        full = X.fold(F.regexp_replace(F.col(column), "^/+|/+$", ""))
+        full = X.fold(F.regexp_replace(own, "^/+|/+$", ""))
         by_path = assets.groupBy(X.fold(F.col("path")).alias("_full")).agg(F.max("path").alias("_asset_path"))
         by_name = assets.groupBy(X.fold(X.basename(F.col("path"))).alias("_name")).agg(F.count("*").alias("_n"), F.max("path").alias("_asset_name")).where("_n = 1").drop("_n")
-        rows = rows.withColumns({"_full": full, "_name": X.basename(full)}).join(by_path, "_full", "left").join(by_name, "_name", "left")
-        rows = rows.withColumn("asset", F.when(F.col("dst").isNull(), F.coalesce("_asset_path", "_asset_name")))
-    return rows.drop("_key", "_base", "_by_path", "_by_stem", "_full", "_name", "_asset_path", "_asset_name")
+        each = each.withColumns({"_full": full, "_name": X.basename(full)}).join(by_path, "_full", "left").join(by_name, "_name", "left")
+        each = each.withColumn("asset", F.when(F.col("dst").isNull(), F.coalesce("_asset_path", "_asset_name")))
+    found = store.written(each.where("dst is not null or asset is not null").select("_target", "dst", "asset"), "resolved")
+    return rows.join(found, F.col(column) == F.col("_target"), "left").drop("_target")
 
 
 def link_rows(notes: DataFrame) -> DataFrame:

@@ -91,3 +91,29 @@ def test_every_ring_is_one(spark):
     known = set(edges)
     assert rows and all(e in known for ring in rows for e in zip(ring, [*ring[1:], ring[0]], strict=True))
     assert len({tuple(x) for x in rows}) == len(rows) and all(min(x) == x[0] and len(set(x)) == len(x) > 1 for x in rows)
+
+
+def test_a_target_of_half_of_all_links_is_split(spark):
+    n = 60_000
+    target = F.when(F.col("id") % 2 == 0, "Hub").otherwise(F.concat(F.lit("n"), F.col("id") % 50))
+    links = spark.range(n).select(F.concat(F.lit("s"), F.col("id")).alias("src"), target.alias("target"))
+    own = spark.createDataFrame([("x/hub.md",), *((f"y/n{i}.md",) for i in range(40))], "path string")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+    }
+    former = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = graph.resolved(links.repartition(8), own)
+        got = {r.dst: r.n for r in rows.groupBy("dst").agg(F.count("*").alias("n")).collect()}
+        rows.collect()
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in former.items():
+            spark.conf.set(k, v)
+    assert got["x/hub.md"] == n // 2 and got["y/n1.md"] == n // 50 and got[None] == n // 2 - 20 * (n // 50)
+    assert "skew=true" in plan
