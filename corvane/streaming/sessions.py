@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import constants as C
+from ..operators import store
 
 
 # -- reading transcripts ----------------------------------------------------
@@ -173,22 +174,41 @@ def decide(state: dict, activity: Activity, now: float, deliverable: bool, early
 
 
 # -- batch ------------------------------------------------------------------
+def last_captures(events: DataFrame) -> DataFrame:
+    """session, last_capture, captures: captures that no failure directly follows.
+
+    Ranges of (session, seq) part a long session among tasks; what follows the
+    last row of a range is the first row of the session's next one.
+    """
+    ranges = events.select("session", "seq", F.coalesce("kind", F.lit("")).alias("kind")).repartitionByRange("session", "seq").withColumn("part", F.spark_partition_id())
+    rows = ranges.withColumn("next_kind", F.lead("kind").over(Window.partitionBy("session", "part").orderBy("seq")))
+    capture = F.col("kind") == "capture"
+    parts = rows.groupBy("session", "part").agg(
+        F.max(F.when(capture & (F.col("next_kind") != "failed"), F.col("seq"))).alias("inner"),
+        F.count_if(capture & (F.col("next_kind") != "failed")).alias("held"),
+        F.max(F.when(capture & F.col("next_kind").isNull(), F.col("seq"))).alias("open"),
+        F.min_by("kind", "seq").alias("first"),
+    )
+    follows = F.lead("first").over(Window.partitionBy("session").orderBy("part"))
+    parts = parts.withColumn("last", F.when(~F.coalesce(follows == "failed", F.lit(False)), F.col("open")))
+    return parts.groupBy("session").agg(F.max(F.greatest("inner", "last")).alias("last_capture"), (F.sum("held") + F.count("last")).alias("captures"))
+
+
 def windows(events: DataFrame) -> DataFrame:
-    """Counters per session by window functions: session, seq, kind, path in; one row per session out.
+    """Counters per session: session, seq, kind, path in; one row per session out.
 
-    A failure directly follows its capture, as in event tables.
+    A failure directly follows its capture, as in event tables. The last
+    captures are found and written, then the rows after them are counted where
+    they lie, so a long session is no task of its own.
     """
-    order = Window.partitionBy("session").orderBy("seq")
-    rows = events.withColumn("next_kind", F.lead("kind").over(order))
-    holds = (F.col("kind") == "capture") & ~F.coalesce(F.col("next_kind") == "failed", F.lit(False))
-    all_rows = Window.partitionBy("session")
-    rows = rows.withColumn("last_capture", F.max(F.when(holds, F.col("seq"))).over(all_rows))
+    last = store.written(last_captures(events).withColumnRenamed("session", "_session"), "captures")
+    rows = events.join(last, F.col("session").eqNullSafe(F.col("_session")), "left")
     inside = F.col("last_capture").isNull() | (F.col("seq") > F.col("last_capture"))
     out = rows.groupBy("session").agg(
         F.count_if(inside & (F.col("kind") == "turn")).alias("turns"),
         F.countDistinct(F.when(inside & (F.col("kind") == "edit") & (F.col("path") != ""), F.col("path"))).alias("paths"),
         F.count_if(inside & (F.col("kind") == "edit") & (F.col("path") == "")).alias("pathless"),
-        F.count_if(holds).alias("captures"),
+        F.max("captures").alias("captures"),
     )
     return out.select("session", "turns", (F.col("paths") + F.col("pathless")).alias("edits"), "captures")
 

@@ -79,3 +79,29 @@ def test_prompts(spark):
     rows = [("x" * 40, True), ("x" * 39, False), ("/" + "x" * 60, False), ("ok", False)]
     df = spark.createDataFrame(rows, "p string, want boolean")
     assert df.where(S.worth_recalling(F.col("p")) != F.col("want")).count() == 0
+
+
+def test_counters_of_a_hot_session_are_those_of_a_walk(spark):
+    """One session holds most rows, in many ranges; captures end on range borders and some are followed by failures."""
+    kinds = F.element_at(F.array(*(F.lit(k) for k in ("turn", "edit", "capture", "failed", "hook", "capture", "turn"))), (F.abs(F.xxhash64("id")) % 7 + 1).cast("int"))
+    session = F.when(F.col("id") % 5 > 0, "hot").when(F.col("id") % 10 == 0, F.concat(F.lit("s"), F.col("id") % 30))
+    rows = spark.range(6000).select(session.alias("session"), (F.col("id") * 3).alias("seq"), kinds.alias("kind"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("p"), F.col("id") % 40)).otherwise("").alias("path"))
+    rows = rows.where("not (kind = 'capture' and seq > 17900)")
+    former = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.session: (r.turns, r.edits, r.captures) for r in S.windows(rows).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", former)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    by = {}
+    for r in rows.orderBy("seq").collect():
+        by.setdefault(r.session, []).append(r)
+    expected = {}
+    for name, own in by.items():
+        held = [i for i, r in enumerate(own) if r.kind == "capture" and (i + 1 == len(own) or own[i + 1].kind != "failed")]
+        after = own[held[-1] + 1 :] if held else own
+        paths = {r.path for r in after if r.kind == "edit" and r.path}
+        expected[name] = (sum(r.kind == "turn" for r in after), len(paths) + sum(r.kind == "edit" and not r.path for r in after), len(held))
+    assert got == expected and len(got) == 5
