@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -115,6 +115,22 @@ def stored(documents: DataFrame) -> Index:
 LISTED = 1000
 
 
+def listed(terms: DataFrame, name: str = "term") -> list[str] | None:
+    """The distinct terms if they are LISTED at most."""
+    few = [r[0] for r in terms.select(name).distinct().limit(LISTED + 1).collect()]
+    return few if len(few) <= LISTED else None
+
+
+def local(spark: SparkSession, values: list[str], name: str) -> DataFrame:
+    return spark.createDataFrame([(v,) for v in values], f"{name} string")
+
+
+def few_rows(rows: DataFrame, most: int) -> DataFrame | None:
+    """The rows as a table of the driver's, if there are ``most`` at most."""
+    few = rows.limit(most + 1).collect()
+    return rows.sparkSession.createDataFrame(few, rows.schema) if len(few) <= most else None
+
+
 def of_terms(index: Index, terms: DataFrame) -> DataFrame:
     """The postings of the given terms."""
     if index.find is None:
