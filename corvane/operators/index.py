@@ -127,8 +127,8 @@ def local(spark: SparkSession, values: list[str], name: str) -> DataFrame:
 
 def few_rows(rows: DataFrame, most: int) -> DataFrame | None:
     """The rows as a table of the driver's, if there are ``most`` at most."""
-    few = rows.limit(most + 1).collect()
-    return rows.sparkSession.createDataFrame(few, rows.schema) if len(few) <= most else None
+    few = rows.limit(most + 1).toArrow()
+    return rows.sparkSession.createDataFrame(few, rows.schema) if few.num_rows <= most else None
 
 
 def of_terms(index: Index, terms: DataFrame) -> DataFrame:
