@@ -49,6 +49,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+#: Bytes of files below which few splits are dealt over all cores before costly work.
+SPREAD = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of small files dealt over all cores: a split of narrow, compressed columns may hold a long time's work."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism) if file_states(df)[1] < SPREAD else df
+
+
 def names(spark: SparkSession, folder: str) -> list[str]:
     """Names in a folder; none where there is no folder."""
     files, at = _at(spark, folder)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.constants import PAYLOAD_BEGIN, PAYLOAD_END
 from ..functions.parse import notes
+from ..operators import store
 
 S = F.lit
 
@@ -143,7 +144,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     body = F.concat(S("# "), F.col("p_name"), S("\n\n## Use\n\nText.\n\n"), F.when(size % 3 == 0, "#### Deep").otherwise("### Near"), S("\n\n```\n##### Not one\n```\n\n## "), F.when(size % 2 == 0, "USE").otherwise("End"), S("\n"))
     folder = F.when(size % 2 == 0, "10-projects").otherwise("30-resources")
-    return table(spark, sf_dir, "part").select(*file(F.concat(folder, S("/part-"), k, S(".md")), head, body))
+    return store.spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", "p_type", "p_name")).select(*file(F.concat(folder, S("/part-"), k, S(".md")), head, body))
 
 
 def task_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
