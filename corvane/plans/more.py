@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import formats
 from ..functions import text as X
 from ..functions.parse import notes
-from ..operators import checks, evaluate, graph, index, rank, readability, reports, views
+from ..operators import checks, evaluate, graph, index, rank, readability, reports, store, views
 from ..sources import clips, judgments, viewfiles
 from ..streaming import dispatch, sessions, transcripts
 from . import render as R
@@ -378,7 +378,7 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Views are assistant turns, sign-ups edits, purchases captures, of which every fourth fails in a line of its own.
     """
-    e = R.table(spark, sf_dir, "events").select(F.col("user_id").alias("u"), F.col("event_id").alias("id"), F.col("event_type").alias("t"))
+    e = store.spread(R.table(spark, sf_dir, "events").select(F.col("user_id").alias("u"), F.col("event_id").alias("id"), F.col("event_type").alias("t")))
     call = F.concat(S("c"), "id")
     path = F.when(F.col("id") % 3 != 0, F.concat(S("p"), F.col("id") % 7))
     own = lambda *content: F.to_json(F.struct(S("assistant").alias("type"), F.struct(S("assistant").alias("role"), F.array(*map(F.to_variant_object, content)).alias("content")).alias("message")))
@@ -494,4 +494,4 @@ def part_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN {_SLUG.format('text')} END AS slug FROM documents")
 def document_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same of every whole text, in all its languages."""
-    return R.table(spark, sf_dir, "documents").select("doc_id", formats.slug(F.col("text")).alias("slug"))
+    return store.spread(R.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", formats.slug(F.col("text")).alias("slug"))
