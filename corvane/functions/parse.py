@@ -17,7 +17,7 @@ from itertools import accumulate
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
@@ -251,8 +251,20 @@ def _column(part: Callable[[str], dict], kind: pa.StructType, content: Column) -
     return F.arrow_udf(run, from_arrow_type(kind)).asNondeterministic()(content)
 
 
+#: Bytes of an Arrow batch of texts, of which a worker holds several copies in Python; and what Spark takes else.
+BATCH_BYTES, SPARKS_BYTES = 8 << 20, 64 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches unless it has a bound of its own; the setting is read when a query runs."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).removesuffix("b") == str(SPARKS_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def parsed(files: DataFrame, content: str = "content") -> DataFrame:
     """``files`` with the parsed columns in place of the content; null content is empty."""
+    bounded(files.sparkSession)
     keep = [c for c in files.columns if c != content]
     names = [f"_{part.__name__}" for part in PARTS]
     out = files.select(*keep, *(_column(part, kind, F.col(content)).alias(n) for n, (part, kind) in zip(names, PARTS.items(), strict=True)))
