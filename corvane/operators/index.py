@@ -82,6 +82,9 @@ class Index:
     path: str = ""
     #: The postings of listed terms with their hashes, if the store has a shorter way to them.
     find: Callable[[list[tuple[str, int]]], DataFrame] | None = None
+    #: The documents' rows (path, lengths, terms and their counts), if they are stored, and whether postings are too.
+    rows: DataFrame | None = None
+    inverted: bool = True
 
 
 def live(tokenised_: DataFrame) -> Index:
@@ -95,10 +98,18 @@ _stored: dict[tuple, Index] = {}
 STORED = 4
 
 
-def stored(documents: DataFrame) -> Index:
-    """The index of a corpus, written at its first use and read from then on while the files it comes from are the same."""
+def stored(documents: DataFrame, inverted: bool = True) -> Index:
+    """The index of a corpus, written at its first use and read from then on while the files it comes from are the same.
+
+    Not ``inverted`` it may be one of the documents' rows, which costs a
+    fraction to build and is read whole by each search: for a search or two,
+    and for many queries at once.
+    """
     spark = documents.sparkSession
     key = (spark.sparkContext.applicationId, documents.select("path", *FIELDS).semanticHash(), store.file_states(documents))
+    if (*key, True) in _stored:
+        return _stored[*key, True]
+    key = (*key, inverted)
     if key not in _stored:
         for old in list(_stored)[: max(0, len(_stored) - STORED + 1)]:
             gone = _stored.pop(old)
@@ -107,7 +118,7 @@ def stored(documents: DataFrame) -> Index:
         from .segments import Segments  # which stores what this module defines
 
         own = Segments(spark, store.new_dir(spark, "index"))
-        _stored[key] = own.open(own.build(documents))
+        _stored[key] = own.open(own.build(documents, inverted))
     return _stored[key]
 
 
