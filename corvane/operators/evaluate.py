@@ -2,16 +2,77 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from ..functions.parse import bounded
 from . import index as I
 from .rank import Options, rank
 
 
+class Passages:
+    """Texts that are sought in many documents at once, as bytes: by eight bytes of each, from its longest word on."""
+
+    MIX, BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(48)
+
+    def __init__(self, texts: list[str]):
+        self.texts = [t.encode() for t in texts]
+        self.short = [i for i, t in enumerate(self.texts) if len(t) < 8]
+        self.keys: dict[int, list[tuple[int, int]]] = {}
+        for i, t in enumerate(self.texts):
+            if len(t) >= 8:
+                at = min(t.index(max(t.split(), key=len, default=b"")), len(t) - 8)
+                self.keys.setdefault(int.from_bytes(t[at : at + 8], "little"), []).append((i, at))
+        self.known = np.array(sorted(self.keys), np.uint64)
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[self.known * self.MIX >> self.BITS] = True
+
+    def held(self, documents: pa.StringArray) -> set[tuple[int, int]]:
+        """Places of a document and of a passage that it holds."""
+        ends = np.frombuffer(documents.buffers()[1], np.int32)[documents.offset : documents.offset + len(documents) + 1]
+        data = documents.buffers()[2] if len(ends) and ends[-1] else None
+        own = memoryview(data).cast("B")[ends[0] : ends[-1]] if data is not None else memoryview(b"")
+        ends = ends - ends[0]
+        real = documents.is_valid().to_numpy(zero_copy_only=False)
+        out = set()
+        for shift in range(min(8, max(len(own) - 7, 0))):
+            windows = np.frombuffer(own, "<u8", (len(own) - shift) // 8, shift)
+            likely = np.flatnonzero(self.maybe[windows * self.MIX >> self.BITS])
+            for k in likely[np.isin(windows[likely], self.known)]:
+                for i, at in self.keys[int(windows[k])]:
+                    start = int(k) * 8 + shift - at
+                    d = int(np.searchsorted(ends, start, "right")) - 1
+                    if start >= 0 and start + len(self.texts[i]) <= ends[d + 1] and own[start : start + len(self.texts[i])] == self.texts[i]:
+                        out.add((d, i))
+        if self.short:
+            out |= {(d, i) for d in range(len(documents)) for i in self.short if real[d] and self.texts[i] in bytes(own[ends[d] : ends[d + 1]])}
+        return out
+
+
+def holding(documents: DataFrame, passages: DataFrame) -> DataFrame:
+    """path, case_id: the documents (path, body) that hold a passage's text, of a table of passages that the driver can hold.
+
+    The passages go to the documents, which are read once and not moved.
+    """
+    bounded(documents.sparkSession)
+    rows = passages.where("text is not null").select("case_id", "text").collect()
+    names, sought = pa.array([r["case_id"] for r in rows], pa.string()), Passages([r["text"] for r in rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = sorted(sought.held(batch["body"]))
+            at, which = (pa.array([f[i] for f in found], pa.int64()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch["path"].take(at), names.take(which)], names=["path", "case_id"])
+
+    return documents.select("path", "body").mapInArrow(run, "path string, case_id string")
+
+
 def case_results(ranked: DataFrame, cases: DataFrame, sizes: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     """A row per case: recall, first relevant rank, forbidden hits, evidence and bytes at each k.
 
