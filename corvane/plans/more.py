@@ -227,7 +227,7 @@ def eval_evidence_and_forbidden(spark: SparkSession, sf_dir: str) -> DataFrame:
     proof = F.transform("expected", lambda p: F.struct(p.alias("path"), S("any").alias("heading")))
     nothing = F.array().cast("array<struct<path: string, heading: string>>")
     cases = cases.withColumns({"forbidden": F.when(even, F.col("expected")).otherwise(F.array().cast("array<string>")), "evidence": F.when(even, proof).otherwise(nothing)})
-    results = evaluate.evaluate(cases, d, KS, rank.Options(limit=5, prefix=False, phrase=False), index.stored(d))
+    results = evaluate.evaluate(cases, d, KS, rank.Options(limit=5, prefix=False, phrase=False), index.stored(d, inverted=False))
     return evaluate.metrics(results, KS).where("category is null").select("forbidden_cases", "forbidden_5", "evidence_cases", "evidence_5")
 
 
