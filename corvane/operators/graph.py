@@ -31,14 +31,15 @@ def resolved(targets: DataFrame, notes: DataFrame, assets: DataFrame | None = No
 
     Targets are reduced to distinct ones, which are looked up and written; the
     rows then meet that table, so that a target of very many links is no hot
-    key of the lookups, and its rows can be split in the last join.
+    key of the lookups, and its rows can be split in the last join. The notes
+    are never broadcast, for which small files of theirs would be taken.
     """
     rows = store.written(targets, "targets")
     each = rows.select(F.col(column).alias("_target")).distinct()
     own = F.col("_target")
     each = each.withColumns({"_key": X.link_key(own), "_base": X.link_key(X.basename(F.regexp_replace(own, "/+$", "")))})
-    each = each.join(note_keys(notes).select(F.col("key").alias("_key"), F.col("hit").alias("_by_path")), "_key", "left")
-    each = each.join(stem_keys(notes).select(F.col("key").alias("_base"), F.col("hit").alias("_by_stem")), "_base", "left")
+    each = each.join(note_keys(notes).select(F.col("key").alias("_key"), F.col("hit").alias("_by_path")).hint("merge"), "_key", "left")
+    each = each.join(stem_keys(notes).select(F.col("key").alias("_base"), F.col("hit").alias("_by_stem")).hint("merge"), "_base", "left")
     each = each.withColumn("dst", F.coalesce("_by_path", "_by_stem"))
     if assets is None:
         each = each.withColumn("asset", F.lit(None).cast("string"))

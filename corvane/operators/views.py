@@ -310,7 +310,7 @@ def view(notes: DataFrame, which: View | str, context: Context, edges: DataFrame
         edges = G.edges(G.link_targets(notes))
     for path, column in links.items():
         sources = edges.where(F.col("dst") == F.lit(path)).select(F.col("src").alias("path"), F.lit(True).alias(column)).distinct()
-        rows = rows.join(sources, "path", "left")
+        rows = rows.join(sources.hint("merge"), "path", "left")  # by the size of their files notes would be taken for few and broadcast
     out = rows.where(condition).select("path", *(field(c).alias(c.replace(".", "_")) for c in own.columns))
     if not own.group:
         return out

@@ -93,7 +93,8 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     link = F.when(k % 7 != 0, F.concat(S("Lives in [[nation-"), F.col("c_nationkey"), S("#Top]].\n"))).otherwise(S("Nowhere.\n"))
     folder = F.when(k % 5 == 0, "00-inbox").otherwise("40-knowledge/people")
-    return table(spark, sf_dir, "customer").select(*file(F.concat(folder, S("/customer-"), k, S(".md")), head, F.concat(S("# "), F.col("c_name"), S("\n\n"), link)))
+    rows = store.spread(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", "c_name"))
+    return rows.select(*file(F.concat(folder, S("/customer-"), k, S(".md")), head, F.concat(S("# "), F.col("c_name"), S("\n\n"), link)))
 
 
 def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
