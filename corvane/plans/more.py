@@ -441,7 +441,7 @@ def recalled_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = R.table(spark, sf_dir, "conversations").where("role = 'user'")
     hooks = c.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.col("text").alias("prompt"), S(None).cast("string").alias("source"), S(False).alias("in_corpus"))
     d = R.corpus(spark, sf_dir)
-    made = dispatch.recall_bundles(hooks, d, index.stored(d))
+    made = dispatch.recall_bundles(hooks, d, index.stored(d, inverted=False))
     named = F.forall("paths", lambda p: F.contains("bundle", F.concat(S("Source: "), p)))
     return made.select(F.col("session").alias("conv_id"), F.col("seq").alias("turn"), F.array_join("paths", ",").alias("paths"), "notes", (F.col("chars") <= 4800).alias("within_budget"), named.alias("names_all"))
 
